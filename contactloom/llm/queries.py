@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe
+from . import byte_bpe, decontam, lsh_forest, pii_anchors, rule_ledger, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,5 +25,73 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
-SQL: dict[str, str] = {}
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document by a byte-level BPE vocabulary."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failure bits and verdict of the current policy for every document."""
+    judged = rule_ledger.ledger(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits",
+        (~rule_ledger.passes("base")).alias("base_failed"), rule_ledger.passes("v1").alias("kept"),
+    )
+
+
+def op6_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the personal data in every document."""
+    found = pii_anchors.detect(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("pii", lambda s: s["kind"].isin(*pii_anchors.BASE))
+    return found.select(
+        "doc_id", *[count(kind) for kind in pii_anchors.BASE],
+        F.sha2(pii_anchors.digest(base).cast("binary"), 256).alias("base_sha256"), pii_anchors.digest(F.col("pii")).alias("spans"),
+    )
+
+
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item that it contains."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    leaks = decontam.find_leaks(docs, _read(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", F.inline("leaks")).withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return lsh_forest.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_token_counts, op6_pii_anchors, op7_decontam, op8_rule_ledger, op9_ngram_jaccard)}
+
+#: DuckDB SQL of op8, with the strings of windows where the operator compares hashes.
+_OP8 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+m AS (
+  SELECT doc_id, body, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM t),
+w AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS k
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM m)),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM w) WHERE c > 1),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM d, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id),
+n AS (
+  SELECT m.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(body, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+         len(regexp_extract_all(body, '!!'))::BIGINT AS n_shouts, len(regexp_extract_all(body, '\p{Lu}{2,}'))::BIGINT AS n_capital_runs
+  FROM m LEFT JOIN r ON m.doc_id = r.doc_id),
+b AS (
+  SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_shouts > n_words THEN 8 ELSE 0 END
+    + CASE WHEN 10 * n_capital_runs > 3 * n_words THEN 16 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END
+    + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 64 ELSE 0 END)::BIGINT AS fail_bits
+  FROM n)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits,
+       (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept
+FROM b
+"""
+
+SQL: dict[str, str] = {"op8_rule_ledger": _OP8}
