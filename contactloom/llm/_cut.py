@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the checkpoint folder, which survives lost executors.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept in the shared folder, which survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -178,3 +178,11 @@ def digest(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     return F.array_join(F.transform(spans, one), ",")
+
+
+def mask_documents(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """mask(), and the column `length`, if there is one, set to the masked text's number of code points."""
+    masked = mask(docs, text)
+    if length not in masked.columns:
+        return masked
+    return masked.withColumn(length, F.char_length(F.col(f"`{text}`")).cast(masked.schema[length].dataType))

@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontam, lsh_forest, pii_anchors, rule_ledger, token_counts
+from ..plans.shipping import ensure_on_workers
+from . import byte_bpe, decontam, interp_lm, license_align, lsh_forest, pii_anchors, quote_threads, ring_shards, rule_ledger, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ensure_on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -25,6 +27,23 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each license that stands in a document, and where."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_align.scan_licenses(docs).select("doc_id", F.inline("licenses"))
+
+
+def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on shards 0 to 7 with equal numbers of rows."""
+    placed = ring_shards.assign(_read(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages with their place in reply order, without quotes."""
+    return quote_threads.reply_order(_read(spark, sf_dir, "conversations"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document by a byte-level BPE vocabulary."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,7 +83,18 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_token_counts, op6_pii_anchors, op7_decontam, op8_rule_ledger, op9_ngram_jaccard)}
+def op10_interp_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and interpolated bigram scores of every document."""
+    return interp_lm.interpolated_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_byte_bpe, op2_license_align, op3_ring_shards, op4_quote_threads, op5_token_counts,
+        op6_pii_anchors, op7_decontam, op8_rule_ledger, op9_ngram_jaccard, op10_interp_lm,
+    )
+}
 
 #: DuckDB SQL of op8, with the strings of windows where the operator compares hashes.
 _OP8 = r"""
