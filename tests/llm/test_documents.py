@@ -1,0 +1,219 @@
+"""op2, op3, op6, op7 and op8 against brute force."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from contactloom.llm import decontam, license_align, pii_anchors, queries, ring_shards, rule_ledger
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+# ---- op2
+
+
+def test_longest_increasing():
+    assert license_align.longest_increasing([5, 1, 2, 9, 3]) == [1, 2, 4]
+    assert license_align.longest_increasing([]) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 12), max_size=30), st.lists(st.integers(0, 12), max_size=30))
+def test_alignment_is_a_common_subsequence(a, b):
+    pairs = license_align.align(a, b)
+    assert all(a[x] == b[y] for x, y in pairs)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    if len(set(b)) == len(b) and a == b:
+        assert len(pairs) == len(b)
+
+
+def test_licenses_found(spark):
+    mit = license_align.TEMPLATES["MIT-text"]
+    rows = [
+        (1, "Released under the MIT License. " * 3), (2, mit.replace("charge", "cost") + " xx " + mit), (3, None), (4, "é released UNDER the mit *** license!"),
+        (5, ""), (6, "the license under released mit"), (7, "words " * 5000 + "Licensed under the Apache License, Version 2.0." + " words" * 5000),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("Licenses", F.lit(0))
+    got = {r.doc_id: [tuple(x) for x in r.licenses] for r in license_align.scan_licenses(docs).collect()}
+    assert got[1] == [("MIT", 1.0, 0, 30), ("MIT", 1.0, 32, 62), ("MIT", 1.0, 64, 94)]
+    assert [x[0] for x in got[2]] == ["MIT-text"] * 2 and got[2][0][1] > 0.98
+    assert got[3] == got[5] == got[6] == []
+    assert got[4] == [("MIT", 1.0, 2, 36)]
+    assert got[7] == [("Apache-2.0", 1.0, 30000, 30046)]
+
+
+def test_op2_finds_every_notice(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    lines = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3."}
+    want = {(r.doc_id, name) for r in docs for name, line in lines.items() if line in r.text}
+    got = {(r.doc_id, r.license) for r in queries.op2_license_align(spark, sf_dir).collect()}
+    assert want <= got
+
+
+# ---- op3
+
+
+def walked(keys, capacity):
+    """Going round the ring key by key."""
+    ring, room, out = ring_shards.nodes(len(capacity)), list(capacity), {}
+    for cell, key in keys:
+        after = [s for c, s in ring if c >= cell] + [s for _, s in ring]
+        shard = next(s for s in after if room[s])
+        room[shard] -= 1
+        out[key] = shard
+    return out
+
+
+def test_shards_equal_a_walk_round_the_ring(spark, odd_docs):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    got = {r.doc_id: r.shard for r in ring_shards.assign(rows, 8).collect()}
+    places = rows.select("doc_id", F.xxhash64("doc_id", F.lit(None).cast("long")).alias("p")).withColumn("cell", F.pmod("p", F.lit(ring_shards.CELLS)))
+    keys = [(r.cell, r.doc_id) for r in places.orderBy("cell", "p").collect()]
+    assert got == walked(keys, ring_shards.even_capacity(3000, 8))
+
+
+@pytest.mark.parametrize("weight", ["rows", "bytes"])
+def test_shards_balance_and_slots(spark, weight):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = ring_shards.assign(docs, 8, weight=weight).toPandas()
+    assert len(got) == docs.count()
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    sums = got.groupby("shard")["size"].sum() if weight == "bytes" else got.groupby("shard").size()
+    assert sums.max() - sums.min() <= (got["size"].max() * 2 if weight == "bytes" else 1)
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert all(zlib.crc32(text[r.doc_id]) == r.text_crc32 and len(text[r.doc_id]) + 1 == r.size for r in got.itertuples())
+    grown = ring_shards.assign(docs, 9, weight=weight).toPandas()
+    moved = got.merge(grown, on="doc_id")
+    assert (moved.shard_x != moved.shard_y).mean() < 0.35
+
+
+def test_shards_of_odd_rows(odd_docs, no_docs):
+    got = ring_shards.assign(odd_docs.withColumn("shard", F.lit("x")), 3).toPandas()
+    assert len(got) == odd_docs.count() and sorted(got.groupby("shard").size())[-1] - sorted(got.groupby("shard").size())[0] <= 1
+    assert ring_shards.assign(no_docs, 3).count() == 0 and ring_shards.assign(no_docs, 3, weight="bytes").count() == 0
+
+
+# ---- op6
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    return sum(d - 9 * (d > 9) for i, c in enumerate(reversed(digits)) for d in [int(c) * (1 + i % 2)]) % 10 == 0
+
+
+def base_spans(text):
+    def holds(kind, s):
+        digits = re.sub("[^0-9]", "", s)
+        return {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in s.split(".")), "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+
+    return sorted((m.start(), k, m.end()) for k, (kind, p) in enumerate(PATTERNS.items()) for m in re.finditer(p, text) if holds(kind, m[0]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("0123456789ab.@+- ()%_é\n"), max_size=80))
+def test_base_spans_equal_patterns(text):
+    assert [s for s in pii_anchors.find_spans(text, pii_anchors.automaton()) if s[1] < 4] == base_spans(text)
+
+
+def test_cues_and_redaction(spark, odd_docs, no_docs):
+    text = 'IBAN: DE89370400440532013000, see https://x.org/a?b=1. token = "24be64439e3e49cf46b2" mail a.b@c.de, ip 10.0.0.1, 4111 1111 1111 1111 +1 (555) 555-0100'
+    spans = pii_anchors.find_spans(text, pii_anchors.automaton())
+    assert {pii_anchors.KINDS[k] for _, k, _ in spans} == set(pii_anchors.KINDS)
+    masked = pii_anchors.redact(text, spans)
+    assert not re.search(r"DE89|x\.org|24be|a\.b@|10\.0|4111|555", masked) and masked.startswith("IBAN: [ACCOUNT], see [URL]")
+    docs = pii_anchors.mask_documents(odd_docs.withColumn("pii", F.lit(1)))
+    assert docs.columns == [*odd_docs.columns, "pii"] and docs.count() == odd_docs.count()
+    assert pii_anchors.mask_documents(no_docs).count() == pii_anchors.detect(no_docs).count() == 0
+    assert all(r.pii == [] for r in pii_anchors.detect(odd_docs).where("text is null or text = ''").collect())
+
+
+def test_op6(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in queries.op6_pii_anchors(spark, sf_dir).collect()}
+    for r in docs:
+        spans = base_spans(r.text)
+        digest = ",".join(f"{list(PATTERNS)[k]}:{s}:{e}" for s, k, e in spans)
+        assert got[r.doc_id].base_sha256 == hashlib.sha256(digest.encode()).hexdigest()
+        assert [got[r.doc_id][f"n_{kind}"] for kind in PATTERNS] == [sum(k == i for _, k, _ in spans) for i in range(4)]
+
+
+# ---- op7
+
+
+def shingles(text, size=5):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
+def contained(docs, items):
+    sets = [(i, shingles(t)) for i, t in items]
+    return sorted((d, i, len(s & own), len(s)) for d, t in docs for own in [shingles(t)] for i, s in sets if s and len(s & own) >= 0.8 * len(s))
+
+
+def test_op7(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    got = sorted((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in queries.op7_decontam(spark, sf_dir).collect())
+    assert got == contained(docs, items) and got
+
+
+def test_leaks_of_odd_rows(spark, odd_docs, no_docs, odd_texts, monkeypatch):
+    items = [(1, odd_texts[8]), (2, None), (3, "two words"), (4, "five words or a few"), (5, odd_texts[5][:300]), (None, odd_texts[8]), (5, odd_texts[5][:300])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = Counter((d, i, n, m) for d, i, n, m in [(r.doc_id, i, n, m) for r in odd_docs.collect() for _, i, n, m in contained_one(r.text, items)])
+    for limit in (20_000, 2):
+        monkeypatch.setattr(decontam, "BLOCK_ITEMS", limit)
+        found = decontam.find_leaks(odd_docs.withColumn("LEAKS", F.lit(1)), benchmark)
+        assert Counter((r.doc_id, x.item_id, x.n_shared, x.n_item) for r in found.collect() for x in r.leaks) == want
+    assert decontam.find_leaks(no_docs, benchmark).count() == 0
+    clean = decontam.remove_contaminated(odd_docs, benchmark.limit(0))
+    assert clean.columns == odd_docs.columns and clean.count() == odd_docs.count()
+
+
+def contained_one(text, items):
+    own = shingles(text)
+    return [(None, i, len(s & own), len(s)) for i, t in items for s in [shingles(t)] if s and len(s & own) >= 0.8 * len(s)]
+
+
+# ---- op8
+
+
+def measured(text):
+    text = text or ""
+    words = WORD.findall(text)
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_ledger(spark, odd_docs, no_docs):
+    for r in rule_ledger.ledger(odd_docs.withColumn("N_words", F.lit("x"))).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == measured(r.text)
+        assert (r.fail_bits & 1 > 0) == (r.n_words < 50) and (r.fail_bits & 2 > 0) == (100 * r.n_repeat_words > 50 * r.n_words)
+    kept = rule_ledger.apply_policy(odd_docs, "v1")
+    assert kept.columns == odd_docs.columns and 0 < kept.count() < odd_docs.count()
+    assert rule_ledger.ledger(no_docs).count() == rule_ledger.apply_policy(no_docs, "base").count() == 0
+
+
+def test_ablations(spark, sf_dir, no_docs):
+    judged = rule_ledger.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    bits = [r.fail_bits for r in judged.select("fail_bits").collect()]
+    for r in rule_ledger.ablations(judged, "v1").collect():
+        b = rule_ledger.bit(r.rule)
+        assert (r.n_failed, r.n_failed_alone, r.n_kept, r.n_rows) == (sum(x & b > 0 for x in bits), sum(x == b for x in bits), sum(x == 0 for x in bits), len(bits))
+    assert [r.n_rows for r in rule_ledger.ablations(rule_ledger.ledger(no_docs), "base").collect()] == [0, 0]
+
+
+def test_verdict_follows_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    kept = {r.doc_id: r.kept for r in queries.op8_rule_ledger(spark, sf).where("n_words >= 50").collect()}
+    labels = [(r.quality, kept[r.doc_id]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in kept]
+    assert sum(bool(q) == k for q, k in labels) >= 0.98 * len(labels)
