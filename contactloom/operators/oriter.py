@@ -39,7 +39,7 @@ def skew_candidates(skew: DataFrame, alpha: int = 100, circular: bool = True) ->
     rows = rows.join(second, "chrom")
     shifts = F.array(-F.col("count"), F.lit(0).cast("long"), F.col("count")) if circular else F.array(F.lit(0).cast("long"))
     sign = F.signum(F.round("val", 12))
-    around = rows.withColumn("k", F.col("i") + F.explode(shifts)).where((F.col("k") >= -alpha) & (F.col("k") < F.col("count") + alpha)).withColumn("sign", sign)
+    around = rows.withColumn("k", F.explode(shifts)).withColumn("k", F.col("i") + F.col("k")).where((F.col("k") >= -alpha) & (F.col("k") < F.col("count") + alpha)).withColumn("sign", sign)
     w = Window.partitionBy("chrom").orderBy("k")
     around = around.withColumn("before", F.lag("val").over(w)).withColumn("a", F.coalesce(F.sum("sign").over(w.rowsBetween(-alpha, -1)), F.lit(0.0))).withColumn("b", F.coalesce(F.sum("sign").over(w.rowsBetween(0, alpha - 1)), F.lit(0.0)))
     own = around.where("k >= 0 and k < count and before * val < 0 and a * b < 0")
@@ -63,7 +63,7 @@ def gc_skew_shifts(skew: DataFrame, alpha: int = 100, circular: bool = True) ->
             if c < cost:
                 best, cost = pos, c
         found += [best] if best != -1 else []
-        return pd.DataFrame({"chrom": [rows["chrom"].iloc[0]] * len(found), "coord": np.array(found, np.int64)})
+        return pd.DataFrame({"chrom": np.array([rows["chrom"].iloc[0]] * len(found), object), "coord": np.array(found, np.int64)})
 
     return skew_candidates(skew, alpha, circular).groupBy("chrom").applyInPandas(merge, "chrom string, coord long")
 
@@ -90,7 +90,7 @@ def coverage_ori_ter(coverage: DataFrame, chroms: DataFrame, cov_binning: int) -
         v = pdf.sort_values("bin")["value"].to_numpy(float)
         v = v - v.min()
         if len(v) <= 50 or v.max() <= 0:
-            return pd.DataFrame({"sample": [], "chrom": [], "ori": [], "ter": []})
+            return pd.DataFrame({"sample": np.array([], object), "chrom": np.array([], object), "ori": np.array([], np.int64), "ter": np.array([], np.int64)})
         v = v / v.max()
         ori, ter = 0, length // 2
         for width in range(3, len(v) // 2 + 1, 2):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEY, blob_kernel, ratio
+from ..plans.lineage import cut
 from .correlation import correlation_map
 from .maps import BIN, CELL, all_bins, circular_extend, mask_white_lines, unmasked, zero_diags
 
@@ -191,20 +192,20 @@ def final_borders(scores: DataFrame, min_dist: int = 10) -> tuple[DataFrame, Dat
     still measured from the one that was kept.
     """
     peaks = find_peaks(scores).select(*KEY, "bin")
-    cut = scores.groupBy(*KEY).agg((F.percentile("score", F.lit(0.5)) + F.stddev_pop("score")).alias("cut"))
+    limit = scores.groupBy(*KEY).agg((F.percentile("score", F.lit(0.5)) + F.stddev_pop("score")).alias("cut"))
     at = scores.select(*KEY, "n", "bin", "score")
     near = at.select(*KEY, F.explode(F.array(F.pmod(F.col("bin") - 2, F.col("n")), F.pmod(F.col("bin") + 2, F.col("n")))).alias("bin"), F.col("score").alias("other"))
     beside = near.groupBy(*KEY, "bin").agg(F.max("other").alias("other"))
-    high = peaks.join(at, [*KEY, "bin"]).join(beside, [*KEY, "bin"]).join(cut, list(KEY)).where("score >= cut and score > other")
+    high = peaks.join(at, [*KEY, "bin"]).join(beside, [*KEY, "bin"]).join(limit, list(KEY)).where("score >= cut and score > other")
     kept = high.select(*KEY, "bin", "score").groupBy(*KEY).applyInPandas(_apart(min_dist), "sample string, chrom string, bin long")
     return kept, peaks
 
 
 def insulation(cells: DataFrame, windows: list[int], min_dist: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Borders (sample, chrom, bin) and local scores of a whole map's correlations, white lines masked."""
-    bins = mask_white_lines(cells)
-    corr = correlation_map(cells)
-    lri = local_score(ri_score(corr, bins, windows))
+    bins = cut(mask_white_lines(cells))
+    corr = cut(correlation_map(cells, band=2 * max(windows)))
+    lri = cut(local_score(cut(ri_score(corr, bins, windows))))
     return final_borders(lri, windows[1] if min_dist is None else min_dist)[0], lri
 
 
@@ -309,7 +310,7 @@ def blob_score(cells: DataFrame, s: int, n_mads: float = 10.0) -> DataFrame:
     ext = circular_extend(cells, s)
     shifted = ext.select(*KEY, (F.col("n") + 2 * s).alias("n"), (F.col("bin1") + s).alias("bin1"), (F.col("bin2") + s).alias("bin2"), "value")
     bins = mask_white_lines(shifted, n_mads).select(*KEY, (F.col("n") - 2 * s).alias("n"), (F.col("bin") - s).alias("bin"), "masked")
-    return local_score(diagonal_convolution(ext, bins, s))
+    return local_score(cut(diagonal_convolution(ext, cut(bins), s)))
 
 
 def _islands(scores: DataFrame, by: tuple[str, ...], last: str) -> DataFrame:
@@ -328,8 +329,8 @@ def blob_borders(scores: DataFrame, cutoff: float | None = None, rna: DataFrame
     The cutoff is median + a quarter of the standard deviation unless given; a run that reaches the last bin has no end and is not
     one.  rna is (sample, chrom, bin, rna); scores are means over a run.
     """
-    cut = scores.groupBy(*KEY).agg(F.max("bin").alias("last"), (F.percentile("score", F.lit(0.5)) + F.stddev_pop("score") / 4).alias("cut"))
-    joined = scores.join(cut if cutoff is None else cut.withColumn("cut", F.lit(cutoff)), list(KEY))
+    limit = scores.groupBy(*KEY).agg(F.max("bin").alias("last"), (F.percentile("score", F.lit(0.5)) + F.stddev_pop("score") / 4).alias("cut"))
+    joined = scores.join(limit if cutoff is None else limit.withColumn("cut", F.lit(cutoff)), list(KEY))
     joined = joined.join(rna, [*KEY, "bin"], "left") if rna is not None else joined.withColumn("rna", F.lit(None).cast("double"))
     return _islands(joined, KEY, "last").select(*KEY, "start", "end", "size", "score", "rna_score")
 
@@ -347,6 +348,6 @@ def refine_blobs(blobs: DataFrame, scores: DataFrame, alpha: float = 0.5, rna: D
 
 def find_blobs(cells: DataFrame, s: int, n_mads: float = 10.0, refine: float | None = None, rna: DataFrame | None = None) -> DataFrame:
     """Blobs of a whole map, refined by the share `refine` if given."""
-    scores = blob_score(cells, s, n_mads)
+    scores = cut(blob_score(cells, s, n_mads))
     blobs = blob_borders(scores, rna=rna)
     return blobs if refine is None else refine_blobs(blobs, scores, refine, rna)

@@ -117,7 +117,7 @@ def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One or two edits of each customer's layout, their kind and place by the key."""
     k = F.col("c_custkey")
-    rows = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), k).alias("sample"), k.alias("k")).withColumn("seq", F.explode(F.sequence(F.lit(0), (k % 2).cast("int"))))
+    rows = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), k).alias("sample"), k.alias("k")).withColumn("seq", F.explode(F.sequence(F.lit(0), (F.col("k") % 2).cast("int"))))
     kind = F.element_at(F.array(*[F.lit(x) for x in ("insert", "invert", "delete", "translocate", "duplicate")]), ((F.col("k") + F.col("seq")) % 5 + 1).cast("int"))
     start = F.col("k") * 31 % 4000
     return rows.select(

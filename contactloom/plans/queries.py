@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import middle, unit_scale
+from ..functions.columns import blob_kernel, middle, unit_scale
 from ..operators import balance, correlation, edits, fourc, intervals, maps, oriter, pileup, signals, similarity, tracks
-from . import fixtures
+from ..sources import tables
+from . import fixtures, workloads
 from .fixtures import BASE
-from .lineage import cut
+from .lineage import cut, new_folder
 from .shipping import ensure_on_workers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 DIGITS = 6
+#: Added before rounding, so that values that lie halfway go one way on both sides.
+NUDGE = 3.7e-9
 
 
 def _query(name: str, columns: str = "", sql: str = ""):
@@ -28,7 +31,7 @@ def _query(name: str, columns: str = "", sql: str = ""):
             ensure_on_workers(spark)
             df = f(spark, sf_dir)
             exact = [c for c, kind in df.dtypes if kind != "double"]
-            rounded = [(F.round(c, DIGITS) + F.lit(0.0)).alias(c) for c, kind in df.dtypes if kind == "double"]
+            rounded = [(F.round(F.col(c) + NUDGE, DIGITS) + F.lit(0.0)).alias(c) for c, kind in df.dtypes if kind == "double"]
             return df.select(*exact, *rounded)
 
         run.__name__, run.__doc__ = name, f.__doc__
@@ -36,7 +39,7 @@ def _query(name: str, columns: str = "", sql: str = ""):
         if sql:
             head, _, body = sql.partition("SELECT_")
             ctes = f"WITH {BASE}{', ' + head.strip().rstrip(',') if head.strip() else ''}"
-            picked = [f'"{c}"' for c in plain] + [f'round("{c}", {DIGITS}) + 0.0 AS "{c}"' for c in doubles]
+            picked = [f'"{c}"' for c in plain] + [f'round("{c}" + {NUDGE}, {DIGITS}) + 0.0 AS "{c}"' for c in doubles]
             SQL[name] = f"{ctes} SELECT {', '.join(picked)} FROM (SELECT {body})"
         return run
 
@@ -324,3 +327,757 @@ SELECT_ a.sample, a.chrom, a.n, a.i AS bin1, a.j AS bin2, (a.x + b.x) / 2 AS val
 @_query("m17_normalize_scn", f"{MAP} | value", _scn_sql(2))
 def _m17(spark, d):
     return balance.normalize_scn(cut(fixtures.whole(spark, d)), iterations=2)
+
+
+# ---- signals
+
+SCORE = "sample chrom n bin | score"
+
+
+def _map(spark, d):
+    return cut(fixtures.whole(spark, d))
+
+
+def _masks(whole):
+    return cut(maps.mask_white_lines(whole))
+
+
+@_query("a01_hic_signal", SCORE, """
+SELECT_ b.sample, b.chrom, b.n, b.bin, sum(v) AS score FROM bins b JOIN grid g USING (sample, chrom)
+WHERE (b.bin - g.i + b.n) % b.n BETWEEN 2 AND 4 AND (g.j - b.bin + b.n) % b.n BETWEEN 1 AND 3 GROUP BY ALL""")
+def _a01(spark, d):
+    return signals.hic_signal(_map(spark, d), 1, 4)
+
+
+_DI = """
+x AS (SELECT b.sample, b.chrom, b.n, b.bin, k, r.v AS r, l.v AS l FROM bins b, (SELECT unnest(range(5)) AS k)
+  JOIN {grid} r ON r.sample = b.sample AND r.chrom = b.chrom AND r.i = b.bin AND r.j = (b.bin + k) % b.n
+  JOIN {grid} l ON l.sample = b.sample AND l.chrom = b.chrom AND l.i = b.bin AND l.j = (b.bin - k + b.n) % b.n),
+y AS (SELECT *, CASE WHEN r > 0 THEN ln(r) ELSE 0 END AS lr, CASE WHEN l > 0 THEN ln(l) ELSE 0 END AS ll FROM x),
+z AS (SELECT sample, chrom, n, bin, avg(lr - ll) AS m, var_samp(lr - ll) AS v, sum(lr) AS sr, sum(ll) AS sl FROM y GROUP BY ALL)
+SELECT_ sample, chrom, n, bin, CASE WHEN abs(sr) < 1e-12 OR abs(sl) < 1e-12 THEN 0 WHEN v > 0 THEN m / sqrt(v / 5) END AS score FROM z"""
+
+
+@_query("a02_directional_index", SCORE, _DI.format(grid="grid"))
+def _a02(spark, d):
+    return signals.directional_index(_map(spark, d), 5, corr=False)
+
+
+@_query("a02_directional_index_corr", SCORE, _CORR.format(grid="grid") + ", corg AS (SELECT sample, chrom, n, i, j, r AS v FROM cor), " + _DI.format(grid="corg"))
+def _a02_corr(spark, d):
+    return signals.directional_index(_map(spark, d), 5)
+
+
+@_query("a03_di_borders", "sample chrom bin", """
+sc AS (SELECT sample, chrom, bin, ((bin * 37 + length(sample || chrom) * 11 + t) % 21 - 10) / 3.0 AS score FROM bins JOIN (SELECT sample, chrom, CAST(sum(value) AS BIGINT) % 17 AS t FROM up GROUP BY ALL) USING (sample, chrom)),
+s AS (SELECT *, CASE WHEN score >= 1.96 THEN 1 WHEN score <= -1.96 THEN -1 END AS sg, last_value(score) OVER (PARTITION BY sample, chrom ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final FROM sc),
+p AS (SELECT *, coalesce(last_value(sg IGNORE NULLS) OVER (PARTITION BY sample, chrom ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CASE WHEN final >= 1.96 THEN 1 ELSE -1 END) AS bf FROM s)
+SELECT_ sample, chrom, bin FROM p WHERE sg = -1 AND bf = 1""")
+def _a03(spark, d):
+    up = fixtures.upper(spark, d)
+    totals = up.groupBy("sample", "chrom").agg((F.sum("value").cast("long") % 17).alias("t"))
+    mixed = (F.col("bin") * 37 + F.length(F.concat("sample", "chrom")) * 11 + F.col("t")) % 21 - 10
+    return signals.di_borders(maps.all_bins(up).join(totals, ["sample", "chrom"]).withColumn("score", mixed / 3.0))
+
+
+def _ri_ctes(grid: str) -> str:
+    return f"""
+w AS (SELECT unnest([3, 5]) AS w),
+ri AS (SELECT b.sample, b.chrom, b.n, b.bin, w, x.a, y.a AS c, g.m FROM bins b, w, (SELECT unnest(range(-5, 5)) AS a) x, (SELECT unnest(range(-5, 5)) AS a) y
+  JOIN {grid} g ON g.sample = b.sample AND g.chrom = b.chrom AND g.i = (b.bin + x.a + b.n) % b.n AND g.j = (b.bin + y.a + b.n) % b.n WHERE x.a BETWEEN -w AND w - 1 AND y.a BETWEEN -w AND w - 1),
+rm AS (SELECT sample, chrom, n, bin, w, avg(CASE WHEN a > c THEN 0 ELSE m END) FILTER (a < 0 AND c < 0) AS up, avg(CASE WHEN a > c THEN 0 ELSE m END) FILTER (a >= 0 AND c >= 0) AS down,
+  avg(m) FILTER (a < 0 AND c >= 0) AS btw FROM ri GROUP BY ALL),
+rs AS (SELECT sample, chrom, n, bin, w, CASE WHEN up + down + btw <> 0 THEN (up + down - btw) / (up + down + btw) END AS score FROM rm)"""
+
+
+@_query("a04_relative_insulation", "sample chrom n bin w | score", _ri_ctes("dense") + " SELECT_ * FROM rs")
+def _a04(spark, d):
+    whole = _map(spark, d)
+    return signals.relative_insulation(whole, _masks(whole), [3, 5])
+
+
+@_query("a05_ri_score", SCORE, _ri_ctes("dense") + " SELECT_ sample, chrom, n, bin, CASE WHEN count(score) = 2 THEN avg(score) END AS score FROM rs GROUP BY ALL")
+def _a05(spark, d):
+    whole = _map(spark, d)
+    return signals.ri_score(whole, _masks(whole), [3, 5])
+
+
+def _local_ctes(scores: str, tag: str = "") -> str:
+    """The local score of a table (sample, chrom, bin, score) whose scores have no plateaus of minima."""
+    return f"""
+q{tag} AS (SELECT *, round(score, 12) AS v, max(bin) OVER (PARTITION BY sample, chrom) AS top FROM {scores}),
+f1{tag} AS (SELECT * FROM (SELECT *, lag(v) OVER u AS a, lead(v) OVER u AS b FROM q{tag} WINDOW u AS (PARTITION BY sample, chrom ORDER BY bin)) WHERE v < a AND v < b OR bin IN (0, top)),
+f2{tag} AS (SELECT sample, chrom, bin, score, row_number() OVER (PARTITION BY sample, chrom ORDER BY bin) AS rk, count(*) OVER (PARTITION BY sample, chrom) AS cnt FROM f1{tag}),
+f3{tag} AS (SELECT *, CASE WHEN rk IN (1, cnt) THEN (max(score) FILTER (rk = 2) OVER p + max(score) FILTER (rk = cnt - 1) OVER p) / 2 ELSE score END AS e FROM f2{tag} WINDOW p AS (PARTITION BY sample, chrom)),
+s1{tag} AS (SELECT * FROM (SELECT *, lag(round(e, 12)) OVER u AS a, lead(round(e, 12)) OVER u AS b FROM f3{tag} WINDOW u AS (PARTITION BY sample, chrom ORDER BY bin)) WHERE round(e, 12) < a AND round(e, 12) < b OR rk IN (1, cnt)),
+s2{tag} AS (SELECT sample, chrom, bin, score, row_number() OVER (PARTITION BY sample, chrom ORDER BY bin) AS rk, count(*) OVER (PARTITION BY sample, chrom) AS cnt FROM s1{tag}),
+s3{tag} AS (SELECT sample, chrom, bin, CASE WHEN rk IN (1, cnt) THEN (max(score) FILTER (rk = 2) OVER p + max(score) FILTER (rk = cnt - 1) OVER p) / 2 ELSE score END AS e FROM s2{tag} WINDOW p AS (PARTITION BY sample, chrom)),
+seg{tag} AS (SELECT sample, chrom, bin AS b0, e AS e0, lead(bin) OVER p AS b1, lead(e) OVER p AS e1 FROM s3{tag} WINDOW p AS (PARTITION BY sample, chrom ORDER BY bin)),
+local{tag} AS (SELECT x.sample, x.chrom, x.bin, x.score - e0 - CASE WHEN b1 IS NULL THEN 0 ELSE (e1 - e0) * (x.bin - b0) / (b1 - b0) END AS score
+  FROM q{tag} x JOIN seg{tag} s ON s.sample = x.sample AND s.chrom = x.chrom AND x.bin >= b0 AND (x.bin < b1 OR b1 IS NULL))"""
+
+
+_TRACK_SCORES = "sc AS (SELECT sample, chrom, CAST(64 AS BIGINT) AS n, pos // 1000 AS bin, avg(value) AS score FROM tracks GROUP BY ALL)"
+
+
+def _track_scores(spark, d):
+    return cut(tracks.bin_track(fixtures.tracks(spark, d), 1000).select("sample", "chrom", F.lit(64).cast("long").alias("n"), "bin", F.col("value").alias("score")))
+
+
+@_query("a06_local_score", "sample chrom bin | score", _TRACK_SCORES + "," + _local_ctes("sc") + " SELECT_ * FROM local")
+def _a06(spark, d):
+    return signals.local_score(_track_scores(spark, d)).drop("n")
+
+
+@_query("a07_final_borders")
+def _a07(spark, d):
+    return signals.final_borders(_track_scores(spark, d), 4)[0]
+
+
+@_query("a07_candidate_borders", "sample chrom bin", _TRACK_SCORES + """,
+c AS (SELECT sample, chrom, median(score) + stddev_pop(score) AS cut FROM sc GROUP BY ALL)
+SELECT_ x.sample, x.chrom, x.bin FROM sc x JOIN c ON c.sample = x.sample AND c.chrom = x.chrom
+WHERE score >= cut AND x.bin NOT IN (0, 63) AND score > ALL (SELECT y.score FROM sc y WHERE y.sample = x.sample AND y.chrom = x.chrom AND (abs(y.bin - x.bin) = 1 OR (y.bin - x.bin + 64) % 64 IN (2, 62)))""")
+def _a07_candidates(spark, d):
+    return signals.final_borders(_track_scores(spark, d), 0)[0]
+
+
+@_query("a08_insulation_borders")
+def _a08(spark, d):
+    return signals.insulation(_map(spark, d), [3, 5])[0]
+
+
+@_query("a08_insulation_scores", "sample chrom bin | score", _CORR.format(grid="grid") + """,
+dc AS (SELECT c.sample, c.chrom, c.n, c.i, c.j, CASE WHEN d.m IS NULL THEN NULL ELSE r END AS m FROM cor c JOIN dense d ON c.sample = d.sample AND c.chrom = d.chrom AND c.i = d.i AND c.j = d.j),""" + _ri_ctes("dc") + """,
+rsc AS (SELECT sample, chrom, bin, CASE WHEN count(score) = 2 THEN avg(score) END AS score FROM rs GROUP BY ALL),""" + _local_ctes("rsc") + " SELECT_ * FROM local")
+def _a08_scores(spark, d):
+    return signals.insulation(_map(spark, d), [3, 5])[1].drop("n")
+
+
+_ANTI = """
+qv AS (SELECT sample, chrom, n, (i + j) % n AS q, avg(CASE WHEN abs(i - j) < 2 THEN 0 ELSE {v} END) AS v FROM {grid} GROUP BY ALL),
+lv AS (SELECT sample, chrom, quantile_cont(v, 0.05) AS level FROM qv, (SELECT unnest([0, 1])) GROUP BY ALL)
+SELECT_ sample, chrom, n, q + k * n AS pos, CASE WHEN level <> 0 THEN v / level END AS score FROM qv JOIN lv USING (sample, chrom), (SELECT unnest([0, 1]) AS k)"""
+
+
+@_query("a09_antidiagonal", "sample chrom n pos | score", _ANTI.format(grid="grid", v="v"))
+def _a09(spark, d):
+    return signals.antidiagonal(_map(spark, d))
+
+
+@_query("a09_antidiagonal_masked", "sample chrom n pos | score", _ANTI.format(grid="dense", v="m"))
+def _a09_masked(spark, d):
+    whole = _map(spark, d)
+    return signals.antidiagonal(whole, _masks(whole))
+
+
+def _partial_ctes(sizes: str, v: str = "v", grid: str = "grid") -> str:
+    """Partial antidiagonals, position by position; sizes is a table (size, n, s)."""
+    return f"""
+sz AS ({sizes}),
+el AS (SELECT sample, chrom, n, i + j AS q, n - abs(i + j - (n - 1)) AS l, i - greatest(0, i + j - n + 1) AS t, CASE WHEN abs(i - j) < 2 THEN 0 ELSE {v} END AS v FROM {grid}),
+ps AS (SELECT sample, chrom, m.n, size, s, unnest(range(2 * m.n)) AS p FROM maps m JOIN sz ON sz.n = m.n),
+pl AS (SELECT *, n - abs(p - (n - 1)) AS lp FROM ps),
+pv AS (SELECT p.sample, p.chrom, p.n, p.size, p.p AS pos, avg(v) AS v FROM pl p JOIN el e ON e.sample = p.sample AND e.chrom = p.chrom AND (
+    p = 2 * p.n - 1 AND q = p.n - 1 AND (t < s OR t >= p.n - s)
+    OR p < 2 * p.n - 1 AND q = p AND (p <> p.n - 1 AND lp < 2 * s OR t >= l // 2 - s AND t < l // 2 + s)
+    OR p < 2 * p.n - 1 AND p <> p.n - 1 AND lp < 2 * s AND q = CASE WHEN p < p.n THEN p + p.n ELSE p - p.n END AND (t < s - lp // 2 OR t >= l - s + lp // 2)) GROUP BY ALL)"""
+
+
+_HALF = "SELECT 'half' AS size, n, n // 4 AS s FROM (SELECT DISTINCT n FROM maps)"
+
+
+@_query("a10_partial_antidiagonal", "sample chrom n size pos | score", _partial_ctes("SELECT 's' AS size, n, 3 AS s FROM (SELECT DISTINCT n FROM maps)") + " SELECT_ sample, chrom, n, size, pos, v AS score FROM pv")
+def _a10(spark, d):
+    return signals.partial_antidiagonals(_map(spark, d), {"s": F.lit(3)})
+
+
+@_query("a10_partial_antidiagonal_masked", "sample chrom n size pos | score", _partial_ctes("SELECT 's' AS size, n, 4 AS s FROM (SELECT DISTINCT n FROM maps)", "m", "dense") + " SELECT_ sample, chrom, n, size, pos, v AS score FROM pv")
+def _a10_masked(spark, d):
+    whole = _map(spark, d)
+    return signals.partial_antidiagonals(whole, {"s": F.lit(4)}, _masks(whole))
+
+
+@_query("a11_half_antidiagonal", "sample chrom n pos | score", _partial_ctes(_HALF) + """,
+lv AS (SELECT sample, chrom, quantile_cont(v, 0.05) AS level FROM pv GROUP BY ALL) SELECT_ sample, chrom, n, pos, CASE WHEN level <> 0 THEN v / level END AS score FROM pv JOIN lv USING (sample, chrom)""")
+def _a11(spark, d):
+    return signals.half_antidiagonal(_map(spark, d))
+
+
+@_query("a12_antidiagonal_scalogram", "sample chrom n size pos | score", _partial_ctes(_HALF + " UNION ALL SELECT '4000', n, 2 FROM (SELECT DISTINCT n FROM maps) UNION ALL SELECT '7000', n, 4 FROM (SELECT DISTINCT n FROM maps)") + """,
+lv AS (SELECT sample, chrom, quantile_cont(v, 0.05) AS level FROM pv WHERE size = 'half' GROUP BY ALL) SELECT_ sample, chrom, n, size, pos, CASE WHEN level <> 0 THEN v / level END AS score FROM pv JOIN lv USING (sample, chrom)""")
+def _a12(spark, d):
+    return signals.antidiagonal_scalogram(_map(spark, d), 1000, [4000, 7000])
+
+
+def _conv_ctes(s: int, n_mads: float) -> str:
+    """Kernel, mask of the continued map, convolution."""
+    return f"""
+ex AS (SELECT sample, chrom, n, unnest(range(-{s}, n + {s})) AS e FROM maps),
+ez AS (SELECT x.sample, x.chrom, x.n, x.e, count(*) FILTER (g.v = 0) AS zeros FROM ex x JOIN ex y USING (sample, chrom) JOIN grid g ON g.sample = x.sample AND g.chrom = x.chrom AND g.i = (y.e + x.n) % x.n AND g.j = (x.e + x.n) % x.n GROUP BY ALL),
+em AS (SELECT sample, chrom, median(zeros) AS med FROM ez GROUP BY ALL),
+ed AS (SELECT sample, chrom, med, median(abs(zeros - med)) AS mad FROM ez JOIN em USING (sample, chrom) GROUP BY ALL),
+ek AS (SELECT sample, chrom, n, e, zeros >= greatest(1, med + {n_mads} * mad) AS masked FROM ez JOIN ed USING (sample, chrom)),
+kv AS (SELECT b.sample, b.chrom, b.n, b.bin, x.a, y.a AS c, g.v * exp(-0.5 * pow(0.5 * (abs(x.a - y.a) + abs(2 * {s} - x.a - y.a)) / (2.0 * {s}), 2)) / sqrt(2) AS kv
+  FROM bins b, (SELECT unnest(range({2 * s + 1})) AS a) x, (SELECT unnest(range({2 * s + 1})) AS a) y
+  JOIN grid g ON g.sample = b.sample AND g.chrom = b.chrom AND g.i = (b.bin - {s} + x.a + b.n) % b.n AND g.j = (b.bin - {s} + y.a + b.n) % b.n
+  JOIN ek p ON p.sample = b.sample AND p.chrom = b.chrom AND p.e = b.bin - {s} + x.a AND NOT p.masked JOIN ek q ON q.sample = b.sample AND q.chrom = b.chrom AND q.e = b.bin - {s} + y.a AND NOT q.masked),
+cv AS (SELECT sample, chrom, bin, avg(kv) AS score FROM kv GROUP BY ALL)"""
+
+
+@_query("a13_blob_kernel", "a b | weight", """
+k AS (SELECT DISTINCT p_partkey % 9 AS a, CAST(p_size % 9 AS BIGINT) AS b FROM part)
+SELECT_ a, b, exp(-0.5 * pow(0.5 * (abs(a - b) + abs(8 - a - b)) / 8.0, 2)) / sqrt(2) AS weight FROM k""")
+def _a13(spark, d):
+    rows = fixtures.read(spark, d, "part").select((F.col("p_partkey") % 9).alias("a"), (F.col("p_size").cast("long") % 9).alias("b")).distinct()
+    return rows.withColumn("weight", blob_kernel(F.col("a"), F.col("b"), 4))
+
+
+@_query("a14_diagonal_convolution", "sample chrom bin | score", _conv_ctes(3, 10) + " SELECT_ sample, chrom, bin, score FROM cv")
+def _a14(spark, d):
+    return _convolved(spark, d).drop("n")
+
+
+def _convolved(spark, d):
+    ext = cut(maps.circular_extend(fixtures.whole(spark, d), 3))
+    shifted = ext.select("sample", "chrom", (F.col("n") + 6).alias("n"), (F.col("bin1") + 3).alias("bin1"), (F.col("bin2") + 3).alias("bin2"), "value")
+    bins = cut(maps.mask_white_lines(shifted, 10).select("sample", "chrom", (F.col("n") - 6).alias("n"), (F.col("bin") - 3).alias("bin"), "masked"))
+    return signals.diagonal_convolution(ext, bins, 3)
+
+
+@_query("a15_blob_score", "sample chrom bin | score", _conv_ctes(3, 10) + "," + _local_ctes("cv") + " SELECT_ * FROM local")
+def _a15(spark, d):
+    return signals.blob_score(_map(spark, d), 3).drop("n")
+
+
+def _island_ctes(source: str, by: str, tag: str) -> str:
+    """Runs of rows (by, bin, score, cut, last) of two bins and more that reach the cut and end before the last bin."""
+    return f"""
+g{tag} AS (SELECT *, bin - row_number() OVER (PARTITION BY {by} ORDER BY bin) AS run FROM {source} WHERE score >= cut),
+i{tag} AS (SELECT {by}, min(bin) AS start, max(bin) + 1 AS "end", avg(score) AS score, max(last) AS last FROM g{tag} GROUP BY {by}, run),
+b{tag} AS (SELECT {by}, start, "end", "end" - start AS size, score FROM i{tag} WHERE "end" - start > 1 AND "end" <= last)"""
+
+
+_BLOBS = _TRACK_SCORES + """,
+ct AS (SELECT sample, chrom, median(score) + stddev_pop(score) / 4 AS cut, max(bin) AS last FROM sc GROUP BY ALL),
+bs AS (SELECT sample, chrom, bin, score, cut, last FROM sc JOIN ct USING (sample, chrom)),""" + _island_ctes("bs", "sample, chrom", "1")
+
+
+@_query("a16_blob_borders", "sample chrom start end size | score rna_score", _BLOBS + ' SELECT_ *, CAST(NULL AS DOUBLE) AS rna_score FROM b1')
+def _a16(spark, d):
+    return signals.blob_borders(_track_scores(spark, d))
+
+
+@_query("a16_blob_borders_rna", "sample chrom start end size | score rna_score", _BLOBS + ' SELECT_ *, (SELECT avg(bin * 2.0) FROM sc WHERE sc.sample = b1.sample AND bin >= b1.start AND bin < b1."end") AS rna_score FROM b1')
+def _a16_rna(spark, d):
+    scores = _track_scores(spark, d)
+    return signals.blob_borders(scores, rna=scores.select("sample", "chrom", "bin", (F.col("bin") * 2.0).alias("rna")))
+
+
+@_query("a17_refine_blobs", "sample chrom start end size | score rna_score", _BLOBS + """,
+rg AS (SELECT b.sample, b.chrom, b.start AS blob, s.bin, s.score FROM b1 b JOIN sc s ON s.sample = b.sample AND s.chrom = b.chrom AND s.bin >= b.start - 5 AND s.bin < b."end" + 5),
+rc AS (SELECT *, 0.6 * (max(score) OVER p - min(score) OVER p) + min(score) OVER p AS cut, max(bin) OVER p AS last FROM rg WINDOW p AS (PARTITION BY sample, chrom, blob)),""" + _island_ctes("rc", "sample, chrom, blob", "2") + ' SELECT_ *, CAST(NULL AS DOUBLE) AS rna_score FROM b2')
+def _a17(spark, d):
+    scores = _track_scores(spark, d)
+    return signals.refine_blobs(signals.blob_borders(scores), scores, 0.6)
+
+
+@_query("a18_find_blobs", "sample chrom start end size | score rna_score", _conv_ctes(3, 10) + "," + _local_ctes("cv") + """,
+ct AS (SELECT sample, chrom, median(score) + stddev_pop(score) / 4 AS cut, max(bin) AS last FROM local GROUP BY ALL),
+bs AS (SELECT sample, chrom, bin, score, cut, last FROM local JOIN ct USING (sample, chrom)),""" + _island_ctes("bs", "sample, chrom", "1") + ' SELECT_ *, CAST(NULL AS DOUBLE) AS rna_score FROM b1')
+def _a18(spark, d):
+    return signals.find_blobs(_map(spark, d), 3)
+
+
+@_query("a19_compartments")
+def _a19(spark, d):
+    return correlation.compartments(_map(spark, d).where("sample = 'A'"), steps=8)
+
+
+@_query("a20_fourc_like", "sample chrom bin start end | val", """
+m AS (SELECT * FROM sym WHERE chrom = 'chr1'),
+r AS (SELECT sample, bin1, sum(value) FILTER (bin2 BETWEEN 10 AND 29) AS to1, sum(value) FILTER (bin2 BETWEEN 34 AND 49) AS to2 FROM m GROUP BY ALL),
+p AS (SELECT sample, sum(to2) FILTER (bin1 BETWEEN 34 AND 49) / sum(to1) FILTER (bin1 BETWEEN 10 AND 29) AS prop FROM r GROUP BY ALL),
+x AS (SELECT b.sample, b.bin, sum(to2) AS t2, sum(to1) AS t1 FROM bins b JOIN r ON r.sample = b.sample AND r.bin1 BETWEEN greatest(10, b.bin - 3) AND least(30, b.bin + 3)
+  WHERE chrom = 'chr1' AND b.bin BETWEEN 10 AND 29 GROUP BY ALL)
+SELECT_ sample, 'chr1' AS chrom, bin, bin * 1000 AS start, bin * 1000 + 1000 AS "end", CASE WHEN (bin - 10) % 2 = 0 THEN t2 / t1 / prop ELSE 0 END AS val FROM x JOIN p USING (sample)""")
+def _a20(spark, d):
+    whole = _map(spark, d)
+    bins = maps.all_bins(whole).select("chrom", "bin").distinct().select("chrom", "bin", (F.col("bin") * 1000).alias("start"), (F.col("bin") * 1000 + 1000).alias("end"))
+    return fourc.fourc_like(whole, cut(bins), "chr1:10,000-30,000", "chr1:34,000-50,000", 1000, 6000, 2000)
+
+
+def _scc_sql(pairs: str) -> str:
+    return f"""
+band AS (SELECT * FROM grid),
+sm AS (SELECT a.sample, a.chrom, a.n, a.i, a.j, avg(b.v) AS v FROM grid a JOIN grid b ON a.sample = b.sample AND a.chrom = b.chrom AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1
+  WHERE a.j - a.i BETWEEN 0 AND 6 GROUP BY ALL),
+pr AS (SELECT a.sample AS sample_a, b.sample AS sample_b, a.chrom, a.n, a.j - a.i AS d, a.v AS x, b.v AS y FROM sm a JOIN sm b ON {pairs} AND a.chrom = b.chrom AND a.i = b.i AND a.j = b.j WHERE a.v <> 0 OR b.v <> 0),
+st AS (SELECT sample_a, sample_b, chrom, n, d, count(*) AS k, covar_pop(x, y) AS r1, sqrt(var_pop(x) * var_pop(y)) AS r2 FROM pr GROUP BY ALL),
+ch AS (SELECT sample_a, sample_b, chrom, n, sum(k * r1) / sum(k * r2) AS scc FROM st GROUP BY ALL)
+SELECT_ sample_a, sample_b, sum(n * scc) / sum(n) AS scc FROM ch GROUP BY ALL"""
+
+
+@_query("a21_scc", "sample_a sample_b | scc", _scc_sql("a.sample < b.sample"))
+def _a21(spark, d):
+    whole = _map(spark, d)
+    return similarity.scc(whole, similarity.sample_pairs(whole), 6, 1)
+
+
+@_query("a22_train_h")
+def _a22(spark, d):
+    up = cut(fixtures.upper(spark, d))
+    h = similarity.train_h(up, 6, h_max=2, repeats=2)
+    return up.agg(F.lit(h).alias("h"), F.sum("value").alias("contacts"))
+
+
+@_query("a23_hicrep_matrix")
+def _a23(spark, d):
+    return similarity.hicrep_matrix(cut(fixtures.upper(spark, d)), 6, h=1)
+
+
+# ---- tracks
+
+
+def _binned(spark, d):
+    return tracks.bin_track(fixtures.tracks(spark, d), 1000)
+
+
+_TC = "tc AS (SELECT unnest(['chr1']) AS chrom, CAST(64000 AS BIGINT) AS length), bt AS (SELECT sample, chrom, pos // 1000 AS bin, avg(value) AS value FROM tracks GROUP BY ALL)"
+
+
+@_query("s01_find_peaks", "sample chrom bin | score", _TRACK_SCORES + """,
+q AS (SELECT *, lag(round(score, 12)) OVER u AS a, lead(round(score, 12)) OVER u AS b FROM sc WINDOW u AS (PARTITION BY sample, chrom ORDER BY bin)) SELECT_ sample, chrom, bin, score FROM q WHERE round(score, 12) > a AND round(score, 12) > b""")
+def _s01(spark, d):
+    return signals.find_peaks(_track_scores(spark, d))
+
+
+_PLATEAU = """
+z AS (SELECT sample, chrom, bin, CAST(floor(score / 20) AS DOUBLE) AS score FROM sc),
+z1 AS (SELECT *, coalesce(score <> lag(score) OVER u, true) AS fresh FROM z WINDOW u AS (PARTITION BY sample, chrom ORDER BY bin)),
+z2 AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY sample, chrom ORDER BY bin) AS run FROM z1),
+z3 AS (SELECT sample, chrom, run, min(bin) AS a, max(bin) AS b, min(score) AS score FROM z2 GROUP BY ALL),
+z4 AS (SELECT *, lag(score) OVER u AS p, lead(score) OVER u AS q FROM z3 WINDOW u AS (PARTITION BY sample, chrom ORDER BY run))
+SELECT_ sample, chrom, (a + b) // 2 AS bin, score FROM z4 WHERE score < p AND score < q"""
+
+
+@_query("s01_find_minima_plateaus", "sample chrom bin | score", _TRACK_SCORES + "," + _PLATEAU)
+def _s01_plateaus(spark, d):
+    rows = _track_scores(spark, d).withColumn("score", F.floor(F.col("score") / 20).cast("double"))
+    return signals.find_peaks(rows, negate=True)
+
+
+@_query("s02_fill_missing", "sample chrom pos | value", "SELECT_ sample, chrom, pos, CASE WHEN pos % 3 = 0 THEN 0 ELSE coalesce(value, 0) END AS value FROM tracks")
+def _s02(spark, d):
+    holes = F.when(F.col("pos") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return tracks.fill_missing(fixtures.tracks(spark, d).withColumn("value", holes))
+
+
+_SMOOTH = """
+w AS (SELECT unnest(range(-12, 13)) AS x), k AS (SELECT x, exp(-0.5 * x * x / 9.0) / (SELECT sum(exp(-0.5 * x * x / 9.0)) FROM w) AS weight FROM w),
+p AS (SELECT sample, unnest(range(64000)) AS pos FROM (SELECT DISTINCT sample FROM tracks))
+SELECT_ p.sample, 'chr1' AS chrom, p.pos, coalesce(s.value, 0) AS value FROM p LEFT JOIN (
+  SELECT sample, {place} AS pos, sum(value * weight) AS value FROM tracks, k {where} GROUP BY ALL) s ON s.sample = p.sample AND s.pos = p.pos"""
+
+
+def _track_chroms(spark, d):
+    return fixtures.tracks(spark, d).select("chrom").distinct().withColumn("length", F.lit(64000).cast("long")).withColumn("ord", F.lit(0))
+
+
+@_query("s03_smooth", "sample chrom pos | value", _SMOOTH.format(place="(pos + x + 64000) % 64000", where=""))
+def _s03(spark, d):
+    return tracks.smooth(fixtures.tracks(spark, d), _track_chroms(spark, d), 3.0, chunk=10_000)
+
+
+@_query("s04_bin_track", "sample chrom bin | value", _TC + " SELECT_ sample, chrom, bin, value FROM bt")
+def _s04(spark, d):
+    return _binned(spark, d)
+
+
+@_query("s05_zscore", "sample chrom bin | value", _TC + " SELECT_ sample, chrom, bin, (value - avg(value) OVER p) / stddev_pop(value) OVER p AS value FROM bt WINDOW p AS (PARTITION BY sample)")
+def _s05(spark, d):
+    return tracks.zscore(_binned(spark, d))
+
+
+@_query("s06_extract_track", "sample chrom bin place | value", """
+x AS (SELECT sample, unnest(range(43)) AS bin FROM (SELECT DISTINCT sample FROM tracks)),
+y AS (SELECT x.sample, x.bin, coalesce(sum(value), 0) / min(least(1500, 64000 - x.bin * 1500)) AS value FROM x LEFT JOIN tracks t ON t.sample = x.sample AND t.pos // 1500 = x.bin GROUP BY ALL)
+SELECT_ sample, 'chr1' AS chrom, bin, bin AS place, (value - avg(value) OVER p) / stddev_pop(value) OVER p AS value FROM y WINDOW p AS (PARTITION BY sample)""")
+def _s06(spark, d):
+    return tracks.extract_track(fixtures.tracks(spark, d), _track_chroms(spark, d), 1500, ztransform=True)
+
+
+_NMAD = "md AS (SELECT sample, median(value) AS med FROM bt GROUP BY ALL), ma AS (SELECT b.sample, med, median(abs(value - med)) AS mad FROM bt b JOIN md ON md.sample = b.sample GROUP BY ALL), nm AS (SELECT b.sample, chrom, bin, CASE WHEN abs(value - med) <= 1.5 * mad THEN value END AS value FROM bt b JOIN ma ON ma.sample = b.sample)"
+
+
+@_query("s07_remove_nmad", "sample chrom bin | value", _TC + "," + _NMAD + " SELECT_ * FROM nm")
+def _s07(spark, d):
+    return tracks.remove_nmad(_binned(spark, d), 1.5)
+
+
+@_query("s08_interpolate_nmad", "sample chrom bin | value", _TC + "," + _NMAD + """,
+kn AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN bin END IGNORE NULLS) OVER a AS b0, last_value(value IGNORE NULLS) OVER a AS v0,
+  first_value(CASE WHEN value IS NOT NULL THEN bin END IGNORE NULLS) OVER z AS b1, first_value(value IGNORE NULLS) OVER z AS v1
+  FROM nm WINDOW a AS (PARTITION BY sample ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), z AS (PARTITION BY sample ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+li AS (SELECT sample, chrom, bin, coalesce(value, v0 + (v1 - v0) * (bin - b0) / (b1 - b0), v0) AS value FROM kn)
+SELECT_ sample, chrom, bin, CASE WHEN row_number() OVER p = 1 THEN coalesce(lead(value) OVER p, value) ELSE value END AS value FROM li WINDOW p AS (PARTITION BY sample ORDER BY bin)""")
+def _s08(spark, d):
+    return tracks.interpolate_nmad(_binned(spark, d), 1.5, order="bin")
+
+
+_WINDOW_SITES = "ws AS (SELECT DISTINCT s_suppkey * 997 % 64000 AS coord FROM supplier)"
+
+
+@_query("s09_track_window", "sample chrom coord offset | value", _WINDOW_SITES + """
+SELECT_ t.sample, t.chrom, coord, (t.pos - coord + 32000 + 64000) % 64000 - 32000 AS "offset", value FROM ws JOIN tracks t ON (t.pos - coord + 32000 + 64000) % 64000 - 32000 BETWEEN -200 AND 199""")
+def _s09(spark, d):
+    sites = fixtures.read(spark, d, "supplier").select(F.lit("chr1").alias("chrom"), (F.col("s_suppkey") * 997 % 64000).alias("coord")).distinct()
+    return tracks.track_window(fixtures.tracks(spark, d), sites, _track_chroms(spark, d), 400)
+
+
+@_query("s10_oriter_ratio", "sample chrom | ori ter ratio", """
+md AS (SELECT sample, median(value) AS med FROM tracks GROUP BY ALL), ma AS (SELECT t.sample, med, median(abs(value - med)) AS mad FROM tracks t JOIN md ON md.sample = t.sample GROUP BY ALL),
+ok AS (SELECT t.sample, pos, CASE WHEN abs(value - med) <= 3 * mad THEN value END AS value FROM tracks t JOIN ma ON ma.sample = t.sample),
+x AS (SELECT sample, avg(value) FILTER ((pos - 1000 + 96000) % 64000 - 32000 BETWEEN -5000 AND 4999) AS ori, avg(value) FILTER ((pos - 33000 + 96000) % 64000 - 32000 BETWEEN -5000 AND 4999) AS ter FROM ok GROUP BY ALL)
+SELECT_ sample, 'chr1' AS chrom, ori, ter, ori / ter AS ratio FROM x""")
+def _s10(spark, d):
+    t = fixtures.tracks(spark, d)
+    places = t.select("chrom").distinct().withColumns({"ori": F.lit(1000).cast("long"), "ter": F.lit(33000).cast("long")})
+    return oriter.oriter_ratio(t, places, _track_chroms(spark, d), 10_000)
+
+
+_CENTER = """
+st AS (SELECT ({offset} + s_suppkey * 13) % 64000 AS s FROM supplier WHERE s_suppkey % 2 = 0),
+ab AS (SELECT s + 8 AS a, CASE WHEN s + 8 > 32000 THEN s + 8 ELSE s + 8 + 64000 END AS b FROM st WHERE s + 16 <= 64000),
+mm AS (SELECT avg(a) AS ma, avg(b) AS mb FROM ab),
+dd AS (SELECT ma, mb, sum(abs(a - ma)) AS da, sum(abs(b - mb)) AS db FROM ab, mm GROUP BY ALL)
+SELECT_ 'chr1' AS chrom, CAST(trunc(CASE WHEN da <= db THEN ma WHEN mb < 64000 THEN mb ELSE mb - 64000 END) AS BIGINT) AS center FROM dd"""
+
+
+@_query("s11_interval_center", "chrom center", _CENTER.format(offset=63500))
+def _s11(spark, d):
+    return oriter.interval_center(fixtures.sites(spark, d, 63500), _track_chroms(spark, d))
+
+
+_SHIFTS = """
+sg AS (SELECT i, start, val, sign(round(val, 12)) AS s FROM skew),
+nb AS (SELECT a.i, a.start, a.val, sum(b.s) FILTER ((a.i - b.i + 300) % 300 BETWEEN 1 AND 20) AS before, sum(b.s) FILTER ((b.i - a.i + 300) % 300 BETWEEN 0 AND 19) AS after,
+  max(b.val) FILTER ((a.i - b.i + 300) % 300 = 1) AS prev FROM sg a, sg b GROUP BY ALL)
+SELECT_ 'chr1' AS chrom, start + 200 - 1 AS pos, CAST(200 AS BIGINT) AS step, abs(before + after) AS cost FROM nb WHERE prev * val < 0 AND before * after < 0"""
+
+
+@_query("s12_skew_candidates", "chrom pos step | cost", _SHIFTS)
+def _s12(spark, d):
+    return oriter.skew_candidates(fixtures.gc_skew(spark, d), 20)
+
+
+@_query("s12_gc_skew_shifts")
+def _s12_shifts(spark, d):
+    return oriter.gc_skew_shifts(fixtures.gc_skew(spark, d), 20)
+
+
+@_query("s13_detect_ori_ter")
+def _s13(spark, d):
+    shifts = cut(oriter.gc_skew_shifts(fixtures.gc_skew(spark, d), 20))
+    return oriter.detect_ori_ter(shifts, fixtures.sites(spark, d, 8000), fixtures.sites(spark, d, 40000).where("id <= 20"), _track_chroms(spark, d))
+
+
+@_query("s14_coverage_ori_ter")
+def _s14(spark, d):
+    wave = F.col("value") + 500 * (1 + F.cos((F.col("pos") - 9000) * 2 * 3.141592653589793 / 64000))
+    return oriter.coverage_ori_ter(fixtures.tracks(spark, d).withColumn("value", wave), _track_chroms(spark, d), 1000)
+
+
+@_query("s15_recenter", "sample chrom bin x | score", _TRACK_SCORES + """
+SELECT_ sample, chrom, bin, CASE WHEN ((bin - 9 + 64) % 64) * 2 > 64 THEN (bin - 9 + 64) % 64 - 64 ELSE (bin - 9 + 64) % 64 END * 1000 AS x, score FROM sc""")
+def _s15(spark, d):
+    origins = fixtures.tracks(spark, d).select("chrom").distinct().withColumn("ori", F.lit(9500))
+    return oriter.recenter(_track_scores(spark, d), origins, 1000)
+
+
+@_query("s15_site_offsets", "chrom coord offset", """
+st AS (SELECT DISTINCT (8000 + s_suppkey * 13) % 64000 AS coord FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT_ 'chr1' AS chrom, coord, CASE WHEN ((coord - 50000 + 64000) % 64000) * 2 > 64000 THEN (coord - 50000 + 64000) % 64000 - 64000 ELSE (coord - 50000 + 64000) % 64000 END AS "offset" FROM st""")
+def _s15_sites(spark, d):
+    s = fixtures.sites(spark, d, 8000).select("chrom", F.col("start").alias("coord")).distinct()
+    origins = s.select("chrom").distinct().withColumn("ori", F.lit(50000))
+    return oriter.site_offsets(s, origins, _track_chroms(spark, d))
+
+
+@_query("s16_unit_scale", "unit n | scale", """
+u AS (SELECT ['bp', 'KB', 'mb', 'Gb', 'x'][o_orderkey % 5 + 1] AS unit FROM orders)
+SELECT_ unit, count(*) AS n, CASE lower(unit) WHEN 'bp' THEN 1.0 WHEN 'kb' THEN 1e-3 WHEN 'mb' THEN 1e-6 WHEN 'gb' THEN 1e-9 END AS scale FROM u GROUP BY ALL""")
+def _s16(spark, d):
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("bp", "KB", "mb", "Gb", "x")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    rows = fixtures.read(spark, d, "orders").select(unit.alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("scale", unit_scale(F.col("unit")))
+
+
+# ---- pileups
+
+_PLACES = """
+gp AS (SELECT sample, chrom, gene_id, CASE WHEN strand = '-' THEN -1 ELSE 1 END * d AS d, CAST(round_even((tss - 5000) / 1000.0 - 0.5, 0) AS BIGINT) + 5 + d AS b FROM {genes}, (SELECT unnest(range(-5, 6)) AS d)),
+gb AS (SELECT sample, chrom, gene_id, d, (b % 64 + 64) % 64 AS bin FROM gp),
+gm AS (SELECT g.*, m.masked FROM gb g JOIN mask m ON m.sample = g.sample AND m.chrom = g.chrom AND m.bin = g.bin),
+gw AS (SELECT a.sample, a.chrom, a.gene_id, a.d AS di, b.d AS dj, x.m AS value FROM gb a JOIN gb b ON a.sample = b.sample AND a.gene_id = b.gene_id JOIN dense x ON x.sample = a.sample AND x.chrom = a.chrom AND x.i = a.bin AND x.j = b.bin)"""
+
+
+def _pile(spark, d):
+    whole = _map(spark, d)
+    return whole, _masks(whole), fixtures.genes(spark, d), cut(fixtures.chroms(spark, d))
+
+
+@_query("t01_extract_windows", "sample chrom gene_id di dj | value", _PLACES.format(genes="genes") + " SELECT_ * FROM gw WHERE value <> 0")
+def _t01(spark, d):
+    whole, bins, genes, chroms = _pile(spark, d)
+    return pileup.extract_windows(whole, bins, genes, chroms, 1000, 5000)[0]
+
+
+@_query("t01_masked_places", "sample chrom gene_id d", _PLACES.format(genes="genes") + " SELECT_ sample, chrom, gene_id, d FROM gm WHERE masked")
+def _t01_masked(spark, d):
+    whole, bins, genes, chroms = _pile(spark, d)
+    return pileup.extract_windows(whole, bins, genes, chroms, 1000, 5000)[1]
+
+
+@_query("t02_extract_track_windows", "sample chrom gene_id d | value", """
+tt AS (SELECT 'A' AS sample, pos // 1000 AS bin, avg(value) AS value FROM tracks WHERE sample = 'click' GROUP BY ALL)
+SELECT_ g.sample, g.chrom, gene_id, CASE WHEN strand = '-' THEN -d ELSE d END AS d, CASE WHEN tss // 1000 + d BETWEEN 0 AND 63 THEN coalesce(value, 0) END AS value
+FROM genes g CROSS JOIN (SELECT unnest(range(-5, 6)) AS d) LEFT JOIN tt ON tt.bin = tss // 1000 + d""")
+def _t02(spark, d):
+    track = _binned(spark, d).where("sample = 'click'").withColumn("sample", F.lit("A"))
+    return pileup.extract_track_windows(track, fixtures.genes(spark, d), fixtures.chroms(spark, d), 1000, 5000, circular=False)
+
+
+@_query("t03_transcribed", "gene_id high", "SELECT_ gene_id, rpkm >= (SELECT quantile_cont(rpkm, 0.8) FROM genes) AS high FROM genes")
+def _t03(spark, d):
+    return pileup.transcribed(fixtures.genes(spark, d), 20).select("gene_id", "high")
+
+
+_HEADS = """
+hi AS (SELECT * FROM genes WHERE rpkm >= (SELECT quantile_cont(rpkm, 0.8) FROM genes)),
+nx AS (SELECT *, lag(strand) OVER o AS ps, lag(tss) OVER o AS pt, lead(strand) OVER o AS ns, lead(tss) OVER o AS nt FROM hi WINDOW o AS (PARTITION BY sample, chrom ORDER BY tss, gene_id)),
+heads AS (SELECT sample, chrom, gene_id, tss, strand FROM nx WHERE CASE WHEN strand = '-' THEN NOT coalesce(ns = '-' AND nt - tss <= 300, false) ELSE NOT coalesce(ps = '+' AND tss - pt <= 300, false) END)"""
+
+
+@_query("t04_tu_heads", "gene_id tss strand", _HEADS + " SELECT_ gene_id, tss, strand FROM heads")
+def _t04(spark, d):
+    return pileup.tu_heads(pileup.transcribed(fixtures.genes(spark, d), 20).where("high"), 300).select("gene_id", "tss", "strand")
+
+
+@_query("t05_control_genes", "gene_id", "SELECT_ gene_id FROM genes WHERE rpkm < (SELECT quantile_cont(rpkm, 0.8) FROM genes)")
+def _t05(spark, d):
+    ranked = pileup.transcribed(fixtures.genes(spark, d), 20)
+    return pileup.control_features(ranked, ranked, fixtures.chroms(spark, d), "non-transcribed", 5000).select("gene_id")
+
+
+@_query("t05_random_neighbours")
+def _t05_random(spark, d):
+    ranked = pileup.transcribed(fixtures.genes(spark, d), 20)
+    return pileup.control_features(ranked.where("high"), ranked, fixtures.chroms(spark, d), "random-neighbor", 5000).select("gene_id", "tss", "strand")
+
+
+@_query("t06_pileup_mean", "sample di dj | value", _PLACES.format(genes="genes") + " SELECT_ sample, di, dj, avg(value) AS value FROM gw GROUP BY ALL")
+def _t06(spark, d):
+    whole, bins, genes, chroms = _pile(spark, d)
+    return pileup.pileup(*map(cut, pileup.extract_windows(whole, bins, genes, chroms, 1000, 5000)), genes, 5)
+
+
+@_query("t06_pileup_median", "sample di dj | value", _PLACES.format(genes="genes") + " SELECT_ sample, di, dj, median(value) AS value FROM gw GROUP BY ALL")
+def _t06_median(spark, d):
+    whole, bins, genes, chroms = _pile(spark, d)
+    return pileup.pileup(*map(cut, pileup.extract_windows(whole, bins, genes, chroms, 1000, 5000)), genes, 5, "median")
+
+
+@_query("t07_pileup_genes", "sample di dj | value", _HEADS + "," + _PLACES.format(genes="heads") + " SELECT_ sample, di, dj, avg(value) AS value FROM gw GROUP BY ALL")
+def _t07(spark, d):
+    whole, bins, genes, chroms = _pile(spark, d)
+    return pileup.pileup_genes(whole, bins, genes, chroms, 1000, 5000, 20, 300)[0]
+
+
+@_query("t08_pileup_contrast", "sample di dj | value", _HEADS + "," + _PLACES.format(genes="heads") + """,
+cp AS (SELECT sample, chrom, gene_id, CASE WHEN strand = '-' THEN -1 ELSE 1 END * d AS d, ((CAST(round_even((tss - 5000) / 1000.0 - 0.5, 0) AS BIGINT) + 5 + d) % 64 + 64) % 64 AS bin FROM genes, (SELECT unnest(range(-5, 6)) AS d) WHERE gene_id NOT IN (SELECT gene_id FROM hi)),
+cw AS (SELECT a.sample, a.d AS di, b.d AS dj, avg(x.m) AS value FROM cp a JOIN cp b ON a.gene_id = b.gene_id JOIN dense x ON x.sample = a.sample AND x.chrom = a.chrom AND x.i = a.bin AND x.j = b.bin GROUP BY ALL),
+hw AS (SELECT sample, di, dj, avg(value) AS value FROM gw GROUP BY ALL)
+SELECT_ sample, di, dj, CASE WHEN h.value > 0 AND c.value > 0 THEN log10(h.value) - log10(c.value) END AS value FROM hw h JOIN cw c USING (sample, di, dj) WHERE abs(di) <= 3 AND abs(dj) <= 3""")
+def _t08(spark, d):
+    whole, bins, genes, chroms = _pile(spark, d)
+    return pileup.pileup_contrast(*map(cut, pileup.pileup_genes(whole, bins, genes, chroms, 1000, 5000, 20, 300)), ratio=True, window=3)
+
+
+# ---- intervals and layouts
+
+
+@_query("g01_chrom_sizes", "sample chrom length", "SELECT_ sample, chrom, CAST(sum(e - s) AS BIGINT) AS length FROM lay GROUP BY GROUPING SETS ((sample, chrom), (sample))")
+def _g01(spark, d):
+    return intervals.chrom_sizes(fixtures.layout(spark, d))
+
+
+@_query("g02_interval_middle", "id middle", "SELECT_ id, (s + e) // 2 AS middle FROM ia")
+def _g02(spark, d):
+    return fixtures.intervals_a(spark, d).select("id", middle(F.col("start"), F.col("end")).alias("middle"))
+
+
+@_query("g03_overlap_join", "a_id b_id chrom overlap", """
+SELECT_ a.id AS a_id, b.id AS b_id, 'chr1' AS chrom, least(a.e, b.e) - greatest(a.s, b.s) AS overlap FROM ia a JOIN ib b ON a.s < b.e AND b.s < a.e AND a.e > a.s""")
+def _g03(spark, d):
+    return intervals.overlap_join(fixtures.intervals_a(spark, d), fixtures.intervals_b(spark, d))
+
+
+@_query("g04_split_intervals", "id part chrom start end is_reverse", """
+SELECT_ id, part, 'chr1' AS chrom, CASE WHEN part = 1 THEN s + 1 ELSE s END AS start, CASE WHEN part = 0 AND id % 3 = 0 AND e > s THEN s + 1 ELSE e END AS "end", r AS is_reverse
+FROM ib, (SELECT unnest([CAST(0 AS INT), CAST(1 AS INT)]) AS part) WHERE part = 0 OR id % 3 = 0 AND e > s""")
+def _g04(spark, d):
+    rows = fixtures.intervals_b(spark, d)
+    return intervals.split_intervals(rows, rows.where("id % 3 = 0 and end > start").select("id", F.lit(1).alias("at")))
+
+
+@_query("g05_flip", "id start end is_reverse", 'SELECT_ id, s AS start, e AS "end", NOT r AS is_reverse FROM ia')
+def _g05(spark, d):
+    return intervals.flip(fixtures.intervals_a(spark, d)).select("id", "start", "end", "is_reverse")
+
+
+@_query("g06_merge_adjacent", "sample chrom src_chrom is_reverse start end", """
+x AS (SELECT *, coalesce(s <> lag(e) OVER o, true) AS fresh FROM lay WINDOW o AS (PARTITION BY sample, chrom, r ORDER BY s)),
+y AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY sample, chrom, r ORDER BY s) AS run FROM x)
+SELECT_ sample, chrom, chrom AS src_chrom, r AS is_reverse, min(s) AS start, max(e) AS "end" FROM y GROUP BY sample, chrom, r, run""")
+def _g06(spark, d):
+    return intervals.merge_adjacent(fixtures.layout(spark, d), ("sample", "chrom", "src_chrom", "is_reverse"))
+
+
+@_query("g07_boundaries", "sample chrom ord src_chrom start end is_reverse to at", """
+SELECT_ sample, chrom, CAST(ord AS INT) AS ord, chrom AS src_chrom, s AS start, e AS "end", r AS is_reverse, CAST(sum(e - s) OVER w AS BIGINT) AS "to", CAST(sum(e - s) OVER w - (e - s) AS BIGINT) AS at
+FROM lay WINDOW w AS (PARTITION BY sample, chrom ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def _g07(spark, d):
+    return intervals.boundaries(fixtures.layout(spark, d))
+
+
+@_query("g08_locate", "sample chrom coord ord src_chrom src_coord outside", """
+p AS (SELECT 'c' || c_custkey AS sample, 'a' AS chrom, c_custkey * 137 % 10500 AS coord FROM customer)
+SELECT_ p.sample, p.chrom, coord, CAST(ord AS INT) AS ord, l.chrom AS src_chrom, CASE WHEN r THEN e - 1 - (coord - s) WHEN NOT r THEN coord END AS src_coord, ord IS NULL AS outside
+FROM p LEFT JOIN lay l ON l.sample = p.sample AND l.chrom = p.chrom AND coord >= s AND coord < e""")
+def _g08(spark, d):
+    positions = fixtures.read(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("sample"), F.lit("a").alias("chrom"), (F.col("c_custkey") * 137 % 10500).alias("coord"))
+    return intervals.locate(positions, fixtures.layout(spark, d))
+
+
+@_query("g09_apply_edits")
+def _g09(spark, d):
+    return edits.apply_edits(fixtures.layout(spark, d), fixtures.edits(spark, d))
+
+
+@_query("g10_sequences", "sample chrom seq", """
+f AS (SELECT CAST(doc_id AS VARCHAR) AS sample, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents),
+h AS (SELECT sample, seq, length(seq) // 2 AS m FROM f WHERE seq <> '')
+SELECT_ sample, 'x' AS chrom, translate(reverse(substr(seq, m + 1)), 'ACGT', 'TGCA') || substr(seq, 1, m) AS seq FROM h""")
+def _g10(spark, d):
+    letters = fixtures.fasta(spark, d)
+    half, whole = F.floor(F.char_length("seq") / 2), F.char_length("seq").cast("long")
+    piece = lambda k, a, b, r: F.struct(F.lit(k).alias("ord"), a.cast("long").alias("start"), b.cast("long").alias("end"), F.lit(r).alias("is_reverse"))
+    pieces = letters.select(F.col("chrom").alias("sample"), F.lit("x").alias("chrom"), F.col("chrom").alias("src_chrom"), F.inline(F.array(piece(0, half, whole, True), piece(1, F.lit(0), half, False))))
+    return edits.sequences(pieces, letters)
+
+
+# ---- workloads
+
+
+@_query("w1_borders")
+def _w1(spark, d):
+    """Borders of all samples from raw contacts: the flagship."""
+    return workloads.borders(fixtures.contacts(spark, d).select("sample", "id1", "id2", "count"), fixtures.fragments(spark, d), cut(fixtures.chroms(spark, d)), 1000, [3, 5], iterations=20)[0]
+
+
+@_query("w2_origins")
+def _w2(spark, d):
+    return workloads.origins(fixtures.gc_skew(spark, d), fixtures.sites(spark, d, 8000), fixtures.sites(spark, d, 40000), _track_chroms(spark, d), fixtures.tracks(spark, d), 20, 10_000, 1000)
+
+
+@_query("w3_gene_contrast")
+def _w3(spark, d):
+    return workloads.gene_contrast(fixtures.upper(spark, d), fixtures.genes(spark, d), cut(fixtures.chroms(spark, d)), 1000, 5000, 20, 300, "random-neighbor")
+
+
+# ---- sources and sinks: each query writes the table that it then reads
+
+IO = "io"
+
+
+@_query("io1_read_pixels", "sample id1 id2 count", """
+SELECT_ 'A' AS sample, frag1 + CASE WHEN chrom1 = 'p1' THEN 640 ELSE 0 END AS id1, frag2 + CASE WHEN chrom2 = 'p1' THEN 640 ELSE 0 END AS id2, count(*) AS count FROM contacts WHERE sample = 'A' GROUP BY ALL""")
+def _io1(spark, d):
+    path = new_folder(spark, IO)
+    rows = fixtures.contacts(spark, d).where("sample = 'A'").groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("count"))
+    sizes = rows.agg(F.lit(800).cast("long").alias("id1"), F.lit(800).cast("long").alias("id2"), F.count(F.lit(1)).alias("count"))
+    sizes.unionByName(rows).select(F.concat_ws("\t", "id1", "id2", "count")).write.text(path)
+    return tables.read_pixels(spark, path, "A")
+
+
+@_query("io2_read_fragments", "id chrom start_pos end_pos size | gc_content", """
+SELECT_ start_pos // 100 + CASE WHEN chrom = 'p1' THEN 640 ELSE 0 END AS id, chrom, start_pos, end_pos, CAST(100 AS BIGINT) AS size, 0.0 AS gc_content FROM frags""")
+def _io2(spark, d):
+    path = new_folder(spark, IO)
+    tables.write_table(fixtures.fragments(spark, d), path)
+    return tables.read_fragments(spark, path)
+
+
+@_query("io3_read_cool_tables", "sample chrom1 bin1 chrom2 bin2 | count", """
+SELECT_ 'A' AS sample, chrom AS chrom1, bin1, chrom AS chrom2, bin2, CASE WHEN bin1 <> 3 AND bin2 <> 3 THEN value / (bin1 + 1) / (bin2 + 1) END AS count FROM up WHERE sample = 'A'""")
+def _io3(spark, d):
+    path = new_folder(spark, IO)
+    up = fixtures.upper(spark, d).where("sample = 'A'")
+    number = lambda b: F.col(b) + F.when(F.col("chrom") == "p1", 64).otherwise(0)
+    bins = maps.all_bins(up).select(number("bin").alias("id"), "chrom", (F.col("bin") * 1000).alias("start"), (F.col("bin") * 1000 + 1000).alias("end"), F.when(F.col("bin") != 3, 1 / (F.col("bin") + 1)).alias("weight"))
+    bins.write.parquet(f"{path}/1000/bins")
+    up.select(number("bin1").alias("bin1_id"), number("bin2").alias("bin2_id"), F.col("value").cast("long").alias("count")).write.parquet(f"{path}/1000/pixels")
+    return tables.read_cool_tables(spark, path, 1000, "A")
+
+
+_PER_BASE = "x AS (SELECT pos AS s, pos + 1 + pos % 3 AS e, value FROM tracks WHERE sample = 'click')"
+
+
+@_query("io4_read_track", "sample chrom pos | value", _PER_BASE + " SELECT_ 'click' AS sample, 'chr1' AS chrom, unnest(range(s, e)) AS pos, value FROM x")
+def _io4(spark, d):
+    path = new_folder(spark, IO)
+    rows = fixtures.tracks(spark, d).where("sample = 'click'")
+    rows.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1 + F.col("pos") % 3).alias("end"), "value").write.csv(path, sep="\t")
+    return tables.read_track(spark, path, "click", per_position=True)
+
+
+@_query("io5_read_sites", "chrom start end description", """
+SELECT_ 'chr1' AS chrom, (8000 + s_suppkey * 13) % 64000 AS start, (8000 + s_suppkey * 13) % 64000 + 16 AS "end", 'parS' AS description FROM supplier WHERE s_suppkey % 2 = 0 AND (8000 + s_suppkey * 13) % 64000 + 16 <= 64000""")
+def _io5(spark, d):
+    path = new_folder(spark, IO)
+    rows = fixtures.sites(spark, d, 8000)
+    tables.write_table(rows.select(F.col("chrom").alias("chr"), "start", "end", F.lit("parS").alias("type"), F.lit("TGTTNCACGTGAAACA").alias("seq"), F.lit(1).alias("err")), path)
+    return tables.read_sites(spark, path, "parS")
+
+
+@_query("io6_read_gc_skew", "chrom start end | val", "SELECT_ 'chr1' AS chrom, start, \"end\", val FROM skew")
+def _io6(spark, d):
+    path = new_folder(spark, IO)
+    tables.write_table(fixtures.gc_skew(spark, d), path)
+    return tables.read_gc_skew(spark, path)
+
+
+@_query("io7_read_fasta", "chrom seq length", """
+f AS (SELECT CAST(doc_id AS VARCHAR) AS chrom, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents)
+SELECT_ chrom, seq, length(seq) AS length FROM f WHERE seq <> ''""")
+def _io7(spark, d):
+    path = new_folder(spark, IO)
+    lines = F.regexp_replace("seq", "(.{60})", "$1\n")
+    fixtures.fasta(spark, d).select(F.concat(F.lit(">"), "chrom", F.lit(" from a document\n"), lines)).write.text(path)
+    return tables.read_fasta(spark, path)
+
+
+@_query("io8_write_positions", "chrom coord description", """
+SELECT_ 'chr1' AS chrom, (8000 + s_suppkey * 13) % 64000 AS coord, 'Ori' AS description FROM supplier WHERE s_suppkey % 2 = 0 AND (8000 + s_suppkey * 13) % 64000 + 16 <= 64000""")
+def _io8(spark, d):
+    path = new_folder(spark, IO)
+    tables.write_positions(fixtures.sites(spark, d, 8000).select("chrom", F.col("start").alias("coord"), F.lit("Ori").alias("description")), path)
+    return spark.read.csv(path, sep="\t", schema="chrom string, coord long, description string")
+
+
+@_query("io9_write_table", f"{MAP} | value", "SELECT_ * FROM up")
+def _io9(spark, d):
+    path = new_folder(spark, IO)
+    tables.write_partitioned(fixtures.upper(spark, d), path)
+    return spark.read.parquet(path).select("sample", "chrom", "n", "bin1", "bin2", "value")
