@@ -114,7 +114,7 @@ class Index:
             shared = len(self.sets[item] & spelled_out[1])
             if shared >= CONTAINED * len(self.sets[item]):
                 found[doc].append((self.ids[item], shared, len(self.sets[item])))
-        return [sorted(x) for x in found]
+        return [sorted(x, key=lambda leak: (leak[0] is not None, leak[0] or 0)) for x in found]
 
 
 def _leaks_array(found: list[list[tuple[int, int, int]]]) -> pa.Array:
