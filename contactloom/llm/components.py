@@ -11,8 +11,9 @@ from ._cut import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): for each node of the undirected `edges` (a, b), both long, the least node of its component.
 
-    In each round a node points to its least neighbour or itself, pointers are followed twice, and the nodes that ended at
-    one place become one.  A star ends in one round, a path of n nodes in about log n.  Only minima are taken over
+    In each round a node points to its least neighbour or itself, pointers are doubled until they end at nodes that point to
+    themselves, and all that ended at one place become one.  Of neighbours one at most is such an end, so that a round leaves half of
+    the nodes at most; a chain of n pointers takes log2 n doublings.  Only minima are taken over
     neighbours, which combine before the shuffle; no neighbourhood is gathered.  Rows with nulls and loops are ignored;
     repeated edges count once; no edges give an empty table.
     """
@@ -21,10 +22,12 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = cut(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("b")))
-        for _ in range(2):
+        moving = True
+        while moving:
             onward = point.select(F.col("a").alias("b"), F.col("b").alias("c"))
-            point = point.join(onward, "b").select("a", F.col("c").alias("b"))
-        point = cut(point)
+            further = cut(point.join(onward, "b").select("a", F.col("c").alias("b"), (F.col("b") != F.col("c")).alias("moved")))
+            moving = not further.where("moved").isEmpty()
+            point = further.select("a", "b")
         if labels is None:
             labels = point.select(F.col("a").alias("node"), F.col("b").alias("label"))
         else:
