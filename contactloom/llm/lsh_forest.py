@@ -25,6 +25,8 @@ SHINGLE, SIMILAR = 5, 0.8
 TREES, DEEPEST, RECALL = 24, 8, 0.9999
 #: Sets of a block; a neighbourhood of more is verified block against block.
 BLOCK = 512
+#: Parts in which a large neighbourhood meets its size; of such there is one for each BLOCK sets at most.
+SALTS = 64
 #: Sets of small neighbourhoods that are verified in one call.
 PACK = 1024
 #: Shingles that a block's matrix has as columns at a time.
@@ -205,10 +207,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     steps = sets.select("node", F.posexplode("paths").alias("tree", "path"))
     shared = steps.groupBy("tree", "path").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "path", "b")
     near = components(steps.join(shared, ["tree", "path"]).select(F.col("node").alias("a"), "b").where("a <> b"))
-    sizes = near.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    sizes = near.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = near.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    sized = salted.join(sizes.select("label", "size", salts), ["label", "salt"], "left").select("node", "label", F.coalesce("size", F.lit(BLOCK)).alias("size"))
     n_near = near.count()
     packs = max(1, -(-n_near // PACK))
-    wanted = near.join(sizes, "label").join(sets.select("node", "copies", "digest", F.col("first.rk").alias("rk")), "node")
+    wanted = sized.join(sets.select("node", "copies", "digest", F.col("first.rk").alias("rk")), "node")
     once = wanted.join(rows.select("rk", "text"), "rk").dropDuplicates(["rk", "node", "text"])  # as partitioned by the join
     texts = _shingle_sets(once, "text").where("found = digest")
     blocks = F.ceil(F.col("size") / BLOCK)
