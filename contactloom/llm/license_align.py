@@ -3,12 +3,14 @@
 A text and a license template are aligned on the words that are unique in both: the longest increasing subsequence of these
 anchors is kept, and the gaps between them, in which other words are now unique, are aligned the same way.  Coverage is the
 share of the template's words that found their place.  So that a license is found wherever and however often it stands, a
-text is aligned in windows of twice the template's length, and only in those that have enough of its words.
+text is aligned in windows of twice the template's length from each of its words, and only in those that have enough of them.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +101,12 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def next_kept(kept: list[tuple[int, int]], place: int) -> tuple[int, int]:
+    """The first of sorted, disjoint ranges that ends behind `place`; one beyond all texts if none does."""
+    k = bisect_right(kept, place, key=lambda r: r[1])
+    return kept[k] if k < len(kept) else (1 << 62, 1 << 62)
+
+
 class Scanner:
     """Templates as hashed words."""
 
@@ -131,37 +139,56 @@ class Scanner:
                 continue
             need = int(np.ceil(COVERED * size))
             # Places from which a window of twice the template's length has enough of its words.
-            spread = np.full(len(at), 2 * size)
+            spread = np.full(len(at), 2 * size + 1)
             if len(at) >= need:
                 spread[: len(at) - need + 1] = at[need - 1 :] - at[: len(at) - need + 1] + 1
             owner = np.searchsorted(bounds, at, side="right") - 1
-            for doc in np.unique(owner[spread < 2 * size]):
+            for doc in np.unique(owner[spread <= 2 * size]):
                 out[doc] += self._occurrences(words, template, which, at[(owner == doc)], int(bounds[doc]), int(bounds[doc + 1]), need, starts, ends, int(offsets[doc]))
         return [sorted(x, key=lambda f: (f[2], f[3], f[0])) for x in out]
 
     def _occurrences(self, words, template, which, at, lo, hi, need, starts, ends, base) -> list[tuple[str, float, int, int]]:
         size, wanted = len(template), template.tolist()
-        found: list[tuple[int, int, int]] = []
-        windows = np.unique(np.maximum(lo, (at - lo) // size * size + lo - size).tolist() + ((at - lo) // size * size + lo).tolist())
-        for first in windows:
-            stop = min(first + 2 * size, hi)
-            if np.searchsorted(at, stop) - np.searchsorted(at, first) < need:
+        places, own = at.tolist(), words[at].tolist()
+        # Exact copies are best by any measure and need no alignment.
+        kept: list[tuple[int, int]] = []
+        for a, w in zip(places, own):
+            if w == wanted[0] and a + size <= hi and (not kept or a >= kept[-1][1]) and words[a : a + size].tolist() == wanted:
+                kept.append((a, a + size))
+        counts = {k: size for k in kept}
+        # Every other one starts at an anchor; the best goes first, and what it overlaps is aligned again in the room that is left.
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def offer(first: int, stop: int) -> None:
+            # Over a smaller part as well, since a window may hold parts of two copies, whose words are not unique in it.
+            each = (align(words[first:end].tolist(), wanted) for end in {stop, min(stop, first + size + size // 4)})
+            best = min(((-len(x), x[-1][0] - x[0][0] + 1, first + x[0][0]) for x in each if len(x) >= need), default=None)
+            if best:
+                heappush(heap, (*best, first, stop))
+
+        limit, inside, have, right = Counter(wanted), Counter(), 0, 0
+        for k, first in enumerate(places):
+            after = next_kept(kept, first)
+            stop = min(first + 2 * size, hi, after[0]) if after[0] > first else first + 1
+            while right < len(places) and places[right] < stop:
+                inside[own[right]] += 1
+                have += inside[own[right]] <= limit[own[right]]
+                right += 1
+            if after[0] > first and have >= need:
+                offer(first, stop)
+            inside[own[k]] -= 1
+            have -= inside[own[k]] < limit[own[k]]
+        while heap:
+            n, span, a, first, stop = heappop(heap)
+            after = next_kept(kept, first)
+            if after[0] <= first:
                 continue
-            pairs = align(words[first:stop].tolist(), wanted)
-            if len(pairs) >= need and pairs[-1][0] - pairs[0][0] < size + size // 4:
-                found.append((len(pairs), first + pairs[0][0], first + pairs[-1][0] + 1))
+            if after[0] < a + span:
+                offer(first, after[0])
                 continue
-            # The window may hold parts of two copies, whose words are not unique in it.
-            part = min(stop - first, size + size // 4)
-            for a in {first, (first + stop - part) // 2, stop - part}:
-                pairs = align(words[a : a + part].tolist(), wanted)
-                if len(pairs) >= need:
-                    found.append((len(pairs), a + pairs[0][0], a + pairs[-1][0] + 1))
-        kept: list[tuple[int, int, int]] = []
-        for n, a, b in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])):
-            if all(b <= c or a >= d for _, c, d in kept):
-                kept.append((n, a, b))
-        return [(self.names[which], n / size, int(starts[a]) - base, int(ends[b - 1]) - base) for n, a, b in kept]
+            insort(kept, (a, a + span))
+            counts[a, a + span] = -n
+        return [(self.names[which], counts[a, b] / size, int(starts[a]) - base, int(ends[b - 1]) - base) for a, b in kept]
 
 
 def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, text: str = "text", out: str = "licenses") -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,6 +48,26 @@ def test_licenses_found(spark):
     assert got[7] == [("Apache-2.0", 1.0, 30000, 30046)]
 
 
+def found(*texts):
+    return [[x[:2] for x in each] for each in license_align.Scanner(license_align.TEMPLATES).scan(pa.array(texts, pa.large_string()))]
+
+
+@pytest.mark.parametrize("name", list(license_align.TEMPLATES))
+def test_spread_licenses_are_found_at_every_offset(name):
+    words = re.findall(r"[A-Za-z0-9]+", license_align.TEMPLATES[name])
+    mixed = " zz ".join(words)
+    texts = ["qq " * k + mixed + " qq" * (k % 3) for k in range(2 * len(words) + 3)]
+    assert all(got == [(name, 1.0)] for got in found(*texts))
+    pairs = ["qq " * k + mixed + " " + mixed for k in range(2 * len(words) + 3)]
+    assert all(got == [(name, 1.0)] * 2 for got in found(*pairs))
+
+
+def test_license_with_words_in_between():
+    assert found("This is released under the terms of the MIT License.") == [[("MIT", 1.0)]]
+    notice = "Licensed under the terms of the Apache License, Version 2.0."
+    assert all(("Apache-2.0", 1.0) in got for got in found(*["qq " * k + notice for k in range(16)]))
+
+
 def test_op2_finds_every_notice(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     lines = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3."}
