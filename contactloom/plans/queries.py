@@ -591,7 +591,7 @@ def _a18(spark, d):
 
 @_query("a19_compartments")
 def _a19(spark, d):
-    return correlation.compartments(_map(spark, d).where("sample = 'A'"), steps=8)
+    return correlation.compartments(_map(spark, d))
 
 
 @_query("a20_fourc_like", "sample chrom bin start end | val", """

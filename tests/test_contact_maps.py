@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from contactloom.functions.columns import region_part, unit_scale
 from contactloom.operators import balance, correlation, edits, intervals, maps, oriter, pileup, signals, similarity, tracks
+from contactloom.plans import fixtures, queries
 from contactloom.sources import tables
 
 MAP = "sample string, chrom string, n long, bin1 long, bin2 long, value double"
@@ -121,6 +122,39 @@ def test_correlation_and_eigenvectors_equal_numpy(spark):
     assert np.allclose(vector(got), want, atol=1e-3)
 
 
+def eigenvectors(m, count):
+    """The leading eigenvectors of the correlations of the detrended map, null rows left out."""
+    kept = np.flatnonzero(m.any(0))
+    law = np.array([np.diagonal(m, k).mean() for k in range(len(m))])
+    i, j = np.indices(m.shape)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        c = np.nan_to_num(np.corrcoef(np.nan_to_num(m / law[abs(i - j)])))
+    values, vectors = np.linalg.eigh(c)
+    best = vectors[:, np.argsort(-abs(values))[:count]].T
+    return [v[kept] * np.sign(v[abs(v).argmax()]) for v in best]
+
+
+def test_both_eigenvectors_equal_numpy(spark):
+    both = {name: random_map(24, seed) for name, seed in (("a", 2), ("b", 9))}
+    got = correlation.compartments(frame(spark, both["a"], "a").unionByName(frame(spark, both["b"], "b"))).cache()
+    for name, m in both.items():
+        for rank, want in enumerate(eigenvectors(m, 2), 1):
+            assert np.allclose(vector(got.where((F.col("sample") == name) & (F.col("rank") == rank))), want, atol=1e-5)
+
+
+def test_compartments_query_equals_numpy_for_all_samples(spark, sf_dir):
+    cells = {}
+    for r in fixtures.whole(spark, sf_dir).collect():
+        cells.setdefault((r.sample, r.chrom), np.zeros((r.n, r.n)))[r.bin1, r.bin2] = r.value
+    got = {}
+    for r in sorted(queries.QUERIES["a19_compartments"](spark, sf_dir).collect(), key=lambda r: r.bin):
+        got.setdefault((r.sample, r.chrom, r.rank), []).append(r.score)
+    assert {k[0] for k in cells} == {"A", "N", "R"} and len(got) == 2 * len(cells)
+    for key, m in cells.items():
+        for rank, want in enumerate(eigenvectors(m, 2), 1):
+            assert np.allclose(got[*key, rank], want, atol=1e-4)
+
+
 def test_balancing_evens_sums(spark):
     m = np.triu(random_map(30, 3, (4,)))
     upper = frame(spark, m)
