@@ -329,6 +329,11 @@ def _m17(spark, d):
     return balance.normalize_scn(cut(fixtures.whole(spark, d)), iterations=2)
 
 
+@_query("m17_normalize_scn_full")
+def _m17_full(spark, d):
+    return balance.normalize_scn(cut(fixtures.whole(spark, d)))
+
+
 # ---- signals
 
 SCORE = "sample chrom n bin | score"
@@ -627,7 +632,7 @@ def _a21(spark, d):
 @_query("a22_train_h")
 def _a22(spark, d):
     up = cut(fixtures.upper(spark, d))
-    h = similarity.train_h(up, 6, h_max=2, repeats=2)
+    h = similarity.train_h(up, 6)
     return up.agg(F.lit(h).alias("h"), F.sum("value").alias("contacts"))
 
 
@@ -983,7 +988,7 @@ def _g10(spark, d):
 @_query("w1_borders")
 def _w1(spark, d):
     """Borders of all samples from raw contacts: the flagship."""
-    return workloads.borders(fixtures.contacts(spark, d).select("sample", "id1", "id2", "count"), fixtures.fragments(spark, d), cut(fixtures.chroms(spark, d)), 1000, [3, 5], iterations=20)[0]
+    return workloads.borders(fixtures.contacts(spark, d).select("sample", "id1", "id2", "count"), fixtures.fragments(spark, d), cut(fixtures.chroms(spark, d)), 1000, [3, 5])[0]
 
 
 @_query("w2_origins")
@@ -996,6 +1001,11 @@ def _w3(spark, d):
     return workloads.gene_contrast(fixtures.upper(spark, d), fixtures.genes(spark, d), cut(fixtures.chroms(spark, d)), 1000, 5000, 20, 300, "random-neighbor")
 
 
+@_query("w4_similarities")
+def _w4(spark, d):
+    return workloads.similarities(cut(fixtures.upper(spark, d)), 6)
+
+
 # ---- sources and sinks: each query writes the table that it then reads
 
 IO = "io"

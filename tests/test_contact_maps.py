@@ -1,5 +1,7 @@
 """Small cases with known results, invariants, and independent numpy versions."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +168,26 @@ def test_balancing_evens_sums(spark):
     assert np.allclose(scn, scn.T)
 
 
+def test_iterative_queries_run_to_their_end(spark, sf_dir, monkeypatch):
+    given = []
+    for module, name in ((balance, "normalize_scn"), (balance, "balance_ice"), (similarity, "train_h"), (similarity, "hicrep_matrix")):
+        whole = inspect.signature(getattr(module, name))
+
+        def seen(*a, whole=whole, name=name, **k):
+            bound = whole.bind(*a, **k)
+            bound.apply_defaults()
+            given.append((name, {x: bound.arguments[x] for x in ("iterations", "h_max", "repeats", "h") if x in bound.arguments}))
+            return a[0] if name != "train_h" else 7
+
+        monkeypatch.setattr(module, name, seen)
+    monkeypatch.setattr(balance, "balanced", lambda cells, **k: balance.balance_ice(cells, **k))
+    monkeypatch.setattr(signals, "insulation", lambda cells, windows: (cells, cells))
+    for name in ("m17_normalize_scn_full", "a22_train_h", "w1_borders", "w4_similarities"):
+        queries.QUERIES[name](spark, sf_dir)
+    trained = ("train_h", {"h_max": 10, "repeats": 10})
+    assert given == [("normalize_scn", {"iterations": 10}), trained, ("balance_ice", {"iterations": 200}), trained, ("hicrep_matrix", {"h": 7})]
+
+
 def test_subsample_keeps_so_many(spark):
     upper = frame(spark, np.triu(random_map(20, 4)))
     total = int(upper.agg(F.sum("value")).first()[0])
