@@ -4,6 +4,7 @@ A text and a license template are aligned on the words that are unique in both:
 anchors is kept, and the gaps between them, in which other words are now unique, are aligned the same way.  Coverage is the
 share of the template's words that found their place.  So that a license is found wherever and however often it stands, a
 text is aligned in windows of twice the template's length from each of its words, and only in those that have enough of them.
+A notice of a few words counts only with the words that decide which license it names.
 """
 
 from __future__ import annotations
@@ -42,6 +43,16 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 
+# Words without which a notice names another license, all of which must be aligned, and words that make it another one, across
+# which none is aligned.  Long texts need neither.
+DECIDING: dict[str, tuple[str, str]] = {
+    "MIT": ("mit", ""),
+    "Apache-2.0": ("apache 2 0", ""),
+    "GPL-3.0": ("gnu general public 3", "lesser library affero"),
+    "CC-BY-NC-4.0": ("cc by nc 4 0", "sa nd sharealike noderivatives noderivs"),
+    "CC-BY-4.0": ("creative commons attribution 4 0", "nc sa nd noncommercial sharealike noderivatives noderivs non commercial share derivatives"),
+}
+
 FOUND = T.StructType(
     [T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]
 )
@@ -107,15 +118,21 @@ def next_kept(kept: list[tuple[int, int]], place: int) -> tuple[int, int]:
     return kept[k] if k < len(kept) else (1 << 62, 1 << 62)
 
 
+def _hashed(body: str) -> np.ndarray:
+    """The hashed words of one text."""
+    data, offsets = text_buffers(pa.array([body], pa.large_string()))
+    return hash_words(data, *find_words(data, offsets, PUNCTUATION)[:2])
+
+
 class Scanner:
     """Templates as hashed words."""
 
     def __init__(self, templates: dict[str, str]):
         self.names = list(templates)
-        self.templates = []
-        for body in templates.values():
-            data, offsets = text_buffers(pa.array([body], pa.large_string()))
-            self.templates.append(hash_words(data, *find_words(data, offsets, PUNCTUATION)[:2]))
+        self.templates = [_hashed(body) for body in templates.values()]
+        rules = [DECIDING.get(name, ("", "")) if TEMPLATES.get(name) == body else ("", "") for name, body in templates.items()]
+        self.needed = [set(np.flatnonzero(np.isin(t, _hashed(must))).tolist()) for t, (must, _) in zip(self.templates, rules)]
+        self.others = [_hashed(other) for _, other in rules]
         self.vocabulary = np.unique(np.concatenate(self.templates)) if templates else np.zeros(0, np.uint64)
         self.marked = np.zeros(1 << 16, bool)
         self.marked[self.vocabulary >> np.uint64(48)] = True
@@ -144,12 +161,13 @@ class Scanner:
                 spread[: len(at) - need + 1] = at[need - 1 :] - at[: len(at) - need + 1] + 1
             owner = np.searchsorted(bounds, at, side="right") - 1
             for doc in np.unique(owner[spread <= 2 * size]):
-                out[doc] += self._occurrences(words, template, which, at[(owner == doc)], int(bounds[doc]), int(bounds[doc + 1]), need, starts, ends, int(offsets[doc]))
+                out[doc] += self._occurrences(words, template, which, at[(owner == doc)], int(bounds[doc]), int(bounds[doc + 1]), need, data, starts, ends, int(offsets[doc]))
         return [sorted(x, key=lambda f: (f[2], f[3], f[0])) for x in out]
 
-    def _occurrences(self, words, template, which, at, lo, hi, need, starts, ends, base) -> list[tuple[str, float, int, int]]:
+    def _occurrences(self, words, template, which, at, lo, hi, need, data, starts, ends, base) -> list[tuple[str, float, int, int]]:
         size, wanted = len(template), template.tolist()
         places, own = at.tolist(), words[at].tolist()
+        walls = [*(np.flatnonzero(np.isin(words[lo:hi], self.others[which])) + lo).tolist(), hi]
         # Exact copies are best by any measure and need no alignment.
         kept: list[tuple[int, int]] = []
         for a, w in zip(places, own):
@@ -159,17 +177,27 @@ class Scanner:
         # Every other one starts at an anchor; the best goes first, and what it overlaps is aligned again in the room that is left.
         heap: list[tuple[int, int, int, int, int]] = []
 
+        def number(k: int) -> bool:
+            return bool(np.all((data[starts[k] : ends[k]] >= 48) & (data[starts[k] : ends[k]] <= 57)))
+
+        def names_it(first: int, pairs: list[tuple[int, int]]) -> bool:
+            """Whether the deciding words are aligned, and no other number stands where one of them is to be."""
+            must = self.needed[which]
+            if not must <= {c for _, c in pairs}:
+                return False
+            return not any(y > x + 1 and c in must and number(first + y) and number(first + x + 1) for (x, _), (y, c) in zip(pairs, pairs[1:]))
+
         def offer(first: int, stop: int) -> None:
             # Over a smaller part as well, since a window may hold parts of two copies, whose words are not unique in it.
             each = (align(words[first:end].tolist(), wanted) for end in {stop, min(stop, first + size + size // 4)})
-            best = min(((-len(x), x[-1][0] - x[0][0] + 1, first + x[0][0]) for x in each if len(x) >= need), default=None)
+            best = min(((-len(x), x[-1][0] - x[0][0] + 1, first + x[0][0]) for x in each if len(x) >= need and names_it(first, x)), default=None)
             if best:
                 heappush(heap, (*best, first, stop))
 
         limit, inside, have, right = Counter(wanted), Counter(), 0, 0
         for k, first in enumerate(places):
             after = next_kept(kept, first)
-            stop = min(first + 2 * size, hi, after[0]) if after[0] > first else first + 1
+            stop = min(first + 2 * size, walls[bisect_left(walls, first)], after[0]) if after[0] > first else first + 1
             while right < len(places) and places[right] < stop:
                 inside[own[right]] += 1
                 have += inside[own[right]] <= limit[own[right]]
@@ -196,7 +224,8 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, text:
 
     coverage is the share of the template's words (letters and digits, A-Z as a-z) that are aligned, 0.8 or more; start and end
     are code points of the first aligned word's start and the last one's end.  Occurrences of one template never overlap; those of
-    different templates may.  A null or empty text has none.  Rows keep their number and other columns; an input column named `out`
+    different templates may.  Of the given templates, those of a few words need their deciding words (DECIDING): a notice of another
+    license or version is none of them.  A null or empty text has none.  Rows keep their number and other columns; an input column named `out`
     is replaced; an empty table gives an empty one.
     """
     templates = dict(TEMPLATES if templates is None else templates)

@@ -68,6 +68,23 @@ def test_license_with_words_in_between():
     assert all(("Apache-2.0", 1.0) in got for got in found(*["qq " * k + notice for k in range(16)]))
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Licensed under CC BY 4.0.", "Licensed under CC BY-NC 3.0.", "Licensed under CC BY-NC-SA 4.0.", "Released under the BSD License.",
+        "Released under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 1.1.", "Licensed under the Academic License, Version 2.0.",
+        "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU General Public License, version 2. See section 3.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.", "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution 3.0 International License.",
+    ],
+)
+def test_near_misses_are_not_named(text):
+    own = [("Apache-2.0", 0.875)] if text.startswith("Released under the Apache") else []
+    assert found(text, text + " Released under the MIT License.") == [own, [*own, ("MIT", 1.0)]]
+
+
 def test_op2_finds_every_notice(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     lines = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3."}
