@@ -78,7 +78,7 @@ def directional_index(cells: DataFrame, w: int, corr: bool = True, normalize: bo
 
     Cells of 0 or less count as a log of 0.  0 where the logs of either side sum to 0; null where all differences are equal.
     """
-    m = correlation_map(cells, normalize=normalize) if corr else cells
+    m = correlation_map(cells, normalize=normalize, band=w) if corr else cells
     near = circular_extend(m, w).where((F.col("bin1") >= 0) & (F.col("bin1") < F.col("n")) & (F.abs(F.col("bin2") - F.col("bin1")) < w) & (F.col("value") > 0))
     k = F.col("bin2") - F.col("bin1")
     side = near.select(*KEY, "n", F.col("bin1").alias("bin"), F.abs(k).alias("k"), F.when(k >= 0, F.ln("value")).otherwise(0.0).alias("r"), F.when(k <= 0, F.ln("value")).otherwise(0.0).alias("l"))

@@ -244,7 +244,7 @@ def _m24(spark, d):
 
 _CORR = """
 cor AS (
-  SELECT a.sample, a.chrom, a.n, a.i, b.i AS j, CASE WHEN var_pop(a.v) = 0 OR var_pop(b.v) = 0 THEN 0 ELSE corr(a.v, b.v) END AS r
+  SELECT a.sample, a.chrom, a.n, a.i, b.i AS j, CASE WHEN var_pop(a.v) = 0 OR var_pop(b.v) = 0 THEN 0 WHEN abs(corr(a.v, b.v)) < 1e-12 THEN 0 ELSE corr(a.v, b.v) END AS r
   FROM {grid} a JOIN {grid} b ON a.sample = b.sample AND a.chrom = b.chrom AND a.j = b.j GROUP BY ALL)"""
 
 

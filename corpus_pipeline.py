@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from contactloom.llm import byte_bpe, decontam, lsh_forest, pii_anchors, rule_ledger
-from contactloom.llm._cut import shared_folder
+from contactloom.plans.lineage import shared_folder
 from contactloom.plans.shipping import ensure_on_workers
 
 
