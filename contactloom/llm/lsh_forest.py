@@ -1,9 +1,13 @@
 """N-gram Jaccard join with a MinHash LSH forest and exact verification.
 
-Each distinct shingle set gets a path of MinHash values in each of TREES prefix trees.  Sets are candidates where their
-paths share a prefix; the prefix is shortened from DEEPEST until a pair at the threshold shares one in some tree with the
-target probability.  Candidates linked through such prefixes make up neighbourhoods, in which Jaccard similarities are then
-computed exactly, a block of sets against a block.  Only counts of links and a spanning star leave a block, never its pairs.
+Each distinct shingle set has a path in each of TREES prefix tries: DEEPEST labels of one byte, each from a MinHash value of its own.
+A path is a 64-bit integer, its first label highest, so that the order of paths is the order of a trie and a prefix is a shift.
+Sets whose paths share a prefix are candidates.  Matching starts at whole paths; what the exact verification finds at that depth
+tells how far prefixes must be shortened: until pairs of every similarity at which links were found meet in some trie with the
+target probability.  Only neighbourhoods that grew by it are verified again.
+
+Sets that meet, directly or through others, make up a neighbourhood, in which Jaccard similarities are computed exactly, a block of
+sets against a block.  Only counts of links and spanning stars leave a block, never its pairs.
 """
 
 from __future__ import annotations
@@ -12,36 +16,37 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import cut
 from ._batches import append_columns, text_buffers
-from ._cut import cut
-from ._words import find_words, hash_shingles, hash_words, mix
+from ._skew import look_up
+from ._words import find_words, hash_shingles, hash_words
 from .components import components
 
 SHINGLE, SIMILAR = 5, 0.8
 TREES, DEEPEST, RECALL = 24, 8, 0.9999
-#: Sets of a block; a neighbourhood of more is verified block against block.
-BLOCK = 512
-#: Parts in which a large neighbourhood meets its size; of such there is one for each BLOCK sets at most.
+#: Shingles of a block, each set counting SET_WEIGHT more; a neighbourhood of more is verified block against block.
+BLOCK, SET_WEIGHT = 1 << 22, 500
+#: Parts in which the members of a trie node or of a large neighbourhood meet what is known of it.
 SALTS = 64
-#: Sets of small neighbourhoods that are verified in one call.
-PACK = 1024
-#: Shingles that a block's matrix has as columns at a time.
-COLUMNS = 4096
+#: Sets of a block that are compared at a time, and shingles that their matrices have as columns.
+ROWS, COLUMNS = 512, 4096
+#: Ranges of similarity, from SIMILAR to 1, in which links are counted.
+RANGES = 20
 
 
 def prefix_depth(trees: int, deepest: int, similar: float, recall: float) -> int:
-    """The longest prefix by which a pair of that similarity meets in some tree with probability `recall`."""
+    """The longest prefix by which a pair of that similarity meets in some trie with probability `recall`."""
     depth = deepest
     while depth > 1 and 1 - (1 - similar**depth) ** trees < recall:
         depth -= 1
     return depth
 
 
-_FACTORS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, TREES * DEEPEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 31, TREES * DEEPEST, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,31 +66,33 @@ def _digest(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
-def _paths(hashes: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """For each nonempty set and tree, a hash of the first `depth` MinHash values."""
+def _paths(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The path of each nonempty set in each trie."""
     out = np.zeros((len(at) - 1, TREES), np.uint64)
     some = np.flatnonzero(np.diff(at))
     if not len(some):
         return out
     first = at[:-1][some]
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
     for tree in range(TREES):
         path = np.zeros(len(some), np.uint64)
-        for level in range(depth):
-            factor = _FACTORS[tree * DEEPEST + level]
-            path = mix(path + np.minimum.reduceat(hashes * factor, first))
+        for level in range(DEEPEST):
+            least = np.minimum.reduceat(short * _FACTORS[tree * DEEPEST + level], first)
+            least = (least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            path = (path << np.uint64(8)) | ((least ^ (least >> np.uint32(12))) >> np.uint32(24)).astype(np.uint64)
         out[some, tree] = path
     return out
 
 
-def _sketch(docs: DataFrame, text: str, depth: int) -> DataFrame:
-    fields = [T.StructField("digest", T.BinaryType()), T.StructField("paths", T.ArrayType(T.LongType()))]
+def _sketch(docs: DataFrame, text: str) -> DataFrame:
+    fields = [T.StructField("digest", T.BinaryType()), T.StructField("width", T.LongType()), T.StructField("paths", T.ArrayType(T.LongType()))]
 
     def make():
         def work(part: pa.RecordBatch) -> list[pa.Array]:
             hashes, at = _sets(part.column(part.schema.get_field_index(text)))
             digests = pa.array([_digest(hashes[at[k] : at[k + 1]]) for k in range(part.num_rows)], pa.binary())
-            paths = pa.array(_paths(hashes, at, depth).view(np.int64).ravel())
-            return [digests, pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * TREES), paths)]
+            paths = pa.array(_paths(hashes, at).view(np.int64).ravel())
+            return [digests, pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * TREES), paths)]
 
         return work
 
@@ -128,56 +135,129 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def _links(nodes: np.ndarray, counts: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, links, hub) of the sets that have links in this block or between its two sides.
+def _links(nodes: np.ndarray, counts: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Rows (node, links, hub) of the sets at places a that are linked to sets at places b, which are the same ones or others.
 
-    side is None within a block, else 0 and 1.  links counts the documents that have a linked set; hub is the least
-    node that can be reached here.
+    links counts the documents that have a linked set; hub is the least node that can be reached here.  Rows of node -1 - r say
+    in links how many pairs fall into the r-th range of similarity.
     """
-    a = np.arange(len(nodes)) if side is None else np.flatnonzero(side == 0)
-    b = a if side is None else np.flatnonzero(side == 1)
     left = [sets[k] for k in a]
-    shared = shared_counts(left, left if side is None else [sets[k] for k in b]).astype(np.float64)
+    shared = shared_counts(left, left if a is b else [sets[k] for k in b]).astype(np.float64)
     size = np.array([len(s) for s in sets], np.float64)
-    linked = shared >= SIMILAR * (size[a][:, None] + size[b][None, :] - shared) - 1e-7
+    total = size[a][:, None] + size[b][None, :] - shared
+    linked = shared >= SIMILAR * total - 1e-7
     if a is b:
         np.fill_diagonal(linked, False)
+    similar = shared[linked] / total[linked]
+    each = np.bincount(np.clip(((similar - SIMILAR) / (1 - SIMILAR) * RANGES + 1e-9).astype(int), 0, RANGES - 1), minlength=RANGES)
     links = np.zeros(len(nodes), np.int64)
     links[a] += linked @ counts[b]
     if a is not b:
         links[b] += linked.T @ counts[a]
-    hub = nodes.copy()
+    hub, far = nodes.copy(), np.iinfo(np.int64).max
     while True:
-        low_a = np.minimum(hub[a], np.where(linked, hub[b][None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
-        low_b = np.minimum(hub[b], np.where(linked, low_a[:, None], np.iinfo(np.int64).max).min(axis=0, initial=np.iinfo(np.int64).max))
         before = hub.copy()
-        hub[a] = low_a
-        hub[b] = np.minimum(hub[b], low_b)
+        hub[a] = np.minimum(hub[a], np.where(linked, hub[b][None, :], far).min(axis=1, initial=far))
+        hub[b] = np.minimum(hub[b], np.where(linked, hub[a][:, None], far).min(axis=0, initial=far))
         if (hub == before).all():
             break
-    some = links > 0
-    return nodes[some], links[some], hub[some]
+    some, ranges = np.flatnonzero(links), np.flatnonzero(each)
+    return [np.concatenate(x) for x in ((nodes[some], -1 - ranges), (links[some], each[ranges]), (hub[some], -1 - ranges))]
 
 
 def _verify(table: pa.Table) -> pa.Table:
     """Links inside one pair of blocks, or inside each of a pack's neighbourhoods."""
     place, node = table["place"].to_numpy(), table["node"].to_numpy()
-    count = table["copies"].to_numpy()
-    side = table["side"].to_numpy() if table.num_rows and table["i"][0] != table["j"][0] else None
-    shingles = table["shingles"].to_pylist()
-    out: list[tuple[np.ndarray, ...]] = []
+    count, shingles = table["copies"].to_numpy(), table["shingles"].to_pylist()
+    across = table.num_rows and table["i"][0] != table["j"][0]
+    side = table["side"].to_numpy()
+    out: list[list[np.ndarray]] = []
     order = np.lexsort((node, place))
-    edges = np.flatnonzero(np.diff(place[order])) + 1
-    for rows in np.split(order, edges):
-        if len(rows) > 1 and (side is None or 0 < side[rows].sum() < len(rows)):
-            out.append(_links(node[rows], count[rows], [np.frombuffer(shingles[k], np.uint64) for k in rows], None if side is None else side[rows]))
+    for rows in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+        sets = [np.frombuffer(shingles[k], np.uint64) for k in rows]
+        cut_up = lambda x: [x[k : k + ROWS] for k in range(0, len(x), ROWS)]
+        if across:
+            pairs = [(a, b) for a in cut_up(np.flatnonzero(side[rows] == 0)) for b in cut_up(np.flatnonzero(side[rows] == 1))]
+        else:
+            parts = cut_up(np.arange(len(rows)))
+            pairs = [(a, b) for k, a in enumerate(parts) for b in parts[k:]]
+        out += [_links(node[rows], count[rows], sets, a, b) for a, b in pairs if a is not b or len(a) > 1]
     joined = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
     return pa.table(joined, names=["node", "links", "hub"])
 
 
-def row_key(key: str, text: str):
-    """A hash by which rows are found again."""
-    return F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
+def row_key(key: str, text: str) -> Column:
+    """Sixteen bytes by which a row is found again, the same for rows of equal key and text only."""
+    part = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c))
+    return F.unhex(F.md5(F.concat(part(F.col(f"`{key}`").cast("string")), F.lit("\0"), part(F.col(f"`{text}`"))).cast("binary")))
+
+
+def _neighbourhoods(matched: DataFrame, depth: int) -> DataFrame:
+    """(node, label): sets that share prefixes of that depth, directly or through others."""
+    prefix = F.shiftrightunsigned("path", 8 * (DEEPEST - depth)).alias("prefix")
+    steps = matched.select("node", "tree", prefix, F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
+    parts = steps.groupBy("tree", "prefix", "salt").agg(F.min("node").alias("part"))
+    hubs = parts.groupBy("tree", "prefix").agg(F.min("part").alias("hub"))
+    inside = steps.join(parts, ["tree", "prefix", "salt"]).select(F.col("node").alias("a"), F.col("part").alias("b"))
+    return components(inside.unionByName(parts.join(hubs, ["tree", "prefix"]).select(F.col("part").alias("a"), F.col("hub").alias("b"))))
+
+
+def _verified(near: DataFrame, sizes: DataFrame, shingles: DataFrame) -> DataFrame:
+    """What _links says of the neighbourhoods in `sizes` (label, weight)."""
+    blocked = sizes.select("label", "weight", F.ceil(F.col("weight") / BLOCK).alias("blocks"))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    large = blocked.where("blocks > 1").select("label", "blocks", salts)
+    placed = near.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(large, ["label", "salt"], "left").select("node", "label", "blocks")
+    alone = blocked.where("blocks <= 1")
+    packs = -(-(alone.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0] or 1) // BLOCK)
+    few = placed.where("blocks is null").drop("blocks").join(alone.select("label"), "label").join(shingles, "node")
+    small = few.select(
+        F.pmod(F.xxhash64("label"), F.lit(packs)).alias("task"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"),
+        F.col("label").alias("place"), "node", "copies", F.lit(0).alias("side"), "shingles",
+    )
+    many = placed.where("blocks is not null").join(shingles, "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    many = many.select("label", "node", "copies", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
+    wide = many.select(
+        F.col("label").alias("task"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
+        F.lit(0).cast("long").alias("place"), "node", "copies", (F.col("own") > F.col("with")).cast("int").alias("side"), "shingles",
+    )
+    return cut(small.unionByName(wide).groupBy("task", "i", "j").applyInArrow(_verify, "node long, links long, hub long"))
+
+
+def needed_depth(ranges: list[int], recall: float = RECALL) -> int:
+    """The prefix by which pairs of the lowest of these ranges of similarity meet with the target probability."""
+    lowest = SIMILAR + (1 - SIMILAR) * min(ranges, default=RANGES) / RANGES
+    return prefix_depth(TREES, DEEPEST, lowest, recall)
+
+
+def _found_links(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, links, hub) of all linked sets, by prefixes that are shortened until the target recall is met."""
+    steps = sets.select("node", F.posexplode("paths").alias("tree", "path"))
+    # Sets that meet no other at the shortest prefix that can be needed meet none at a longer one.
+    shortest = F.shiftrightunsigned("path", 8 * (DEEPEST - prefix_depth(TREES, DEEPEST, SIMILAR, RECALL)))
+    steps = steps.withColumn("prefix", shortest)
+    held = steps.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    matched = cut(steps.join(held.select("tree", "prefix"), ["tree", "prefix"], "left_semi").select("node", "tree", "path"))
+    wanted = matched.select("node").distinct().join(sets.select("node", "copies", "digest", "width", F.col("first.rk").alias("rk")), "node")
+    once = wanted.join(rows.select("rk", "text"), "rk").distinct()  # as partitioned by the join
+    shingles = cut(_shingle_sets(once, "text").where("found = digest").select("node", "copies", "width", "shingles"))
+    depth, found, before = DEEPEST, None, None
+    while True:
+        near = _neighbourhoods(matched, depth)
+        weighed = near.join(shingles.select("node", "width"), "node").groupBy("label")
+        sizes = cut(weighed.agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("width") + SET_WEIGHT).alias("weight")))
+        grown = sizes if before is None else sizes.join(before, ["label", "size"], "left_anti")
+        new = _verified(near, grown, shingles)
+        if found is None:
+            found = new
+        else:
+            again = near.join(grown.select("label"), "label", "left_semi").select("node")
+            found = found.where("node < 0").unionByName(found.where("node >= 0").join(again, "node", "left_anti")).unionByName(new)
+        ranges = [-1 - r.node for r in found.where("node < 0").select("node").distinct().collect()]  # RANGES rows at most
+        if needed_depth(ranges) >= depth:
+            return found.where("node >= 0")
+        depth, before = needed_depth(ranges), sizes.select("label", "size")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,56 +270,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     have no shingles and link to nothing.  Rows with null keys take part and sort after all others.  An empty table gives an
     empty one; other columns are left out.
 
-    Recall: a pair at the threshold becomes a candidate with probability RECALL at least, and pairs that are more similar
-    with a higher one; what is found is exact on 64-bit shingle hashes.  Work in a neighbourhood of k different near
-    copies grows as k squared, spread over tasks of BLOCK x BLOCK pairs; equal sets count once.
+    Recall: prefixes are shortened until pairs of each similarity at which links were found become candidates with probability
+    RECALL at least; what is found is exact on 64-bit shingle hashes.  Work in a neighbourhood of k different near copies grows
+    as k squared, since that many links may have to be counted, spread over tasks of two blocks each; equal sets count once.
     """
     rows = docs.select(F.col(f"`{key}`").alias("key"), row_key(key, text).alias("rk"), F.col(f"`{text}`").alias("text"))
-    depth = prefix_depth(TREES, DEEPEST, SIMILAR, RECALL)
-    sketch = cut(_sketch(rows, "text", depth))
+    sketch = cut(_sketch(rows, "text"))
     first = F.min(F.struct(F.col("key").isNull().alias("unknown"), F.col("key").alias("key"), F.col("rk").alias("rk")))
     sets = cut(
         sketch.where("digest is not null")
         .groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("copies"), first.alias("first"), F.first("paths").alias("paths"))
+        .agg(F.count(F.lit(1)).alias("copies"), first.alias("first"), F.first("width").alias("width"), F.first("paths").alias("paths"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    steps = sets.select("node", F.posexplode("paths").alias("tree", "path"))
-    shared = steps.groupBy("tree", "path").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "path", "b")
-    near = components(steps.join(shared, ["tree", "path"]).select(F.col("node").alias("a"), "b").where("a <> b"))
-    sizes = near.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    salted = near.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    sized = salted.join(sizes.select("label", "size", salts), ["label", "salt"], "left").select("node", "label", F.coalesce("size", F.lit(BLOCK)).alias("size"))
-    n_near = near.count()
-    packs = max(1, -(-n_near // PACK))
-    wanted = sized.join(sets.select("node", "copies", "digest", F.col("first.rk").alias("rk")), "node")
-    once = wanted.join(rows.select("rk", "text"), "rk").dropDuplicates(["rk", "node", "text"])  # as partitioned by the join
-    texts = _shingle_sets(once, "text").where("found = digest")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    own = F.pmod(F.xxhash64("node"), blocks)
-    small = texts.where(F.col("size") <= BLOCK).select(
-        F.pmod(F.xxhash64("label"), F.lit(packs)).alias("task"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"),
-        F.col("label").alias("place"), "node", "copies", F.lit(0).alias("side"), "shingles",
-    )
-    other = texts.where(F.col("size") > BLOCK).select("label", "node", "copies", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("with"))
-    large = other.select(
-        F.col("label").alias("task"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
-        F.lit(0).cast("long").alias("place"), "node", "copies", (F.col("own") > F.col("with")).cast("int").alias("side"), "shingles",
-    )
-    found = cut(small.unionByName(large).groupBy("task", "i", "j").applyInArrow(_verify, "node long, links long, hub long"))
+    found = cut(_found_links(sets, rows))
     labels = components(found.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    linked = cut(sets.select("node", "first").join(labels, "node"))
+    leaders = linked.groupBy("label").agg(F.min("first").alias("leader"))
+    led = look_up(linked.select("node", "label"), leaders, "label").select("node", "leader")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = sets.select("digest", "node", "copies", "first").join(labels, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    leaders = named.groupBy("label").agg(F.min("first").alias("leader"))
-    classes = cut(named.join(leaders, "label").select("digest", "leader", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    joined = sketch.select("key", "rk", "digest").join(classes, "digest", "left")
+    named = sets.select("digest", "node", "copies", "first").join(led, "node", "left").join(links, "node", "left")
+    classes = cut(named.select("digest", F.coalesce("leader", "first").alias("leader"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    own = sketch.select("key", "rk", "digest")
+    joined = look_up(own.where("digest is not null"), classes, "digest").select("key", "rk", "leader", "n_links")
+    blank = F.struct(F.col("key").isNull().alias("unknown"), F.col("key").alias("key"), F.col("rk").alias("rk")).alias("leader")
+    joined = joined.unionByName(own.where("digest is null").select("key", "rk", blank, F.lit(0).cast("long").alias("n_links")))
     return joined.select(
         F.col("key").alias(key),
         F.col("rk").alias("row_key"),
-        F.when(F.col("leader").isNull(), F.col("key")).otherwise(F.col("leader.key")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        (F.col("leader").isNull() | (F.col("leader.rk") == F.col("rk"))).alias("is_first"),
+        F.col("leader.key").alias("class_id"),
+        F.col("n_links").cast("long").alias("n_links"),
+        (F.col("leader.rk") == F.col("rk")).alias("is_first"),
     )
 
 

@@ -97,6 +97,30 @@ def test_prefix_is_as_long_as_recall_allows():
     assert 1 - (1 - 0.8**depth) ** 24 >= 0.9999 > 1 - (1 - 0.8 ** (depth + 1)) ** 24
 
 
+def test_prefixes_are_shortened_as_far_as_links_need():
+    assert lsh_forest.needed_depth([]) == lsh_forest.needed_depth([19]) == lsh_forest.DEEPEST
+    depths = [lsh_forest.needed_depth([k, 19]) for k in range(20)]
+    assert depths == sorted(depths) and depths[0] == lsh_forest.prefix_depth(24, 8, 0.8, 0.9999) < depths[-1]
+
+
+def test_paths_meet_as_often_as_similarity_says():
+    rng = np.random.default_rng(1)
+    for similar in (0.8, 0.85, 0.9):
+        sets, pairs, size = [], 2000, 180
+        shared = round(2 * size * similar / (1 + similar))
+        for _ in range(pairs):
+            every = rng.integers(0, 1 << 63, 2 * size - shared, dtype=np.uint64)
+            sets += [np.sort(every[:size]), np.sort(every[size - shared :])]
+        at = np.cumsum([0, *map(len, sets)])
+        paths = lsh_forest._paths(np.concatenate(sets), at).reshape(pairs, 2, lsh_forest.TREES)
+        true = shared / (2 * size - shared)
+        for depth in (5, 6, 8):
+            prefix = paths >> np.uint64(8 * (lsh_forest.DEEPEST - depth))
+            met = (prefix[:, 0] == prefix[:, 1]).any(axis=1).mean()
+            assert met >= 1 - (1 - true**depth) ** lsh_forest.TREES - 0.006
+        assert (paths[:, 0] == np.roll(paths[:, 1], 1, axis=0)).sum() == 0
+
+
 def test_op9(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.op9_ngram_jaccard(spark, sf_dir).collect()), key=str) == brute_classes(rows)
@@ -115,7 +139,7 @@ def test_near_copies_over_several_blocks(spark, monkeypatch):
         rows.append((k, " ".join(w)))
     rows += [(100 + k, rows[k][1]) for k in range(10)] + [(200 + k, words(rng, 80)) for k in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(lsh_forest, "BLOCK", 8)
+    monkeypatch.setattr(lsh_forest, "BLOCK", 8 * 650)
     got = lsh_forest.near_duplicates(docs).select("doc_id", "class_id", "n_links").collect()
     assert sorted(map(tuple, got), key=str) == brute_classes(rows)
 
