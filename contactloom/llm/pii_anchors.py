@@ -1,8 +1,9 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds anchors: at-signs, address schemes, plus signs, digits and the words that announce an
-identifier.  Around each anchor a local parser, which looks at nothing but the characters next to it, finds the boundaries of an
-email, address, number or account and validates it.
+One Aho-Corasick pass over a text finds anchors: at-signs, address schemes, plus signs, digits, words that announce an identifier, in
+any case, and the openings of well-known keys.  Around each anchor a local parser, which looks at nothing but the characters next to
+it, finds the boundaries of an email, address, number, account or secret and validates it: card numbers by Luhn's sum, bank accounts by
+the remainder by 97, routing and social security numbers by the rules of their issuers.
 """
 
 from __future__ import annotations
@@ -24,10 +25,19 @@ BASE = KINDS[:4]
 
 #: Schemes that open an address.
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "mailto:")
-#: Words that announce an account or identity number.
-ACCOUNT_CUES = ("iban", "account", "acct", "ssn", "passport", "routing", "tax id", "customer id", "member id")
+#: Words that announce an account or identity number, and the rule by which it is checked.
+ACCOUNT_CUES = {
+    "iban": "iban", "ssn": "ssn", "social security": "ssn", "routing": "aba", "aba": "aba", "account": "number", "acct": "number",
+    "passport": "number", "tax id": "number", "customer id": "number", "member id": "number",
+}
 #: Words that announce a credential.
-SECRET_CUES = ("token", "api_key", "api key", "apikey", "secret", "password", "passwd", "bearer")
+SECRET_CUES = ("token", "api_key", "api key", "apikey", "api-key", "secret", "password", "passwd", "bearer")
+# How keys of well-known services open, and what follows.
+KEY_FORMS = {
+    "AKIA": r"[A-Z0-9]{16}", "ASIA": r"[A-Z0-9]{16}", "ghp_": r"[A-Za-z0-9]{36,}", "gho_": r"[A-Za-z0-9]{36,}", "github_pat_": r"[A-Za-z0-9_]{40,}",
+    "glpat-": r"[A-Za-z0-9_-]{20,}", "xoxb-": r"[A-Za-z0-9-]{10,}", "xoxp-": r"[A-Za-z0-9-]{10,}", "AIza": r"[A-Za-z0-9_-]{35}", "sk_live_": r"[A-Za-z0-9]{16,}",
+    "eyJ": r"[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,8 +46,13 @@ _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[A-Za-z0-9._~%!$&*+,;=:@/?#\[\]-]+")
 #: What may stand between a cue and what it announces: a few words like "no." and a separator.
-_ACCOUNT = re.compile(r"(?:[\x20]?(?:no\.?|number|nr\.?|#))?[\x20]{0,3}[:=#]?[\x20]{0,3}((?=[A-Z0-9-]*[0-9]{2})[A-Z0-9](?:[\x20-]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
+_ACCOUNT = re.compile(r"(?i:[\x20]?(?:no\.?|number|nr\.?|#))?[\x20]{0,3}[:=#]?[\x20]{0,3}((?=[A-Z0-9\x20-]*[0-9]{2})[A-Z0-9](?:[\x20-]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
 _SECRET = re.compile(r"[\x20]{0,3}[:=][\x20]{0,3}[\"']?([A-Za-z0-9_+/=.-]{12,})")
+_BEARER = re.compile(r"[\x20]{1,3}([A-Za-z0-9_+/=.-]{16,})")
+_KEYS = {start: re.compile(rest + r"(?![A-Za-z0-9])") for start, rest in KEY_FORMS.items()}
+_DATE = re.compile(r"(?:[0-9]{4}[\x20-][0-9]{2}[\x20-][0-9]{2}|[0-9]{2}[\x20-][0-9]{2}[\x20-][0-9]{4})(?![0-9])")
+#: Capital ASCII letters as small ones; every character keeps its place.
+_SMALL = {c: c + 32 for c in range(65, 91)}
 
 
 def _luhn(digits: str) -> bool:
@@ -45,21 +60,41 @@ def _luhn(digits: str) -> bool:
     return sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
 
 
-def _cased(cue: str) -> set[str]:
-    return {cue, cue.upper(), cue.capitalize(), cue.title()}
+def _ends_of(found: str) -> list[int]:
+    """Where the whole groups of a run end, from the longest part to the shortest, as a word in capitals may follow a number."""
+    return [len(found), *(k for k in range(len(found) - 1, 5, -1) if found[k] in " -")]
+
+
+def account_end(found: str, rule: str) -> int:
+    """How much of `found` is a number that passes its rule; 0 if nothing does.  But for bank accounts each of its groups has a digit."""
+    if rule != "iban":
+        found = re.match("(?:[\x20-]?[A-Z]*[0-9][A-Z0-9]*)*", found)[0]
+    for end in _ends_of(found):
+        plain = re.sub("[\x20-]", "", found[:end]).upper()
+        digits = plain if plain.isdecimal() else ""
+        if rule == "iban":
+            right = 15 <= len(plain) <= 34 and plain[:2].isalpha() and plain[2:4].isdecimal() and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+        elif rule == "ssn":
+            right = len(digits) == 9 and digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+        elif rule == "aba":
+            right = len(digits) == 9 and int(digits) > 0 and sum(int(d) * (3, 7, 1)[k % 3] for k, d in enumerate(digits)) % 10 == 0
+        else:
+            right = sum(c.isdecimal() for c in plain) >= 6 and not _DATE.match(found)
+        if right:
+            return end
+    return 0
 
 
 def automaton() -> ahocorasick.Automaton:
-    """The anchors of all kinds."""
+    """The anchors of all kinds, in small letters."""
     found = ahocorasick.Automaton()
     for d in "0123456789":
-        found.add_word(d, (0, 1))
-    found.add_word("@", (1, 1))
-    found.add_word("+", (2, 1))
-    for code, cues in ((3, SCHEMES), (4, ACCOUNT_CUES), (5, SECRET_CUES)):
+        found.add_word(d, (0, 1, ""))
+    found.add_word("@", (1, 1, ""))
+    found.add_word("+", (2, 1, ""))
+    for code, cues in ((3, SCHEMES), (4, ACCOUNT_CUES), (5, SECRET_CUES), (6, KEY_FORMS)):
         for cue in cues:
-            for word in _cased(cue):
-                found.add_word(word, (code, len(word)))
+            found.add_word(cue.lower(), (code, len(cue), cue))
     found.make_automaton()
     return found
 
@@ -72,7 +107,8 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int
     """
     spans: list[tuple[int, int, int]] = []
     ends = [0] * len(KINDS)
-    for last, (code, size) in anchors.iter(text):
+    small = text.lower()
+    for last, (code, size, cue) in anchors.iter(small if len(small) == len(text) else text.translate(_SMALL)):
         if code == 0:
             if last >= ends[2]:
                 # A digit outside all runs so far starts the next maximal run of digits with single separators.
@@ -113,15 +149,22 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int
                 if end > last + 1:
                     ends[4] = end
                     spans.append((start, 4, end))
+        elif code == 6:
+            start = last + 1 - size
+            if start >= ends[6] and text[start : last + 1] == cue and not (start and text[start - 1].isalnum()) and (m := _KEYS[cue].match(text, last + 1)):
+                ends[6] = m.end()
+                spans.append((start, 6, m.end()))
         else:
             start = last + 1 - size
-            kind, parser = (5, _ACCOUNT) if code == 4 else (6, _SECRET)
             if start and text[start - 1].isalnum():
                 continue
-            m = parser.match(text, last + 1)
+            kind, parser = (5, _ACCOUNT) if code == 4 else (6, _SECRET)
+            m = parser.match(text, last + 1) or (_BEARER.match(text, last + 1) if cue == "bearer" else None)
             if m and m.start(1) >= ends[kind]:
-                ends[kind] = m.end(1)
-                spans.append((m.start(1), kind, m.end(1)))
+                end = m.end(1) if code == 5 else m.start(1) + (account_end(m[1], ACCOUNT_CUES[cue]) or -m.start(1))
+                if end > 0:
+                    ends[kind] = end
+                    spans.append((m.start(1), kind, end))
     spans.sort()
     return spans
 

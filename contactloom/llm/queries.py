@@ -66,7 +66,7 @@ def op6_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("pii", lambda s: s["kind"].isin(*pii_anchors.BASE))
     return found.select(
-        "doc_id", *[count(kind) for kind in pii_anchors.BASE],
+        "doc_id", *[count(kind) for kind in pii_anchors.KINDS], F.size("pii").cast("long").alias("n_spans"),
         F.sha2(pii_anchors.digest(base).cast("binary"), 256).alias("base_sha256"), pii_anchors.digest(F.col("pii")).alias("spans"),
     )
 
