@@ -8,6 +8,7 @@ shares one of the item's MinHash values makes the document a candidate, whose co
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -27,6 +28,8 @@ HASHES = 32
 BLOCK_ITEMS = 20_000
 #: Bytes of an item's text at most on the average of a block; beyond, blocks get smaller.
 BLOCK_BYTES = 16 << 20
+#: Items whose spelled-out shingles a worker keeps.
+CACHED = 2048
 
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -41,14 +44,22 @@ def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple]:
     return hashes, at, (data, starts, ends, bounds)
 
 
-def _sets(spelled: tuple, k: int) -> set[bytes]:
-    """The shingles of one text as strings."""
+def _words(spelled: tuple, k: int) -> list[bytes]:
+    """The words of one text, A-Z as a-z."""
     data, starts, ends, bounds = spelled
     lo, hi = bounds[k], bounds[k + 1]
-    if hi - lo < SHINGLE:
-        return set()
-    words = bytes(data[starts[lo] : ends[hi - 1]]).lower().split()
-    return {b" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+    return bytes(data[starts[lo] : ends[hi - 1]]).lower().split() if hi > lo else []
+
+
+def _runs(words: list[bytes], size: int) -> set[bytes]:
+    return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
+def _item_runs(item: str) -> tuple[int, set[bytes]]:
+    """The size of an item's shingles, five words or all of its fewer ones, and the shingles."""
+    words = item.encode().lower().split()
+    size = min(SHINGLE, len(words))
+    return size, _runs(words, size)
 
 
 def _classes(sizes: np.ndarray) -> dict[int, np.ndarray]:
@@ -58,13 +69,15 @@ def _classes(sizes: np.ndarray) -> dict[int, np.ndarray]:
 
 
 class Index:
-    """MinHash values of a block of items by size class."""
+    """MinHash values of a block of items by size class; items of fewer than five words by a hash of all their words."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list[int | None], texts: list[str]):
         hashes, at, spelled = _shingles(pa.array(texts, pa.large_string()))
-        self.ids = ids
-        self.sets = [_sets(spelled, k) for k in range(len(ids))]
-        sizes = np.array([len(s) for s in self.sets], np.int64)
+        n_words = np.diff(spelled[3])
+        self.ids, self.texts = ids, texts
+        #: Items are spelled out only where one is a candidate.
+        self.runs = functools.lru_cache(CACHED)(lambda k: _item_runs(texts[k]))
+        sizes = np.where(n_words >= SHINGLE, [len(set(hashes[at[k] : at[k + 1]].tolist())) for k in range(len(ids))], 0) if ids else np.zeros(0, np.int64)
         self.classes = []
         for top, items in _classes(sizes).items():
             tables = []
@@ -76,6 +89,12 @@ class Index:
                 tables.append((least[order], items[order], seen))
             if len(items):
                 self.classes.append((max(1, top // 4), tables))
+        self.short = {}
+        for size in range(1, SHINGLE):
+            items = np.flatnonzero(n_words == size)
+            if len(items):
+                order = np.argsort(hashes[at[items]], kind="stable")
+                self.short[size] = (hashes[at[items]][order], items[order])
 
     def search(self, texts: pa.Array) -> list[list[tuple[int, int, int]]]:
         """(item_id, n_shared, n_item) of each text's items, by item_id."""
@@ -105,15 +124,28 @@ class Index:
                 count = hi - lo
                 which = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
                 pairs.append(np.unique(np.repeat(owner[hit], count) * len(self.ids) + items[which]))
+        if self.short:
+            data, starts, ends, bounds = spelled
+            words = hash_words(data, starts, ends)
+        for size, (keys, items) in self.short.items():
+            runs, places = hash_shingles(words, bounds, size)
+            lo, hi = np.searchsorted(keys, runs, "left"), np.searchsorted(keys, runs, "right")
+            hit = np.flatnonzero(hi > lo)
+            count = (hi - lo)[hit]
+            which = np.repeat(lo[hit] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            pairs.append(np.unique(np.repeat(np.searchsorted(places, hit, "right") - 1, count) * len(self.ids) + items[which]))
         found: list[list[tuple[int, int, int]]] = [[] for _ in n]
-        spelled_out: tuple[int, set[bytes]] = (-1, set())
+        own: tuple[int, dict[int, set[bytes]]] = (-1, {})
         for code in np.unique(np.concatenate(pairs)) if pairs else ():
             doc, item = divmod(int(code), len(self.ids))
-            if spelled_out[0] != doc:
-                spelled_out = (doc, _sets(spelled, doc))
-            shared = len(self.sets[item] & spelled_out[1])
-            if shared >= CONTAINED * len(self.sets[item]):
-                found[doc].append((self.ids[item], shared, len(self.sets[item])))
+            if own[0] != doc:
+                words_of, own = _words(spelled, doc), (doc, {})
+            size, wanted = self.runs(item)
+            if size not in own[1]:
+                own[1][size] = _runs(words_of, size)
+            shared = len(wanted & own[1][size])
+            if shared >= CONTAINED * len(wanted):
+                found[doc].append((self.ids[item], shared, len(wanted)))
         return [sorted(x, key=lambda leak: (leak[0] is not None, leak[0] or 0)) for x in found]
 
 
@@ -127,14 +159,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     """`docs` with the benchmark items that each text contains in column `out`: an array of (item_id, n_shared, n_item).
 
     An item is contained if 0.8 or more of its distinct five-word shingles (A-Z as a-z, words parted by white space) stand in
-    the text.  Items of fewer than five words have no shingle and are in no text; so are null ones, and null or short
-    texts contain none.  Items with a null id count under null; items that are repeated are found as often.  Rows keep
-    their number and other columns; an input column named `out` is replaced; an empty benchmark leaves empty arrays.
+    the text.  An item of one to four words is one shingle, and contained where these words stand in a row.  Null, empty and
+    blank items are in no text, and null or empty texts contain none.  Items with a null id count under null; items that are
+    repeated are found as often.  Rows keep their number and other columns; an input column named `out` is replaced; an empty
+    benchmark leaves empty arrays.
+
+    A block of the benchmark, bounded in items and bytes, is what the driver and each worker hold at a time; its blocks lie on
+    disk as broadcasts.  Each block is one more step of the one pass over the documents.
     """
     items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("body")).where(F.col("body").isNotNull())
     n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
-    parts = [f"_leaks{k}" for k in range(blocks)]
+    free = "_leaks"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free = f"_{free}"
+    parts = [f"{free}{k}" for k in range(blocks)]
     for k, part in enumerate(parts):
         rows = items.where(F.pmod(F.xxhash64("id", "body"), F.lit(blocks)) == k).collect()
         shared = docs.sparkSession.sparkContext.broadcast(([r.id for r in rows], [r.body for r in rows]))
