@@ -55,11 +55,16 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and verdict of the current policy for every document."""
     judged = rule_ledger.ledger(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits",
-        (~rule_ledger.passes("base")).alias("base_failed"), rule_ledger.passes("v1").alias("kept"),
+        "doc_id", *rule_ledger.MEASURES, "fail_bits", (~rule_ledger.passes("base")).alias("base_failed"),
+        rule_ledger.passes(rule_ledger.CURRENT).alias("kept"), rule_ledger.failed_alone(rule_ledger.CURRENT).alias("failed_alone"),
     )
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy, and its absence, does to the whole table."""
+    return rule_ledger.ablations(rule_ledger.ledger(_read(spark, sf_dir, "documents").select("doc_id", "text")), rule_ledger.CURRENT)
+
+
 def op6_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the personal data in every document."""
     found = pii_anchors.detect(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -92,12 +97,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_license_align, op3_ring_shards, op4_quote_threads, op5_token_counts,
-        op6_pii_anchors, op7_decontam, op8_rule_ledger, op9_ngram_jaccard, op10_interp_lm,
+        op6_pii_anchors, op7_decontam, op8_rule_ledger, rule_ablations, op9_ngram_jaccard, op10_interp_lm,
     )
 }
 
 #: DuckDB SQL of op8, with the strings of windows where the operator compares hashes.
-_OP8 = r"""
+_LEDGER = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 m AS (
   SELECT doc_id, body, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
@@ -111,17 +116,34 @@ n AS (
   SELECT m.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(body, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
-         len(regexp_extract_all(body, '!!'))::BIGINT AS n_shouts, len(regexp_extract_all(body, '\p{Lu}{2,}'))::BIGINT AS n_capital_runs
+         len(regexp_extract_all(body, '!!'))::BIGINT AS n_shouts, len(regexp_extract_all(body, '\p{Lu}{2,}'))::BIGINT AS n_capital_runs,
+         len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*(?:[-*+•]|[0-9]+[.)])[\x20\x09]')))::BIGINT AS n_bullets,
+         len(list_filter(lines, lambda x: regexp_matches(x, '(?:\.\.\.|…)[\x20\x09\x0D]*$')))::BIGINT AS n_ellipses,
+         len(regexp_extract_all(body, '[0-9]'))::BIGINT AS n_digits,
+         len(list_intersect(words, [STOP]))::BIGINT AS n_stop_words
   FROM m LEFT JOIN r ON m.doc_id = r.doc_id),
 b AS (
   SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
     + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_shouts > n_words THEN 8 ELSE 0 END
     + CASE WHEN 10 * n_capital_runs > 3 * n_words THEN 16 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END
-    + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 64 ELSE 0 END)::BIGINT AS fail_bits
+    + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 64 ELSE 0 END
+    + CASE WHEN 10 * n_bullets > 9 * n_lines THEN 128 ELSE 0 END + CASE WHEN 10 * n_ellipses > 3 * n_lines THEN 256 ELSE 0 END
+    + CASE WHEN 2 * n_digits > word_chars THEN 512 ELSE 0 END + CASE WHEN n_stop_words < 2 THEN 1024 ELSE 0 END)::BIGINT AS fail_bits
   FROM n)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits,
-       (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept
+""".replace("STOP", ", ".join(f"'{w}'" for w in rule_ledger.STOP_WORDS))
+
+_OP8 = _LEDGER + """
+SELECT *, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 1023) = 0 AS kept,
+       CASE WHEN bit_count(fail_bits & 1023) = 1 THEN fail_bits & 1023 ELSE 0 END AS failed_alone
+FROM b
+"""
+
+_ABLATIONS = _LEDGER + f"""
+SELECT unnest([{", ".join(f"'{r}'" for r in rule_ledger.POLICIES["v2"])}]) AS rule,
+       unnest([{", ".join(f"count(*) FILTER ((fail_bits & {1 << k}) <> 0)" for k in range(10))}]) AS n_failed,
+       unnest([{", ".join(f"count(*) FILTER ((fail_bits & 1023) = {1 << k})" for k in range(10))}]) AS n_failed_alone,
+       unnest([{", ".join(["count(*) FILTER ((fail_bits & 1023) = 0)"] * 10)}]) AS n_kept, unnest([{", ".join(["count(*)"] * 10)}]) AS n_rows
 FROM b
 """
 
-SQL: dict[str, str] = {"op8_rule_ledger": _OP8}
+SQL: dict[str, str] = {"op8_rule_ledger": _OP8, "rule_ablations": _ABLATIONS}

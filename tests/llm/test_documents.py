@@ -294,7 +294,11 @@ def measured(text):
 
 
 def test_ledger(spark, odd_docs, no_docs):
-    for r in rule_ledger.ledger(odd_docs.withColumn("N_words", F.lit("x"))).collect():
+    crowded = odd_docs.withColumns({"N_words": F.lit("x"), "_words": F.lit(1), "_lines": F.lit(2), "_l_words": F.lit(3)})
+    judged = rule_ledger.ledger(crowded)
+    assert set(judged.columns) == {*odd_docs.columns, "_words", "_lines", "_l_words", *rule_ledger.MEASURES, "fail_bits"}
+    for r in judged.collect():
+        assert (r._words, r._lines, r._l_words) == (1, 2, 3)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == measured(r.text)
         assert (r.fail_bits & 1 > 0) == (r.n_words < 50) and (r.fail_bits & 2 > 0) == (100 * r.n_repeat_words > 50 * r.n_words)
     kept = rule_ledger.apply_policy(odd_docs, "v1")
@@ -305,12 +309,21 @@ def test_ledger(spark, odd_docs, no_docs):
 def test_ablations(spark, sf_dir, no_docs):
     judged = rule_ledger.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     bits = [r.fail_bits for r in judged.select("fail_bits").collect()]
+    of = rule_ledger.mask("v1")
     for r in rule_ledger.ablations(judged, "v1").collect():
         b = rule_ledger.bit(r.rule)
-        assert (r.n_failed, r.n_failed_alone, r.n_kept, r.n_rows) == (sum(x & b > 0 for x in bits), sum(x == b for x in bits), sum(x == 0 for x in bits), len(bits))
+        assert (r.n_failed, r.n_failed_alone, r.n_kept, r.n_rows) == (sum(x & b > 0 for x in bits), sum(x & of == b for x in bits), sum(x & of == 0 for x in bits), len(bits))
     assert [r.n_rows for r in rule_ledger.ablations(rule_ledger.ledger(no_docs), "base").collect()] == [0, 0]
 
 
+def test_rules_of_lines_digits_and_stop_words(spark):
+    texts = ["- one\n* two\n1. three\n\u2022 four", "and so on...\nthe end\u2026 \r\nstop", "12345 678 a", "the cat and the dog", "-no bullet\n1.5 neither"]
+    rows = rule_ledger.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [(r.n_bullets, r.n_ellipses, r.n_digits, r.n_stop_words) for r in rows] == [(4, 0, 1, 0), (0, 2, 0, 2), (0, 0, 8, 0), (0, 0, 0, 2), (0, 0, 2, 0)]
+    failed = [[rule for rule in ("bullets", "ellipses", "digits", "stop_words") if r.fail_bits & rule_ledger.bit(rule)] for r in rows]
+    assert failed == [["bullets", "stop_words"], ["ellipses"], ["digits", "stop_words"], [], ["stop_words"]]
+
+
 def test_verdict_follows_labels(spark):
     sf = "/root/testdata/sf0.01"
     kept = {r.doc_id: r.kept for r in queries.op8_rule_ledger(spark, sf).where("n_words >= 50").collect()}
