@@ -14,7 +14,7 @@ from contactloom.plans.shipping import ensure_on_workers
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that fail none of the current policy's rules."""
-    return rule_ledger.apply_policy(docs, "v1")
+    return rule_ledger.apply_policy(docs, rule_ledger.CURRENT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
