@@ -1,11 +1,12 @@
 """Reply-ordered conversations by quotation linking.
 
-Lines that start with quote marks are parsed into levels; each passage quoted at the first level is normalised and hashed, and
-joined to the message of the same conversation that said it.  A message answers the latest message it quotes, else the one before
-it.  Messages are then ordered along these replies and formatted without the quotes.
+Lines that start with quote marks are parsed into levels.  The passages that a message says itself and those that it quotes at each level
+are normalised and hashed: every line, and every paragraph as one passage however its lines are broken.  Quoted passages are joined to
+the latest earlier message of the conversation that said them.  A message answers the latest message that it quotes at its lowest
+level of those found, else the one before it.  Messages are then ordered along these replies and formatted without the quotes.
 
-Everything is DataFrame functions.  No conversation is gathered into one row or task: what needs an order inside a conversation
-is computed in blocks of turns, and from one row for each block.
+Everything is DataFrame functions.  No conversation is gathered into one row or task: what needs an order inside a conversation is
+computed inside the partitions of a sort by range, and from one row for each of these.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns of a block within which a conversation's messages are ordered by one task.
-BLOCK = 1024
+from ..plans.lineage import cut
+
+#: Parts in which the messages that say a passage meet its quotes.
+SALTS = 16
 _MARKS = r"^(?:[\x20\t]*>)+"
 #: The line by which mail programs introduce a quote.
 _SAID = r"(?i)^[\x20\t]*(?:on\b.{1,200}\bwrote|.{1,100}\b(?:wrote|writes|said)|.{1,100}\bschrieb|.{1,100}\ba écrit|.{1,100}\bescribió)[\x20\t]*:[\x20\t]*$"
+_SPACE = r"[\x20\x09-\x0D\x01\x02]+"
 
 
 def quote_level(line: Column) -> Column:
@@ -27,59 +31,105 @@ def quote_level(line: Column) -> Column:
 
 def normalised(line: Column) -> Column:
     """A line without quote marks, in lower case, its white space single."""
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, _MARKS, "")), r"[\x20\x09-\x0D]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, _MARKS, "")), _SPACE, " "))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
+def _introduces(lines: Column, line: Column, i: Column) -> Column:
+    """Whether a line introduces the quote that follows it."""
+    return line.rlike(_SAID) & F.coalesce(F.get(lines, i + 1).rlike(_MARKS), F.lit(False))
 
 
 def own_text(text: Column) -> Column:
     """A message without its quotes and the lines that introduce them."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    after = lambda i: F.coalesce(F.get(lines, i + 1).rlike(_MARKS), F.lit(False))
-    own = F.filter(lines, lambda line, i: ~line.rlike(_MARKS) & ~(line.rlike(_SAID) & after(i)))
+    lines = _lines(text)
+    own = F.filter(lines, lambda line, i: ~line.rlike(_MARKS) & ~_introduces(lines, line, i))
     return F.regexp_replace(F.array_join(own, "\n"), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
 
-def passages(text: Column, quoted: bool) -> Column:
-    """Hashes of a message's distinct lines of level 1 if `quoted`, else of its own; blank lines are left out."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    level = quote_level
-    kept = F.filter(lines, lambda line: (level(line) == (1 if quoted else 0)) & (normalised(line) != ""))
-    return F.array_distinct(F.transform(kept, lambda line: F.sha2(normalised(line), 256)))
-
+def passages(messages: DataFrame, text: str) -> DataFrame:
+    """`messages` with (level, hash) instead of `text`, a row for each distinct passage; level 0 is what the message says itself.
 
-def running(rows: DataFrame, conversation: str, turn: str, value: Column, fold, out: str, before: bool) -> DataFrame:
-    """`rows` (one for each turn) with the fold of `value` over the turns up to each, itself left out if `before`.
-
-    fold is max or sum.  A conversation's blocks are folded first, then the few folds before each block.
+    A passage is a line that is not blank, or the lines of one level that follow each other without a blank one; the line that
+    introduces a quote is none.
     """
-    block = F.floor(F.col(turn) / BLOCK)
-    inner = Window.partitionBy(conversation, "_block").orderBy(turn)
-    inner = inner.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    marked = rows.withColumn("_block", block).withColumn("_value", value)
-    blocks = marked.groupBy(conversation, "_block").agg(fold("_value").alias("_whole"))
-    past = fold("_whole").over(Window.partitionBy(conversation).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.withColumn("_past", past).select(F.col(conversation).alias("_c"), F.col("_block").alias("_b"), "_past")
-    inside = marked.withColumn("_inside", fold("_value").over(inner))
-    joined = inside.join(blocks, F.col(conversation).eqNullSafe(F.col("_c")) & F.col("_block").eqNullSafe(F.col("_b")))
-    both = F.greatest("_past", "_inside") if fold is F.max else F.coalesce("_past", F.lit(0)) + F.coalesce("_inside", F.lit(0))
-    return joined.withColumn(out, both).drop("_block", "_value", "_c", "_b", "_past", "_inside")
+    others = [c for c in messages.columns if c != text]
+    lines = messages.select(*others, _lines(F.col(text)).alias("_l"))
+    levelled = lines.select(
+        *others,
+        F.transform("_l", lambda line, i: F.struct(quote_level(line).alias("level"), F.when(_introduces(F.col("_l"), line, i), "").otherwise(normalised(line)).alias("said"))).alias("_l"),
+    )
+    # A paragraph starts where the level changes or after a blank line; one string holds all of them, parted by marks.
+    before = lambda i: F.get(F.col("_l"), i - 1)
+    starts = lambda x, i: (i == 0) | (before(i)["level"] != x["level"]) | (before(i)["said"] == "")
+    marked = lambda x, i: F.when(starts(x, i), F.concat(F.lit("\x01"), x["level"].cast("string"), F.lit("\x02"), x["said"])).otherwise(x["said"])
+    whole = F.array_join(F.transform(F.col("_l"), lambda x, i: F.when(x["said"] != "", marked(x, i)).otherwise("\x01")), " ")
+    parts = F.filter(F.transform(F.split(whole, "\x01"), lambda p: F.trim(p)), lambda p: p != "")
+    paragraphs = F.transform(parts, lambda p: F.struct(F.substring_index(p, "\x02", 1).cast("int").alias("level"), F.substring_index(p, "\x02", -1).alias("said")))
+    both = F.array_union(F.filter("_l", lambda x: x["said"] != ""), paragraphs)
+    hashed = levelled.select(*others, F.explode(F.transform(both, lambda x: F.struct(x["level"].alias("level"), F.sha2(x["said"], 256).alias("hash")))).alias("_p"))
+    return hashed.select(*others, F.col("_p.level").alias("level"), F.col("_p.hash").alias("hash")).distinct()
+
+
+def dealt(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """`rows` with `block`: parts of the sorted rows, none larger than a shuffle partition, however many rows have the same `by`."""
+    return cut(rows.repartitionByRange(*by, order).withColumn("block", F.spark_partition_id()))
+
+
+def _carried(rows: DataFrame, by: list[str], **folds: tuple[Column, Column]) -> DataFrame:
+    """Rows of dealt() with, for each name, a fold of all earlier blocks of their `by`: (what folds a block, what folds those)."""
+    each = rows.groupBy(*by, "block").agg(*[inside.alias(name) for name, (inside, _) in folds.items()])
+    past = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("block").alias("_block"), *[over.over(past).alias(name) for name, (_, over) in folds.items()])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    on = F.col("block") == F.col("_block")
+    for s in same:
+        on = on & s
+    return rows.join(before, on).drop("_block", *[f"_{c}" for c in by])
+
+
+def quoted_sources(spoken: DataFrame) -> DataFrame:
+    """(c, t, source): for each message that quotes earlier ones the one that it answers; `spoken` is (c, t, level, hash)."""
+    quotes = spoken.where("level > 0").groupBy("c", "t", "hash").agg(F.min("level").alias("level"))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("qs")
+    wanted = quotes.select(F.col("c").alias("qc"), F.col("hash").alias("qh")).distinct().select("qc", "qh", salts)
+    said = spoken.where("level = 0").select("c", "t", "hash", F.pmod(F.xxhash64("t"), F.lit(SALTS)).alias("salt"))
+    on = F.col("c").eqNullSafe(F.col("qc")) & (F.col("hash") == F.col("qh")) & (F.col("salt") == F.col("qs"))
+    said = said.join(wanted, on, "left_semi").select("c", "t", "hash", F.col("t").alias("said"), F.lit(None).cast("int").alias("level"))
+    rows = said.unionByName(quotes.select("c", "t", "hash", F.lit(None).cast("long").alias("said"), "level"))
+    rows = dealt(rows.groupBy("c", "hash", "t").agg(F.max("said").alias("said"), F.min("level").alias("level")), ["c", "hash"], "t")
+    earlier = Window.partitionBy("block", "c", "hash").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _carried(rows, ["c", "hash"], past=(F.max("said"), F.max("past"))).withColumn("source", F.greatest("past", F.max("said").over(earlier)))
+    found = rows.where("level is not null and source is not null")
+    # The lowest level first, then the latest message.
+    return found.groupBy("c", "t").agg(F.max(F.struct(-F.col("level"), F.col("source").alias("source")))["source"].alias("source"))
 
 
 def link_replies(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """(conversation, turn, parent, quoted), a row for each distinct turn of each conversation.
+    """(c, t, parent, quoted, branch, place), a row for each distinct turn of each conversation.
 
-    parent is the turn it answers: of the earlier messages that first said a line which this one quotes at level 1, the latest;
-    without any, the turn before; null for the first turn.  quoted is true where a quote made the link.  Messages that share a
-    turn count as one.  Null turns come before all others; a null conversation is one like any other.
+    parent is the turn it answers: of the messages that last said, before it, a passage which this one quotes, the latest of those
+    quoted at the lowest level; without any, the turn before; null for the first turn.  quoted is true where a quote made
+    the link.  Messages that share a turn count as one.  Null turns come before all others, quote nothing and are quoted by
+    none; a null conversation is one like any other.
     """
     m = messages.select(F.col(f"`{conversation}`").alias("c"), F.col(f"`{turn}`").cast("long").alias("t"), F.col(f"`{text}`").alias("x"))
-    turns = m.select("c", "t").distinct()
-    said = m.select("c", "t", F.explode(passages(F.col("x"), False)).alias("h")).groupBy("c", "h").agg(F.min("t").alias("source"))
-    quotes = m.select("c", "t", F.explode(passages(F.col("x"), True)).alias("h")).distinct()
-    linked = quotes.alias("q").join(said.alias("s"), F.col("q.c").eqNullSafe(F.col("s.c")) & (F.col("q.h") == F.col("s.h"))).where("source < t")
-    links = linked.groupBy(F.col("q.c").alias("lc"), F.col("t").alias("lt")).agg(F.max("source").alias("source"))
-    ordered = running(turns, "c", "t", F.col("t"), F.max, "previous", before=True)
-    joined = ordered.join(links, F.col("c").eqNullSafe(F.col("lc")) & (F.col("t") == F.col("lt")), "left")
-    return joined.select("c", "t", F.coalesce("source", "previous").alias("parent"), F.col("source").isNotNull().alias("quoted"), "previous")
+    links = quoted_sources(cut(passages(m.where("t is not null"), "x")))
+    links = links.select(F.col("c").alias("lc"), F.col("t").alias("lt"), "source")
+    turns = m.select("c", "t").distinct().join(links, F.col("c").eqNullSafe(F.col("lc")) & (F.col("t") == F.col("lt")), "left").select("c", "t", "source")
+    rows = dealt(turns, ["c"], "t")
+    inside = Window.partitionBy("block", "c").orderBy("t")
+    rows = _carried(rows, ["c"], last=(F.max("t"), F.max("last")), base=(F.count(F.lit(1)), F.sum("base")))
+    rows = rows.withColumn("previous", F.coalesce(F.lag("t").over(inside), "last")).withColumn("index", F.coalesce("base", F.lit(0)) + F.row_number().over(inside) - 1)
+    rows = rows.withColumn("parent", F.coalesce("source", "previous"))
+    starts = F.col("t").isNotNull() & (F.col("previous").isNull() | (F.col("parent") != F.col("previous")))
+    rows = rows.withColumn("start", F.when(starts, F.struct(F.col("t").alias("t"), F.col("index").alias("i"))))
+    rows = _carried(rows, ["c"], began=(F.max("start"), F.max("began")))
+    rows = rows.withColumn("start", F.coalesce(F.max("start").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "began"))
+    return rows.select("c", "t", "parent", F.col("source").isNotNull().alias("quoted"), F.col("start.t").alias("branch"), (F.col("index") - F.col("start.i")).cast("long").alias("place"))
 
 
 def reply_order(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -90,11 +140,7 @@ def reply_order(messages: DataFrame, conversation: str = "conv_id", turn: str =
     it answers.  body is the text without quotes; formatted is it between role marks.  A null text is empty, a null role `user`.
     Messages that share a turn share its place; those of a null turn have no branch and no place.  An empty table gives an empty one; other columns are left out.
     """
-    links = link_replies(messages, conversation, turn, text)
-    starts = F.when(F.col("previous").isNull() | (F.col("parent") != F.col("previous")), F.col("t"))
-    counted = running(links, "c", "t", F.lit(1), F.sum, "_index", before=True)
-    named = running(counted, "c", "t", F.when(starts.isNotNull(), F.struct(starts.alias("t"), F.col("_index").alias("i"))), F.max, "_start", before=False)
-    placed = named.select("c", "t", "parent", "quoted", F.col("_start.t").alias("branch"), (F.col("_index") - F.col("_start.i")).cast("long").alias("place"))
+    placed = link_replies(messages, conversation, turn, text)
     m = messages.select(
         F.col(f"`{conversation}`").alias("mc"), F.col(f"`{turn}`").cast("long").alias("mt"), F.coalesce(F.col(f"`{role}`"), F.lit("user")).alias("role"), own_text(F.col(f"`{text}`")).alias("body")
     )

@@ -14,7 +14,7 @@ import corpus_pipeline
 from contactloom.llm import components, interp_lm, lsh_forest, pii_anchors, queries, quote_threads, rule_ledger
 
 from .conftest import SCHEMA, words
-from .test_documents import contained, measured, shingles
+from .test_documents import contained, measured, runs, split
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -44,12 +44,99 @@ def test_replies(spark):
     assert quote_threads.reply_order(m.limit(0)).count() == 0
 
 
-def test_blocks_of_turns_change_nothing(spark, monkeypatch):
-    rows = [(c, t * 3, "user", f"line {c} {t}\n> line {c} {t * 7 % 11}") for c in range(3) for t in range(40)]
-    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    want = sorted(map(tuple, quote_threads.reply_order(m).collect()))
-    monkeypatch.setattr(quote_threads, "BLOCK", 7)
-    assert sorted(map(tuple, quote_threads.reply_order(m).collect())) == want
+def brute_threads(rows):
+    """{(conversation, turn): (parent, by quote, branch, place)} of (conversation, turn, text), the turns distinct."""
+    marks = re.compile(r"(?:[ \t]*>)+")
+    out = {}
+    for c in {r[0] for r in rows}:
+        said, branch, place, last = [], None, 0, None
+        for _, t, text in sorted(r for r in rows if r[0] == c):
+            groups, now = [], None
+            for line in text.split("\n"):
+                m = marks.match(line)
+                level, plain = (m[0].count(">") if m else 0), " ".join((line[m.end() :] if m else line).lower().split())
+                now = None if not plain else now if now and now[0] == level else groups.append((level, [])) or groups[-1]
+                if plain:
+                    now[1].append(plain)
+            each = {(level, p) for level, lines in groups for p in [*lines, " ".join(lines)]}
+            links = [(-level, s) for level, p in each if level for s in [max((u for u, q in said if q == p), default=None)] if s is not None]
+            parent = max(links)[1] if links else last
+            if last is None or parent != last:
+                branch, place = t, 0
+            else:
+                place += 1
+            out[c, t] = (parent, bool(links), branch, place)
+            said += [(t, p) for level, p in each if not level]
+            last = t
+    return out
+
+
+def random_threads(conversations, turns, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for c in range(conversations):
+        texts = []
+        for t in range(turns):
+            parts = [words(rng, rng.randint(1, 4)) if rng.random() < 0.8 else "ok thanks" for _ in range(rng.randint(1, 4))]
+            for _ in range(rng.randint(0, 2) if t else 0):
+                source = rng.choice(texts).split("\n")
+                lo = rng.randrange(len(source))
+                piece = source[lo : lo + rng.randint(1, 3)]
+                if rng.random() < 0.3:  # broken anew
+                    piece = " ".join(piece).split(" ")
+                mark = "> " if rng.random() < 0.7 else "> > "
+                at = rng.randint(0, len(parts))
+                parts[at:at] = [mark + x for x in piece] + ([""] if rng.random() < 0.5 else [])
+            texts.append("\n".join(parts))
+            rows.append((c, t * 3, texts[-1]))
+    return rows
+
+
+@pytest.mark.parametrize("partitions", [3, 40])
+def test_threads_equal_brute_force(spark, partitions):
+    rows = random_threads(4, 60, partitions)
+    m = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.conv_id, r.turn): (r.parent_turn, r.by_quote, r.branch, r.place) for r in quote_threads.reply_order(m).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert got == brute_threads(rows) and sum(q for _, q, _, _ in got.values()) > 60
+
+
+def test_threads_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(c, t, r, x) for k, (c, t, x) in enumerate(random_threads(3, 40, 8)) for r in [["user", None, "assistant"][k % 3]]]
+    rows += [(None, 1, "user", "On Monday Al wrote:\n> a\nb"), (None, 2, None, "> B\nOn Monday Al wrote:\n> b"), (0, None, "user", "> ok thanks"), (7, 0, None, None), (0, 3, "user", "twice")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = duck.execute(queries.SQL["op4_quote_threads"])
+    names = [c[0] for c in want.description]
+    assert sorted(map(str, queries.op4_quote_threads(spark, str(tmp_path)).select(*names).collect())) == sorted(map(str, [spark_row(names, r) for r in want.fetchall()]))
+
+
+def spark_row(names, values):
+    from pyspark.sql import Row
+
+    return Row(**dict(zip(names, values)))
+
+
+def test_quotes_at_deeper_levels_broken_anew_and_said_again(spark):
+    rows = [
+        (1, 0, "ok thanks"), (1, 1, "the quick brown fox\njumps over the dog"), (1, 2, "ok thanks"), (1, 3, "another matter"),
+        (1, 4, "> > The quick brown\n> > fox jumps over the dog\nI see"), (1, 5, "> ok thanks\nwelcome"), (1, 6, "x" * 3000 + "\n> nobody said this"),
+        (1, 7, "> another matter\n> > ok thanks\n\n\n"), (1, 8, ""), (1, 9, None),
+    ]
+    m = spark.createDataFrame([(c, t, None, x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.parent_turn, r.by_quote) for r in quote_threads.reply_order(m).collect()}
+    assert got == {0: (None, False), 1: (0, False), 2: (1, False), 3: (2, False), 4: (1, True), 5: (2, True), 6: (5, False), 7: (3, True), 8: (7, False), 9: (8, False)}
 
 
 def test_op4(spark, sf_dir):
@@ -65,7 +152,7 @@ def test_op4(spark, sf_dir):
 
 
 def sets_of(rows):
-    return [(k, shingles(t) or ({tuple(WORD.findall(lower(t)))} if WORD.search(t or "") else set())) for k, t in rows]
+    return [(k, runs(split(t), 5) or ({tuple(WORD.findall(lower(t)))} if WORD.search(t or "") else set())) for k, t in rows]
 
 
 def brute_classes(rows):
