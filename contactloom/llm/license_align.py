@@ -20,38 +20,12 @@ from pyspark.sql import types as T
 
 from ._batches import append_columns, text_buffers
 from ._words import PUNCTUATION, find_words, hash_words
+from .license_texts import COMMON, DECIDING, NEGATIONS, TEMPLATES
 
 COVERED = 0.8
 
-# Notices by which works state their license, and two short licenses.
-TEMPLATES: dict[str, str] = {
-    "MIT": "Released under the MIT License.",
-    "MIT-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-        "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
-        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
-        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
-        "substantial portions of the Software."
-    ),
-    "ISC-text": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
-        "that the above copyright notice and this permission notice appear in all copies."
-    ),
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-}
-
-# Words without which a notice names another license, all of which must be aligned, and words that make it another one, across
-# which none is aligned.  Long texts need neither.
-DECIDING: dict[str, tuple[str, str]] = {
-    "MIT": ("mit", ""),
-    "Apache-2.0": ("apache 2 0", ""),
-    "GPL-3.0": ("gnu general public 3", "lesser library affero"),
-    "CC-BY-NC-4.0": ("cc by nc 4 0", "sa nd sharealike noderivatives noderivs"),
-    "CC-BY-4.0": ("creative commons attribution 4 0", "nc sa nd noncommercial sharealike noderivatives noderivs non commercial share derivatives"),
-}
+#: Words before a notice, and two more of its first ones, in which a word like "not" makes it none.
+NEGATED = 3
 
 FOUND = T.StructType(
     [T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]
@@ -82,7 +56,8 @@ def longest_increasing(values: list[int]) -> list[int]:
 def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     """(place in text, place in template) of the aligned words, in order.
 
-    In a gap equal words at either end are matched first; where no word is unique on both sides, the gap stays open.
+    In a gap equal words at either end are matched first; where no word is unique on both sides, those that stand equally often on
+    both are anchors, the first with the first; without any, the gap stays open.
     """
     out: list[tuple[int, int]] = []
     gaps = [(0, len(text), 0, len(template))]
@@ -96,13 +71,15 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
             out.append((b, d))
         if a == b or c == d:
             continue
-        places: dict[int, int] = {}
+        places: dict[int, list[int]] = {}
         for k in range(a, b):
-            places[text[k]] = -1 if text[k] in places else k
-        wanted: dict[int, int] = {}
+            places.setdefault(text[k], []).append(k)
+        wanted: dict[int, list[int]] = {}
         for k in range(c, d):
-            wanted[template[k]] = -1 if template[k] in wanted else k
-        anchors = [(places[w], k) for w, k in wanted.items() if k >= 0 and places.get(w, -1) >= 0]
+            wanted.setdefault(template[k], []).append(k)
+        anchors = [(places[w][0], ks[0]) for w, ks in wanted.items() if len(ks) == 1 and len(places.get(w, ())) == 1]
+        if not anchors:
+            anchors = sorted(((x, k) for w, ks in wanted.items() if len(ks) == len(places.get(w, ())) for x, k in zip(places[w], ks)), key=lambda p: p[1])
         kept = [anchors[k] for k in longest_increasing([x for x, _ in anchors])]
         if not kept:
             continue
@@ -112,6 +89,17 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _best(found: list[tuple[str, float, int, int]], sizes: list[int], names: list[str]) -> list[tuple[str, float, int, int]]:
+    """Of occurrences that share half of the shorter one's range, those with the most aligned words less those that are missing."""
+    size = dict(zip(names, sizes, strict=True))
+    order = sorted(found, key=lambda f: (size[f[0]] * (1 - 2 * f[1]), f[2], f[3], f[0]))
+    kept: list[tuple[str, float, int, int]] = []
+    for f in order:
+        if all(2 * (min(f[3], g[3]) - max(f[2], g[2])) <= min(f[3] - f[2], g[3] - g[2]) for g in kept):
+            kept.append(f)
+    return kept
+
+
 def next_kept(kept: list[tuple[int, int]], place: int) -> tuple[int, int]:
     """The first of sorted, disjoint ranges that ends behind `place`; one beyond all texts if none does."""
     k = bisect_right(kept, place, key=lambda r: r[1])
@@ -133,10 +121,16 @@ class Scanner:
         rules = [DECIDING.get(name, ("", "")) if TEMPLATES.get(name) == body else ("", "") for name, body in templates.items()]
         self.needed = [set(np.flatnonzero(np.isin(t, _hashed(must))).tolist()) for t, (must, _) in zip(self.templates, rules)]
         self.others = [_hashed(other) for _, other in rules]
+        self.negations = _hashed(NEGATIONS)
         self.vocabulary = np.unique(np.concatenate(self.templates)) if templates else np.zeros(0, np.uint64)
         self.marked = np.zeros(1 << 16, bool)
         self.marked[self.vocabulary >> np.uint64(48)] = True
         self.own = [np.isin(self.vocabulary, t) for t in self.templates]
+        # Where a template is covered, so are most of its words that are not common ones: these say where to look.
+        common = _hashed(COMMON)
+        self.telling = [own & ~np.isin(self.vocabulary, common) for own in self.own]
+        self.need = [int(np.ceil(COVERED * len(t))) for t in self.templates]
+        self.need_telling = [n - int(np.isin(t, common).sum()) for n, t in zip(self.need, self.templates)]
 
     def scan(self, texts: pa.Array) -> list[list[tuple[str, float, int, int]]]:
         """(license, coverage, start byte, end byte) of each text."""
@@ -151,31 +145,28 @@ class Scanner:
         out: list[list[tuple[str, float, int, int]]] = [[] for _ in range(len(texts))]
         for which, template in enumerate(self.templates):
             size = len(template)
-            at = hit[self.own[which][code]]
-            if not size or not len(at):
+            rare = self.need_telling[which] > 0
+            need = self.need_telling[which] if rare else self.need[which]
+            at = hit[(self.telling if rare else self.own)[which][code]]
+            if not size or len(at) < need:
                 continue
-            need = int(np.ceil(COVERED * size))
             # Places from which a window of twice the template's length has enough of its words.
-            spread = np.full(len(at), 2 * size + 1)
-            if len(at) >= need:
-                spread[: len(at) - need + 1] = at[need - 1 :] - at[: len(at) - need + 1] + 1
-            owner = np.searchsorted(bounds, at, side="right") - 1
-            for doc in np.unique(owner[spread <= 2 * size]):
-                out[doc] += self._occurrences(words, template, which, at[(owner == doc)], int(bounds[doc]), int(bounds[doc + 1]), need, data, starts, ends, int(offsets[doc]))
+            spread = at[need - 1 :] - at[: len(at) - need + 1] + 1
+            first = at[: len(spread)][spread <= 2 * size]
+            if not len(first):
+                continue
+            every = hit[self.own[which][code]]
+            for doc in np.unique(np.searchsorted(bounds, first, side="right") - 1).tolist():
+                lo, hi = int(bounds[doc]), int(bounds[doc + 1])
+                own = every[np.searchsorted(every, lo) : np.searchsorted(every, hi)]
+                out[doc] += self._occurrences(words, template, which, own, lo, hi, self.need[which], data, starts, ends, int(offsets[doc]))
+        out = [_best(x, [len(t) for t in self.templates], self.names) for x in out]
         return [sorted(x, key=lambda f: (f[2], f[3], f[0])) for x in out]
 
     def _occurrences(self, words, template, which, at, lo, hi, need, data, starts, ends, base) -> list[tuple[str, float, int, int]]:
         size, wanted = len(template), template.tolist()
         places, own = at.tolist(), words[at].tolist()
         walls = [*(np.flatnonzero(np.isin(words[lo:hi], self.others[which])) + lo).tolist(), hi]
-        # Exact copies are best by any measure and need no alignment.
-        kept: list[tuple[int, int]] = []
-        for a, w in zip(places, own):
-            if w == wanted[0] and a + size <= hi and (not kept or a >= kept[-1][1]) and words[a : a + size].tolist() == wanted:
-                kept.append((a, a + size))
-        counts = {k: size for k in kept}
-        # Every other one starts at an anchor; the best goes first, and what it overlaps is aligned again in the room that is left.
-        heap: list[tuple[int, int, int, int, int]] = []
 
         def number(k: int) -> bool:
             return bool(np.all((data[starts[k] : ends[k]] >= 48) & (data[starts[k] : ends[k]] <= 57)))
@@ -185,8 +176,21 @@ class Scanner:
             must = self.needed[which]
             if not must <= {c for _, c in pairs}:
                 return False
+            begin = first + pairs[0][0]
+            if must and np.isin(words[max(lo, begin - NEGATED) : begin + NEGATED + 2], self.negations).any():
+                return False
             return not any(y > x + 1 and c in must and number(first + y) and number(first + x + 1) for (x, _), (y, c) in zip(pairs, pairs[1:]))
 
+        # Exact copies are best by any measure and need no alignment.
+        kept: list[tuple[int, int]] = []
+        for a, w in zip(places, own):
+            whole = w == wanted[0] and a + size <= hi and (not kept or a >= kept[-1][1]) and words[a : a + size].tolist() == wanted
+            if whole and names_it(a, [(k, k) for k in range(size)]):
+                kept.append((a, a + size))
+        counts = {k: size for k in kept}
+        # Every other one starts at an anchor; the best goes first, and what it overlaps is aligned again in the room that is left.
+        heap: list[tuple[int, int, int, int, int]] = []
+
         def offer(first: int, stop: int) -> None:
             # Over a smaller part as well, since a window may hold parts of two copies, whose words are not unique in it.
             each = (align(words[first:end].tolist(), wanted) for end in {stop, min(stop, first + size + size // 4)})
@@ -223,9 +227,10 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, text:
     """`df` with the licenses that stand in each whole text in column `out`: an array of (license, coverage, start, end).
 
     coverage is the share of the template's words (letters and digits, A-Z as a-z) that are aligned, 0.8 or more; start and end
-    are code points of the first aligned word's start and the last one's end.  Occurrences of one template never overlap; those of
-    different templates may.  Of the given templates, those of a few words need their deciding words (DECIDING): a notice of another
-    license or version is none of them.  A null or empty text has none.  Rows keep their number and other columns; an input column named `out`
+    are code points of the first aligned word's start and the last one's end.  Of occurrences that share more than half of the shorter one's
+    range the best is kept: the one with the most aligned words less those missing.  Of the given templates, notices and headers need
+    their deciding words (DECIDING): a notice of another license or version is none of them, nor one that a word like "not"
+    precedes.  A null or empty text has none.  Rows keep their number and other columns; an input column named `out`
     is replaced; an empty table gives an empty one.
     """
     templates = dict(TEMPLATES if templates is None else templates)
