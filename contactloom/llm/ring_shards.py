@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Cells of the ring; the loads of all are what the driver sees, whatever the number of rows.
 CELLS = 1 << 16
 VIRTUAL_NODES = 64
+#: Rows of a run of equal ones that are written out together.
+PIECE = 1 << 16
 
 
 def nodes(shards: int, virtual: int = VIRTUAL_NODES, cells: int = CELLS) -> list[tuple[int, int]]:
@@ -63,8 +65,8 @@ def assign(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
     weight says what is balanced: `rows`, whose numbers in two shards then differ by one at most (without slack), or `bytes`, whose
     sums then differ by a few rows' sizes.  With slack a shard may hold that share more, and fewer rows move when shards are added.
     slot numbers a shard's rows from 0 without gaps.  Rows lie on the ring by a hash of their key, those with a null key by
-    one of their text; of equal places the lower key and checksum goes first; repeated rows are rows of their own.  An empty
-    table gives an empty one; other columns are left out.
+    one of their text; of equal places the lower key and checksum goes first; repeated rows are rows of their own, counted before
+    they are shuffled.  An empty table gives an empty one; other columns are left out.
     """
     if weight not in ("rows", "bytes"):
         raise ValueError(weight)
@@ -73,25 +75,35 @@ def assign(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
     rows = df.select(F.col(f"`{key}`").alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     rows = rows.withColumn("place", F.xxhash64("key", F.when(F.col("key").isNull(), F.col("text_crc32"))))
     rows = rows.withColumn("cell", F.pmod("place", F.lit(CELLS)).cast("int"))
+    # Rows that are equal in all that is returned are one run, which is dealt as a range of numbers.
+    runs = rows.groupBy("cell", "place", "key", "text_crc32", "size").agg(F.count(F.lit(1)).alias("n"))
+    width = F.lit(1).cast("long") if weight == "rows" else F.col("size")
     load = F.count(F.lit(1)) if weight == "rows" else F.sum("size")
     loads = {r.cell: r.load for r in rows.groupBy("cell").agg(load.cast("long").alias("load")).collect()}  # CELLS rows at most
     plan = walk(loads, even_capacity(sum(loads.values()), shards, slack))
     # The plan has a row for each cell and one more for each shard that fills up.
     parts = F.broadcast(spark.createDataFrame(plan, "cell int, start long, end long, shard int"))
-    order = Window.partitionBy("cell").orderBy("place", "key", "text_crc32", "size")
-    before = F.sum(F.lit(1) if weight == "rows" else F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = rows.withColumn("before", before - (1 if weight == "rows" else F.col("size")))
-    placed = ranked.join(parts, "cell").where("before >= start and before < end")
+    order = Window.partitionBy("cell").orderBy("place", "key", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = runs.withColumn("before", F.sum(F.col("n") * width).over(order) - F.col("n") * width)
+    # A row belongs to the part in which it starts; a run may reach over several.
+    upto = lambda edge: F.least(F.greatest(F.ceil((F.col(edge) - F.col("before")) / width), F.lit(0)), F.col("n")).cast("long")
+    placed = ranked.join(parts, "cell").withColumns({"lo": upto("start"), "hi": upto("end")}).where("lo < hi")
     if weight == "rows":
         first, slots = {}, []
         for cell, start, end, shard in plan:
             slots.append((cell, start, shard, first.get(shard, 0)))
             first[shard] = first.get(shard, 0) + end - start
         bases = F.broadcast(spark.createDataFrame(slots, "cell int, start long, shard int, base long"))
-        slotted = placed.join(bases, ["cell", "start", "shard"]).withColumn("slot", F.col("base") + F.col("before") - F.col("start"))
+        numbered = placed.join(bases, ["cell", "start", "shard"]).withColumn("from", F.col("base") + F.col("before") + F.col("lo") - F.col("start"))
     else:
-        held = placed.groupBy("cell", "start", "shard").agg(F.count(F.lit(1)).alias("n"))
-        sums = held.withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy("cell", "start").rowsBetween(Window.unboundedPreceding, -1)))
-        inside = Window.partitionBy("cell", "start", "shard").orderBy("before", "place", "key", "text_crc32")
-        slotted = placed.withColumn("rank", F.row_number().over(inside) - 1).join(sums, ["cell", "start", "shard"]).withColumn("slot", F.coalesce("base", F.lit(0)) + F.col("rank"))
+        held = placed.groupBy("cell", "start", "shard").agg(F.sum(F.col("hi") - F.col("lo")).alias("held"))
+        sums = held.withColumn("base", F.sum("held").over(Window.partitionBy("shard").orderBy("cell", "start").rowsBetween(Window.unboundedPreceding, -1)))
+        inside = Window.partitionBy("cell", "start", "shard").orderBy("before").rowsBetween(Window.unboundedPreceding, -1)
+        counted = placed.withColumn("rank", F.coalesce(F.sum(F.col("hi") - F.col("lo")).over(inside), F.lit(0)))
+        numbered = counted.join(sums, ["cell", "start", "shard"]).withColumn("from", F.coalesce("base", F.lit(0)) + F.col("rank"))
+    ranges = numbered.select("key", "size", "text_crc32", "shard", "from", (F.col("from") + F.col("hi") - F.col("lo") - 1).alias("to"))
+    long = ranges.where(F.col("to") - F.col("from") >= PIECE).withColumn("at", F.explode(F.sequence("from", "to", F.lit(PIECE).cast("long"))))
+    pieces = long.withColumns({"from": F.col("at"), "to": F.least("to", F.col("at") + PIECE - 1)}).drop("at").repartition("key", "from")
+    every = ranges.where(F.col("to") - F.col("from") < PIECE).unionByName(pieces)
+    slotted = every.withColumn("slot", F.explode(F.sequence("from", "to")))
     return slotted.select(F.col("key").alias(key), "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))

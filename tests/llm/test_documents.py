@@ -183,6 +183,20 @@ def test_shards_balance_and_slots(spark, weight):
     assert (moved.shard_x != moved.shard_y).mean() < 0.35
 
 
+@pytest.mark.parametrize("weight", ["rows", "bytes"])
+def test_rows_that_repeat_are_split_over_shards(spark, monkeypatch, weight):
+    monkeypatch.setattr(ring_shards, "PIECE", 50)
+    repeated = spark.range(700).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    nulls = spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    docs = repeated.unionByName(nulls).unionByName(spark.range(200).select((F.col("id") + 10).alias("doc_id"), F.lit("other").alias("text")))
+    got = ring_shards.assign(docs, 4, weight=weight).toPandas()
+    assert len(got) == 1200 and (got["size"] == 10).sum() == 700 and got["doc_id"].isna().sum() == 300
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    sums = got.groupby("shard")["size"].sum() if weight == "bytes" else got.groupby("shard").size()
+    assert len(sums) == 4 and sums.max() - sums.min() <= (20 if weight == "bytes" else 1)
+
+
 def test_shards_of_odd_rows(odd_docs, no_docs):
     got = ring_shards.assign(odd_docs.withColumn("shard", F.lit("x")), 3).toPandas()
     assert len(got) == odd_docs.count() and sorted(got.groupby("shard").size())[-1] - sorted(got.groupby("shard").size())[0] <= 1
