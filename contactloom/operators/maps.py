@@ -62,6 +62,25 @@ def all_bins(cells: DataFrame) -> DataFrame:
     return cells.select(*KEY, "n").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
 
 
+def every_bin(held: DataFrame, *columns: str) -> DataFrame:
+    """(sample, chrom, n, bin, columns): rows of some bins of each map, with 0 in the bins between, before and after them.
+
+    One window over the rows that there are fills the gaps; maps without a row have none here either.
+    """
+    w = Window.partitionBy(*KEY).orderBy("bin")
+    first = F.when(F.lag("bin").over(w).isNull(), F.lit(0).cast("long")).otherwise(F.col("bin"))
+    edges = held.withColumn("_lo", first).withColumn("_hi", F.coalesce(F.lead("bin").over(w), "n") - 1)
+    spread = edges.select(*KEY, "n", F.col("bin").alias("_at"), *columns, F.explode(F.sequence("_lo", "_hi")).alias("bin"))
+    return spread.select(*BIN, *[F.when(F.col("bin") == F.col("_at"), F.col(c)).otherwise(0).alias(c) for c in columns])
+
+
+def with_mad(rows: DataFrame, value: str) -> DataFrame:
+    """`rows` with the `median` of `value` in their map and the unscaled `mad`, by windows of one partitioning."""
+    w = Window.partitionBy(*KEY)
+    mid = rows.withColumn("median", F.percentile(F.col(value), F.lit(0.5)).over(w))
+    return mid.withColumn("mad", F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).over(w))
+
+
 def intra(pixels: DataFrame, chroms: DataFrame) -> DataFrame:
     """The upper maps inside chromosomes (chrom, n) of binned pixels."""
     own = pixels.where("chrom1 = chrom2").withColumnRenamed("chrom1", "chrom").join(chroms.select("chrom", "n"), "chrom")
@@ -160,9 +179,8 @@ def good_bins(cells: DataFrame, n_mad: float = 3.0, s_min: float | None = None,
 
     With `symmetric` it is also below median + n_mad * 1.4826 MAD, or s_max.
     """
-    sums = all_bins(cells).join(bin_sums(cells), list(BIN), "left")
-    logs = sums.withColumn("log", F.log10(F.when(F.coalesce("total", F.lit(0.0)) == 0, 1.0).otherwise(F.col("total"))))
-    joined = logs.join(mad(logs, "log"), list(KEY))
+    sums = every_bin(bin_sums(cells), "total")
+    joined = with_mad(sums.withColumn("log", F.log10(F.when(F.col("total") == 0, 1.0).otherwise(F.col("total")))), "log")
     low = F.lit(s_min) if s_min is not None else F.col("median") - n_mad * 1.4826 * F.col("mad")
     high = F.lit(s_max) if s_max is not None else F.col("median") + n_mad * 1.4826 * F.col("mad")
     good = F.col("log") > low
@@ -171,10 +189,9 @@ def good_bins(cells: DataFrame, n_mad: float = 3.0, s_min: float | None = None,
 
 def mask_white_lines(cells: DataFrame, n_mads: float = 3.0) -> DataFrame:
     """(sample, chrom, n, bin, masked) of a whole map: the bin's zeros reach max(1, median + n_mads * MAD of all bins' zeros)."""
-    stored = cells.where("value <> 0").groupBy(*KEY, "n", F.col("bin2").alias("bin")).agg(F.count(F.lit(1)).alias("stored"))
-    zeros = all_bins(cells).join(stored, list(BIN), "left").withColumn("zeros", F.col("n") - F.coalesce("stored", F.lit(0)))
-    limit = F.greatest(F.lit(1.0), F.col("median") + n_mads * F.col("mad"))
-    return zeros.join(mad(zeros, "zeros"), list(KEY)).select(*BIN, (F.col("zeros") >= limit).alias("masked"))
+    stored = cells.groupBy(*KEY, "n", F.col("bin2").alias("bin")).agg(F.count_if(F.col("value") != 0).alias("stored"))
+    zeros = with_mad(every_bin(stored, "stored").withColumn("zeros", F.col("n") - F.col("stored")), "zeros")
+    return zeros.select(*BIN, (F.col("zeros") >= F.greatest(F.lit(1.0), F.col("median") + n_mads * F.col("mad"))).alias("masked"))
 
 
 def unmasked(cells: DataFrame, bins: DataFrame) -> DataFrame:
