@@ -6,6 +6,9 @@ which a chromosome is made.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from ..functions.columns import KEY, overlap
 
 #: Positions of a cell of the grid on which intervals meet.
 GRID = 1 << 12
+#: How many times longer a cell is than one of the level below.
+STEP = 8
 
 
 def chrom_sizes(layout: DataFrame) -> DataFrame:
@@ -24,11 +29,39 @@ def chrom_sizes(layout: DataFrame) -> DataFrame:
 def overlap_join(a: DataFrame, b: DataFrame, grid: int = GRID) -> DataFrame:
     """Pairs (a_id, b_id, chrom, overlap) of intervals (id, chrom, start, end) that share a position.
 
-    Both sides are cut by a grid; a pair is found in the first cell that both touch, once.
+    Intervals have levels by their length: cells of level k are STEP ** k grids long, and an interval touches two cells of its level at
+    most.  A pair meets in the cells of the higher of its two levels, so that a long interval has no more rows than a short one:
+    two at its own level and two at each higher one that the other side has.  A pair is found in the first cell that both touch.
     """
-    cell = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), "chrom", F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.explode(F.sequence(F.floor(F.col("start") / grid), F.floor((F.col("end") - 1) / grid))).alias("cell"))
-    rows = cell(a.where("end > start"), "a").join(cell(b.where("end > start"), "b"), ["chrom", "cell"])
-    first = F.floor(F.greatest("a_start", "b_start") / grid)
+    level = F.greatest(F.ceil(F.log((F.col("end") - F.col("start")) / grid) / math.log(STEP)), F.lit(0)).cast("int")
+
+    def levelled(d: DataFrame, p: str) -> DataFrame:
+        return d.where("end > start").select(F.col("id").alias(f"{p}_id"), "chrom", F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), level.alias(f"{p}_level"))
+
+    left, right = levelled(a, "a"), levelled(b, "b")
+    # Levels are few: one for each STEP-fold of length.
+    known = [sorted(r[0] for r in d.select(f"{p}_level").distinct().collect()) for d, p in ((left, "a"), (right, "b"))]
+
+    def placed(d: DataFrame, p: str, levels: list[int], own: bool) -> DataFrame:
+        """Rows at those of the other side's levels that are higher than their own, or not lower if `own`."""
+        at = F.filter(F.array(*[F.lit(k) for k in levels]), lambda k: (k >= F.col(f"{p}_level")) if own else (k > F.col(f"{p}_level")))
+        size = F.lit(grid) * F.pow(F.lit(STEP), F.col("level")).cast("long")
+        return cells(d.withColumn("level", F.explode(at)), p, size)
+
+    def cells(d: DataFrame, p: str, size) -> DataFrame:
+        return d.withColumn("cell", F.explode(F.sequence(F.floor(F.col(f"{p}_start") / size), F.floor((F.col(f"{p}_end") - 1) / size))))
+
+    def lying(d: DataFrame, p: str) -> DataFrame:
+        return cells(d.withColumn("level", F.col(f"{p}_level")), p, F.lit(grid) * F.pow(F.lit(STEP), F.col("level")).cast("long"))
+
+    on = ["chrom", "level", "cell"]
+    both = []
+    if known[0] and known[1]:
+        both.append(placed(left, "a", known[1], True).join(lying(right, "b"), on))
+        if known[0][-1] > known[1][0]:
+            both.append(lying(left, "a").join(placed(right, "b", known[0], False), on))
+    rows = reduce(DataFrame.unionByName, both) if both else lying(left, "a").join(lying(right, "b"), on)
+    first = F.floor(F.greatest("a_start", "b_start") / (F.lit(grid) * F.pow(F.lit(STEP), F.col("level")).cast("long")))
     shared = overlap(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
     return rows.where((F.col("cell") == first) & (shared > 0)).select("a_id", "b_id", "chrom", shared.alias("overlap"))
 
@@ -72,9 +105,10 @@ def locate(positions: DataFrame, layout: DataFrame, grid: int = GRID) -> DataFra
 
     outside is true, and the rest null, for positions beyond the chromosome.
     """
-    pieces = boundaries(layout).where("to > at")
-    cells = pieces.withColumn("cell", F.explode(F.sequence(F.floor(F.col("at") / grid), F.floor((F.col("to") - 1) / grid))))
-    held = positions.withColumn("cell", F.floor(F.col("coord") / grid)).join(cells, [*KEY, "cell"]).where("coord >= at and coord < to")
+    pieces = boundaries(layout).where("to > at").select(*KEY, "ord", "src_chrom", "start", "end", "is_reverse", "at", "to")
+    cells = pieces.withColumn("cell", F.explode(F.sequence(F.floor(F.col("at") / grid), F.floor((F.col("to") - 1) / grid)))).withColumnsRenamed({c: f"_{c}" for c in KEY})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]
+    inside = (F.floor(F.col("coord") / grid) == F.col("cell")) & (F.col("coord") >= F.col("at")) & (F.col("coord") < F.col("to"))
+    held = positions.join(cells, reduce(lambda x, y: x & y, same) & inside, "left")
     source = F.when(F.col("is_reverse"), F.col("end") - 1 - (F.col("coord") - F.col("at"))).otherwise(F.col("start") + F.col("coord") - F.col("at"))
-    found = held.select(*KEY, "coord", "ord", "src_chrom", source.alias("src_coord"))
-    return positions.join(found, [*KEY, "coord"], "left").withColumn("outside", F.col("ord").isNull())
+    return held.select(*[positions[c] for c in positions.columns], "ord", "src_chrom", source.alias("src_coord"), F.col("ord").isNull().alias("outside"))

@@ -114,18 +114,19 @@ def relative_insulation(cells: DataFrame, bins: DataFrame, windows: list[int]) -
     top = max(windows)
     r, c, w = F.col("bin1"), F.col("bin2"), F.col("w")
     ext = circular_extend(unmasked(cells, bins), top).where((r <= c) & (c - r < 2 * top)).withColumn("w", F.explode(F.array(*[F.lit(x) for x in windows])))
-    up = centres(ext, c + 1, r + w).select(*BIN, "w", F.col("value").alias("up"), F.lit(0.0).alias("down"), F.lit(0.0).alias("btw"))
-    down = centres(ext, c - w + 1, r).select(*BIN, "w", F.lit(0.0).alias("up"), F.col("value").alias("down"), F.lit(0.0).alias("btw"))
-    btw = centres(ext, F.greatest(r + 1, c - w + 1), F.least(r + w, c)).select(*BIN, "w", F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.col("value").alias("btw"))
-    sums = up.unionByName(down).unionByName(btw).groupBy(*BIN, "w").agg(*[F.sum(x).alias(x) for x in ("up", "down", "btw")])
-    parts = []
-    for x in windows:
-        left = good_around(bins, x, -1, "gl")
-        right = good_around(bins, 0, x - 1, "gr")
-        parts.append(left.join(right, list(BIN)).withColumn("w", F.lit(x)))
-    counts = parts[0]
-    for part in parts[1:]:
-        counts = counts.unionByName(part)
+    # Of the centres whose blocks hold a cell, those after its column have it in `up`, those up to its row in `down`, others between.
+    spread = centres(ext, c - w + 1, r + w)
+    within = lambda of: F.sum(F.when(of, F.col("value")).otherwise(0.0))
+    at = F.col("bin")
+    sums = spread.groupBy(*BIN, "w").agg(within(at > c).alias("up"), within(at <= r).alias("down"), within((at > r) & (at <= c)).alias("btw"))
+    # One running count of good bins, round the circle, gives those of every window by differences.
+    around = bins.select(*KEY, "n", "masked", F.explode(F.filter(F.array(at - F.col("n"), at, at + F.col("n")), lambda b: (b >= -top) & (b < F.col("n") + top))).alias("bin"))
+    order = Window.partitionBy(*KEY).orderBy("bin")
+    before = F.sum(F.when(F.col("masked"), 0).otherwise(1)).over(order) - F.when(F.col("masked"), 0).otherwise(1)
+    counted = around.withColumn("good", before)
+    total = F.sum(F.when(F.col("masked"), 0).otherwise(1)).over(Window.partitionBy(*KEY))
+    each = [F.struct(F.lit(x).alias("w"), (F.col("good") - F.lag("good", x).over(order)).alias("gl"), (F.coalesce(F.lead("good", x).over(order), total) - F.col("good")).alias("gr")) for x in windows]
+    counts = counted.withColumn("each", F.array(*each)).where("bin >= 0 and bin < n").select(*BIN, F.inline("each"))
     joined = counts.join(sums, [*BIN, "w"], "left").na.fill(0.0, ["up", "down", "btw"])
     cells_in = lambda g: w * w - w * (w + 1) / 2 + F.col(g) * (F.col(g) + 1) / 2
     joined = joined.withColumns({"up": ratio(F.col("up"), cells_in("gl")), "down": ratio(F.col("down"), cells_in("gr")), "btw": ratio(F.col("btw"), F.col("gl") * F.col("gr"))})

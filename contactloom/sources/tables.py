@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TRIPLES = "id1 long, id2 long, count long"
 FRAGMENTS = "id long, chrom string, start_pos long, end_pos long, size long, gc_content double"
 BINS = "chrom string, start long, end long, weight double"
 PIXELS = "bin1_id long, bin2_id long, count long"
@@ -15,19 +16,16 @@ TRACK = "chrom string, start long, end long, value double"
 
 
 def _tsv(spark: SparkSession, path: str, schema: str, header: bool = False) -> DataFrame:
-    return spark.read.csv(path, sep="\t", schema=schema, header=header)
+    return spark.read.csv(path, sep="\t", schema=schema, header=header, enforceSchema=True)
 
 
-def read_pixels(spark: SparkSession, path: str, sample: str) -> DataFrame:
-    """(sample, id1, id2, count): a sparse map as triples of fragment numbers and counts, from 0; its first line, the sizes, names no pair.
+def read_pixels(spark: SparkSession, path: str, sample: str, header: bool = True) -> DataFrame:
+    """(sample, id1, id2, count): a sparse map as triples of fragment numbers and counts, from 0.
 
-    The sizes line is the one whose first two numbers are the map's dimensions: the largest of either column, seen only there.
+    With `header` the first line of each file, whatever it says (sizes of the map or names), is left out, by its place and not by
+    its values.
     """
-    rows = spark.read.text(path).select(F.split("value", "\t").alias("f"))
-    cast = lambda k: F.get(F.col("f"), F.lit(k)).try_cast("long")
-    rows = rows.select(cast(0).alias("id1"), cast(1).alias("id2"), cast(2).alias("count")).where("id1 is not null and id2 is not null")
-    top = rows.agg(F.max("id1").alias("m"))
-    return rows.join(F.broadcast(top)).where(~((F.col("id1") == F.col("m")) & (F.col("id2") == F.col("m")))).select(F.lit(sample).alias("sample"), "id1", "id2", "count")
+    return _tsv(spark, path, TRIPLES, header=header).select(F.lit(sample).alias("sample"), "id1", "id2", "count")
 
 
 def read_fragments(spark: SparkSession, path: str) -> DataFrame:

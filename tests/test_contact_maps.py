@@ -1,6 +1,7 @@
 """Small cases with known results, invariants, and independent numpy versions."""
 
 import inspect
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -276,3 +277,41 @@ def test_readers_keep_types(spark, tmp_path):
     assert [(r.pos, r.value) for r in rows] == [(0, 1.5), (1, 1.5), (2, 1.5)]
     (tmp_path / "x.fa").write_text(">one first\nACG\nT\n>two\n\nGG\n")
     assert sorted(tuple(r) for r in tables.read_fasta(spark, str(tmp_path / "x.fa")).collect()) == [("one", "ACGT", 4), ("two", "GG", 2)]
+
+
+def test_pixels_keep_their_last_cell_under_any_header(spark, tmp_path):
+    for k, head in enumerate(("id_a\tid_b\tn_contact", "3\t3\t3", "2\t2\t3")):
+        path = tmp_path / f"p{k}"
+        path.mkdir()
+        (path / "map.txt").write_text(f"{head}\n0\t1\t5\n1\t1\t2\n2\t2\t7\n")
+        got = sorted((r.id1, r.id2, r.count_) for r in tables.read_pixels(spark, str(path), "s").withColumnRenamed("count", "count_").collect())
+        assert got == [(0, 1, 5), (1, 1, 2), (2, 2, 7)]
+        assert tables.read_pixels(spark, str(path), "s", header=False).count() == 4
+
+
+def test_locate_keeps_repeated_positions(spark):
+    layout = spark.createDataFrame([("s", "c", 0, "c", 0, 10, False), ("s", "c", 1, "c", 20, 30, True)], "sample string, chrom string, ord int, src_chrom string, start long, end long, is_reverse boolean")
+    positions = spark.createDataFrame([("s", "c", 3, "a")] * 3 + [("s", "c", 12, "b"), ("s", "c", 20, "x"), ("s", "c", 99, "x")], "sample string, chrom string, coord long, note string")
+    got = Counter((r.coord, r.note, r.ord, r.src_coord, r.outside) for r in intervals.locate(positions, layout).collect())
+    assert got == {(3, "a", 0, 3, False): 3, (12, "b", 1, 27, False): 1, (20, "x", None, None, True): 1, (99, "x", None, None, True): 1}
+
+
+def test_overlaps_of_short_and_long_intervals(spark):
+    import random
+
+    rng = random.Random(4)
+
+    def some(n):
+        rows = []
+        for i in range(n):
+            start = rng.randrange(3_000_000)
+            rows.append((i, rng.choice("xy"), start, start + rng.choice([0, 1, 30, 5000, 40_000, 2_000_000])))
+        return rows
+
+    a, b = some(120), some(120)
+    schema = "id long, chrom string, start long, end long"
+    want = sorted((i, j, min(e, f) - max(s, t)) for i, c, s, e in a for j, d, t, f in b if c == d and min(e, f) > max(s, t))
+    got = intervals.overlap_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema))
+    assert sorted((r.a_id, r.b_id, r.overlap) for r in got.collect()) == want
+    empty = spark.createDataFrame([], schema)
+    assert intervals.overlap_join(spark.createDataFrame(a, schema), empty).count() == intervals.overlap_join(empty, empty).count() == 0
