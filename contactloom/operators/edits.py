@@ -41,8 +41,8 @@ def _taken(pieces: list[Piece], start: int, end: int) -> tuple[int, int]:
 def replay(genome: dict[str, list[Piece]], edits: list[dict]) -> dict[str, list[Piece]]:
     """Applies edits in order.  Positions are those of the edited chromosomes at that time.
 
-    insert: source piece at pos.  invert, delete: of start to end.  duplicate: a copy of start to end, turned round if `invert`, at
-    pos.  translocate: start to end of src_chrom moves to pos of chrom, turned round if `invert`; pos is counted before it is taken out.
+    insert: source piece at pos.  invert, delete: of start to end.  duplicate: a copy of start to end of src_chrom, turned round if
+    `invert`, at pos of chrom.  translocate: that part moves there; pos is counted before it is taken out.  Without src_chrom it is chrom.
     """
     for e in edits:
         own = genome.setdefault(e["chrom"], [])
@@ -56,7 +56,7 @@ def replay(genome: dict[str, list[Piece]], edits: list[dict]) -> dict[str, list[
             a, b = _taken(own, e["start"], e["end"])
             del own[a:b]
         elif e["op"] in ("duplicate", "translocate"):
-            source = own if e["op"] == "duplicate" else genome[e["src_chrom"] or e["chrom"]]
+            source = genome[e["src_chrom"] or e["chrom"]]
             a, b = _taken(source, e["start"], e["end"])
             moved = _turned(source[a:b]) if e["invert"] else source[a:b]
             if e["op"] == "translocate":

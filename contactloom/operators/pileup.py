@@ -6,12 +6,18 @@ row; all others of a window are zeros, which the stack counts without writing th
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEY
+from ..plans.lineage import cut
 from .maps import unmasked
 
+#: Neighbours of a gene that random controls draw.
+DRAWS = 10
+
 
 def feature_bins(features: DataFrame, chroms: DataFrame, binning: int, window: int, circular: bool = True, track: bool = False) -> DataFrame:
     """(sample, chrom, gene_id, d, bin): the bin at each place d of each feature's window, null where there is none.
@@ -52,8 +58,8 @@ def extract_track_windows(track: DataFrame, features: DataFrame, chroms: DataFra
 
 def transcribed(genes: DataFrame, threshold: float) -> DataFrame:
     """Genes with `high`: whether the rpkm reaches the (100 - threshold)-th percentile of the sample's."""
-    cut = genes.groupBy("sample").agg(F.percentile("rpkm", F.lit(1 - threshold / 100)).alias("cut"))
-    return genes.join(cut, "sample").withColumn("high", F.col("rpkm") >= F.col("cut")).drop("cut")
+    limit = genes.groupBy("sample").agg(F.percentile("rpkm", F.lit(1 - threshold / 100)).alias("cut"))
+    return genes.join(limit, "sample").withColumn("high", F.col("rpkm") >= F.col("cut")).drop("cut")
 
 
 def tu_heads(genes: DataFrame, tu_length: int) -> DataFrame:
@@ -68,10 +74,11 @@ def tu_heads(genes: DataFrame, tu_length: int) -> DataFrame:
     return rows.where(F.when(F.col("strand") == "-", ~reverse).otherwise(~forward)).drop("_ps", "_pt", "_ns", "_nt")
 
 
-def control_features(heads: DataFrame, genes: DataFrame, chroms: DataFrame, mode: str, window: int, seed: int = 0, draws: int = 10) -> DataFrame:
+def control_features(heads: DataFrame, genes: DataFrame, chroms: DataFrame, mode: str, window: int, seed: int = 0, draws: int = DRAWS) -> DataFrame:
     """Features to compare with: the genes that are not transcribed, or `random-neighbor`: `draws` places near each head, by a seeded hash.
 
-    A neighbour lies within the window of its gene; near an end of the chromosome, within two windows of that end.
+    A neighbour lies within the window of its gene; near an end of the chromosome, within two windows of that end.  It is named by its
+    gene, a stroke and its number.
     """
     if mode == "non-transcribed":
         return genes.where("not high")
@@ -80,24 +87,59 @@ def control_features(heads: DataFrame, genes: DataFrame, chroms: DataFrame, mode
     rows = heads.join(chroms.select("chrom", "length"), "chrom").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     lo = F.when(F.col("tss") < window, F.lit(0)).when(F.col("tss") + window > F.col("length"), F.col("length") - 2 * window).otherwise(F.col("tss") - window)
     hi = F.when(F.col("tss") < window, F.col("tss") + 2 * window).when(F.col("tss") + window > F.col("length"), F.col("length")).otherwise(F.col("tss") + window)
-    place = lo + F.pmod(F.xxhash64("sample", "chrom", "gene_id", "draw", F.lit(seed)), hi - lo + 1)
-    return rows.withColumn("tss", place).withColumn("gene_id", F.concat_ws("/", F.col("gene_id").cast("string"), F.col("draw").cast("string"))).drop("length", "draw")
+    name = F.concat_ws("/", F.col("gene_id").cast("string"), F.col("draw").cast("string"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("/", "sample", "chrom", name, F.lit(str(seed))).cast("binary")), 1, 15), 16, 10).cast("long")
+    return rows.withColumn("tss", lo + hashed % (hi - lo + 1)).withColumn("gene_id", name).drop("length", "draw")
+
+
+def unknown_counts(gone: DataFrame) -> DataFrame:
+    """(sample, di, dj, unknown): how many features' windows do not know a cell, as its row or its column is gone."""
+    by = ["sample", "chrom", "gene_id"]
+    one = F.count(F.lit(1)).alias("k")
+    lost = gone.groupBy("sample", "d").agg(one)
+    wide = lambda here, other: lost.select("sample", F.col("d").alias(here), F.lit(None).cast("long").alias(other), F.col("k").alias("unknown"))
+    both = gone.withColumnRenamed("d", "di").join(gone.withColumnRenamed("d", "dj"), by).groupBy("sample", "di", "dj").agg(one)
+    rows = wide("di", "dj").unionByName(wide("dj", "di"))
+    return rows.unionByName(both.select("sample", "di", "dj", (-F.col("k")).alias("unknown")))
 
 
-def pileup(held: DataFrame, gone: DataFrame, features: DataFrame, w: int, operation: str = "mean") -> DataFrame:
+def mean_over_draws(held: DataFrame, gone: DataFrame, draws: int = DRAWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows of control_features' neighbours as one window for each gene: means over its draws, unknown cells left out.
+
+    Gives the cells that are not zero, the places that no draw knows, and single cells (sample, chrom, gene_id, di, dj) that none does.
+    """
+    gene = F.regexp_replace("gene_id", "/[0-9]+$", "").alias("gene_id")
+    key = [*KEY, "gene_id"]
+    sums = held.select(*KEY, gene, "di", "dj", "value").groupBy(*key, "di", "dj").agg(F.sum("value").alias("total"))
+    lost = gone.select(*KEY, gene, "d").groupBy(*key, "d").agg(F.count(F.lit(1)).alias("k"))
+    pair = gone.withColumnRenamed("d", "di").join(gone.withColumnRenamed("d", "dj"), key)
+    both = pair.select(*KEY, gene, "di", "dj").groupBy(*key, "di", "dj").agg(F.count(F.lit(1)).alias("both"))
+    rows, columns = lost.withColumnsRenamed({"d": "di", "k": "rows"}), lost.withColumnsRenamed({"d": "dj", "k": "columns"})
+    joined = sums.join(rows, [*key, "di"], "left").join(columns, [*key, "dj"], "left").join(both, [*key, "di", "dj"], "left").na.fill(0, ["rows", "columns", "both"])
+    means = joined.select(*key, "di", "dj", (F.col("total") / (draws - F.col("rows") - F.col("columns") + F.col("both"))).alias("value"))
+    some = lost.where(F.col("k") < draws)
+    crossed = some.withColumnsRenamed({"d": "di", "k": "rows"}).join(some.withColumnsRenamed({"d": "dj", "k": "columns"}), key).join(both, [*key, "di", "dj"], "left").na.fill(0, ["both"])
+    cells = crossed.where(F.col("rows") + F.col("columns") - F.col("both") >= draws).select(*key, "di", "dj")
+    return means, lost.where(F.col("k") >= draws).select(*key, "d"), cells
+
+
+def pileup(held: DataFrame, gone: DataFrame, features: DataFrame, w: int, operation: str = "mean", cells: DataFrame | None = None) -> DataFrame:
     """(sample, di, dj, value): means or medians over the features of their windows' cells, unknown ones left out, zeros counted.
 
-    A cell's number of zeros is that of features less those with a stored or unknown cell there.
+    A cell's number of zeros is that of features less those with a stored or unknown cell there; `cells` names unknown cells beside
+    those in lost rows and columns.
     """
     count = features.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
     place = F.sequence(F.lit(-w).cast("long"), F.lit(w).cast("long"))
     grid = count.withColumn("di", F.explode(place)).withColumn("dj", F.explode(place))
-    by = ["sample", "chrom", "gene_id"]
-    lost = gone.groupBy("sample", F.col("d").alias("di")).agg(F.count(F.lit(1)).alias("rows"))
-    lost_columns = lost.withColumnsRenamed({"di": "dj", "rows": "columns"})
-    both = gone.withColumnRenamed("d", "di").join(gone.withColumnRenamed("d", "dj"), by).groupBy("sample", "di", "dj").agg(F.count(F.lit(1)).alias("both"))
-    grid = grid.join(lost, ["sample", "di"], "left").join(lost_columns, ["sample", "dj"], "left").join(both, ["sample", "di", "dj"], "left").na.fill(0)
-    grid = grid.withColumn("known", F.col("n") - F.col("rows") - F.col("columns") + F.col("both"))
+    lost = unknown_counts(gone)
+    if cells is not None:
+        lost = lost.unionByName(cells.groupBy("sample", "di", "dj").agg(F.count(F.lit(1)).alias("unknown")))
+    # A lost row or column counts in all of its cells.
+    spread = lambda c: F.when(F.col(c).isNull(), place).otherwise(F.array(c))
+    lost = lost.withColumn("i", F.explode(spread("di"))).withColumn("j", F.explode(spread("dj"))).groupBy("sample", F.col("i").alias("di"), F.col("j").alias("dj")).agg(F.sum("unknown").alias("unknown"))
+    grid = grid.join(lost, ["sample", "di", "dj"], "left").na.fill(0, ["unknown"])
+    grid = grid.withColumn("known", F.col("n") - F.col("unknown"))
     if operation == "mean":
         sums = held.groupBy("sample", "di", "dj").agg(F.sum("value").alias("total"))
         joined = grid.join(sums, ["sample", "di", "dj"], "left")
@@ -115,19 +157,62 @@ def track_pileup(windows: DataFrame, operation: str = "mean") -> DataFrame:
     return windows.groupBy("sample", "d").agg(fold.alias("value"))
 
 
-def pileup_genes(cells: DataFrame, bins: DataFrame, genes: DataFrame, chroms: DataFrame, binning: int, window: int, threshold: float = 10, tu_length: int = 3000, mode: str = "non-transcribed", operation: str = "mean", circular: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Pileups of the heads of transcription units and of their controls."""
+class Pileups(NamedTuple):
+    """Pileups of maps (sample, di, dj, value) and of a track (sample, d, value), of heads and of their controls; None where there is none."""
+
+    heads: DataFrame
+    controls: DataFrame | None
+    track_heads: DataFrame | None
+    track_controls: DataFrame | None
+
+
+def pileup_genes(cells: DataFrame, bins: DataFrame, genes: DataFrame, chroms: DataFrame, binning: int, window: int, threshold: float = 10, tu_length: int = 3000, mode: str = "non-transcribed", operation: str = "mean", circular: bool = True, track: DataFrame | None = None, seed: int = 0) -> Pileups:
+    """Pileups of the heads of transcription units and of their controls, of maps and, if given, of a binned track (sample, chrom, bin, value).
+
+    Controls are the genes that are not transcribed; with `random-neighbor` DRAWS neighbours of each head, whose mean stands for it;
+    with `detrend`, for maps that are detrended already, none, and each place of the track is compared with the whole track's
+    mean or median.
+    """
+    w = window // binning
     ranked = transcribed(genes, threshold)
     heads = tu_heads(ranked.where("high"), tu_length)
-    controls = control_features(heads, ranked, chroms, mode, window)
-    stack = lambda f: pileup(*extract_windows(cells, bins, f, chroms, binning, window, circular), f, window // binning, operation)
-    return stack(heads), stack(controls)
+    windows = lambda f: extract_windows(cells, bins, f, chroms, binning, window, circular)
+    stack = lambda f: pileup(*windows(f), f, w, operation)
+    along = lambda f: extract_track_windows(track, f, chroms, binning, window, circular)
+    own = track_pileup(along(heads), operation) if track is not None else None
+    if mode == "detrend":
+        if track is None:
+            return Pileups(stack(heads), None, None, None)
+        level = track.groupBy("sample").agg((F.avg("value") if operation == "mean" else F.percentile("value", F.lit(0.5))).alias("value"))
+        return Pileups(stack(heads), None, own, own.select("sample", "d").join(level, "sample"))
+    controls = control_features(heads, ranked, chroms, mode, window, seed)
+    if mode == "non-transcribed":
+        return Pileups(stack(heads), stack(controls), own, track_pileup(along(controls), operation) if track is not None else None)
+    controls = cut(controls)
+    held, gone, unknown = mean_over_draws(*map(cut, windows(controls)))
+    other = None
+    if track is not None:
+        gene = F.regexp_replace("gene_id", "/[0-9]+$", "").alias("gene_id")
+        other = track_pileup(along(controls).groupBy(*KEY, gene, "d").agg(F.avg("value").alias("value")), operation)
+    return Pileups(stack(heads), pileup(held, gone, heads, w, operation, unknown), own, other)
 
 
-def pileup_contrast(pos: DataFrame, neg: DataFrame, ratio: bool = False, window: int | None = None) -> DataFrame:
-    """(sample, di, dj, value): pos - neg, or with `ratio` log10 of pos less log10 of neg (null unless both are above 0), within `window` bins."""
-    both = pos.join(neg.withColumnRenamed("value", "neg"), ["sample", "di", "dj"])
+def pileup_contrast(pos: DataFrame, neg: DataFrame | None, ratio: bool = False, window: int | None = None) -> DataFrame:
+    """(sample, di, dj, value): pos - neg, or with `ratio` log10 of pos less log10 of neg (null unless both are above 0), within `window` bins.
+
+    Without neg it is pos itself.
+    """
+    near = pos if window is None else pos.where((F.abs("di") <= window) & (F.abs("dj") <= window))
+    if neg is None:
+        return near.select("sample", "di", "dj", "value")
+    both = near.join(neg.withColumnRenamed("value", "neg"), ["sample", "di", "dj"])
     log = lambda c: F.log10(F.when(F.col(c) > 0, F.col(c)))
     value = log("value") - log("neg") if ratio else F.col("value") - F.col("neg")
-    near = both if window is None else both.where((F.abs("di") <= window) & (F.abs("dj") <= window))
-    return near.select("sample", "di", "dj", value.alias("value"))
+    return both.select("sample", "di", "dj", value.alias("value"))
+
+
+def track_contrast(pos: DataFrame, neg: DataFrame, window: int | None = None) -> DataFrame:
+    """(sample, d, value): the difference of two track pileups, within `window` bins."""
+    both = pos.join(neg.withColumnRenamed("value", "neg"), ["sample", "d"])
+    near = both if window is None else both.where(F.abs("d") <= window)
+    return near.select("sample", "d", (F.col("value") - F.col("neg")).alias("value"))

@@ -875,12 +875,6 @@ def _t05(spark, d):
     return pileup.control_features(ranked, ranked, fixtures.chroms(spark, d), "non-transcribed", 5000).select("gene_id")
 
 
-@_query("t05_random_neighbours")
-def _t05_random(spark, d):
-    ranked = pileup.transcribed(fixtures.genes(spark, d), 20)
-    return pileup.control_features(ranked.where("high"), ranked, fixtures.chroms(spark, d), "random-neighbor", 5000).select("gene_id", "tss", "strand")
-
-
 @_query("t06_pileup_mean", "sample di dj | value", _PLACES.format(genes="genes") + " SELECT_ sample, di, dj, avg(value) AS value FROM gw GROUP BY ALL")
 def _t06(spark, d):
     whole, bins, genes, chroms = _pile(spark, d)
@@ -896,7 +890,7 @@ def _t06_median(spark, d):
 @_query("t07_pileup_genes", "sample di dj | value", _HEADS + "," + _PLACES.format(genes="heads") + " SELECT_ sample, di, dj, avg(value) AS value FROM gw GROUP BY ALL")
 def _t07(spark, d):
     whole, bins, genes, chroms = _pile(spark, d)
-    return pileup.pileup_genes(whole, bins, genes, chroms, 1000, 5000, 20, 300)[0]
+    return pileup.pileup_genes(whole, bins, genes, chroms, 1000, 5000, 20, 300).heads
 
 
 @_query("t08_pileup_contrast", "sample di dj | value", _HEADS + "," + _PLACES.format(genes="heads") + """,
@@ -906,7 +900,74 @@ hw AS (SELECT sample, di, dj, avg(value) AS value FROM gw GROUP BY ALL)
 SELECT_ sample, di, dj, CASE WHEN h.value > 0 AND c.value > 0 THEN log10(h.value) - log10(c.value) END AS value FROM hw h JOIN cw c USING (sample, di, dj) WHERE abs(di) <= 3 AND abs(dj) <= 3""")
 def _t08(spark, d):
     whole, bins, genes, chroms = _pile(spark, d)
-    return pileup.pileup_contrast(*map(cut, pileup.pileup_genes(whole, bins, genes, chroms, 1000, 5000, 20, 300)), ratio=True, window=3)
+    piles = pileup.pileup_genes(whole, bins, genes, chroms, 1000, 5000, 20, 300)
+    return pileup.pileup_contrast(cut(piles.heads), cut(piles.controls), ratio=True, window=3)
+
+
+#: Neighbours of heads, the mean of their windows for each gene, and means and medians over genes.
+_NEIGHBOURS = _HEADS + """,
+nb AS (SELECT *, CASE WHEN tss < 5000 THEN 0 WHEN tss + 5000 > 64000 THEN 64000 - 10000 ELSE tss - 5000 END AS lo, CASE WHEN tss < 5000 THEN tss + 10000 WHEN tss + 5000 > 64000 THEN 64000 ELSE tss + 5000 END AS hi
+  FROM heads, (SELECT unnest(range(1, 11)) AS draw)),
+nn AS (SELECT sample, chrom, gene_id AS gene, gene_id || '/' || draw AS gene_id, strand, lo + CAST('0x' || substr(md5(sample || '/' || chrom || '/' || gene_id || '/' || draw || '/0'), 1, 15) AS BIGINT) % (hi - lo + 1) AS tss FROM nb)"""
+_DRAWN = _NEIGHBOURS + "," + _PLACES.format(genes="nn") + """,
+gd AS (SELECT sample, split_part(gene_id, '/', 1) AS gene, di, dj, avg(value) AS value FROM gw GROUP BY ALL)"""
+
+
+@_query("t05_random_neighbours", "gene_id tss strand", _NEIGHBOURS + " SELECT_ gene_id, tss, strand FROM nn")
+def _t05_random(spark, d):
+    ranked = pileup.transcribed(fixtures.genes(spark, d), 20)
+    heads = pileup.tu_heads(ranked.where("high"), 300)
+    return pileup.control_features(heads, ranked, fixtures.chroms(spark, d), "random-neighbor", 5000).select("gene_id", "tss", "strand")
+
+
+@_query("t07_random_neighbours_mean", "sample di dj | value", _DRAWN + " SELECT_ sample, di, dj, avg(value) AS value FROM gd GROUP BY ALL")
+def _t07_random(spark, d):
+    whole, bins, genes, chroms = _pile(spark, d)
+    return pileup.pileup_genes(whole, bins, genes, chroms, 1000, 5000, 20, 300, "random-neighbor").controls
+
+
+@_query("t07_random_neighbours_median", "sample di dj | value", _DRAWN + " SELECT_ sample, di, dj, median(value) AS value FROM gd GROUP BY ALL")
+def _t07_random_median(spark, d):
+    whole, bins, genes, chroms = _pile(spark, d)
+    return pileup.pileup_genes(whole, bins, genes, chroms, 1000, 5000, 20, 300, "random-neighbor", "median").controls
+
+
+#: A binned track of expression from the genes' own table, and its windows round features.
+_EXPRESSED = """
+ex AS (SELECT sample, chrom, tss // 1000 AS bin, sum(rpkm) AS value FROM genes GROUP BY ALL)"""
+_TRACK_AT = """
+{tag} AS (SELECT f.sample, f.gene_id, CASE WHEN strand = '-' THEN -1 ELSE 1 END * d AS d, coalesce(ex.value, 0) AS value FROM {features} f, (SELECT unnest(range(-5, 6)) AS d) LEFT JOIN ex ON ex.bin = ((tss // 1000 + d) % 64 + 64) % 64)"""
+
+
+def _expression(spark, d):
+    return fixtures.genes(spark, d).groupBy("sample", "chrom", F.floor(F.col("tss") / 1000).alias("bin")).agg(F.sum("rpkm").alias("value"))
+
+
+def _with_track(spark, d, mode):
+    whole, bins, genes, chroms = _pile(spark, d)
+    return pileup.pileup_genes(whole, bins, genes, chroms, 1000, 5000, 20, 300, mode, track=cut(_expression(spark, d)))
+
+
+@_query("t07_track_pileup", "sample d | value", _HEADS + "," + _EXPRESSED + "," + _TRACK_AT.format(tag="th", features="heads") + " SELECT_ sample, d, avg(value) AS value FROM th GROUP BY ALL")
+def _t07_track(spark, d):
+    return _with_track(spark, d, "non-transcribed").track_heads
+
+
+@_query("t08_track_contrast_neighbours", "sample d | value", _NEIGHBOURS + "," + _EXPRESSED + "," + _TRACK_AT.format(tag="th", features="heads") + "," + _TRACK_AT.format(tag="tn", features="nn") + """,
+tg AS (SELECT sample, split_part(gene_id, '/', 1) AS gene, d, avg(value) AS value FROM tn GROUP BY ALL),
+a AS (SELECT sample, d, avg(value) AS pos FROM th GROUP BY ALL), b AS (SELECT sample, d, avg(value) AS neg FROM tg GROUP BY ALL)
+SELECT_ sample, d, pos - neg AS value FROM a JOIN b USING (sample, d)""")
+def _t08_track(spark, d):
+    piles = _with_track(spark, d, "random-neighbor")
+    return pileup.track_contrast(piles.track_heads, piles.track_controls)
+
+
+@_query("t08_track_contrast_detrend", "sample d | value", _HEADS + "," + _EXPRESSED + "," + _TRACK_AT.format(tag="th", features="heads") + """,
+a AS (SELECT sample, d, avg(value) AS pos FROM th GROUP BY ALL)
+SELECT_ sample, d, pos - (SELECT avg(value) FROM ex) AS value FROM a WHERE abs(d) <= 4""")
+def _t08_detrend(spark, d):
+    piles = _with_track(spark, d, "detrend")
+    return pileup.track_contrast(piles.track_heads, piles.track_controls, window=4)
 
 
 # ---- intervals and layouts
