@@ -96,7 +96,8 @@ def coverage_ori_ter(coverage: DataFrame, chroms: DataFrame, cov_binning: int) -
         for width in range(3, len(v) // 2 + 1, 2):
             smooth = v
             for _ in range(2):
-                smooth = np.convolve(np.concatenate([smooth[-(width // 2) :], smooth, smooth[: width // 2]]), np.ones(width) / width, "valid")
+                running = np.cumsum(np.concatenate([[0.0], smooth[-(width // 2) :], smooth, smooth[: width // 2]]))
+                smooth = (running[width:] - running[:-width]) / width
             smooth = smooth.round(12)
             high, low = extremes(smooth), extremes(-smooth)
             if len(high) == 1 and len(low) == 1:

@@ -38,7 +38,7 @@ def _query(name: str, columns: str = "", sql: str = ""):
         QUERIES[name] = run
         if sql:
             head, _, body = sql.partition("SELECT_")
-            ctes = f"WITH {BASE}{', ' + head.strip().rstrip(',') if head.strip() else ''}"
+            ctes = f"WITH RECURSIVE {BASE}{', ' + head.strip().rstrip(',') if head.strip() else ''}"
             picked = [f'"{c}"' for c in plain] + [f'round("{c}" + {NUDGE}, {DIGITS}) + 0.0 AS "{c}"' for c in doubles]
             SQL[name] = f"{ctes} SELECT {', '.join(picked)} FROM (SELECT {body})"
         return run
@@ -434,7 +434,21 @@ def _a06(spark, d):
     return signals.local_score(_track_scores(spark, d)).drop("n")
 
 
-@_query("a07_final_borders")
+def _border_ctes(scores: str, min_dist: int) -> str:
+    """Candidates among the scores (sample, chrom, bin, score) of `scores`, and of those nearer than min_dist the ones that stay."""
+    return f"""
+rr AS (SELECT sample, chrom, bin, score, round(score, 12) AS v, max(bin) OVER (PARTITION BY sample, chrom) + 1 AS nb FROM {scores}),
+lm AS (SELECT sample, chrom, median(score) + stddev_pop(score) AS cut FROM {scores} GROUP BY ALL),
+pk AS (SELECT *, lag(v) OVER o AS a, lead(v) OVER o AS b FROM rr WINDOW o AS (PARTITION BY sample, chrom ORDER BY bin)),
+cd AS (SELECT p.sample, p.chrom, p.bin, p.score FROM pk p JOIN lm ON lm.sample = p.sample AND lm.chrom = p.chrom WHERE v > a AND v > b AND p.score >= cut
+  AND p.score > (SELECT max(y.score) FROM rr y WHERE y.sample = p.sample AND y.chrom = p.chrom AND (y.bin - p.bin + p.nb) % p.nb IN (2, p.nb - 2))),
+bg AS (SELECT sample, chrom, min(bin) AS bin FROM cd GROUP BY ALL
+  UNION ALL SELECT g.sample, g.chrom, min(c.bin) FROM bg g JOIN cd c ON c.sample = g.sample AND c.chrom = g.chrom AND c.bin >= g.bin + {min_dist} GROUP BY g.sample, g.chrom, g.bin),
+bd AS (SELECT g.sample, g.chrom, coalesce(max(c.bin), g.bin) AS bin FROM bg g JOIN cd x ON x.sample = g.sample AND x.chrom = g.chrom AND x.bin = g.bin
+  LEFT JOIN cd c ON c.sample = g.sample AND c.chrom = g.chrom AND c.bin > g.bin AND c.bin < g.bin + {min_dist} AND c.score > x.score GROUP BY g.sample, g.chrom, g.bin)"""
+
+
+@_query("a07_final_borders", "sample chrom bin", _TRACK_SCORES + "," + _border_ctes("sc", 4) + " SELECT_ * FROM bd")
 def _a07(spark, d):
     return signals.final_borders(_track_scores(spark, d), 4)[0]
 
@@ -447,14 +461,17 @@ def _a07_candidates(spark, d):
     return signals.final_borders(_track_scores(spark, d), 0)[0]
 
 
-@_query("a08_insulation_borders")
+_INSULATION = _CORR.format(grid="grid") + """,
+dc AS (SELECT c.sample, c.chrom, c.n, c.i, c.j, CASE WHEN d.m IS NULL THEN NULL ELSE r END AS m FROM cor c JOIN dense d ON c.sample = d.sample AND c.chrom = d.chrom AND c.i = d.i AND c.j = d.j),""" + _ri_ctes("dc") + """,
+rsc AS (SELECT sample, chrom, bin, CASE WHEN count(score) = 2 THEN avg(score) END AS score FROM rs GROUP BY ALL),""" + _local_ctes("rsc")
+
+
+@_query("a08_insulation_borders", "sample chrom bin", _INSULATION + "," + _border_ctes("local", 5) + " SELECT_ * FROM bd")
 def _a08(spark, d):
     return signals.insulation(_map(spark, d), [3, 5])[0]
 
 
-@_query("a08_insulation_scores", "sample chrom bin | score", _CORR.format(grid="grid") + """,
-dc AS (SELECT c.sample, c.chrom, c.n, c.i, c.j, CASE WHEN d.m IS NULL THEN NULL ELSE r END AS m FROM cor c JOIN dense d ON c.sample = d.sample AND c.chrom = d.chrom AND c.i = d.i AND c.j = d.j),""" + _ri_ctes("dc") + """,
-rsc AS (SELECT sample, chrom, bin, CASE WHEN count(score) = 2 THEN avg(score) END AS score FROM rs GROUP BY ALL),""" + _local_ctes("rsc") + " SELECT_ * FROM local")
+@_query("a08_insulation_scores", "sample chrom bin | score", _INSULATION + " SELECT_ * FROM local")
 def _a08_scores(spark, d):
     return signals.insulation(_map(spark, d), [3, 5])[1].drop("n")
 
@@ -641,6 +658,13 @@ def _a23(spark, d):
     return similarity.hicrep_matrix(cut(fixtures.upper(spark, d)), 6, h=1)
 
 
+@_query("a23_hicrep_matrix_whole", "sample_a sample_b | scc", _scc_sql("a.sample < b.sample").replace("SELECT_", ", pw AS (SELECT") + """)
+SELECT_ * FROM pw UNION ALL SELECT sample_b, sample_a, scc FROM pw UNION ALL SELECT DISTINCT sample, sample, 1.0 FROM up""")
+def _a23_whole(spark, d):
+    """As many contacts as any sample has, so that none is left out."""
+    return similarity.hicrep_matrix(cut(fixtures.upper(spark, d)), 6, size=1 << 40, h=1)
+
+
 # ---- tracks
 
 
@@ -776,15 +800,42 @@ def _s12(spark, d):
     return oriter.skew_candidates(fixtures.gc_skew(spark, d), 20)
 
 
-@_query("s12_gc_skew_shifts")
+_MERGED = _SHIFTS.replace("SELECT_", ", sk AS (SELECT") + """),
+sn AS (SELECT pos, cost, row_number() OVER (ORDER BY pos) AS k FROM sk),
+sm AS (SELECT k, pos AS best, cost, CAST(NULL AS BIGINT) AS done FROM sn WHERE k = 1
+  UNION ALL SELECT n.k, CASE WHEN n.pos > m.best + 20 * 200 OR n.cost < m.cost THEN n.pos ELSE m.best END, CASE WHEN n.pos > m.best + 20 * 200 OR n.cost < m.cost THEN n.cost ELSE m.cost END,
+    CASE WHEN n.pos > m.best + 20 * 200 THEN m.best END FROM sm m JOIN sn n ON n.k = m.k + 1),
+sh AS (SELECT done AS coord FROM sm WHERE done IS NOT NULL UNION ALL SELECT best FROM sm WHERE k = (SELECT max(k) FROM sm))"""
+
+
+@_query("s12_gc_skew_shifts", "chrom coord", _MERGED + " SELECT_ 'chr1' AS chrom, coord FROM sh")
 def _s12_shifts(spark, d):
     return oriter.gc_skew_shifts(fixtures.gc_skew(spark, d), 20)
 
 
-@_query("s13_detect_ori_ter")
+def _nearest(offset: int, guess: str) -> str:
+    """Of the shifts the nearest to the sites' center and to the place opposite; `guess` says which of them the sites mark."""
+    other = {"ori": "ter", "ter": "ori"}[guess]
+    return _MERGED + "," + _CENTER.format(offset=offset).replace("SELECT_", ", ce AS (SELECT").replace("FROM dd", "FROM dd)") + f""",
+gu AS (SELECT center AS {guess}, CASE WHEN center + 32000 > 64000 THEN center - 32000 ELSE center + 32000 END AS {other} FROM ce),
+ds AS (SELECT coord, least(abs(coord - ori), 64000 - abs(coord - ori)) AS d1, least(abs(coord - ter), 64000 - abs(coord - ter)) AS d2 FROM sh, gu)
+SELECT_ 'chr1' AS chrom, CASE WHEN count(*) > 1 THEN arg_min(coord, d1 * 100000 + coord) END AS ori, CASE WHEN count(*) > 1 THEN arg_min(coord, d2 * 100000 + coord) END AS ter FROM ds"""
+
+
+def _detected(spark, d, pars, mats):
+    return oriter.detect_ori_ter(cut(oriter.gc_skew_shifts(fixtures.gc_skew(spark, d), 20)), pars, mats, _track_chroms(spark, d))
+
+
+@_query("s13_detect_ori_ter", "chrom ori ter", _nearest(40000, "ter"))
 def _s13(spark, d):
-    shifts = cut(oriter.gc_skew_shifts(fixtures.gc_skew(spark, d), 20))
-    return oriter.detect_ori_ter(shifts, fixtures.sites(spark, d, 8000), fixtures.sites(spark, d, 40000).where("id <= 20"), _track_chroms(spark, d))
+    """By more than ten matS sites."""
+    return _detected(spark, d, fixtures.sites(spark, d, 8000), fixtures.sites(spark, d, 40000))
+
+
+@_query("s13_detect_by_pars", "chrom ori ter", _nearest(8000, "ori"))
+def _s13_pars(spark, d):
+    """By parS sites, where there are no matS ones: of the table none ends before it starts."""
+    return _detected(spark, d, fixtures.sites(spark, d, 8000), fixtures.sites(spark, d, 40000).where("end < start"))
 
 
 @_query("s14_coverage_ori_ter")

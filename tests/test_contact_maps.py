@@ -315,3 +315,78 @@ def test_overlaps_of_short_and_long_intervals(spark):
     assert sorted((r.a_id, r.b_id, r.overlap) for r in got.collect()) == want
     empty = spark.createDataFrame([], schema)
     assert intervals.overlap_join(spark.createDataFrame(a, schema), empty).count() == intervals.overlap_join(empty, empty).count() == 0
+
+
+def test_origins_by_coverage_equal_plain_numpy(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for k, (chrom, n) in enumerate((("a", 60), ("b", 90), ("c", 30), ("d", 75))):
+        x = np.arange(n)
+        v = np.zeros(n) if chrom == "d" else 5 + 2 * np.cos((x - 7 * k - 20) * 2 * np.pi / n) + rng.normal(0, 0.2, n)
+        rows += [("s", chrom, int(i) * 100 + 5, float(v[i])) for i in x]
+        if n > 50 and v.max() > v.min():
+            v = (v - v.min()) / (v.max() - v.min())
+            for width in range(3, n // 2 + 1, 2):
+                w = v
+                for _ in range(2):
+                    w = np.array([np.mean([w[(i + j) % n] for j in range(-(width // 2), width // 2 + 1)]) for i in range(n)])
+                w = w.round(12)
+                high = [i for i in range(1, n - 1) if w[i - 1] < w[i] > w[i + 1]]
+                low = [i for i in range(1, n - 1) if w[i - 1] > w[i] < w[i + 1]]
+                if len(high) == len(low) == 1:
+                    want[chrom] = (high[0] * 100, low[0] * 100)
+                    break
+            else:
+                want[chrom] = (0, n * 50)
+    coverage = spark.createDataFrame(rows, "sample string, chrom string, pos long, value double")
+    chroms = spark.createDataFrame([("a", 6000), ("b", 9000), ("c", 3000), ("d", 7500)], "chrom string, length long")
+    assert {r.chrom: (r.ori, r.ter) for r in oriter.coverage_ori_ter(coverage, chroms, 100).collect()} == want and len(want) == 2
+
+
+def test_random_edits_equal_edits_of_single_bases(spark):
+    import random
+
+    rng = random.Random(2)
+    layout, wanted, want = [], [], {}
+    for k in range(40):
+        genome = {}
+        for chrom in "ab":
+            pieces = [(chrom, i * 25, i * 25 + 25, rng.random() < 0.4) for i in range(4)]
+            layout += [(f"s{k}", chrom, i, *p) for i, p in enumerate(pieces)]
+            genome[chrom] = [(c, x, r) for c, a, b, r in pieces for x in (range(b - 1, a - 1, -1) if r else range(a, b))]
+        for seq in range(rng.randint(1, 5)):
+            chrom, src = rng.choice("ab"), rng.choice(["a", "b", None])
+            op = rng.choice(["insert", "invert", "delete", "translocate", "duplicate"])
+            of = genome[chrom if op in ("invert", "delete") else src or chrom]
+            start = rng.randint(0, len(of))
+            end = rng.randint(start, min(len(of), start + 40))
+            pos, flip = rng.randint(0, len(genome[chrom])), rng.random() < 0.5
+            if op == "translocate" and of is genome[chrom] and start < pos < end:
+                pos = start
+            wanted.append((f"s{k}", seq, op, chrom, pos, start, end, src if op != "insert" else "b", 10, 30, flip))
+            turn = lambda part: [(c, x, not r) for c, x, r in reversed(part)]
+            own, part = genome[chrom], of[start:end]
+            if op == "insert":
+                own[pos:pos] = turn([("b", x, False) for x in range(10, 30)]) if flip else [("b", x, False) for x in range(10, 30)]
+            elif op == "invert":
+                own[start:end] = turn(part)
+            elif op == "delete":
+                del own[start:end]
+            else:
+                part = turn(part) if flip else part
+                if op == "translocate":
+                    del of[start:end]
+                    if of is own and start < pos:
+                        pos -= end - start
+                own[pos:pos] = part
+        want |= {(f"s{k}", chrom): bases for chrom, bases in genome.items() if bases}
+    kinds = "sample string, chrom string, ord int, src_chrom string, start long, end long, is_reverse boolean"
+    after = edits.apply_edits(
+        spark.createDataFrame(layout, kinds),
+        spark.createDataFrame(wanted, "sample string, seq int, op string, chrom string, pos long, start long, end long, src_chrom string, src_start long, src_end long, invert boolean"),
+    )
+    got = {}
+    for r in sorted(after.collect(), key=lambda r: r.ord):
+        span = range(r.end - 1, r.start - 1, -1) if r.is_reverse else range(r.start, r.end)
+        got.setdefault((r.sample, r.chrom), []).extend((r.src_chrom, x, r.is_reverse) for x in span)
+    assert got == want
