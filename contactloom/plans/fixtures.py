@@ -11,12 +11,20 @@ from ..operators import maps
 SIZES = {"chr1": 64, "p1": 16}
 WHITE = (17, 40)
 BIN = 1000
+#: Suppliers whose contacts make up the maps of one group of samples, and events that make up its tracks: with larger tables there are more.
+SUPPLIERS, EVENTS = 100, 64_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _grouped(name: str, key: str, size: int):
+    """A sample's name: the first group's is plain, the others have their number."""
+    group = F.floor(F.col(key) / size)
+    return F.concat(F.col(name), F.when(group > 0, group.cast("string")).otherwise("")).alias("sample")
+
+
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample, chrom1, frag1, chrom2, frag2, id1, id2, count) from lineitem: 100 bp fragments, a row for each contact."""
     rows = read(spark, sf_dir, "lineitem")
@@ -25,7 +33,7 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     main, other = F.col("l_linenumber") <= 5, F.col("l_orderkey") % 10 == 0
     c1, c2 = F.when(main, "chr1").otherwise("p1"), F.when(main != other, "chr1").otherwise("p1")
     on = lambda c, x: F.when(c == "chr1", x).otherwise(x % 160)
-    rows = rows.select(F.col("l_returnflag").alias("sample"), c1.alias("chrom1"), on(c1, f).alias("frag1"), c2.alias("chrom2"), on(c2, g).alias("frag2"), F.lit(1).cast("long").alias("count"))
+    rows = rows.select(_grouped("l_returnflag", "l_suppkey", SUPPLIERS), c1.alias("chrom1"), on(c1, f).alias("frag1"), c2.alias("chrom2"), on(c2, g).alias("frag2"), F.lit(1).cast("long").alias("count"))
     number = lambda k: F.col(f"frag{k}") + F.when(F.col(f"chrom{k}") == "p1", 640).otherwise(0)
     return rows.withColumns({"id1": number(1), "id2": number(2)})
 
@@ -67,7 +75,7 @@ def chroms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample, chrom, pos, value) from events, positions on chr1."""
     rows = read(spark, sf_dir, "events")
-    return rows.groupBy(F.col("event_type").alias("sample"), F.lit("chr1").alias("chrom"), (F.col("event_id") * 37 % 64000).alias("pos")).agg(F.max("value").alias("value"))
+    return rows.groupBy(_grouped("event_type", "event_id", EVENTS), F.lit("chr1").alias("chrom"), (F.col("event_id") * 37 % 64000).alias("pos")).agg(F.max("value").alias("value"))
 
 
 def gc_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +143,7 @@ def fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same views as common table expressions of DuckDB.  grid is dense, dense has nulls in masked bins.
 BASE = """
 con AS (
-  SELECT l_returnflag AS sample, l_linenumber <= 5 AS main, l_orderkey % 10 = 0 AS other, (l_partkey * 7 + l_suppkey) % 640 AS f,
+  SELECT l_returnflag || CASE WHEN l_suppkey >= 100 THEN CAST(l_suppkey // 100 AS VARCHAR) ELSE '' END AS sample, l_linenumber <= 5 AS main, l_orderkey % 10 = 0 AS other, (l_partkey * 7 + l_suppkey) % 640 AS f,
          ((l_partkey * 7 + l_suppkey) % 640 + CAST(floor((l_quantity - 1) * (l_quantity - 1) / 4) AS BIGINT)) % 640 AS g
   FROM lineitem),
 con2 AS (SELECT *, CASE WHEN main THEN 'chr1' ELSE 'p1' END AS chrom1, CASE WHEN main <> other THEN 'chr1' ELSE 'p1' END AS chrom2 FROM con),
@@ -170,7 +178,7 @@ dense AS (
   SELECT g.sample, g.chrom, g.n, g.i, g.j, CASE WHEN a.masked OR b.masked THEN NULL ELSE v END AS m
   FROM grid g JOIN mask a ON a.sample = g.sample AND a.chrom = g.chrom AND a.bin = g.i
   JOIN mask b ON b.sample = g.sample AND b.chrom = g.chrom AND b.bin = g.j),
-tracks AS (SELECT event_type AS sample, 'chr1' AS chrom, event_id * 37 % 64000 AS pos, max(value) AS value FROM events GROUP BY ALL),
+tracks AS (SELECT event_type || CASE WHEN event_id >= 64000 THEN CAST(event_id // 64000 AS VARCHAR) ELSE '' END AS sample, 'chr1' AS chrom, event_id * 37 % 64000 AS pos, max(value) AS value FROM events GROUP BY ALL),
 skew AS (
   SELECT i, i * 200 AS start, i * 200 + 399 AS "end", (p - 250000) / 250000 + CASE WHEN i BETWEEN 40 AND 189 THEN 0.5 ELSE -0.5 END AS val
   FROM (SELECT o_orderkey % 300 AS i, avg(o_totalprice) AS p FROM orders GROUP BY ALL)),
