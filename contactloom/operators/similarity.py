@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +87,34 @@ def hicrep_matrix(upper: DataFrame, max_dist: int, size: int = 0, h: int = 0, se
     mirrored = found.select(F.col("sample_b").alias("sample_a"), F.col("sample_a").alias("sample_b"), "scc")
     own = upper.select(F.col("sample").alias("sample_a"), F.col("sample").alias("sample_b"), F.lit(1.0).alias("scc")).distinct()
     return found.unionByName(mirrored).unionByName(own)
+
+
+def cluster_order(matrix: DataFrame, share: float = 0.5) -> DataFrame:
+    """(sample, cluster, place): samples in an order that puts alike ones side by side, from all ordered pairs (sample_a, sample_b, scc).
+
+    Samples are rows of the matrix; of all groups the two whose farthest members are nearest are joined, until these are farther
+    apart than `share` of the largest distance.  Clusters are numbered by their first sample.  One task holds the matrix, which has a
+    row for each pair of samples and not of bins.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        table = rows.pivot(index="sample_a", columns="sample_b", values="scc").fillna(0.0)
+        names, points = list(table.index), table.to_numpy()
+        apart = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+        limit = share * apart.max(initial=0.0)
+        groups = [[k] for k in range(len(names))]
+        far = apart + np.diag(np.full(len(names), np.inf))
+        while len(groups) > 1:
+            i, j = divmod(int(far.argmin()), len(groups))
+            if far[i, j] > limit:
+                break
+            i, j = sorted((i, j))
+            groups[i] = sorted(groups[i] + groups.pop(j))
+            far[i] = np.maximum(far[i], far[j])
+            far[:, i] = far[i]
+            far[i, i] = np.inf
+            far = np.delete(np.delete(far, j, 0), j, 1)
+        flat = [(names[k], c) for c, group in enumerate(sorted(groups)) for k in group]
+        return pd.DataFrame({"sample": [n for n, _ in flat], "cluster": [c for _, c in flat], "place": range(len(flat))})
+
+    return matrix.groupBy().applyInPandas(run, "sample string, cluster int, place int")

@@ -658,6 +658,11 @@ def _a23(spark, d):
     return similarity.hicrep_matrix(cut(fixtures.upper(spark, d)), 6, h=1)
 
 
+@_query("a23_cluster_order")
+def _a23_order(spark, d):
+    return similarity.cluster_order(similarity.hicrep_matrix(cut(fixtures.upper(spark, d)), 6, size=1 << 40, h=1))
+
+
 @_query("a23_hicrep_matrix_whole", "sample_a sample_b | scc", _scc_sql("a.sample < b.sample").replace("SELECT_", ", pw AS (SELECT") + """)
 SELECT_ * FROM pw UNION ALL SELECT sample_b, sample_a, scc FROM pw UNION ALL SELECT DISTINCT sample, sample, 1.0 FROM up""")
 def _a23_whole(spark, d):
@@ -718,6 +723,17 @@ def _s03(spark, d):
     return tracks.smooth(fixtures.tracks(spark, d), _track_chroms(spark, d), 3.0, chunk=10_000)
 
 
+_SMOOTH_LINEAR = _SMOOTH.format(place="pos", where="").replace("FROM tracks, k", """FROM (
+    SELECT sample, pos + x AS pos, value, weight FROM tracks, k WHERE pos + x BETWEEN 0 AND 63999
+    UNION ALL SELECT sample, p, value, weight FROM tracks, k, (SELECT unnest(range(12)) AS p) WHERE tracks.pos = 0 AND p + x < 0
+    UNION ALL SELECT sample, 63999 - p, value, weight FROM tracks, k, (SELECT unnest(range(12)) AS p) WHERE tracks.pos = 63999 AND x - p > 0)""")
+
+
+@_query("s03_smooth_linear", "sample chrom pos | value", _SMOOTH_LINEAR)
+def _s03_linear(spark, d):
+    return tracks.smooth(fixtures.tracks(spark, d), _track_chroms(spark, d), 3.0, circular=False, chunk=10_000)
+
+
 @_query("s04_bin_track", "sample chrom bin | value", _TC + " SELECT_ sample, chrom, bin, value FROM bt")
 def _s04(spark, d):
     return _binned(spark, d)
@@ -736,6 +752,13 @@ def _s06(spark, d):
     return tracks.extract_track(fixtures.tracks(spark, d), _track_chroms(spark, d), 1500, ztransform=True)
 
 
+@_query("s06_extract_smoothed", "sample chrom bin place | value", _SMOOTH.format(place="(pos + x + 64000) % 64000", where="").replace("SELECT_", ", sv AS (SELECT") + """),
+y AS (SELECT sample, pos // 1500 AS bin, avg(value) AS value FROM sv GROUP BY ALL)
+SELECT_ sample, 'chr1' AS chrom, bin, bin AS place, (value - avg(value) OVER p) / stddev_pop(value) OVER p AS value FROM y WINDOW p AS (PARTITION BY sample)""")
+def _s06_smoothed(spark, d):
+    return tracks.extract_track(fixtures.tracks(spark, d), _track_chroms(spark, d), 1500, sigma=3.0, ztransform=True)
+
+
 _NMAD = "md AS (SELECT sample, median(value) AS med FROM bt GROUP BY ALL), ma AS (SELECT b.sample, med, median(abs(value - med)) AS mad FROM bt b JOIN md ON md.sample = b.sample GROUP BY ALL), nm AS (SELECT b.sample, chrom, bin, CASE WHEN abs(value - med) <= 1.5 * mad THEN value END AS value FROM bt b JOIN ma ON ma.sample = b.sample)"
 
 

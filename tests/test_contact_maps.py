@@ -390,3 +390,14 @@ def test_random_edits_equal_edits_of_single_bases(spark):
         span = range(r.end - 1, r.start - 1, -1) if r.is_reverse else range(r.start, r.end)
         got.setdefault((r.sample, r.chrom), []).extend((r.src_chrom, x, r.is_reverse) for x in span)
     assert got == want
+
+
+def test_alike_samples_stand_side_by_side(spark):
+    near = {("a", "c"): 0.9, ("b", "d"): 0.8, ("c", "e"): 0.85, ("a", "e"): 0.95}
+    names = "abcde"
+    rows = [(x, y, 1.0 if x == y else near.get((x, y), near.get((y, x), 0.1))) for x in names for y in names]
+    got = similarity.cluster_order(spark.createDataFrame(rows, "sample_a string, sample_b string, scc double")).orderBy("place").collect()
+    assert [(r.sample, r.cluster) for r in got] == [("a", 0), ("c", 0), ("e", 0), ("b", 1), ("d", 1)]
+    same = spark.createDataFrame([(x, y, 1.0) for x in names for y in names], "sample_a string, sample_b string, scc double")
+    assert {r.cluster for r in similarity.cluster_order(same).collect()} == {0}
+    assert similarity.cluster_order(same.limit(0)).count() == 0
