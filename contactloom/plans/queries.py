@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1126,12 +1127,25 @@ def _w1(spark, d):
     return workloads.borders(fixtures.contacts(spark, d).select("sample", "id1", "id2", "count"), fixtures.fragments(spark, d), cut(fixtures.chroms(spark, d)), 1000, [3, 5])[0]
 
 
-@_query("w2_origins")
+_PLACED = _nearest(40000, "ter").replace("SELECT_", ", pl AS (SELECT") + """),
+md AS (SELECT sample, median(value) AS med FROM tracks GROUP BY ALL), ma AS (SELECT t.sample, med, median(abs(value - med)) AS mad FROM tracks t JOIN md ON md.sample = t.sample GROUP BY ALL),
+ok AS (SELECT t.sample, pos, CASE WHEN abs(value - med) <= 3 * mad THEN value END AS value FROM tracks t JOIN ma ON ma.sample = t.sample),
+x AS (SELECT sample, avg(value) FILTER ((pos - ori + 96000) % 64000 - 32000 BETWEEN -5000 AND 4999) AS ori, avg(value) FILTER ((pos - ter + 96000) % 64000 - 32000 BETWEEN -5000 AND 4999) AS ter FROM ok, pl GROUP BY ALL)"""
+
+
+@_query("w2_origins", "sample chrom | ori ter ratio", _PLACED + " SELECT_ sample, 'chr1' AS chrom, ori, ter, ori / ter AS ratio FROM x")
 def _w2(spark, d):
     return workloads.origins(fixtures.gc_skew(spark, d), fixtures.sites(spark, d, 8000), fixtures.sites(spark, d, 40000), _track_chroms(spark, d), fixtures.tracks(spark, d), 20, 10_000, 1000)
 
 
-@_query("w3_gene_contrast")
+def _renamed(ctes: str, tag: str) -> str:
+    """The windows of _PLACES under other names, so that two kinds of features fit into one statement."""
+    return re.sub(r"\b(gp|gb|gm|gw)\b", rf"\1{tag}", ctes)
+
+
+@_query("w3_gene_contrast", "sample di dj | value", _DRAWN + "," + _renamed(_PLACES.format(genes="heads"), "h") + """,
+hm AS (SELECT sample, di, dj, avg(value) AS pos FROM gwh GROUP BY ALL), nm AS (SELECT sample, di, dj, avg(value) AS neg FROM gd GROUP BY ALL)
+SELECT_ sample, di, dj, pos - neg AS value FROM hm JOIN nm USING (sample, di, dj)""")
 def _w3(spark, d):
     return workloads.gene_contrast(fixtures.upper(spark, d), fixtures.genes(spark, d), cut(fixtures.chroms(spark, d)), 1000, 5000, 20, 300, "random-neighbor")
 
