@@ -234,14 +234,15 @@ def antidiagonal(cells: DataFrame, bins: DataFrame | None = None, ignore_diags:
     sums = sums.withColumn("bin", F.pmod(F.col("bin") - 1, F.col("n")))
     means = all_bins(cells).join(sums, list(BIN), "left").select(*BIN, ratio(F.coalesce("total", F.lit(0.0)), F.col("n") - F.coalesce("gone", F.lit(0))).alias("score"))
     twice = means.select(*KEY, "n", F.explode(F.array(F.col("bin"), F.col("bin") + F.col("n"))).alias("pos"), "score")
-    return _over_percentile(twice, twice, norm_percentile)
+    return _over_percentile(twice, F.col("score"), norm_percentile)
 
 
-def _over_percentile(scores: DataFrame, base: DataFrame, p: float | None) -> DataFrame:
+def _over_percentile(scores: DataFrame, base: Column, p: float | None) -> DataFrame:
+    """Scores over the p-th percentile of `base` in their map."""
     if p is None:
         return scores
-    levels = base.groupBy(*KEY).agg(F.percentile("score", F.lit(p / 100)).alias("level"))
-    return scores.join(levels, list(KEY)).withColumn("score", ratio(F.col("score"), F.col("level"))).drop("level")
+    levels = scores.withColumn("level", F.percentile(base, F.lit(p / 100)).over(Window.partitionBy(*KEY)))
+    return levels.withColumn("score", ratio(F.col("score"), F.col("level"))).drop("level")
 
 
 def partial_antidiagonals(cells: DataFrame, sizes: dict[str, Column], bins: DataFrame | None = None, ignore_diags: int = 2) -> DataFrame:
@@ -278,14 +279,14 @@ def partial_antidiagonals(cells: DataFrame, sizes: dict[str, Column], bins: Data
 def half_antidiagonal(cells: DataFrame, bins: DataFrame | None = None, ignore_diags: int = 2, norm_percentile: float | None = 5) -> DataFrame:
     """Partial antidiagonals with s = n / 4, over their norm_percentile-th percentile."""
     scores = partial_antidiagonals(cells, {"half": F.floor(F.col("n") / 4)}, bins, ignore_diags).drop("size")
-    return _over_percentile(scores, scores, norm_percentile)
+    return _over_percentile(scores, F.col("score"), norm_percentile)
 
 
 def antidiagonal_scalogram(cells: DataFrame, binning: int, windows: list[int], bins: DataFrame | None = None, ignore_diags: int = 2) -> DataFrame:
     """Partial antidiagonals of half widths window / 2 in bins, rounded half to even, and n / 4, all over the 5th percentile of the last."""
     sizes = {str(w): F.bround(F.lit(w) / (2 * binning)) for w in windows} | {"half": F.floor(F.col("n") / 4)}
     scores = partial_antidiagonals(cells, sizes, bins, ignore_diags)
-    return _over_percentile(scores, scores.where("size = 'half'"), 5)
+    return _over_percentile(scores, F.when(F.col("size") == "half", F.col("score")), 5)
 
 
 # ---- blobs

@@ -251,12 +251,12 @@ cor AS (
 
 @_query("m25_correlation_map", f"{MAP} | value", _CORR.format(grid="grid") + " SELECT_ sample, chrom, n, i AS bin1, j AS bin2, r AS value FROM cor")
 def _m25(spark, d):
-    return correlation.correlation_map(fixtures.whole(spark, d))
+    return correlation.correlation_map(_map(spark, d))
 
 
 @_query("m25_correlation_detrended", f"{MAP} | value", _DETREND + "," + _CORR.format(grid="flat") + " SELECT_ sample, chrom, n, i AS bin1, j AS bin2, r AS value FROM cor")
 def _m25_detrended(spark, d):
-    return correlation.correlation_map(fixtures.whole(spark, d), detrended=True)
+    return correlation.correlation_map(_map(spark, d), detrended=True)
 
 
 @_query("m26_log_ratio", "chrom n bin1 bin2 | value", """
