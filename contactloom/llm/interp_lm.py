@@ -328,7 +328,7 @@ def interpolated_scores(docs: DataFrame, key: str = "doc_id", text: str = "text"
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("fold", (F.crc32(F.coalesce(F.col("key").cast("string"), F.lit(""))) % FOLDS).cast("int"))
     path = new_folder(docs.sparkSession, "chunks")
-    rows.mapInArrow(_deal, f"key {rows.schema['key'].dataType.simpleString()}, text string, fold int, chunk long").write.parquet(path)
+    rows.mapInArrow(_deal, f"key {rows.schema['key'].dataType.simpleString()}, text string, fold int, chunk long").write.option("compression", "zstd").parquet(path)
     chunked = docs.sparkSession.read.parquet(path)
     weighing, scored = F.col("fold") == WEIGHING, F.col("fold") == SCORED
     number = lambda of: F.coalesce(F.sum(F.when(of, 1)), F.lit(0))
