@@ -12,7 +12,7 @@ SIZES = {"chr1": 64, "p1": 16}
 WHITE = (17, 40)
 BIN = 1000
 #: Suppliers whose contacts make up the maps of one group of samples, and events that make up its tracks: with larger tables there are more.
-SUPPLIERS, EVENTS = 100, 64_000
+SUPPLIERS, EVENTS = 500, 64_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -143,7 +143,7 @@ def fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same views as common table expressions of DuckDB.  grid is dense, dense has nulls in masked bins.
 BASE = """
 con AS (
-  SELECT l_returnflag || CASE WHEN l_suppkey >= 100 THEN CAST(l_suppkey // 100 AS VARCHAR) ELSE '' END AS sample, l_linenumber <= 5 AS main, l_orderkey % 10 = 0 AS other, (l_partkey * 7 + l_suppkey) % 640 AS f,
+  SELECT l_returnflag || CASE WHEN l_suppkey >= 500 THEN CAST(l_suppkey // 500 AS VARCHAR) ELSE '' END AS sample, l_linenumber <= 5 AS main, l_orderkey % 10 = 0 AS other, (l_partkey * 7 + l_suppkey) % 640 AS f,
          ((l_partkey * 7 + l_suppkey) % 640 + CAST(floor((l_quantity - 1) * (l_quantity - 1) / 4) AS BIGINT)) % 640 AS g
   FROM lineitem),
 con2 AS (SELECT *, CASE WHEN main THEN 'chr1' ELSE 'p1' END AS chrom1, CASE WHEN main <> other THEN 'chr1' ELSE 'p1' END AS chrom2 FROM con),
