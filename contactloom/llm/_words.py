@@ -13,7 +13,8 @@ PUNCTUATION = np.ones(256, bool)
 PUNCTUATION[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 _draw = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _draw.integers(1, 1 << 63, 256, dtype=np.uint64)
+_EXACT = _draw.integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE = _EXACT.copy()
 _BYTE[0x41:0x5B] = _BYTE[0x61:0x7B]  # A-Z hash as a-z
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = _draw.integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -40,8 +41,8 @@ def find_words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z as a-z."""
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z as a-z unless `fold` is false."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     length = ends - starts
@@ -49,7 +50,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     np.cumsum(length[:-1], out=flat_start[1:])
     place = np.arange(int(length.sum())) - np.repeat(flat_start, length)
     powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(length.max()), _STEP)]))
-    parts = _BYTE[data[np.repeat(starts, length) + place]] * powers[place]
+    parts = (_BYTE if fold else _EXACT)[data[np.repeat(starts, length) + place]] * powers[place]
     return mix(np.add.reduceat(parts, flat_start) + length.astype(np.uint64))
 
 

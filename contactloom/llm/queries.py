@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ensure_on_workers
-from . import byte_bpe, decontam, interp_lm, license_align, lsh_forest, pii_anchors, quote_threads, ring_shards, rule_ledger, token_counts
+from . import byte_bpe, decontam, interp_lm, license_align, lsh_forest, pii_anchors, prefix_trie, quote_threads, ranked_search, ring_shards, rule_ledger, substring_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -93,11 +93,29 @@ def op10_interp_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interp_lm.interpolated_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the trie of rebuilt conversations, with totals of their subtrees."""
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(prefix_trie.numbered_turns(_read(spark, sf_dir, "conversations"))))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.top_documents(docs, _read(spark, sf_dir, "benchmark"), 50)
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of words that every document has and loses, and a digest of those that stay."""
+    done = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_license_align, op3_ring_shards, op4_quote_threads, op5_token_counts,
         op6_pii_anchors, op7_decontam, op8_rule_ledger, rule_ablations, op9_ngram_jaccard, op10_interp_lm,
+        op11_prefix_trie, op12_ranked_search, op13_substring_dedup,
     )
 }
 
@@ -172,4 +190,52 @@ SELECT b.c AS conv_id, b.t AS turn, b.role, h.parent AS parent_turn, h.by_quote,
 FROM b JOIN h ON b.c IS NOT DISTINCT FROM h.c AND b.t IS NOT DISTINCT FROM h.t
 """.replace("MARKS", quote_threads._MARKS).replace("SAID", quote_threads._SAID)
 
-SQL: dict[str, str] = {"op4_quote_threads": _OP4, "op8_rule_ledger": _OP8, "rule_ablations": _ABLATIONS}
+#: DuckDB SQL of op11, on whole sequences of turns where the operator has hashes; crc32 is spelled out bit by bit.
+_OP11 = r"""
+WITH o AS (SELECT conv_id AS c, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS m,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS p
+           FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT c, list(m ORDER BY p) AS l FROM o GROUP BY c),
+h AS (SELECT c, l, xor(list_reduce(list_prepend(4294967295::BIGINT,
+        flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: list_prepend(ascii(x)::BIGINT, [256, 256, 256, 256, 256, 256, 256, 256])))),
+        lambda x, e: CASE WHEN e < 256 THEN xor(x, e) ELSE xor(x >> 1, (x & 1) * 3988292384) END), 4294967295) % 4 AS h FROM g),
+r AS (SELECT h.c, coalesce(list_slice(b.l, 1, h.h), []) || coalesce(list_slice(h.l, h.h + 1, len(h.l)), []) AS l FROM h LEFT JOIN g AS b ON b.c = h.c - ((h.c % 20) + 20) % 20),
+e AS (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM r),
+n AS (SELECT d, list_slice(l, 1, d) AS k, min(c) AS c, count(*) AS n, string_agg(CASE WHEN d = len(l) THEN c::VARCHAR END, ',' ORDER BY c) AS ends FROM e GROUP BY ALL),
+f AS (SELECT d - 1 AS d, list_slice(k, 1, d - 1) AS k, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(kids, 0) AS kids,
+             CASE WHEN n.d = 0 THEN 0 ELSE (n - 1) * len(regexp_extract_all(n.k[n.d].text, '[^\x20\x09-\x0D]+')) END AS saved
+      FROM n LEFT JOIN f ON n.d = f.d AND n.k = f.k),
+u AS (SELECT list_slice(k, 1, j) AS k, j AS d, sum(saved) AS saved, count(*) FILTER (kids = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM v) GROUP BY ALL)
+SELECT v.c AS conv_id, v.d AS depth, a.c AS parent_conv_id, v.n AS n_convs, v.kids AS n_children, u.leaves AS n_leaves,
+       u.saved::BIGINT AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN u ON u.d = v.d AND u.k = v.k LEFT JOIN n AS a ON a.d = v.d - 1 AND a.k = list_slice(v.k, 1, v.d - 1)
+"""
+
+#: DuckDB SQL of op12, on terms where the operator has hashes.
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'UPPER', 'LOWER'), 'TERM') AS terms FROM documents),
+s AS (SELECT count(*) FILTER (len(terms) > 0) AS n, sum(len(terms))::BIGINT AS l FROM d),
+q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'UPPER', 'LOWER'), 'TERM'))) AS term FROM benchmark),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(s.n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term),
+x AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * p.n * s.n) // s.l))))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM x WHERE score > 0) WHERE rank <= 50
+""".replace("UPPER", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").replace("LOWER", "abcdefghijklmnopqrstuvwxyz").replace("TERM", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+#: DuckDB SQL of op13, on the words of windows where the operator has hashes.
+_OP13 = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT r, doc_id, i, array_to_string(list_slice(words, i, i + 49), ' ') AS k FROM (SELECT r, doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM t)),
+f AS (SELECT k, min(doc_id) AS first FROM w GROUP BY k),
+g AS (SELECT r, unnest(range(i, i + 50)) AS i FROM w JOIN f USING (k) WHERE first < doc_id),
+x AS (SELECT DISTINCT r, i FROM g),
+y AS (SELECT r, i, word FROM (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM t)),
+z AS (SELECT y.r, count(x.i) AS n_removed, string_agg(CASE WHEN x.i IS NULL THEN word END, ' ' ORDER BY y.i) AS kept FROM y LEFT JOIN x ON x.r = y.r AND x.i = y.i GROUP BY y.r)
+SELECT t.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN z USING (r)
+"""
+
+SQL: dict[str, str] = {"op11_prefix_trie": _OP11, "op12_ranked_search": _OP12, "op13_substring_dedup": _OP13, "op4_quote_threads": _OP4, "op8_rule_ledger": _OP8, "rule_ablations": _ABLATIONS}
