@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEY
@@ -19,33 +19,69 @@ from .maps import unmasked
 DRAWS = 10
 
 
-def feature_bins(features: DataFrame, chroms: DataFrame, binning: int, window: int, circular: bool = True, track: bool = False) -> DataFrame:
-    """(sample, chrom, gene_id, d, bin): the bin at each place d of each feature's window, null where there is none.
+def feature_windows(features: DataFrame, chroms: DataFrame, binning: int, window: int, circular: bool = True, track: bool = False) -> DataFrame:
+    """(sample, chrom, gene_id, n, turned, at): the first bin of each feature's window, before it is turned round a circle; null where there is no window.
 
     features is (sample, chrom, gene_id, tss, strand), chroms (chrom, length).  Maps are centred on round(tss / binning - half a bin), half
-    to even, tracks on the bin of the tss; windows of the reverse strand are turned round.  A circle has its whole bins only; a
+    to even, tracks on the bin of the tss; windows of the reverse strand are turned round.  A circle has its whole bins only, n; a
     chromosome shorter than the window has none.
     """
     w = window // binning
     start = F.floor(F.col("tss") / binning) - w if track else F.bround((F.col("tss") - window) / binning - F.lit(0.5)).cast("long")
-    rows = features.join(chroms.select("chrom", "length"), "chrom").withColumn("at", start)
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2 * w)))).withColumn("b", F.col("at") + F.col("k"))
+    rows = features.join(chroms.select("chrom", "length"), "chrom")
     n = F.floor(F.col("length") / binning)
-    inside = F.pmod(F.col("b"), n) if circular else F.when((F.col("b") >= 0) & (F.col("b") < F.ceil(F.col("length") / binning)), F.col("b"))
     enough = (n >= 2 * w + 1) if track else (F.col("length") >= 2 * window + binning)
-    d = F.when(F.col("strand") == "-", w - F.col("k")).otherwise(F.col("k") - w)
-    return rows.select(*KEY, "gene_id", d.cast("long").alias("d"), F.when(enough, inside).cast("long").alias("bin"))
+    bins = n if circular else F.ceil(F.col("length") / binning)
+    return rows.select(*KEY, "gene_id", bins.alias("n"), F.coalesce(F.col("strand") == "-", F.lit(False)).alias("turned"), F.when(enough, start).alias("at"))
+
+
+def _bin_at(k: Column, circular: bool) -> Column:
+    """The bin at place k of a window, null where there is none."""
+    b = F.col("at") + k
+    return F.pmod(b, F.col("n")) if circular else F.when((b >= 0) & (b < F.col("n")), b)
+
+
+def feature_bins(features: DataFrame, chroms: DataFrame, binning: int, window: int, circular: bool = True, track: bool = False) -> DataFrame:
+    """(sample, chrom, gene_id, d, bin): the bin at each place d of each feature's window, as feature_windows has it; null where there is none."""
+    w = window // binning
+    rows = feature_windows(features, chroms, binning, window, circular, track).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2 * w))))
+    d = F.when(F.col("turned"), w - F.col("k")).otherwise(F.col("k") - w)
+    return rows.select(*KEY, "gene_id", d.cast("long").alias("d"), _bin_at(F.col("k"), circular).cast("long").alias("bin"))
+
+
+def meet_tiles(cells: DataFrame, windows: DataFrame, w: int, circular: bool = True) -> DataFrame:
+    """Windows of feature_windows() joined with the cells of all tiles that they touch.
+
+    Tiles have w x w cells, so that a window touches three along each axis, or four where the circle closes, and what it meets is 2.25
+    times its size, however large the map is.
+    """
+    size = max(w, 1)
+    tile = lambda b: F.floor(b / size).cast("long")
+    touched = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(2 * w)), lambda k: tile(_bin_at(k, circular))))
+    wanted = windows.where("at is not null").withColumn("tiles", F.filter(touched, lambda t: t.isNotNull()))
+    wanted = wanted.withColumn("tile1", F.explode("tiles")).withColumn("tile2", F.explode("tiles")).drop("tiles")
+    keyed = cells.select(*KEY, tile(F.col("bin1")).alias("tile1"), tile(F.col("bin2")).alias("tile2"), "bin1", "bin2", "value")
+    return wanted.join(keyed, [*KEY, "tile1", "tile2"])
 
 
 def extract_windows(cells: DataFrame, bins: DataFrame, features: DataFrame, chroms: DataFrame, binning: int, window: int, circular: bool = True) -> tuple[DataFrame, DataFrame]:
     """(sample, chrom, gene_id, di, dj, value) of the stored cells of whole maps in each feature's window, and (sample, chrom, gene_id, d) of its
-    places that are masked or off the map, whose rows and columns are unknown."""
-    places = feature_bins(features, chroms, binning, window, circular)
-    rows = places.select(*KEY, "gene_id", F.col("d").alias("di"), F.col("bin").alias("bin1"))
-    columns = places.select(*KEY, "gene_id", F.col("d").alias("dj"), F.col("bin").alias("bin2"))
-    held = rows.join(unmasked(cells, bins).select(*KEY, "bin1", "bin2", "value"), [*KEY, "bin1"]).join(columns, [*KEY, "gene_id", "bin2"])
+    places that are masked or off the map, whose rows and columns are unknown.
+
+    Cells farther from the diagonal than windows reach are left out first; the others meet windows by tiles, and their places follow from
+    the window's first bin.
+    """
+    w = window // binning
+    apart = F.abs(F.col("bin1") - F.col("bin2"))
+    near = cells.where((apart <= 2 * w) | (F.col("n") - apart <= 2 * w) if circular else apart <= 2 * w)
+    met = meet_tiles(unmasked(near, bins), feature_windows(features, chroms, binning, window, circular), w, circular)
+    k = lambda b: F.pmod(F.col(b) - F.col("at"), F.col("n")) if circular else F.col(b) - F.col("at")
+    inside = met.withColumns({"i": k("bin1"), "j": k("bin2")}).where(f"i between 0 and {2 * w} and j between 0 and {2 * w}")
+    place = lambda c: F.when(F.col("turned"), w - F.col(c)).otherwise(F.col(c) - w).cast("long")
+    held = inside.select(*KEY, "gene_id", place("i").alias("di"), place("j").alias("dj"), "value")
     good = bins.where("not masked").select(*KEY, "bin")
-    return held.select(*KEY, "gene_id", "di", "dj", "value"), places.join(good, [*KEY, "bin"], "left_anti").select(*KEY, "gene_id", "d")
+    places = feature_bins(features, chroms, binning, window, circular)
+    return held, places.join(good, [*KEY, "bin"], "left_anti").select(*KEY, "gene_id", "d")
 
 
 def extract_track_windows(track: DataFrame, features: DataFrame, chroms: DataFrame, binning: int, window: int, circular: bool = True) -> DataFrame:
