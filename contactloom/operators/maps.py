@@ -99,22 +99,39 @@ def subsample(cells: DataFrame, size: DataFrame | int, seed: int = 0) -> DataFra
     """Upper maps of `size` contacts of each sample, drawn without replacement.
 
     size is a number or a frame (sample, size).  Each unit contact has a hash; those with the lowest hashes are kept, ties by
-    place.  Contacts that are surely in are told from the rest by a histogram of 4096 ranges of the hash, so that only one range
-    of a sample is put in order.  A sample with fewer contacts stays whole; 0 keeps all.
+    place.  Contacts are never written out one by one: a cell counts its own below a limit.  Hashes are even, so that a sample's limit lies
+    within a few roots of its size round the share that is wanted; only the contacts in that range get a row and are put in order.  A sample
+    with fewer contacts stays whole; 0 keeps all.
     """
-    wanted = cells.select("sample").distinct().withColumn("size", F.lit(size).cast("long")) if isinstance(size, int) else size
-    units = cells.withColumn("unit", F.explode(F.sequence(F.lit(1).cast("long"), F.col("value").cast("long"))))
-    units = units.withColumn("hash", F.xxhash64("sample", "chrom", "bin1", "bin2", "unit", F.lit(seed)))
-    units = units.withColumn("range", F.shiftright("hash", 52))
-    held = units.groupBy("sample", "range").agg(F.count(F.lit(1)).alias("held"))
-    upto = F.sum("held").over(Window.partitionBy("sample").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
-    limits = held.withColumn("upto", upto).join(wanted, "sample").withColumn("left", F.col("size") - F.col("upto") + F.col("held"))
-    limits = limits.where("left > 0 or size = 0").select("sample", "range", (F.when(F.col("size") == 0, F.col("held")).otherwise(F.col("left"))).alias("left"), "held")
-    placed = units.join(limits, ["sample", "range"])
-    sure = placed.where("held <= left").select(*CELL)
+    count = F.sum(F.col("value").cast("long")).alias("total")
+    totals = cells.groupBy("sample").agg(count)
+    sized = totals.withColumn("size", F.lit(size).cast("long")) if isinstance(size, int) else totals.join(size.select("sample", "size"), "sample")
+    left = {r.sample: (r.size, r.total) for r in sized.collect() if 0 < r.size < r.total}  # a row for each sample
+    whole = sized.where("size >= total or size = 0").select("sample")
+    units = F.sequence(F.lit(1).cast("long"), F.col("value").cast("long"))
+    hashed = lambda u: F.xxhash64("sample", "chrom", "bin1", "bin2", u, F.lit(seed))
+    some = cells.where(F.col("value") >= 1)
+    number = lambda test: F.size(F.filter(units, test)).cast("long")
+    limits, margin = [], 6.0
+    while left:
+        spread = {s: margin * (n / t * (1 - n / t) / t) ** 0.5 + 4 * margin / t for s, (n, t) in left.items()}
+        edge = lambda share: min(max(int(share * 2**64) - 2**63, -(2**63)), 2**63 - 1)
+        tried = [(s, n, edge(n / t - spread[s]), edge(n / t + spread[s])) for s, (n, t) in left.items()]  # noqa: B023
+        table = cells.sparkSession.createDataFrame(tried, "sample string, size long, lo long, hi long")
+        held = some.join(F.broadcast(table), "sample").groupBy("sample", "size", "lo", "hi").agg(F.sum(number(lambda u: hashed(u) < F.col("lo"))).alias("below"), F.sum(number(lambda u: hashed(u) <= F.col("hi"))).alias("upto"))
+        met = [tuple(r) for r in held.collect() if r.below <= r.size <= r.upto]
+        limits += [(s, n - below, lo, hi) for s, n, lo, hi, below, _ in met]
+        left = {s: v for s, v in left.items() if s not in {r[0] for r in met}}
+        margin *= 8
+    table = F.broadcast(cells.sparkSession.createDataFrame(limits, "sample string, wanted long, lo long, hi long"))
+    placed = some.join(table, "sample")
+    sure = placed.select(*CELL, number(lambda u: hashed(u) < F.col("lo")).alias("value"))
+    close = placed.select(*CELL, "wanted", F.explode(F.filter(units, lambda u: hashed(u).between(F.col("lo"), F.col("hi")))).alias("unit")).withColumn("hash", hashed(F.col("unit")))
     order = Window.partitionBy("sample").orderBy("hash", "chrom", "bin1", "bin2", "unit")
-    edge = placed.where("held > left").withColumn("rank", F.row_number().over(order)).where("rank <= left").select(*CELL)
-    return sure.unionByName(edge).groupBy(*CELL).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    edges = close.withColumn("rank", F.row_number().over(order)).where("rank <= wanted").select(*CELL, F.lit(1).cast("long").alias("value"))
+    drawn = sure.where("value > 0").unionByName(edges).groupBy(*CELL).agg(F.sum("value").cast("double").alias("value"))
+    kept = some.join(F.broadcast(whole), "sample", "left_semi").select(*CELL, F.floor("value").cast("double").alias("value"))
+    return drawn.unionByName(kept)
 
 
 def is_symmetric(cells: DataFrame, tolerance: float = 1e-10) -> DataFrame:
@@ -233,18 +250,17 @@ def window_cells(i, j, n, half: int, sym_upper: bool):
 def window_density(cells: DataFrame, win: int, sym_upper: bool = False) -> DataFrame:
     """The share of stored cells in the win x win window round each cell that has one; win is odd.
 
-    The window is cut at the map's edges and, with `sym_upper`, at its diagonal; then only upper cells are given.  Two passes
-    over one axis each keep what is exploded at win rows for a cell.
+    The window is cut at the map's edges and, with `sym_upper`, at its diagonal; then only upper cells are given.  A cell goes to four
+    tiles at most, however large the window.
     """
     if win < 1 or win % 2 == 0:
         raise ValueError("win must be odd")
+    from .boxes import box_sums
+
     half = win // 2
     stored = cells.where("value <> 0").where("bin1 <= bin2" if sym_upper else "true")
-    near = lambda b: F.explode(F.sequence(F.greatest(F.col(b) - half, F.lit(0)), F.least(F.col(b) + half, F.col("n") - 1)))
-    down = stored.select(*KEY, "n", near("bin1").alias("bin1"), "bin2").groupBy(*CELL).agg(F.count(F.lit(1)).alias("k"))
-    held = down.select(*KEY, "n", "bin1", near("bin2").alias("bin2"), "k").groupBy(*CELL).agg(F.sum("k").alias("k"))
-    held = held.where("bin1 <= bin2") if sym_upper else held
-    return held.select(*CELL, (F.col("k") / window_cells(F.col("bin1"), F.col("bin2"), F.col("n"), half, sym_upper)).alias("value"))
+    held = box_sums(stored, [half], upper=sym_upper)
+    return held.select(*CELL, (F.col("stored") / window_cells(F.col("bin1"), F.col("bin2"), F.col("n"), half, sym_upper)).alias("value"))
 
 
 def interpolate_white_lines(cells: DataFrame, bins: DataFrame) -> DataFrame:

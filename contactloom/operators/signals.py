@@ -1,7 +1,7 @@
 """Signals along a chromosome: sums over windows that slide down the diagonal, their extrema, borders and blobs.
 
-Maps are whole and circular.  A window's sum is computed from the cells: each stored cell is sent to the range of centres whose
-window holds it, never a window to all of its cells.  Scores are (sample, chrom, n, bin, score), a row for each bin.
+Maps are whole and circular.  A window's sum is computed from the cells: each stored cell names the range of centres whose
+window holds it by its two ends, never a window all of its cells.  Scores are (sample, chrom, n, bin, score), a row for each bin.
 """
 
 from __future__ import annotations
@@ -31,6 +31,27 @@ def complete(cells: DataFrame, sums: DataFrame, column: str = "score") -> DataFr
     return all_bins(cells).join(sums, list(BIN), "left").withColumn(column, F.coalesce(column, F.lit(0.0)))
 
 
+def range_sums(cells: DataFrame, ranges: dict[str, tuple[Column, Column]], grid: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """`grid`, a row for each bin (and each `by`) of each map, with a column for each name in `ranges`: the sum of the cells whose range of bins holds it.
+
+    A cell is added at the first bin of a range and taken away behind the last; these two rows are summed by bins before they are
+    shuffled, and a running sum over the bins gives the sums of all windows, however wide.  A second running sum counts the cells, so that
+    bins without one have exactly 0.
+    """
+    event = lambda name, bin, sign: F.struct(bin.cast("long").alias("bin"), *[x for k in ranges for x in ((F.lit(float(sign)) * F.col("value") if k == name else F.lit(0.0)).alias(f"_v{k}"), F.lit(sign if k == name else 0).cast("long").alias(f"_c{k}"))])  # noqa: E731, A002
+    ends = []
+    for k, (lo, hi) in ranges.items():
+        first, last = F.greatest(lo, F.lit(0)), F.least(hi, F.col("n") - 1)
+        ends += [F.when(first <= last, event(k, first, 1)), F.when((first <= last) & (last < F.col("n") - 1), event(k, last + 1, -1))]
+    events = cells.where("value <> 0").select(*KEY, *by, F.inline(F.filter(F.array(*ends), lambda e: e.isNotNull())))
+    columns = [f"_{x}{k}" for k in ranges for x in "vc"]
+    steps = events.groupBy(*KEY, *by, "bin").agg(*[F.sum(c).alias(c) for c in columns])
+    joined = grid.join(steps, [*KEY, *by, "bin"], "left").na.fill(0, columns)
+    run = Window.partitionBy(*KEY, *by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = [F.when(F.sum(f"_c{k}").over(run) == 0, 0.0).otherwise(F.sum(f"_v{k}").over(run)).alias(k) for k in ranges]
+    return joined.select(*grid.columns, *sums)
+
+
 def good_around(bins: DataFrame, before: int, after: int, name: str) -> DataFrame:
     """(sample, chrom, n, bin, name): how many of the bins from bin - before to bin + after, round the circle, are not masked."""
     reach = max(abs(before), abs(after))
@@ -69,8 +90,7 @@ def hic_signal(cells: DataFrame, start: int = 1, stop: int = 2) -> DataFrame:
     """For each bin i the sum of the cells with rows from i - stop to i - start, exclusive, and columns from i + start to i + stop, exclusive."""
     r, c = F.col("bin1"), F.col("bin2")
     ext = circular_extend(cells, stop).where((c - r >= 2 * start + 1) & (c - r < 2 * stop))
-    spread = centres(ext, F.greatest(r + start + 1, c - stop + 1), F.least(r + stop, c - start))
-    return complete(cells, spread.groupBy(*BIN).agg(F.sum("value").alias("score")))
+    return range_sums(ext, {"score": (F.greatest(r + start + 1, c - stop + 1), F.least(r + stop, c - start))}, all_bins(cells)).select(*BIN, "score")
 
 
 def directional_index(cells: DataFrame, w: int, corr: bool = True, normalize: bool = False) -> DataFrame:
@@ -112,13 +132,8 @@ def relative_insulation(cells: DataFrame, bins: DataFrame, windows: list[int]) -
     mean has no cells or all are 0.
     """
     top = max(windows)
-    r, c, w = F.col("bin1"), F.col("bin2"), F.col("w")
+    r, c, w, at = F.col("bin1"), F.col("bin2"), F.col("w"), F.col("bin")
     ext = circular_extend(unmasked(cells, bins), top).where((r <= c) & (c - r < 2 * top)).withColumn("w", F.explode(F.array(*[F.lit(x) for x in windows])))
-    # Of the centres whose blocks hold a cell, those after its column have it in `up`, those up to its row in `down`, others between.
-    spread = centres(ext, c - w + 1, r + w)
-    within = lambda of: F.sum(F.when(of, F.col("value")).otherwise(0.0))
-    at = F.col("bin")
-    sums = spread.groupBy(*BIN, "w").agg(within(at > c).alias("up"), within(at <= r).alias("down"), within((at > r) & (at <= c)).alias("btw"))
     # One running count of good bins, round the circle, gives those of every window by differences.
     around = bins.select(*KEY, "n", "masked", F.explode(F.filter(F.array(at - F.col("n"), at, at + F.col("n")), lambda b: (b >= -top) & (b < F.col("n") + top))).alias("bin"))
     order = Window.partitionBy(*KEY).orderBy("bin")
@@ -127,7 +142,9 @@ def relative_insulation(cells: DataFrame, bins: DataFrame, windows: list[int]) -
     total = F.sum(F.when(F.col("masked"), 0).otherwise(1)).over(Window.partitionBy(*KEY))
     each = [F.struct(F.lit(x).alias("w"), (F.col("good") - F.lag("good", x).over(order)).alias("gl"), (F.coalesce(F.lead("good", x).over(order), total) - F.col("good")).alias("gr")) for x in windows]
     counts = counted.withColumn("each", F.array(*each)).where("bin >= 0 and bin < n").select(*BIN, F.inline("each"))
-    joined = counts.join(sums, [*BIN, "w"], "left").na.fill(0.0, ["up", "down", "btw"])
+    # Of the centres whose blocks hold a cell, those after its column have it in `up`, those up to its row in `down`, others between.
+    held = {"up": (c + 1, r + w), "down": (c - w + 1, r), "btw": (F.greatest(r + 1, c - w + 1), F.least(c, r + w))}
+    joined = range_sums(ext, held, counts, ("w",))
     cells_in = lambda g: w * w - w * (w + 1) / 2 + F.col(g) * (F.col(g) + 1) / 2
     joined = joined.withColumns({"up": ratio(F.col("up"), cells_in("gl")), "down": ratio(F.col("down"), cells_in("gr")), "btw": ratio(F.col("btw"), F.col("gl") * F.col("gr"))})
     total = F.col("up") + F.col("down") + F.col("btw")

@@ -2,29 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from .boxes import box_sums
 from .maps import CELL, from_upper, subsample
 
 
-def smooth(cells: DataFrame, h: int, band: int) -> DataFrame:
-    """Upper cells up to `band` from the diagonal of whole maps after a mean filter of (2h+1) x (2h+1) cells, cut at the edges; two passes."""
-    n = F.col("n")
-    m = cells.where(F.abs(F.col("bin1") - F.col("bin2")) <= band + 2 * h)
-    near = lambda b: F.explode(F.sequence(F.greatest(F.col(b) - h, F.lit(0)), F.least(F.col(b) + h, n - 1)))
-    rows = m.select("sample", "chrom", "n", near("bin1").alias("bin1"), "bin2", "value").groupBy(*CELL).agg(F.sum("value").alias("value"))
-    both = rows.select("sample", "chrom", "n", "bin1", near("bin2").alias("bin2"), "value").where(F.col("bin2") - F.col("bin1") >= 0).where(F.col("bin2") - F.col("bin1") <= band)
+def smooth(cells: DataFrame, halves: list[int], band: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, half, CELL, value): upper cells up to `band` from the diagonal of whole maps after mean filters of (2 half + 1) x (2 half + 1) cells, cut at
+    the edges, for all of `halves`."""
+    n, h = F.col("n"), F.col("half")
+    near = cells.where(F.abs(F.col("bin1") - F.col("bin2")) <= band + 2 * max(halves))
     width = lambda b: F.least(F.col(b) + h, n - 1) - F.greatest(F.col(b) - h, F.lit(0)) + 1
-    return both.groupBy(*CELL).agg(F.sum("value").alias("value")).withColumn("value", F.col("value") / (width("bin1") * width("bin2")))
+    return box_sums(near, halves, by, band, upper=True).select(*by, "half", *CELL, (F.col("total") / (width("bin1") * width("bin2"))).alias("value"))
 
 
-def strata(smoothed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sample_a, sample_b, chrom, n, d, cells, r1, r2): covariance and root of variances of each diagonal d over the cells that either has."""
-    cell = ["chrom", "n", "bin1", "bin2"]
+def strata(smoothed: DataFrame, pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, sample_a, sample_b, chrom, n, d, cells, r1, r2): covariance and root of variances of each diagonal d over the cells that either has."""
+    cell = [*by, "chrom", "n", "bin1", "bin2"]
     a = smoothed.withColumnsRenamed({"sample": "sample_a", "value": "a"})
     b = smoothed.withColumnsRenamed({"sample": "sample_b", "value": "b"})
     one = a.join(pairs, "sample_a").select("sample_a", "sample_b", *cell, "a", F.lit(0.0).alias("b"))
@@ -33,7 +34,15 @@ def strata(smoothed: DataFrame, pairs: DataFrame) -> DataFrame:
     both = one.unionByName(two).groupBy("sample_a", "sample_b", *cell).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     d = (F.col("bin2") - F.col("bin1")).alias("d")
     of = F.sqrt(F.var_pop("a") * F.var_pop("b"))
-    return both.groupBy("sample_a", "sample_b", "chrom", "n", d).agg(F.count(F.lit(1)).alias("cells"), F.covar_pop("a", "b").alias("r1"), of.alias("r2"))
+    return both.groupBy(*by, "sample_a", "sample_b", "chrom", "n", d).agg(F.count(F.lit(1)).alias("cells"), F.covar_pop("a", "b").alias("r1"), of.alias("r2"))
+
+
+def adjusted(strata: DataFrame, length: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, sample_a, sample_b, scc) from strata, weighted by cells times the root of variances, and chromosomes by length."""
+    key = [*by, "sample_a", "sample_b"]
+    each = strata.groupBy(*key, "chrom", "n").agg(F.sum(F.col("cells") * F.col("r1")).alias("a"), F.sum(F.col("cells") * F.col("r2")).alias("b"))
+    each = each.where("b > 0").withColumn("scc", F.col("a") / F.col("b")).withColumn("w", F.col("n") if length is None else length)
+    return each.groupBy(*key).agg((F.sum(F.col("w") * F.col("scc")) / F.sum("w")).alias("scc"))
 
 
 def scc(cells: DataFrame, pairs: DataFrame, max_dist: int, h: int, length: Column | None = None) -> DataFrame:
@@ -42,9 +51,7 @@ def scc(cells: DataFrame, pairs: DataFrame, max_dist: int, h: int, length: Colum
     Maps are smoothed by h; strata are weighted by cells times the root of variances, chromosomes by length (number of bins unless
     given).  Null where no stratum varies on both sides.
     """
-    each = strata(smooth(cells, h, max_dist), pairs).groupBy("sample_a", "sample_b", "chrom", "n").agg(F.sum(F.col("cells") * F.col("r1")).alias("a"), F.sum(F.col("cells") * F.col("r2")).alias("b"))
-    each = each.where("b > 0").withColumn("scc", F.col("a") / F.col("b")).withColumn("w", F.col("n") if length is None else length)
-    return each.groupBy("sample_a", "sample_b").agg((F.sum(F.col("w") * F.col("scc")) / F.sum("w")).alias("scc"))
+    return adjusted(strata(smooth(cells, [h], max_dist).drop("half"), pairs), length)
 
 
 def sample_pairs(cells: DataFrame) -> DataFrame:
@@ -56,26 +63,20 @@ def sample_pairs(cells: DataFrame) -> DataFrame:
 def train_h(upper: DataFrame, max_dist: int, h_max: int = 10, repeats: int = 10, gain: float = 0.01, share: float = 0.1) -> int:
     """The smallest smoothing whose next step gains less than `gain` for a pair, at most over all pairs of samples.
 
-    Means over `repeats` seeded subsamples with that share of each sample's contacts.
+    Means over `repeats` seeded subsamples with that share of each sample's contacts.  All draws and all smoothings are one job, as a tile of
+    a map sums the windows of all sizes together.
     """
-    pairs = cut(sample_pairs(upper))
     totals = cut(upper.groupBy("sample").agg(F.floor(F.sum("value") * share).cast("long").alias("size")))
-    draws = [cut(from_upper(subsample(upper, totals, seed))) for seed in range(repeats)]
-    best: dict[tuple[str, str], int] = {}
-    before: dict[tuple[str, str], float] = {}
-    for h in range(h_max + 1):
-        rounds = [scc(draw, pairs, max_dist, h) for draw in draws]
-        found = rounds[0]
-        for other in rounds[1:]:
-            found = found.unionByName(other)
-        now = {(r.sample_a, r.sample_b): r.scc for r in found.groupBy("sample_a", "sample_b").agg(F.avg("scc").alias("scc")).collect()}  # a row for each pair
-        for pair, value in now.items():
-            if pair in before and pair not in best and value - before[pair] < gain:
-                best[pair] = h - 1
-        before = now
-        if all(pair in best for pair in now):
-            break
-    return max((best.get(pair, h_max) for pair in before), default=0)
+    draws = [from_upper(subsample(upper, totals, seed)).withColumn("draw", F.lit(seed)) for seed in range(repeats)]
+    by = ("draw", "half")
+    smoothed = smooth(reduce(DataFrame.unionByName, draws), list(range(h_max + 1)), max_dist, ("draw",))
+    each = adjusted(strata(smoothed, sample_pairs(upper), by), by=by)
+    means = each.groupBy("sample_a", "sample_b", "half").agg(F.avg("scc").alias("scc"))
+    curves: dict[tuple[str, str], dict[int, float]] = {}
+    for r in means.collect():  # h_max + 1 rows for each pair of samples
+        curves.setdefault((r.sample_a, r.sample_b), {})[r.half] = r.scc
+    steps = lambda curve: (h for h in range(h_max) if h in curve and h + 1 in curve and curve[h + 1] - curve[h] < gain)
+    return max((next(steps(curve), h_max) for curve in curves.values()), default=0)
 
 
 def hicrep_matrix(upper: DataFrame, max_dist: int, size: int = 0, h: int = 0, seed: int = 0) -> DataFrame:
