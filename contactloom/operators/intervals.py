@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import carried, dealt
 from ..functions.columns import KEY, overlap
 
 #: Positions of a cell of the grid on which intervals meet.
@@ -100,15 +101,22 @@ def boundaries(layout: DataFrame) -> DataFrame:
     return layout.withColumn("to", F.sum(length).over(w)).withColumn("at", F.col("to") - length)
 
 
-def locate(positions: DataFrame, layout: DataFrame, grid: int = GRID) -> DataFrame:
+def locate(positions: DataFrame, layout: DataFrame) -> DataFrame:
     """(sample, chrom, coord, ord, src_chrom, src_coord, outside): the piece that holds each position (sample, chrom, coord), and its source position.
 
-    outside is true, and the rest null, for positions beyond the chromosome.
+    outside is true, and the rest null, for positions beyond the chromosome.  Pieces and positions are sorted together by range, and each
+    position takes the last piece that starts before it or there, from the ranges before where its own has none: as many rows as there
+    are pieces and positions, however long a piece is and however many positions one chromosome has.
     """
-    pieces = boundaries(layout).where("to > at").select(*KEY, "ord", "src_chrom", "start", "end", "is_reverse", "at", "to")
-    cells = pieces.withColumn("cell", F.explode(F.sequence(F.floor(F.col("at") / grid), F.floor((F.col("to") - 1) / grid)))).withColumnsRenamed({c: f"_{c}" for c in KEY})
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]
-    inside = (F.floor(F.col("coord") / grid) == F.col("cell")) & (F.col("coord") >= F.col("at")) & (F.col("coord") < F.col("to"))
-    held = positions.join(cells, reduce(lambda x, y: x & y, same) & inside, "left")
-    source = F.when(F.col("is_reverse"), F.col("end") - 1 - (F.col("coord") - F.col("at"))).otherwise(F.col("start") + F.col("coord") - F.col("at"))
-    return held.select(*[positions[c] for c in positions.columns], "ord", "src_chrom", source.alias("src_coord"), F.col("ord").isNull().alias("outside"))
+    pieces = boundaries(layout).where("to > at")
+    piece = F.struct("at", "to", "ord", "src_chrom", "start", "end", "is_reverse")
+    held = positions.select(*KEY, "coord", F.struct(*positions.columns).alias("row"))
+    both = pieces.select(*KEY, F.col("at").alias("coord"), piece.alias("piece")).unionByName(held, allowMissingColumns=True)
+    rows = carried(dealt(both.withColumn("kind", F.col("row").isNotNull()), list(KEY), "coord", "kind"), list(KEY), last=(F.max("piece"), F.max("last")))
+    before = Window.partitionBy("block", *KEY).orderBy("coord", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("p", F.coalesce(F.max("piece").over(before), "last")).where("row is not null")
+    inside = F.col("coord").isNotNull() & F.coalesce(F.col("coord") < F.col("p.to"), F.lit(False))
+    found = found.withColumn("p", F.when(inside, F.col("p")))
+    step = F.col("coord") - F.col("p.at")
+    source = F.when(F.col("p.is_reverse"), F.col("p.end") - 1 - step).otherwise(F.col("p.start") + step)
+    return found.select("row.*", "p.ord", "p.src_chrom", source.alias("src_coord"), F.col("p.ord").isNull().alias("outside"))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEY, ratio
+from ..plans.lineage import cut
+from .selection import percentile_of
 
 CELL = (*KEY, "n", "bin1", "bin2")
 BIN = (*KEY, "n", "bin")
@@ -185,10 +187,10 @@ def bin_sums(cells: DataFrame) -> DataFrame:
 
 
 def mad(rows: DataFrame, value: str, by: tuple[str, ...] = KEY) -> DataFrame:
-    """(by, median, mad): median and unscaled median absolute deviation; nulls are left out."""
-    mid = rows.groupBy(*by).agg(F.percentile(F.col(value), F.lit(0.5)).alias("median"))
-    joined = rows.join(mid, list(by))
-    return joined.groupBy(*by, "median").agg(F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).alias("mad"))
+    """(by, median, mad): median and unscaled median absolute deviation; nulls are left out.  No group is held by one task."""
+    mid = cut(percentile_of(rows, value, 0.5, by, name="median"))
+    apart = F.abs(F.col(value) - F.col("median")).alias("_apart")
+    return mid.join(percentile_of(rows.join(mid, list(by)).select(*by, apart), "_apart", 0.5, by, name="mad"), list(by))
 
 
 def good_bins(cells: DataFrame, n_mad: float = 3.0, s_min: float | None = None, s_max: float | None = None, symmetric: bool = False) -> DataFrame:
@@ -330,7 +332,7 @@ def cell_percentile(cells: DataFrame, p: float) -> DataFrame:
     """(sample, chrom, cap): the p-th percentile of all n x n cells of a whole map; its zeros enter as one weighted row."""
     zeros = cells.groupBy(*KEY, "n").agg((F.first("n") * F.first("n") - F.count(F.lit(1))).alias("weight"))
     rows = cells.select(*KEY, "value", F.lit(1).cast("long").alias("weight")).unionByName(zeros.select(*KEY, F.lit(0.0).alias("value"), "weight"))
-    return rows.where("weight > 0").groupBy(*KEY).agg(F.percentile(F.col("value"), F.lit(p / 100), F.col("weight")).alias("cap"))
+    return percentile_of(rows, "value", p / 100, weight="weight", name="cap")
 
 
 def normalised_ratio(cells: DataFrame, total: float) -> DataFrame:
