@@ -40,7 +40,7 @@ def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All messages with their place in reply order, without quotes."""
+    """All messages with their place in the tree of replies, without quotes."""
     return quote_threads.reply_order(_read(spark, sf_dir, "conversations"))
 
 
@@ -166,7 +166,7 @@ FROM b
 
 #: DuckDB SQL of op4, with passages where the operator joins their hashes.
 _OP4 = r"""
-WITH m AS (SELECT row_number() OVER () AS r, conv_id AS c, turn AS t, coalesce(role, 'user') AS role, coalesce(text, '') AS x FROM conversations),
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id AS c, turn AS t, coalesce(role, 'user') AS role, coalesce(text, '') AS x FROM conversations),
 l AS (SELECT r, c, t, generate_subscripts(string_split(x, chr(10)), 1) AS i, unnest(string_split(x, chr(10))) AS line FROM m),
 k AS (SELECT *, length(regexp_replace(regexp_extract(line, 'MARKS'), '[^>]', '', 'g')) AS level, regexp_matches(line, 'SAID') AS tells FROM l),
 n0 AS (SELECT *, tells AND coalesce(lead(level) OVER (PARTITION BY r ORDER BY i) > 0, false) AS intro FROM k),
@@ -178,14 +178,18 @@ q AS (SELECT c, t, said, min(level) AS level FROM p WHERE level > 0 GROUP BY ALL
 s AS (SELECT q.c, q.t, q.level, max(p.t) AS source FROM q JOIN p ON p.c IS NOT DISTINCT FROM q.c AND p.said = q.said AND p.level = 0 AND p.t < q.t GROUP BY q.c, q.t, q.said, q.level),
 a AS (SELECT c, t, arg_min(source, level * 1000000000 - source) AS source FROM s GROUP BY c, t),
 d AS (SELECT DISTINCT c, t FROM m),
-e AS (SELECT d.c, d.t, source, lag(d.t) OVER w AS previous, row_number() OVER w AS i
-      FROM d LEFT JOIN a ON a.c IS NOT DISTINCT FROM d.c AND a.t = d.t WINDOW w AS (PARTITION BY d.c ORDER BY d.t NULLS FIRST)),
-f AS (SELECT *, coalesce(source, previous) AS parent, t IS NOT NULL AND (previous IS NULL OR coalesce(source, previous) <> previous) AS starts FROM e),
-h AS (SELECT c, t, parent, source IS NOT NULL AS by_quote, max(CASE WHEN starts THEN t END) OVER w AS branch, i - max(CASE WHEN starts THEN i END) OVER w AS place
-      FROM f WINDOW w AS (PARTITION BY c ORDER BY t NULLS FIRST)),
+e AS (SELECT d.c, d.t, source IS NOT NULL AS by_quote, coalesce(source, lag(d.t) OVER (PARTITION BY d.c ORDER BY d.t NULLS FIRST)) AS parent
+      FROM d LEFT JOIN a ON a.c IS NOT DISTINCT FROM d.c AND a.t = d.t),
+f AS (SELECT *, parent IS NOT NULL AND row_number() OVER (PARTITION BY c, parent ORDER BY NOT by_quote, t) = 1 AS first FROM e WHERE t IS NOT NULL),
+y AS (SELECT c, t, [struct_pack(weak := NOT by_quote, t := t)] AS path, t AS branch, 0::BIGINT AS place, 0::BIGINT AS depth FROM f WHERE parent IS NULL
+      UNION ALL
+      SELECT f.c, f.t, list_append(path, struct_pack(weak := NOT by_quote, t := f.t)), CASE WHEN first THEN branch ELSE f.t END, CASE WHEN first THEN place + 1 ELSE 0 END, depth + 1
+      FROM y JOIN f ON f.c IS NOT DISTINCT FROM y.c AND f.parent = y.t),
+z AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY path) - 1 AS position FROM y),
+h AS (SELECT e.*, branch, place, depth, position FROM e LEFT JOIN z ON z.c IS NOT DISTINCT FROM e.c AND z.t = e.t),
 o AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS body FROM n WHERE level = 0 AND NOT intro GROUP BY r),
 b AS (SELECT m.c, m.t, m.role, regexp_replace(coalesce(body, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS body FROM m LEFT JOIN o ON m.r = o.r)
-SELECT b.c AS conv_id, b.t AS turn, b.role, h.parent AS parent_turn, h.by_quote, h.branch, h.place, b.body,
+SELECT b.c AS conv_id, b.t AS turn, b.role, h.parent AS parent_turn, h.by_quote, h.branch, h.place, h.depth, h.position, b.body,
        '<|' || b.role || '|>' || chr(10) || b.body || chr(10) || '<|end|>' || chr(10) AS formatted
 FROM b JOIN h ON b.c IS NOT DISTINCT FROM h.c AND b.t IS NOT DISTINCT FROM h.t
 """.replace("MARKS", quote_threads._MARKS).replace("SAID", quote_threads._SAID)

@@ -1,6 +1,7 @@
 """op4, op9, op10 and the pipeline against brute force."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -34,22 +35,29 @@ def test_replies(spark):
         (1, 4, "user", "ok"),
     ]
     m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("Branch", F.lit(0))
-    got = {(r.conv_id, r.turn): (r.parent_turn, r.by_quote, r.branch, r.place, r.body) for r in quote_threads.reply_order(m).collect()}
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.by_quote, r.branch, r.place, r.depth, r.position, r.body) for r in quote_threads.reply_order(m).collect()}
     assert got == {
-        (1, 0): (None, False, 0, 0, "Hello there\nhow are you?"), (1, 1): (0, True, 0, 1, "Fine."), (1, 2): (1, False, 0, 2, "Other topic"),
-        (1, 3): (0, True, 3, 0, "Still fine"), (1, 4): (3, False, 3, 1, "ok"), (1, 5): (2, True, 5, 0, "late"), (2, 0): (None, False, 0, 0, ""),
-        (None, 3): (None, False, 3, 0, "x"), (None, 5): (3, True, 3, 1, "y"), (1, None): (None, False, None, None, "?"),
+        (1, 0): (None, False, 0, 0, 0, 0, "Hello there\nhow are you?"), (1, 1): (0, True, 0, 1, 1, 1, "Fine."), (1, 2): (1, False, 0, 2, 2, 2, "Other topic"),
+        (1, 3): (0, True, 3, 0, 1, 4, "Still fine"), (1, 4): (3, False, 3, 1, 2, 5, "ok"), (1, 5): (2, True, 0, 3, 3, 3, "late"), (2, 0): (None, False, 0, 0, 0, 0, ""),
+        (None, 3): (None, False, 3, 0, 0, 0, "x"), (None, 5): (3, True, 3, 1, 1, 1, "y"), (1, None): (None, False, None, None, None, None, "?"),
     }
     assert quote_threads.reply_order(m).count() == len(rows)
     assert quote_threads.reply_order(m.limit(0)).count() == 0
 
 
+def test_interleaved_threads_come_out_one_after_another(spark):
+    texts = ["alpha one", "beta one", "> alpha one\nalpha two", "> beta one\nbeta two", "> alpha two\nalpha three", "> beta two\nbeta three"]
+    m = spark.createDataFrame([(1, t, None, x) for t, x in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = [(r.turn, r.branch, r.place) for r in quote_threads.conversations(m).collect()]
+    assert got == [(0, 0, 0), (2, 0, 1), (4, 0, 2), (1, 1, 0), (3, 1, 1), (5, 1, 2)]
+
+
 def brute_threads(rows):
-    """{(conversation, turn): (parent, by quote, branch, place)} of (conversation, turn, text), the turns distinct."""
+    """{(conversation, turn): (parent, by quote, branch, place, depth, position)} of (conversation, turn, text), the turns distinct: a tree that is walked."""
     marks = re.compile(r"(?:[ \t]*>)+")
     out = {}
     for c in {r[0] for r in rows}:
-        said, branch, place, last = [], None, 0, None
+        said, last, links_of = [], None, {}
         for _, t, text in sorted(r for r in rows if r[0] == c):
             groups, now = [], None
             for line in text.split("\n"):
@@ -60,20 +68,24 @@ def brute_threads(rows):
                     now[1].append(plain)
             each = {(level, p) for level, lines in groups for p in [*lines, " ".join(lines)]}
             links = [(-level, s) for level, p in each if level for s in [max((u for u, q in said if q == p), default=None)] if s is not None]
-            parent = max(links)[1] if links else last
-            if last is None or parent != last:
-                branch, place = t, 0
-            else:
-                place += 1
-            out[c, t] = (parent, bool(links), branch, place)
+            links_of[t] = (max(links)[1] if links else last, bool(links))
             said += [(t, p) for level, p in each if not level]
             last = t
+        answers = {}
+        for t, (parent, quoted) in sorted(links_of.items()):
+            answers.setdefault(parent, []).append((not quoted, t))
+        walk = [(t, t, 0, 0) for _, t in sorted(answers.get(None, []), reverse=True)]
+        position = 0
+        while walk:
+            t, branch, place, depth = walk.pop()
+            out[c, t] = (*links_of[t], branch, place, depth, position)
+            position += 1
+            mine = [x for _, x in sorted(answers.get(t, []))]
+            walk += [(x, branch, place + 1, depth + 1) if x == mine[0] else (x, x, 0, depth + 1) for x in reversed(mine)]
     return out
 
 
 def random_threads(conversations, turns, seed):
-    import random
-
     rng = random.Random(seed)
     rows = []
     for c in range(conversations):
@@ -102,11 +114,11 @@ def test_threads_equal_brute_force(spark, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {(r.conv_id, r.turn): (r.parent_turn, r.by_quote, r.branch, r.place) for r in quote_threads.reply_order(m).collect()}
+        got = {(r.conv_id, r.turn): (r.parent_turn, r.by_quote, r.branch, r.place, r.depth, r.position) for r in quote_threads.reply_order(m).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before[0])
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
-    assert got == brute_threads(rows) and sum(q for _, q, _, _ in got.values()) > 60
+    assert got == brute_threads(rows) and sum(x[1] for x in got.values()) > 60
 
 
 def test_threads_equal_their_sql(spark, tmp_path):
@@ -139,6 +151,26 @@ def test_quotes_at_deeper_levels_broken_anew_and_said_again(spark):
     assert got == {0: (None, False), 1: (0, False), 2: (1, False), 3: (2, False), 4: (1, True), 5: (2, True), 6: (5, False), 7: (3, True), 8: (7, False), 9: (8, False)}
 
 
+def test_odd_and_very_long_messages(spark, odd_texts):
+    lines = [f"line {k} {words(random.Random(k), 3)}" for k in range(4000)]
+    texts = [*[t or "" for t in odd_texts], "\n".join(lines), "\n".join("> " + x for x in lines[1000:1500]) + "\nyes", "On " + "x" * 500 + " wrote:\n> " + lines[7] + "\nno", ">" * 300 + " a", "> \n>>\n"]
+    rows = [(1, t, x) for t, x in enumerate(texts)]
+    m = spark.createDataFrame([(c, t, None, x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    made = {r.turn: r for r in quote_threads.reply_order(m).collect()}
+    n = len(odd_texts)
+    # The line that introduces a quote says nothing itself, so the brute force reads the message without it.
+    want = brute_threads([(c, t, x if t != n + 2 else "> " + lines[7] + "\nno") for c, t, x in rows])
+    assert {(1, t): (r.parent_turn, r.by_quote, r.branch, r.place, r.depth, r.position) for t, r in made.items()} == want
+    assert (made[n + 1].parent_turn, made[n + 2].parent_turn) == (n, n) and (made[n + 1].body, made[n + 2].body) == ("yes", "no")
+
+
+def test_a_conversation_that_answers_one_message_and_one_that_is_a_chain(spark):
+    rows = [(1, t, "first thing" if not t else f"> first thing\nanswer {t}") for t in range(120)] + [(2, t, f"> said {t - 2}\nsaid {t}") for t in range(150)]
+    m = spark.createDataFrame([(c, t, None, x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(4)
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.by_quote, r.branch, r.place, r.depth, r.position) for r in quote_threads.reply_order(m).collect()}
+    assert got == brute_threads(rows)
+
+
 def test_op4(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
     got = {(r.conv_id, r.turn): r for r in queries.op4_quote_threads(spark, sf_dir).collect()}
