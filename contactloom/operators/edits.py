@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEY
+from .intervals import boundaries
 
 #: A piece: source chromosome, start, end, whether reversed.
 Piece = tuple[str, int, int, bool]
@@ -76,6 +77,8 @@ def replay(genome: dict[str, list[Piece]], edits: list[dict]) -> dict[str, list[
     return genome
 
 
+#: Letters of a chunk of a sequence.
+CHUNK = 1 << 20
 _LAYOUT = "sample string, chrom string, ord int, src_chrom string, start long, end long, is_reverse boolean"
 
 
@@ -107,3 +110,26 @@ def sequences(layout: DataFrame, fasta: DataFrame) -> DataFrame:
     rows = layout.join(source, "src_chrom").select(*KEY, "ord", F.when(F.col("is_reverse"), turned).otherwise(part).alias("part"))
     ordered = F.sort_array(F.collect_list(F.struct("ord", "part")))
     return rows.groupBy(*KEY).agg(F.array_join(F.transform(ordered, lambda p: p["part"]), "").alias("seq"))
+
+
+def sequence_chunks(layout: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(sample, chrom, chunk, seq): what sequences() gives, and takes as (chrom, chunk, seq), in chunks of `size` letters, the last one shorter.
+
+    A piece meets the chunks of its source that it reaches into, and each part goes to the one or two chunks of the new sequence in which it
+    lies, so that no task holds more than some chunks, however long a chromosome is.
+    """
+    part = F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))).alias("from")
+    pieces = boundaries(layout).where("to > at").select(*KEY, "src_chrom", "start", "end", "is_reverse", "at", part)
+    source = chunks.select(F.col("chrom").alias("src_chrom"), F.col("chunk").alias("from"), F.col("seq").alias("letters"))
+    first = F.col("from") * size
+    lo, hi = F.greatest(F.col("start"), first), F.least(F.col("end"), first + size)
+    taken = F.col("letters").substr((lo - first + 1).cast("int"), (hi - lo).cast("int"))
+    turned = F.reverse(F.translate(taken, "ACGTacgt", "TGCAtgca"))
+    place = F.when(F.col("is_reverse"), F.col("at") + F.col("end") - hi).otherwise(F.col("at") + lo - F.col("start"))
+    parts = pieces.join(source, ["src_chrom", "from"]).select(*KEY, place.alias("place"), F.when(F.col("is_reverse"), turned).otherwise(taken).alias("part"))
+    parts = parts.where("part <> ''").withColumn("chunk", F.explode(F.sequence(F.floor(F.col("place") / size), F.floor((F.col("place") + F.char_length("part") - 1) / size))))
+    skip = F.greatest(F.col("chunk") * size - F.col("place"), F.lit(0))
+    stop = F.least((F.col("chunk") + 1) * size - F.col("place"), F.char_length("part"))
+    cut = parts.select(*KEY, "chunk", F.struct(F.col("place") + skip, F.col("part").substr((skip + 1).cast("int"), (stop - skip).cast("int")).alias("part")).alias("x"))
+    ordered = F.transform(F.sort_array(F.collect_list("x")), lambda x: x["part"])
+    return cut.groupBy(*KEY, "chunk").agg(F.array_join(ordered, "").alias("seq"))

@@ -1111,11 +1111,25 @@ f AS (SELECT CAST(doc_id AS VARCHAR) AS sample, regexp_replace(upper(text), '[^A
 h AS (SELECT sample, seq, length(seq) // 2 AS m FROM f WHERE seq <> '')
 SELECT_ sample, 'x' AS chrom, translate(reverse(substr(seq, m + 1)), 'ACGT', 'TGCA') || substr(seq, 1, m) AS seq FROM h""")
 def _g10(spark, d):
-    letters = fixtures.fasta(spark, d)
+    return edits.sequences(_halves(spark, d), fixtures.fasta(spark, d))
+
+
+def _halves(spark, d):
+    """Each sequence with its second half, turned round, before its first."""
     half, whole = F.floor(F.char_length("seq") / 2), F.char_length("seq").cast("long")
     piece = lambda k, a, b, r: F.struct(F.lit(k).alias("ord"), a.cast("long").alias("start"), b.cast("long").alias("end"), F.lit(r).alias("is_reverse"))
-    pieces = letters.select(F.col("chrom").alias("sample"), F.lit("x").alias("chrom"), F.col("chrom").alias("src_chrom"), F.inline(F.array(piece(0, half, whole, True), piece(1, F.lit(0), half, False))))
-    return edits.sequences(pieces, letters)
+    return fixtures.fasta(spark, d).select(F.col("chrom").alias("sample"), F.lit("x").alias("chrom"), F.col("chrom").alias("src_chrom"), F.inline(F.array(piece(0, half, whole, True), piece(1, F.lit(0), half, False))))
+
+
+@_query("g10_sequence_chunks", "sample chrom chunk seq", """
+f AS (SELECT CAST(doc_id AS VARCHAR) AS sample, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents),
+h AS (SELECT sample, seq, length(seq) // 2 AS m FROM f WHERE seq <> ''),
+t AS (SELECT sample, translate(reverse(substr(seq, m + 1)), 'ACGT', 'TGCA') || substr(seq, 1, m) AS seq FROM h),
+k AS (SELECT *, unnest(range(0, (length(seq) + 99) // 100)) AS chunk FROM t)
+SELECT_ sample, 'x' AS chrom, chunk, substr(seq, CAST(chunk * 100 + 1 AS BIGINT), 100) AS seq FROM k""")
+def _g10_chunks(spark, d):
+    parts = fixtures.fasta(spark, d).select("chrom", F.posexplode(F.regexp_extract_all("seq", F.lit("(.{1,100})"), 1)).alias("chunk", "seq"))
+    return edits.sequence_chunks(_halves(spark, d), parts.withColumn("chunk", F.col("chunk").cast("long")), 100)
 
 
 # ---- workloads
@@ -1226,6 +1240,17 @@ def _io7(spark, d):
     return tables.read_fasta(spark, path)
 
 
+@_query("io7_fasta_chunks", "chrom chunk seq", """
+f AS (SELECT CAST(doc_id AS VARCHAR) AS chrom, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents),
+k AS (SELECT *, unnest(range(0, (length(seq) + 499) // 500)) AS chunk FROM f)
+SELECT_ chrom, chunk, substr(seq, CAST(chunk * 500 + 1 AS BIGINT), 500) AS seq FROM k""")
+def _io7_chunks(spark, d):
+    path = new_folder(spark, IO)
+    lines = F.regexp_replace("seq", "(.{60})", "$1\n")
+    fixtures.fasta(spark, d).select(F.concat(F.lit(">"), "chrom", F.lit(" from a document\n"), lines)).write.text(path)
+    return tables.read_fasta_chunks(spark, path, 500)
+
+
 @_query("io8_write_positions", "chrom coord description", """
 SELECT_ 'chr1' AS chrom, (8000 + s_suppkey * 13) % 64000 AS coord, 'Ori' AS description FROM supplier WHERE s_suppkey % 2 = 0 AND (8000 + s_suppkey * 13) % 64000 + 16 <= 64000""")
 def _io8(spark, d):

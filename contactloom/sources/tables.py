@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import carried, dealt
+
 TRIPLES = "id1 long, id2 long, count long"
 FRAGMENTS = "id long, chrom string, start_pos long, end_pos long, size long, gc_content double"
 BINS = "chrom string, start long, end long, weight double"
@@ -71,6 +73,31 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.select(head.alias("chrom"), seq.alias("seq")).withColumn("length", F.char_length("seq").cast("long"))
 
 
+def read_fasta_chunks(spark: SparkSession, path: str, size: int = 1 << 20) -> DataFrame:
+    """(chrom, chunk, seq): records in chunks of `size` letters, the last one shorter; a record's name is the first word of its header, and names are unique.
+
+    Lines are read by splits of the files and put in order by range; the last header and the letters before a line are carried over from one
+    range to the next, so that a record of any length is read by many tasks.  Records without letters have no chunk.
+    """
+    lines = spark.read.text(path).select(F.rtrim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    name = F.when(F.col("line").startswith(">"), F.regexp_extract("line", r"^>\s*(\S*)", 1))
+    seq = F.when(name.isNull(), F.regexp_replace("line", r"\s", "")).otherwise("")
+    rows = dealt(lines.select("file", "split", "id", name.alias("name"), seq.alias("seq"), F.char_length(seq).cast("long").alias("length")), ["file"], "split", "id")
+    rows = carried(rows, ["file"], base=(F.sum("length"), F.sum("base")))
+    before = Window.partitionBy("block", "file").orderBy("split", "id")
+    rows = rows.withColumn("at", F.coalesce("base", F.lit(0)) + F.sum("length").over(before) - F.col("length"))
+    rows = rows.withColumn("head", F.when(F.col("name").isNotNull(), F.struct("split", "id", "name", "at")))
+    rows = carried(rows, ["file"], last=(F.max("head"), F.max("last")))
+    head = F.coalesce(F.max("head").over(before), F.col("last"))
+    placed = rows.withColumn("head", head).where("length > 0 and head is not null").select(F.col("head.name").alias("chrom"), (F.col("at") - F.col("head.at")).alias("at"), "seq", "length")
+    placed = placed.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("length") - 1) / size))))
+    skip = F.greatest(F.col("chunk") * size - F.col("at"), F.lit(0))
+    stop = F.least((F.col("chunk") + 1) * size - F.col("at"), F.col("length"))
+    parts = placed.select("chrom", "chunk", F.struct(F.col("at") + skip, F.col("seq").substr((skip + 1).cast("int"), (stop - skip).cast("int")).alias("part")).alias("x"))
+    ordered = F.transform(F.sort_array(F.collect_list("x")), lambda x: x["part"])
+    return parts.groupBy("chrom", "chunk").agg(F.array_join(ordered, "").alias("seq"))
+
+
 def write_positions(positions: DataFrame, path: str) -> None:
     """chrom, coord and description, tab-separated."""
     positions.select("chrom", "coord", "description").write.csv(path, sep="\t")
