@@ -8,27 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import KEY, blob_kernel, ratio
+from ..functions.columns import KEY, ratio
 from ..plans.lineage import cut
 from .correlation import correlation_map
 from .maps import BIN, CELL, all_bins, circular_extend, mask_white_lines, unmasked, zero_diags
 
-# ---- helpers
-
-
-def centres(cells: DataFrame, lo: Column, hi: Column, name: str = "bin") -> DataFrame:
-    """`cells` repeated for each centre from lo to hi that is a bin of the map."""
-    lo, hi = F.greatest(lo, F.lit(0).cast("long")), F.least(hi, F.col("n") - 1)
-    return cells.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi").withColumn(name, F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+#: Bins of a block of the diagonal at least.
+BLOCK = 256
 
-
-def complete(cells: DataFrame, sums: DataFrame, column: str = "score") -> DataFrame:
-    """Scores of all bins; 0 where there are none."""
-    return all_bins(cells).join(sums, list(BIN), "left").withColumn(column, F.coalesce(column, F.lit(0.0)))
+# ---- helpers
 
 
 def range_sums(cells: DataFrame, ranges: dict[str, tuple[Column, Column]], grid: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -312,12 +306,28 @@ def antidiagonal_scalogram(cells: DataFrame, binning: int, windows: list[int], b
 def diagonal_convolution(ext: DataFrame, bins: DataFrame, s: int) -> DataFrame:
     """Scores: the kernel-weighted sum of the (2s+1) x (2s+1) window round each bin, over its number of cells that are not masked.
 
-    ext and bins are of the map continued by s bins, bins counted from -s.
+    ext and bins are of the map continued by s bins, bins counted from -s.  Cells go to the blocks of bins whose windows hold them, two at
+    most; a block slides the kernel down its piece of the diagonal.
     """
-    r, c, i = F.col("bin1"), F.col("bin2"), F.col("bin")
-    near = unmasked(ext, bins).where(F.abs(r - c) <= 2 * s)
-    spread = centres(near, F.greatest(r, c) - s, F.least(r, c) + s)
-    sums = spread.groupBy(*BIN).agg(F.sum(F.col("value") * blob_kernel(r - i + s, c - i + s, s)).alias("total"))
+    r, c, size = F.col("bin1"), F.col("bin2"), max(BLOCK, 2 * s)
+    lo, hi = F.greatest(F.greatest(r, c) - s, F.lit(0)), F.least(F.least(r, c) + s, F.col("n") - 1)
+    near = unmasked(ext, bins).where((F.abs(r - c) <= 2 * s) & (lo <= hi))
+    spread = near.select(*KEY, "n", "bin1", "bin2", F.col("value").cast("double").alias("value"), F.explode(F.array_distinct(F.array(F.floor(lo / size), F.floor(hi / size)))).alias("block"))
+    place = np.arange(2 * s + 1)
+    # The same kernel as blob_kernel().
+    kernel = np.exp(-0.5 * (0.5 * (abs(np.subtract.outer(place, place)) + abs(2 * s - np.add.outer(place, place))) / (2 * s)) ** 2) / np.sqrt(2.0) if s else np.full((1, 1), np.nan)
+
+    def slide(table: pa.Table) -> pa.Table:
+        n, first = table["n"][0].as_py(), table["block"][0].as_py() * size
+        own = min(size, n - first)
+        piece = np.zeros((own + 2 * s, own + 2 * s))
+        np.add.at(piece, tuple(table[k].to_numpy() - first + s for k in ("bin1", "bin2")), table["value"].to_numpy())
+        total = [float((piece[k : k + 2 * s + 1, k : k + 2 * s + 1] * kernel).sum()) for k in range(own)]
+        fixed = [pa.array([table[k][0].as_py()] * own, table.schema.field(k).type) for k in (*KEY, "n")]
+        return pa.table([*fixed, pa.array(np.arange(first, first + own)), pa.array(total, pa.float64())], names=[*BIN, "total"])
+
+    kinds = dict(spread.dtypes)
+    sums = spread.where("value <> 0").groupBy(*KEY, "n", "block").applyInArrow(slide, ", ".join([*[f"{k} {kinds[k]}" for k in (*KEY, "n")], "bin long", "total double"]))
     window = Window.partitionBy(*KEY).orderBy("bin").rowsBetween(-s, s)
     good = bins.withColumn("g", F.sum(F.when(F.col("masked"), 0).otherwise(1)).over(window)).where("bin >= 0 and bin < n")
     joined = good.join(sums, list(BIN), "left")
