@@ -2,8 +2,10 @@
 
 A text and a license template are aligned on the words that are unique in both: the longest increasing subsequence of these
 anchors is kept, and the gaps between them, in which other words are now unique, are aligned the same way.  Coverage is the
-share of the template's words that found their place.  So that a license is found wherever and however often it stands, a
-text is aligned in windows of twice the template's length from each of its words, and only in those that have enough of them.
+share of the template's words that found their place.  So that a license is found wherever and however often it stands, words
+that are unique in the template say where their copy starts; where many agree, a copy is aligned in its own range, which ends where the
+template's order starts anew.  What this leaves, such as copies with much in between, is aligned in windows of twice the template's length
+from each of its words, and only in those that have enough of them.
 A notice of a few words counts only with the words that decide which license it names.
 """
 
@@ -24,6 +26,9 @@ from .license_texts import COMMON, DECIDING, NEGATIONS, TEMPLATES
 
 COVERED = 0.8
 
+#: Words of a template from which votes tell copies apart; a notice of fewer is aligned from each of its words.
+VOTING = 24
+
 #: Words before a notice, and two more of its first ones, in which a word like "not" makes it none.
 NEGATED = 3
 
@@ -130,6 +135,8 @@ class Scanner:
         common = _hashed(COMMON)
         self.telling = [own & ~np.isin(self.vocabulary, common) for own in self.own]
         self.need = [int(np.ceil(COVERED * len(t))) for t in self.templates]
+        # The words that a template has once, and their places in it.
+        self.once = [(words[counts == 1], first[counts == 1]) for words, first, counts in (np.unique(t, return_index=True, return_counts=True) for t in self.templates)]
         self.need_telling = [n - int(np.isin(t, common).sum()) for n, t in zip(self.need, self.templates)]
 
     def scan(self, texts: pa.Array) -> list[list[tuple[str, float, int, int]]]:
@@ -163,6 +170,39 @@ class Scanner:
         out = [_best(x, [len(t) for t in self.templates], self.names) for x in out]
         return [sorted(x, key=lambda f: (f[2], f[3], f[0])) for x in out]
 
+    def _ranges(self, words: np.ndarray, which: int, at: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
+        """Where copies of a template seem to stand among the words from lo to hi, of which those at `at` are its own.
+
+        A word that the template has once votes for the place where the template's first word would be.  Insertions and omissions move
+        votes by some places, another copy by the template's length; so votes that lie near each other are one copy, whose range is
+        from where its first words say that it starts to where its last ones say that it ends.
+        """
+        size, (once, places) = len(self.templates[which]), self.once[which]
+        if not len(once) or size < VOTING:
+            return []
+        found = np.minimum(np.searchsorted(once, words[at]), len(once) - 1)
+        own = once[found] == words[at]
+        where, place = at[own], places[found[own]]
+        order = np.argsort(where - place, kind="stable")
+        where, place = where[order], place[order]
+        votes, near = where - place, 2 * max(2, size // 8)
+        ends = np.searchsorted(votes, votes + near, side="right")
+        agree = ends - np.arange(len(votes))
+        taken: list[int] = []
+        out = []
+        for k in np.argsort(-agree, kind="stable").tolist():
+            if 3 * agree[k] < len(once) or agree[k] < 2:
+                break
+            beside = bisect_left(taken, int(votes[k]))
+            if any(abs(x - votes[k]) < size // 2 for x in taken[max(0, beside - 1) : beside + 1]):
+                continue
+            taken.insert(beside, int(votes[k]))
+            mine = np.arange(k, ends[k])[np.argsort(place[k : ends[k]], kind="stable")]
+            start, stop = int(np.median(votes[mine[:3]])), int(np.median(votes[mine[-3:]])) + size
+            room = 2 + size // 50
+            out.append((max(lo, start - room), min(hi, stop + room)))
+        return out
+
     def _occurrences(self, words, template, which, at, lo, hi, need, data, starts, ends, base) -> list[tuple[str, float, int, int]]:
         size, wanted = len(template), template.tolist()
         places, own = at.tolist(), words[at].tolist()
@@ -188,6 +228,26 @@ class Scanner:
             if whole and names_it(a, [(k, k) for k in range(size)]):
                 kept.append((a, a + size))
         counts = {k: size for k in kept}
+        # Then copies that keep the template's pace, each aligned once in its own range, and again in the room that better ones leave.
+        paced = []
+        for first, stop in self._ranges(words, which, at, lo, hi):
+            wall = walls[bisect_left(walls, first)]
+            for a, b in ((first, min(stop, wall)), (wall + 1, stop)):
+                pairs = align(words[a:b].tolist(), wanted) if b - a >= need else []
+                if len(pairs) >= need and names_it(a, pairs):
+                    paced.append((-len(pairs), pairs[-1][0] - pairs[0][0] + 1, a + pairs[0][0], a, b))
+        for n, span, a, first, stop in sorted(paced):
+            before = bisect_right(kept, a, key=lambda r: r[0])
+            first = max(first, kept[before - 1][1]) if before else first
+            after = next_kept(kept, a)
+            if first > a or after[0] < a + span:
+                stop = min(stop, after[0]) if after[0] > a else a
+                pairs = align(words[first:stop].tolist(), wanted) if stop - first >= need else []
+                if len(pairs) < need or not names_it(first, pairs):
+                    continue
+                n, span, a = -len(pairs), pairs[-1][0] - pairs[0][0] + 1, first + pairs[0][0]
+            insort(kept, (a, a + span))
+            counts[a, a + span] = -n
         # Every other one starts at an anchor; the best goes first, and what it overlaps is aligned again in the room that is left.
         heap: list[tuple[int, int, int, int, int]] = []
 
@@ -199,6 +259,7 @@ class Scanner:
                 heappush(heap, (*best, first, stop))
 
         limit, inside, have, right = Counter(wanted), Counter(), 0, 0
+        deciding = {wanted[k] for k in self.needed[which]}
         for k, first in enumerate(places):
             after = next_kept(kept, first)
             stop = min(first + 2 * size, walls[bisect_left(walls, first)], after[0]) if after[0] > first else first + 1
@@ -206,7 +267,7 @@ class Scanner:
                 inside[own[right]] += 1
                 have += inside[own[right]] <= limit[own[right]]
                 right += 1
-            if after[0] > first and have >= need:
+            if after[0] > first and have >= need and all(inside[w] > 0 for w in deciding):
                 offer(first, stop)
             inside[own[k]] -= 1
             have -= inside[own[k]] < limit[own[k]]

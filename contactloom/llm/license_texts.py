@@ -66,6 +66,13 @@ _CC_SHORT = "Licensed under CC {} 4.0."
 _ELEMENTS = {"NC": "nc noncommercial non commercial", "SA": "sa sharealike share alike", "ND": "nd noderivatives noderivs derivatives no"}
 
 
+#: Short identifiers, as SPDX lines have them, and the words that would make them another one.
+_SPDX = {
+    "MIT": "0", "Apache-2.0": "", "ISC": "", "BSD-2-Clause": "patent views", "BSD-3-Clause": "clear lbnl attribution", "Zlib": "", "Unlicense": "", "BSL-1.0": "", "MPL-2.0": "no",
+    "GPL-2.0": "lgpl agpl", "GPL-3.0": "lgpl agpl", "LGPL-2.1": "", "LGPL-3.0": "", "AGPL-3.0": "", "CC0-1.0": "",
+}
+
+
 def _templates() -> tuple[dict[str, str], dict[str, tuple[str, str]]]:
     texts = dict(PLAIN)
     deciding = {
@@ -83,6 +90,9 @@ def _templates() -> tuple[dict[str, str], dict[str, tuple[str, str]]]:
         deciding[f"CC-{code}-4.0-name"] = (f"creative commons attribution {named.lower()} 4 0", others)
         texts[f"CC-{code}-4.0"] = _CC_SHORT.format(code)
         deciding[f"CC-{code}-4.0"] = (f"cc {code.replace('-', ' ').lower()} 4 0", others)
+    for name, others in _SPDX.items():
+        texts[f"{name}-spdx"] = f"SPDX-License-Identifier: {name}"
+        deciding[f"{name}-spdx"] = (f"spdx license identifier {name.replace('-', ' ').replace('.', ' ').lower()}", others)
     return texts, deciding
 
 
