@@ -1,8 +1,9 @@
 """N-gram Jaccard join with a MinHash LSH forest and exact verification.
 
-Each distinct shingle set has a path in each of TREES prefix tries: DEEPEST labels of one byte, each from a MinHash value of its own.
-A path is a 64-bit integer, its first label highest, so that the order of paths is the order of a trie and a prefix is a shift.
-Sets whose paths share a prefix are candidates.  Matching starts at whole paths; what the exact verification finds at that depth
+Each distinct shingle set has a path in each of TREES prefix tries: DEEPEST labels of two bytes, each from a MinHash value of its own.
+A path is two 64-bit integers, its first label highest, so that the order of paths is the order of a trie and a prefix is a shift.  The
+shortest prefix that can be needed has 80 bits, so that by chance alone no set meets another even among 10^12.  Sets whose paths share a
+prefix are candidates.  Matching starts at whole paths; what the exact verification finds at that depth
 tells how far prefixes must be shortened: until pairs of every similarity at which links were found meet in some trie with the
 target probability.  Only neighbourhoods that grew by it are verified again.
 
@@ -28,6 +29,8 @@ from .components import components
 
 SHINGLE, SIMILAR = 5, 0.8
 TREES, DEEPEST, RECALL = 24, 8, 0.9999
+#: Labels in one half of a path.
+LABELS = 4
 #: Shingles of a block, each set counting SET_WEIGHT more; a neighbourhood of more is verified block against block.
 BLOCK, SET_WEIGHT = 1 << 22, 500
 #: Parts in which the members of a trie node or of a large neighbourhood meet what is known of it.
@@ -67,20 +70,19 @@ def _digest(shingles: np.ndarray) -> bytes | None:
 
 
 def _paths(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The path of each nonempty set in each trie."""
-    out = np.zeros((len(at) - 1, TREES), np.uint64)
+    """The path of each nonempty set in each trie, as two numbers of LABELS labels each."""
+    out = np.zeros((len(at) - 1, TREES, 2), np.uint64)
     some = np.flatnonzero(np.diff(at))
     if not len(some):
         return out
     first = at[:-1][some]
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     for tree in range(TREES):
-        path = np.zeros(len(some), np.uint64)
         for level in range(DEEPEST):
             least = np.minimum.reduceat(short * _FACTORS[tree * DEEPEST + level], first)
             least = (least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-            path = (path << np.uint64(8)) | ((least ^ (least >> np.uint32(12))) >> np.uint32(24)).astype(np.uint64)
-        out[some, tree] = path
+            half = level // LABELS
+            out[some, tree, half] = (out[some, tree, half] << np.uint64(16)) | ((least ^ (least >> np.uint32(12))) >> np.uint32(16)).astype(np.uint64)
     return out
 
 
@@ -92,7 +94,7 @@ def _sketch(docs: DataFrame, text: str) -> DataFrame:
             hashes, at = _sets(part.column(part.schema.get_field_index(text)))
             digests = pa.array([_digest(hashes[at[k] : at[k + 1]]) for k in range(part.num_rows)], pa.binary())
             paths = pa.array(_paths(hashes, at).view(np.int64).ravel())
-            return [digests, pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * TREES), paths)]
+            return [digests, pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * (2 * TREES)), paths)]
 
         return work
 
@@ -192,14 +194,19 @@ def row_key(key: str, text: str) -> Column:
     return F.unhex(F.md5(F.concat(part(F.col(f"`{key}`").cast("string")), F.lit("\0"), part(F.col(f"`{text}`"))).cast("binary")))
 
 
+def _prefix(depth: int) -> Column:
+    """A 64-bit hash of the trie and of the first `depth` labels of the path (hi, lo) in it."""
+    low = F.shiftrightunsigned("lo", 16 * (2 * LABELS - depth)) if depth > LABELS else F.lit(0).cast("long")
+    return F.xxhash64("tree", F.shiftrightunsigned("hi", 16 * (LABELS - min(depth, LABELS))), low)
+
+
 def _neighbourhoods(matched: DataFrame, depth: int) -> DataFrame:
     """(node, label): sets that share prefixes of that depth, directly or through others."""
-    prefix = F.shiftrightunsigned("path", 8 * (DEEPEST - depth)).alias("prefix")
-    steps = matched.select("node", "tree", prefix, F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
-    parts = steps.groupBy("tree", "prefix", "salt").agg(F.min("node").alias("part"))
-    hubs = parts.groupBy("tree", "prefix").agg(F.min("part").alias("hub"))
-    inside = steps.join(parts, ["tree", "prefix", "salt"]).select(F.col("node").alias("a"), F.col("part").alias("b"))
-    return components(inside.unionByName(parts.join(hubs, ["tree", "prefix"]).select(F.col("part").alias("a"), F.col("hub").alias("b"))))
+    steps = matched.select("node", _prefix(depth).alias("prefix"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
+    parts = steps.groupBy("prefix", "salt").agg(F.min("node").alias("part"))
+    hubs = parts.groupBy("prefix").agg(F.min("part").alias("hub"))
+    inside = steps.join(parts, ["prefix", "salt"]).select(F.col("node").alias("a"), F.col("part").alias("b"))
+    return components(inside.unionByName(parts.join(hubs, "prefix").select(F.col("part").alias("a"), F.col("hub").alias("b"))))
 
 
 def _verified(near: DataFrame, sizes: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -233,12 +240,11 @@ def needed_depth(ranges: list[int], recall: float = RECALL) -> int:
 
 def _found_links(sets: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, links, hub) of all linked sets, by prefixes that are shortened until the target recall is met."""
-    steps = sets.select("node", F.posexplode("paths").alias("tree", "path"))
+    halves = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.struct(k.alias("tree"), F.get("paths", 2 * k).alias("hi"), F.get("paths", 2 * k + 1).alias("lo")))
     # Sets that meet no other at the shortest prefix that can be needed meet none at a longer one.
-    shortest = F.shiftrightunsigned("path", 8 * (DEEPEST - prefix_depth(TREES, DEEPEST, SIMILAR, RECALL)))
-    steps = steps.withColumn("prefix", shortest)
-    held = steps.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    matched = cut(steps.join(held.select("tree", "prefix"), ["tree", "prefix"], "left_semi").select("node", "tree", "path"))
+    steps = sets.select("node", F.inline(halves)).withColumn("prefix", _prefix(prefix_depth(TREES, DEEPEST, SIMILAR, RECALL)))
+    held = steps.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    matched = cut(steps.join(held.select("prefix"), "prefix", "left_semi").select("node", "tree", "hi", "lo"))
     wanted = matched.select("node").distinct().join(sets.select("node", "copies", "digest", "width", F.col("first.rk").alias("rk")), "node")
     once = wanted.join(rows.select("rk", "text"), "rk").distinct()  # as partitioned by the join
     shingles = cut(_shingle_sets(once, "text").where("found = digest").select("node", "copies", "width", "shingles"))
@@ -307,8 +313,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that are the first of their class, with their own columns; repeated rows are one.
 
-    Null, empty and blank texts are kept, one for each key.
+    Null, empty and blank texts are kept, one for each key.  Of rows equal in key and text the one stays whose other columns have the
+    least hash, whichever task reads it.
     """
     first = near_duplicates(docs, key, text).where("is_first").select(F.col("row_key").alias("_rk")).distinct()
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), row_key(key, text).alias("_rk"))
-    return row.join(first, "_rk", "left_semi").dropDuplicates(["_rk"]).select("_row.*")
+    others = F.xxhash64(*[F.col(f"_row.`{c}`").cast("string") for c in docs.columns])
+    return row.join(first, "_rk", "left_semi").groupBy("_rk").agg(F.min_by("_row", others).alias("_row")).select("_row.*")

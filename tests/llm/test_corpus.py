@@ -232,15 +232,22 @@ def test_paths_meet_as_often_as_similarity_says():
             every = rng.integers(0, 1 << 63, 2 * size - shared, dtype=np.uint64)
             sets += [np.sort(every[:size]), np.sort(every[size - shared :])]
         at = np.cumsum([0, *map(len, sets)])
-        paths = lsh_forest._paths(np.concatenate(sets), at).reshape(pairs, 2, lsh_forest.TREES)
+        paths = lsh_forest._paths(np.concatenate(sets), at).reshape(pairs, 2, lsh_forest.TREES, 2)
         true = shared / (2 * size - shared)
         for depth in (5, 6, 8):
-            prefix = paths >> np.uint64(8 * (lsh_forest.DEEPEST - depth))
-            met = (prefix[:, 0] == prefix[:, 1]).any(axis=1).mean()
+            low = paths[..., 1] >> np.uint64(16 * (lsh_forest.DEEPEST - depth))
+            met = ((paths[:, 0, :, 0] == paths[:, 1, :, 0]) & (low[:, 0] == low[:, 1])).any(axis=1).mean()
             assert met >= 1 - (1 - true**depth) ** lsh_forest.TREES - 0.006
+        # By chance not even labels of one half meet.
         assert (paths[:, 0] == np.roll(paths[:, 1], 1, axis=0)).sum() == 0
 
 
+def test_rows_equal_in_key_and_text_leave_the_same_one(spark):
+    rows = [(1, "one two three four five six", lang, None, n) for lang in ("en", "de", None, "fr") for n in (3, None, 1)]
+    kept = {tuple(lsh_forest.keep_first(spark.createDataFrame(rows[k:] + rows[:k], SCHEMA).repartition(1 + k)).collect()) for k in range(5)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 1
+
+
 def test_op9(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.op9_ngram_jaccard(spark, sf_dir).collect()), key=str) == brute_classes(rows)
