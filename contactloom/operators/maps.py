@@ -37,11 +37,12 @@ def bin_pixels(contacts: DataFrame, frags: DataFrame, bin_size: int) -> DataFram
     Contacts of unknown fragments are left out.
     """
     place = frags.select("id", "chrom", F.floor(F.col("start_pos") / bin_size).alias("bin"))
-    one = place.select(F.col("id").alias("id1"), F.struct("chrom", "bin").alias("a"))
-    two = place.select(F.col("id").alias("id2"), F.struct("chrom", "bin").alias("b"))
-    both = contacts.join(one, "id1").join(two, "id2").withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b"))
-    cell = [F.col("lo.chrom").alias("chrom1"), F.col("lo.bin").alias("bin1"), F.col("hi.chrom").alias("chrom2"), F.col("hi.bin").alias("bin2")]
-    return both.groupBy("sample", *cell).agg(F.sum("count").alias("count"))
+    one, two = (place.withColumnsRenamed({c: f"{c}{k}" for c in place.columns}) for k in (1, 2))
+    both = contacts.join(one, "id1").join(two, "id2")
+    turned = (F.col("chrom1") > F.col("chrom2")) | ((F.col("chrom1") == F.col("chrom2")) & (F.col("bin1") > F.col("bin2")))
+    # The order first, then sums: a filter on the result repeats no comparison.
+    placed = both.select("sample", *[F.when(turned, F.col(f"{c}{3 - k}")).otherwise(F.col(f"{c}{k}")).alias(f"{c}{k}") for k in (1, 2) for c in ("chrom", "bin")], "count")
+    return placed.groupBy("sample", "chrom1", "bin1", "chrom2", "bin2").agg(F.sum("count").alias("count"))
 
 
 def generate_bins(chroms: DataFrame, binning: int) -> DataFrame:

@@ -47,9 +47,14 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample, chrom1, bin1, chrom2, bin2, count)."""
-    place = lambda k: F.struct(F.col(f"chrom{k}").alias("chrom"), F.floor(F.col(f"frag{k}") / 10).alias("bin"))
+    # A number for each bin of the genome.  Names are made from aggregates, so that filters on them are applied to cells and not, with
+    # all of these expressions written out again and again, to contacts.
+    place = lambda k: F.floor(F.col(f"id{k}") / 10)
     rows = contacts(spark, sf_dir).select("sample", F.least(place(1), place(2)).alias("a"), F.greatest(place(1), place(2)).alias("b"))
-    return rows.groupBy("sample", F.col("a.chrom").alias("chrom1"), F.col("a.bin").alias("bin1"), F.col("b.chrom").alias("chrom2"), F.col("b.bin").alias("bin2")).agg(F.count(F.lit(1)).alias("count"))
+    rows = rows.groupBy("sample", "a", "b").agg(F.count(F.lit(1)).alias("count"), F.max("a").alias("lo"), F.max("b").alias("hi"))
+    first = SIZES["chr1"]
+    at = lambda c, k: [F.when(F.col(c) < first, "chr1").otherwise("p1").alias(f"chrom{k}"), F.when(F.col(c) < first, F.col(c)).otherwise(F.col(c) - first).alias(f"bin{k}")]
+    return rows.select("sample", *at("lo", 1), *at("hi", 2), "count")
 
 
 def upper(spark: SparkSession, sf_dir: str) -> DataFrame:
