@@ -15,6 +15,9 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import carried, dealt
+from ..plans.lineage import cut
+
 #: Cells of the ring; the loads of all are what the driver sees, whatever the number of rows.
 CELLS = 1 << 16
 VIRTUAL_NODES = 64
@@ -75,16 +78,18 @@ def assign(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
     rows = df.select(F.col(f"`{key}`").alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     rows = rows.withColumn("place", F.xxhash64("key", F.when(F.col("key").isNull(), F.col("text_crc32"))))
     rows = rows.withColumn("cell", F.pmod("place", F.lit(CELLS)).cast("int"))
-    # Rows that are equal in all that is returned are one run, which is dealt as a range of numbers.
-    runs = rows.groupBy("cell", "place", "key", "text_crc32", "size").agg(F.count(F.lit(1)).alias("n"))
+    # Rows that are equal in all that is returned are one run, which is dealt as a range of numbers; texts are read once.
+    order = ["place", "key", "text_crc32", "size"]
+    runs = dealt(cut(rows.groupBy("cell", *order).agg(F.count(F.lit(1)).alias("n"))), ["cell"], *order)
     width = F.lit(1).cast("long") if weight == "rows" else F.col("size")
-    load = F.count(F.lit(1)) if weight == "rows" else F.sum("size")
-    loads = {r.cell: r.load for r in rows.groupBy("cell").agg(load.cast("long").alias("load")).collect()}  # CELLS rows at most
+    loads = {r.cell: r.load for r in runs.groupBy("cell").agg(F.sum(F.col("n") * width).cast("long").alias("load")).collect()}  # CELLS rows at most
     plan = walk(loads, even_capacity(sum(loads.values()), shards, slack))
     # The plan has a row for each cell and one more for each shard that fills up.
     parts = F.broadcast(spark.createDataFrame(plan, "cell int, start long, end long, shard int"))
-    order = Window.partitionBy("cell").orderBy("place", "key", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = runs.withColumn("before", F.sum(F.col("n") * width).over(order) - F.col("n") * width)
+    # A cell may hold a key with very many texts: its sum goes on from one block of the sorted runs to the next.
+    ranked = carried(runs, ["cell"], base=(F.sum(F.col("n") * width), F.sum("base")))
+    reached = F.sum(F.col("n") * width).over(Window.partitionBy("block", "cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = ranked.withColumn("before", F.coalesce("base", F.lit(0)) + reached - F.col("n") * width).drop("base", "block")
     # A row belongs to the part in which it starts; a run may reach over several.
     upto = lambda edge: F.least(F.greatest(F.ceil((F.col(edge) - F.col("before")) / width), F.lit(0)), F.col("n")).cast("long")
     placed = ranked.join(parts, "cell").withColumns({"lo": upto("start"), "hi": upto("end")}).where("lo < hi")

@@ -201,6 +201,15 @@ def test_shards_equal_a_walk_round_the_ring(spark, odd_docs):
     assert got == walked(keys, ring_shards.even_capacity(3000, 8))
 
 
+def test_one_key_with_very_many_texts(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") < 1500, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).repartition(5)
+    got = ring_shards.assign(rows, 8).collect()
+    assert len(got) == 2000 and Counter(r.shard for r in got) == {s: 250 for s in range(8)}
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(250)) for s in range(8))
+    want = Counter((7 if k < 1500 else k, zlib.crc32(f"text {k}".encode())) for k in range(2000))
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == want
+
+
 @pytest.mark.parametrize("weight", ["rows", "bytes"])
 def test_shards_balance_and_slots(spark, weight):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
