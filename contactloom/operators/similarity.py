@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import carried, dealt
 from ..plans.lineage import cut
 from .boxes import box_sums
 from .maps import CELL, from_upper, subsample
@@ -94,28 +93,29 @@ def cluster_order(matrix: DataFrame, share: float = 0.5) -> DataFrame:
     """(sample, cluster, place): samples in an order that puts alike ones side by side, from all ordered pairs (sample_a, sample_b, scc).
 
     Samples are rows of the matrix; of all groups the two whose farthest members are nearest are joined, until these are farther
-    apart than `share` of the largest distance.  Clusters are numbered by their first sample.  One task holds the matrix, which has a
-    row for each pair of samples and not of bins.
+    apart than `share` of the largest distance.  Clusters are numbered by their first sample, after which they are named until then.  In each
+    round all groups are joined that are each other's nearest, which gives the same clusters as one after another, since a joined group
+    is never nearer to others than its parts were; distances stay rows of pairs.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        table = rows.pivot(index="sample_a", columns="sample_b", values="scc").fillna(0.0)
-        names, points = list(table.index), table.to_numpy()
-        apart = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
-        limit = share * apart.max(initial=0.0)
-        groups = [[k] for k in range(len(names))]
-        far = apart + np.diag(np.full(len(names), np.inf))
-        while len(groups) > 1:
-            i, j = divmod(int(far.argmin()), len(groups))
-            if far[i, j] > limit:
-                break
-            i, j = sorted((i, j))
-            groups[i] = sorted(groups[i] + groups.pop(j))
-            far[i] = np.maximum(far[i], far[j])
-            far[:, i] = far[i]
-            far[i, i] = np.inf
-            far = np.delete(np.delete(far, j, 0), j, 1)
-        flat = [(names[k], c) for c, group in enumerate(sorted(groups)) for k in group]
-        return pd.DataFrame({"sample": [n for n, _ in flat], "cluster": [c for _, c in flat], "place": range(len(flat))})
-
-    return matrix.groupBy().applyInPandas(run, "sample string, cluster int, place int")
+    rows = cut(matrix.select("sample_a", "sample_b", F.coalesce("scc", F.lit(0.0)).alias("scc")))
+    one, two = rows.select(F.col("sample_a").alias("a"), "sample_b", F.col("scc").alias("x")), rows.select(F.col("sample_a").alias("b"), "sample_b", F.col("scc").alias("y"))
+    apart = F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))))
+    far = cut(one.join(two, "sample_b").where("a < b").groupBy("a", "b").agg(apart.alias("d")))
+    limit = share * (far.agg(F.max("d")).first()[0] or 0.0)
+    state = cut(rows.select(F.col("sample_a").alias("sample"), F.col("sample_a").alias("cluster")).distinct())
+    while True:
+        ends = far.select(F.explode(F.array("a", "b")).alias("end"), F.struct("d", "a", "b").alias("pair"))
+        chosen = ends.groupBy("end").agg(F.min("pair").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+        joined = cut(chosen.where((F.col("n") == 2) & (F.col("pair.d") <= limit)).select(F.col("pair.b").alias("gone"), F.col("pair.a").alias("into")))
+        if joined.isEmpty():
+            break
+        moved = lambda df, c: df.join(joined, F.col(c) == F.col("gone"), "left").withColumn(c, F.coalesce("into", c)).drop("gone", "into")  # noqa: B023, E731
+        state = cut(moved(state, "cluster"))
+        both = moved(moved(far, "a"), "b").where("a <> b")
+        far = cut(both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("d").alias("d")))
+    first = F.when(F.col("sample") == F.col("cluster"), 1).otherwise(0)
+    placed = dealt(state.withColumns({"all": F.lit(0), "first": first}), ["all"], "cluster", "sample")
+    placed = carried(placed, ["all"], before=(F.count(F.lit(1)), F.sum("before")), clusters=(F.sum("first"), F.sum("clusters")))
+    own = Window.partitionBy("block").orderBy("cluster", "sample").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    number = lambda base, of: (F.coalesce(base, F.lit(0)) + F.sum(of).over(own) - 1).cast("int")
+    return placed.select("sample", number("clusters", F.col("first")).alias("cluster"), number("before", F.lit(1)).alias("place"))
