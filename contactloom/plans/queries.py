@@ -862,7 +862,27 @@ def _s13_pars(spark, d):
     return _detected(spark, d, fixtures.sites(spark, d, 8000), fixtures.sites(spark, d, 40000).where("end < start"))
 
 
-@_query("s14_coverage_ori_ter")
+@_query("s14_coverage_ori_ter", "sample chrom ori ter", """
+cb AS (SELECT sample, pos // 1000 AS bin, avg(value + 500 * (1 + cos((pos - 9000) * 2 * 3.141592653589793 / 64000))) AS value FROM tracks GROUP BY ALL),
+c0 AS (SELECT sample, median(value) AS med FROM cb GROUP BY ALL),
+c1 AS (SELECT sample, med, median(abs(value - med)) AS mad FROM cb JOIN c0 USING (sample) GROUP BY ALL),
+cm AS (SELECT sample, bin, CASE WHEN abs(value - med) <= 3 * mad THEN value END AS value FROM cb JOIN c1 USING (sample)),
+ck AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN bin END IGNORE NULLS) OVER a AS b0, last_value(value IGNORE NULLS) OVER a AS v0,
+  first_value(CASE WHEN value IS NOT NULL THEN bin END IGNORE NULLS) OVER z AS b1, first_value(value IGNORE NULLS) OVER z AS v1
+  FROM cm WINDOW a AS (PARTITION BY sample ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), z AS (PARTITION BY sample ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+cl AS (SELECT sample, bin, coalesce(value, v0 + (v1 - v0) * (bin - b0) / (b1 - b0), v0) AS value FROM ck),
+cf AS (SELECT sample, bin, CASE WHEN row_number() OVER p = 1 THEN coalesce(lead(value) OVER p, value) ELSE value END AS value FROM cl WINDOW p AS (PARTITION BY sample ORDER BY bin)),
+cp AS (SELECT sample, row_number() OVER (PARTITION BY sample ORDER BY bin) - 1 AS ix, (value - min(value) OVER p) / (max(value) OVER p - min(value) OVER p) AS v, count(*) OVER p AS nn FROM cf WINDOW p AS (PARTITION BY sample)),
+cw AS (SELECT sample, nn, unnest(range(3, nn // 2 + 1, 2)) AS width FROM (SELECT DISTINCT sample, nn FROM cp WHERE nn > 50)),
+e1 AS (SELECT a.sample, width, w.nn, a.ix, avg(b.v) AS v FROM cp a JOIN cw w USING (sample) JOIN cp b ON b.sample = a.sample AND (b.ix - a.ix + w.nn + width // 2) % w.nn < width GROUP BY ALL),
+e2 AS (SELECT a.sample, a.width, a.ix, round(avg(b.v), 12) AS v FROM e1 a JOIN e1 b ON b.sample = a.sample AND b.width = a.width AND (b.ix - a.ix + a.nn + a.width // 2) % a.nn < a.width GROUP BY ALL),
+e3 AS (SELECT *, CASE WHEN lag(v) OVER (PARTITION BY sample, width ORDER BY ix) = v THEN 0 ELSE 1 END AS fresh FROM e2),
+e4 AS (SELECT *, sum(fresh) OVER (PARTITION BY sample, width ORDER BY ix) AS run FROM e3),
+e5 AS (SELECT sample, width, run, (min(ix) + max(ix)) // 2 AS mid, any_value(v) AS v FROM e4 GROUP BY ALL),
+e6 AS (SELECT *, lag(v) OVER p AS l, lead(v) OVER p AS r FROM e5 WINDOW p AS (PARTITION BY sample, width ORDER BY run)),
+e7 AS (SELECT sample, width, count(*) FILTER (v > l AND v > r) AS peaks, count(*) FILTER (v < l AND v < r) AS troughs, min(mid) FILTER (v > l AND v > r) AS top, min(mid) FILTER (v < l AND v < r) AS low FROM e6 GROUP BY ALL),
+e8 AS (SELECT sample, arg_min(top, width) AS top, arg_min(low, width) AS low FROM e7 WHERE peaks = 1 AND troughs = 1 GROUP BY ALL)
+SELECT_ sample, 'chr1' AS chrom, CAST(coalesce(top * 1000, 0) AS BIGINT) AS ori, CAST(coalesce(low * 1000, 32000) AS BIGINT) AS ter FROM (SELECT DISTINCT sample FROM cw) LEFT JOIN e8 USING (sample)""")
 def _s14(spark, d):
     wave = F.col("value") + 500 * (1 + F.cos((F.col("pos") - 9000) * 2 * 3.141592653589793 / 64000))
     return oriter.coverage_ori_ter(fixtures.tracks(spark, d).withColumn("value", wave), _track_chroms(spark, d), 1000)
