@@ -1121,7 +1121,34 @@ def _g08(spark, d):
     return intervals.locate(positions, fixtures.layout(spark, d))
 
 
-@_query("g09_apply_edits")
+def _edit_sql(before: str, after: str, seq: int) -> str:
+    """The edits of one `seq` on pieces (sample, chrom, lo, hi, src, s, e, r): pieces are cut where an edit begins or ends, then moved."""
+    inside = "lo >= a AND hi <= b"
+    return f"""
+{after}e AS (SELECT 'c' || c_custkey AS sample, ['insert', 'invert', 'delete', 'translocate', 'duplicate'][(c_custkey + {seq}) % 5 + 1] AS op, c_custkey * 17 % 5000 AS pos,
+  c_custkey * 31 % 4000 AS a, c_custkey * 31 % 4000 + 1000 AS b, c_custkey % 3 = 0 AS inv FROM customer WHERE c_custkey % 2 >= {seq}),
+{after}x AS (SELECT sample, 'a' AS chrom, pos AS x FROM {after}e WHERE op NOT IN ('invert', 'delete')
+  UNION ALL SELECT sample, CASE WHEN op IN ('invert', 'delete') THEN 'a' ELSE 'b' END, unnest([a, b]) FROM {after}e WHERE op <> 'insert'),
+{after}l AS (SELECT p.sample, p.chrom, lo, hi, src, s, e, r, list_sort(list_distinct([lo, hi] || coalesce(list(x) FILTER (x > lo AND x < hi), []))) AS xs
+  FROM {before} p LEFT JOIN {after}x c ON c.sample = p.sample AND c.chrom = p.chrom GROUP BY p.sample, p.chrom, lo, hi, src, s, e, r),
+{after}u AS (SELECT *, unnest(range(1, len(xs))) AS i FROM {after}l),
+{after}p AS (SELECT sample, chrom, xs[i] AS lo, xs[i + 1] AS hi, src, CASE WHEN r THEN e - (xs[i + 1] - lo) ELSE s + (xs[i] - lo) END AS s,
+  CASE WHEN r THEN e - (xs[i] - lo) ELSE s + (xs[i + 1] - lo) END AS e, r FROM (SELECT sample, chrom, lo, src, s, e, r, xs, i FROM {after}u)),
+{after}m AS (
+  SELECT sample, chrom, CASE WHEN op = 'invert' AND chrom = 'a' AND {inside} THEN a + b - hi WHEN op = 'delete' AND chrom = 'a' AND lo >= b THEN lo - 1000
+    WHEN op = 'insert' AND chrom = 'a' AND lo >= pos THEN lo + 300 WHEN op IN ('duplicate', 'translocate') AND chrom = 'a' AND lo >= pos THEN lo + 1000
+    WHEN op = 'translocate' AND chrom = 'b' AND lo >= b THEN lo - 1000 ELSE lo END AS place,
+    src, s, e, r <> coalesce(op = 'invert' AND chrom = 'a' AND {inside}, false) AS r
+  FROM {after}p LEFT JOIN {after}e USING (sample) WHERE NOT coalesce((op = 'delete' AND chrom = 'a' OR op = 'translocate' AND chrom = 'b') AND {inside}, false)
+  UNION ALL SELECT sample, 'a', pos, 'b', 100, 400, inv FROM {after}e WHERE op = 'insert'
+  UNION ALL SELECT sample, 'a', pos + CASE WHEN inv THEN b - hi ELSE lo - a END, src, s, e, r <> inv FROM {after}p JOIN {after}e USING (sample)
+    WHERE op IN ('duplicate', 'translocate') AND chrom = 'b' AND {inside}),
+{after} AS (SELECT sample, chrom, place AS lo, place + e - s AS hi, src, s, e, r FROM {after}m)"""
+
+
+@_query("g09_apply_edits", "sample chrom ord src_chrom start end is_reverse", f"""
+l0 AS (SELECT sample, chrom, s AS lo, e AS hi, chrom AS src, s, e, r FROM lay),{_edit_sql("l0", "l1", 0)},{_edit_sql("l1", "l2", 1)}
+SELECT_ sample, chrom, CAST(row_number() OVER (PARTITION BY sample, chrom ORDER BY lo) - 1 AS INTEGER) AS ord, src AS src_chrom, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", r AS is_reverse FROM l2""")
 def _g09(spark, d):
     return edits.apply_edits(fixtures.layout(spark, d), fixtures.edits(spark, d))
 
