@@ -65,11 +65,16 @@ def all_bins(cells: DataFrame) -> DataFrame:
     return cells.select(*KEY, "n").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
 
 
-def every_bin(held: DataFrame, *columns: str) -> DataFrame:
+def every_bin(held: DataFrame, *columns: str, every: DataFrame | None = None) -> DataFrame:
     """(sample, chrom, n, bin, columns): rows of some bins of each map, with 0 in the bins between, before and after them.
 
-    One window over the rows that there are fills the gaps; maps without a row have none here either.
+    One window over the rows that there are fills the gaps; maps without a row have 0 in all bins if `every` (sample, chrom, n) names them, and
+    else no row here either.
     """
+    if every is not None:
+        kinds = dict(held.dtypes)
+        empty = every.select(*KEY, "n").distinct().join(held.select(*KEY).distinct(), list(KEY), "left_anti")
+        held = held.select(*BIN, *columns).unionByName(empty.select(*KEY, "n", F.lit(0).cast("long").alias("bin"), *[F.lit(0).cast(kinds[c]).alias(c) for c in columns]))
     w = Window.partitionBy(*KEY).orderBy("bin")
     first = F.when(F.lag("bin").over(w).isNull(), F.lit(0).cast("long")).otherwise(F.col("bin"))
     edges = held.withColumn("_lo", first).withColumn("_hi", F.coalesce(F.lead("bin").over(w), "n") - 1)
@@ -194,12 +199,12 @@ def mad(rows: DataFrame, value: str, by: tuple[str, ...] = KEY) -> DataFrame:
     return mid.join(percentile_of(rows.join(mid, list(by)).select(*by, apart), "_apart", 0.5, by, name="mad"), list(by))
 
 
-def good_bins(cells: DataFrame, n_mad: float = 3.0, s_min: float | None = None, s_max: float | None = None, symmetric: bool = False) -> DataFrame:
+def good_bins(cells: DataFrame, n_mad: float = 3.0, s_min: float | None = None, s_max: float | None = None, symmetric: bool = False, every: DataFrame | None = None) -> DataFrame:
     """(sample, chrom, n, bin, good) of an upper map: the log10 of a bin's sum (0 as 1) is above median - n_mad * 1.4826 MAD, or s_min.
 
-    With `symmetric` it is also below median + n_mad * 1.4826 MAD, or s_max.
+    With `symmetric` it is also below median + n_mad * 1.4826 MAD, or s_max.  No bin of a map without cells, which `every` may name, is good.
     """
-    sums = every_bin(bin_sums(cells), "total")
+    sums = every_bin(bin_sums(cells), "total", every=every)
     joined = with_mad(sums.withColumn("log", F.log10(F.when(F.col("total") == 0, 1.0).otherwise(F.col("total")))), "log")
     low = F.lit(s_min) if s_min is not None else F.col("median") - n_mad * 1.4826 * F.col("mad")
     high = F.lit(s_max) if s_max is not None else F.col("median") + n_mad * 1.4826 * F.col("mad")
@@ -207,10 +212,13 @@ def good_bins(cells: DataFrame, n_mad: float = 3.0, s_min: float | None = None,
     return joined.select(*BIN, (good & (F.col("log") < high) if symmetric else good).alias("good"))
 
 
-def mask_white_lines(cells: DataFrame, n_mads: float = 3.0) -> DataFrame:
-    """(sample, chrom, n, bin, masked) of a whole map: the bin's zeros reach max(1, median + n_mads * MAD of all bins' zeros)."""
+def mask_white_lines(cells: DataFrame, n_mads: float = 3.0, every: DataFrame | None = None) -> DataFrame:
+    """(sample, chrom, n, bin, masked) of a whole map: the bin's zeros reach max(1, median + n_mads * MAD of all bins' zeros).
+
+    All bins of a map without cells, which `every` may name, are masked.
+    """
     stored = cells.groupBy(*KEY, "n", F.col("bin2").alias("bin")).agg(F.count_if(F.col("value") != 0).alias("stored"))
-    zeros = with_mad(every_bin(stored, "stored").withColumn("zeros", F.col("n") - F.col("stored")), "zeros")
+    zeros = with_mad(every_bin(stored, "stored", every=every).withColumn("zeros", F.col("n") - F.col("stored")), "zeros")
     return zeros.select(*BIN, (F.col("zeros") >= F.greatest(F.lit(1.0), F.col("median") + n_mads * F.col("mad"))).alias("masked"))
 
 

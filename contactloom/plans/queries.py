@@ -612,7 +612,25 @@ def _a18(spark, d):
     return signals.find_blobs(_map(spark, d), 3)
 
 
-@_query("a19_compartments")
+#: Power iteration on lists, for the first eigenvector, and for the second on what the first leaves.
+_EIGEN = _DETREND + "," + _CORR.format(grid="flat") + """,
+er AS (SELECT sample, chrom, n, i, list(r ORDER BY j) AS row FROM cor GROUP BY ALL),
+em AS (SELECT sample, chrom, n, list(row ORDER BY i) AS m, list_transform(range(n), lambda x: sin(x * 1.7 + 1)) AS v FROM er GROUP BY sample, chrom, n),
+p1 AS (SELECT sample, chrom, 0 AS k, v FROM em UNION ALL
+  SELECT sample, chrom, k + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (
+    SELECT p1.sample, p1.chrom, k, list_transform(m, lambda y: list_dot_product(y, p1.v)) AS w FROM p1 JOIN em USING (sample, chrom) WHERE k < 2000)),
+u1 AS (SELECT sample, chrom, em.v, m, p1.v AS u, list_dot_product(list_transform(m, lambda y: list_dot_product(y, p1.v)), p1.v) AS l FROM p1 JOIN em USING (sample, chrom) WHERE k = 2000),
+p2 AS (SELECT sample, chrom, 0 AS k, v FROM u1 UNION ALL
+  SELECT sample, chrom, k + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (
+    SELECT sample, chrom, k, list_transform(list_zip(mv, u), lambda z: z[1] - l * d * z[2]) AS w FROM (
+      SELECT p2.sample, p2.chrom, k, u, l, list_transform(m, lambda y: list_dot_product(y, p2.v)) AS mv, list_dot_product(u, p2.v) AS d FROM p2 JOIN u1 USING (sample, chrom) WHERE k < 2000))),
+ev AS (SELECT sample, chrom, 1 AS rank, u AS v FROM u1 UNION ALL SELECT sample, chrom, 2, v FROM p2 WHERE k = 2000),
+ex AS (SELECT sample, chrom, rank, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS bin FROM ev),
+et AS (SELECT sample, chrom, rank, arg_max(x, round(abs(x), 9) - bin * 1e-12) AS top FROM ex GROUP BY ALL)"""
+
+
+@_query("a19_compartments", "sample chrom n bin rank | score", _EIGEN + """
+SELECT_ ex.sample, ex.chrom, n, bin, CAST(rank AS INTEGER) AS rank, x * sign(top) AS score FROM ex JOIN et USING (sample, chrom, rank) JOIN cor ON cor.sample = ex.sample AND cor.chrom = ex.chrom AND i = bin AND j = bin AND r <> 0""")
 def _a19(spark, d):
     return correlation.compartments(_map(spark, d))
 

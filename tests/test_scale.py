@@ -112,6 +112,17 @@ def test_balancing_to_the_end_equals_numpy(spark):
     assert balance.balance_ice(cells.limit(0)).count() == 0
 
 
+def test_maps_without_a_cell_have_all_their_bins_if_they_are_named(spark):
+    cells = dense_map(spark, 12, 5)
+    every = spark.createDataFrame([("s", "c", 12), ("t", "c", 3)], "sample string, chrom string, n long")
+    empty = lambda df: sorted(r.bin for r in df.where("sample = 't'").collect())
+    assert empty(maps.good_bins(cells, every=every).where("not good")) == empty(maps.mask_white_lines(maps.from_upper(cells), every=every).where("masked")) == [0, 1, 2]
+    got = balance.balance_ice(cells, every=every)
+    assert empty(got.where("bias is null")) == [0, 1, 2] and got.count() == 15 and got.where("bias is not null").count() > 6
+    assert maps.good_bins(cells, every=every).where("sample = 's'").count() == 12 and empty(maps.good_bins(cells)) == []
+    assert empty(maps.good_bins(cells.limit(0), every=every)) == [0, 1, 2]
+
+
 def test_normalising_to_the_end_equals_numpy(spark):
     cells = maps.from_upper(dense_map(spark, 30, 4))
     m = matrix(cells, 30)
