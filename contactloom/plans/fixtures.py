@@ -10,6 +10,7 @@ from ..operators import maps
 #: Chromosomes of the derived genome, and bins that are left empty to make white lines.
 SIZES = {"chr1": 64, "p1": 16}
 WHITE = (17, 40)
+SAMPLES = ("A", "N", "R")
 BIN = 1000
 #: Suppliers whose contacts make up the maps of one group of samples, and events that make up its tracks: with larger tables there are more.
 SUPPLIERS, EVENTS = 500, 64_000
@@ -99,10 +100,11 @@ def sites(spark: SparkSession, sf_dir: str, offset: int) -> DataFrame:
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sample, chrom, gene_id, tss, strand, rpkm) from parts, for sample A."""
+    """(sample, chrom, gene_id, tss, strand, rpkm) from parts, by turns for the samples of the first group."""
     rows = read(spark, sf_dir, "part")
     strand = F.when(F.col("p_size") % 2 == 0, "+").otherwise("-")
-    return rows.select(F.lit("A").alias("sample"), F.lit("chr1").alias("chrom"), F.col("p_partkey").alias("gene_id"), (F.col("p_partkey") * 37 % 64000).alias("tss"), strand.alias("strand"), (F.col("p_retailprice") * F.col("p_size")).alias("rpkm"))
+    sample = F.element_at(F.array(*[F.lit(x) for x in SAMPLES]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return rows.select(sample.alias("sample"), F.lit("chr1").alias("chrom"), F.col("p_partkey").alias("gene_id"), (F.col("p_partkey") * 37 % 64000).alias("tss"), strand.alias("strand"), (F.col("p_retailprice") * F.col("p_size")).alias("rpkm"))
 
 
 def intervals_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +190,7 @@ skew AS (
   SELECT i, i * 200 AS start, i * 200 + 399 AS "end", (p - 250000) / 250000 + CASE WHEN i BETWEEN 40 AND 189 THEN 0.5 ELSE -0.5 END AS val
   FROM (SELECT o_orderkey % 300 AS i, avg(o_totalprice) AS p FROM orders GROUP BY ALL)),
 genes AS (
-  SELECT 'A' AS sample, 'chr1' AS chrom, p_partkey AS gene_id, p_partkey * 37 % 64000 AS tss, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand,
+  SELECT ['A', 'N', 'R'][p_partkey % 3 + 1] AS sample, 'chr1' AS chrom, p_partkey AS gene_id, p_partkey * 37 % 64000 AS tss, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand,
          p_retailprice * p_size AS rpkm FROM part),
 ia AS (SELECT o_orderkey AS id, o_custkey * 10 AS s, o_custkey * 10 + CAST(floor(o_totalprice / 10000) AS BIGINT) AS e, o_orderkey % 2 = 1 AS r FROM orders),
 ib AS (SELECT p_partkey AS id, p_partkey * 7 AS s, p_partkey * 7 + p_size AS e, p_partkey % 2 = 1 AS r FROM part),

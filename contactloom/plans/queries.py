@@ -958,21 +958,21 @@ def _t01_masked(spark, d):
 
 
 @_query("t02_extract_track_windows", "sample chrom gene_id d | value", """
-tt AS (SELECT 'A' AS sample, pos // 1000 AS bin, avg(value) AS value FROM tracks WHERE sample = 'click' GROUP BY ALL)
+tt AS (SELECT pos // 1000 AS bin, avg(value) AS value FROM tracks WHERE sample = 'click' GROUP BY ALL)
 SELECT_ g.sample, g.chrom, gene_id, CASE WHEN strand = '-' THEN -d ELSE d END AS d, CASE WHEN tss // 1000 + d BETWEEN 0 AND 63 THEN coalesce(value, 0) END AS value
 FROM genes g CROSS JOIN (SELECT unnest(range(-5, 6)) AS d) LEFT JOIN tt ON tt.bin = tss // 1000 + d""")
 def _t02(spark, d):
-    track = _binned(spark, d).where("sample = 'click'").withColumn("sample", F.lit("A"))
+    track = _binned(spark, d).where("sample = 'click'").withColumn("sample", F.explode(F.array(*[F.lit(x) for x in fixtures.SAMPLES])))
     return pileup.extract_track_windows(track, fixtures.genes(spark, d), fixtures.chroms(spark, d), 1000, 5000, circular=False)
 
 
-@_query("t03_transcribed", "gene_id high", "SELECT_ gene_id, rpkm >= (SELECT quantile_cont(rpkm, 0.8) FROM genes) AS high FROM genes")
+@_query("t03_transcribed", "gene_id high", "SELECT_ gene_id, rpkm >= (SELECT quantile_cont(q.rpkm, 0.8) FROM genes q WHERE q.sample = genes.sample) AS high FROM genes")
 def _t03(spark, d):
     return pileup.transcribed(fixtures.genes(spark, d), 20).select("gene_id", "high")
 
 
 _HEADS = """
-hi AS (SELECT * FROM genes WHERE rpkm >= (SELECT quantile_cont(rpkm, 0.8) FROM genes)),
+hi AS (SELECT * FROM genes WHERE rpkm >= (SELECT quantile_cont(q.rpkm, 0.8) FROM genes q WHERE q.sample = genes.sample)),
 nx AS (SELECT *, lag(strand) OVER o AS ps, lag(tss) OVER o AS pt, lead(strand) OVER o AS ns, lead(tss) OVER o AS nt FROM hi WINDOW o AS (PARTITION BY sample, chrom ORDER BY tss, gene_id)),
 heads AS (SELECT sample, chrom, gene_id, tss, strand FROM nx WHERE CASE WHEN strand = '-' THEN NOT coalesce(ns = '-' AND nt - tss <= 300, false) ELSE NOT coalesce(ps = '+' AND tss - pt <= 300, false) END)"""
 
@@ -982,7 +982,7 @@ def _t04(spark, d):
     return pileup.tu_heads(pileup.transcribed(fixtures.genes(spark, d), 20).where("high"), 300).select("gene_id", "tss", "strand")
 
 
-@_query("t05_control_genes", "gene_id", "SELECT_ gene_id FROM genes WHERE rpkm < (SELECT quantile_cont(rpkm, 0.8) FROM genes)")
+@_query("t05_control_genes", "gene_id", "SELECT_ gene_id FROM genes WHERE rpkm < (SELECT quantile_cont(q.rpkm, 0.8) FROM genes q WHERE q.sample = genes.sample)")
 def _t05(spark, d):
     ranked = pileup.transcribed(fixtures.genes(spark, d), 20)
     return pileup.control_features(ranked, ranked, fixtures.chroms(spark, d), "non-transcribed", 5000).select("gene_id")
@@ -1049,7 +1049,7 @@ def _t07_random_median(spark, d):
 _EXPRESSED = """
 ex AS (SELECT sample, chrom, tss // 1000 AS bin, sum(rpkm) AS value FROM genes GROUP BY ALL)"""
 _TRACK_AT = """
-{tag} AS (SELECT f.sample, f.gene_id, CASE WHEN strand = '-' THEN -1 ELSE 1 END * d AS d, coalesce(ex.value, 0) AS value FROM {features} f, (SELECT unnest(range(-5, 6)) AS d) LEFT JOIN ex ON ex.bin = ((tss // 1000 + d) % 64 + 64) % 64)"""
+{tag} AS (SELECT f.sample, f.gene_id, CASE WHEN strand = '-' THEN -1 ELSE 1 END * d AS d, coalesce(ex.value, 0) AS value FROM {features} f, (SELECT unnest(range(-5, 6)) AS d) LEFT JOIN ex ON ex.sample = f.sample AND ex.bin = ((tss // 1000 + d) % 64 + 64) % 64)"""
 
 
 def _expression(spark, d):
@@ -1077,7 +1077,7 @@ def _t08_track(spark, d):
 
 @_query("t08_track_contrast_detrend", "sample d | value", _HEADS + "," + _EXPRESSED + "," + _TRACK_AT.format(tag="th", features="heads") + """,
 a AS (SELECT sample, d, avg(value) AS pos FROM th GROUP BY ALL)
-SELECT_ sample, d, pos - (SELECT avg(value) FROM ex) AS value FROM a WHERE abs(d) <= 4""")
+SELECT_ sample, d, pos - (SELECT avg(value) FROM ex WHERE ex.sample = a.sample) AS value FROM a WHERE abs(d) <= 4""")
 def _t08_detrend(spark, d):
     piles = _with_track(spark, d, "detrend")
     return pileup.track_contrast(piles.track_heads, piles.track_controls, window=4)
