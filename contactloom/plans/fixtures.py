@@ -2,24 +2,43 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import maps
 
-#: Chromosomes of the derived genome, and bins that are left empty to make white lines.
+#: Bins of the smallest derived genome's chromosomes, and bins that are left empty to make white lines.
 SIZES = {"chr1": 64, "p1": 16}
 WHITE = (17, 40)
 SAMPLES = ("A", "N", "R")
 BIN = 1000
 #: Suppliers whose contacts make up the maps of one group of samples, and events that make up its tracks: with larger tables there are more.
 SUPPLIERS, EVENTS = 500, 64_000
+#: Suppliers for which the genome grows once more by its smallest size.
+GROWTH = 100
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@functools.cache
+def _times(spark: SparkSession, sf_dir: str, growth: int) -> int:
+    return max(1, read(spark, sf_dir, "supplier").count() // growth)
+
+
+def genome(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    """Bins of each chromosome, more for larger tables: every GROWTH suppliers make the genome longer."""
+    return {chrom: n * _times(spark, sf_dir, GROWTH) for chrom, n in SIZES.items()}
+
+
+def length(spark: SparkSession, sf_dir: str) -> int:
+    """Length of chr1."""
+    return genome(spark, sf_dir)["chr1"] * BIN
+
+
 def _grouped(name: str, key: str, size: int):
     """A sample's name: the first group's is plain, the others have their number."""
     group = F.floor(F.col(key) / size)
@@ -29,13 +48,14 @@ def _grouped(name: str, key: str, size: int):
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample, chrom1, frag1, chrom2, frag2, id1, id2, count) from lineitem: 100 bp fragments, a row for each contact."""
     rows = read(spark, sf_dir, "lineitem")
-    f = (F.col("l_partkey") * 7 + F.col("l_suppkey")) % 640
-    g = (f + F.floor((F.col("l_quantity") - 1) * (F.col("l_quantity") - 1) / 4)) % 640
+    size = {chrom: n * 10 for chrom, n in genome(spark, sf_dir).items()}
+    f = (F.col("l_partkey") * 7 + F.col("l_suppkey")) % size["chr1"]
+    g = (f + F.floor((F.col("l_quantity") - 1) * (F.col("l_quantity") - 1) / 4)) % size["chr1"]
     main, other = F.col("l_linenumber") <= 5, F.col("l_orderkey") % 10 == 0
     c1, c2 = F.when(main, "chr1").otherwise("p1"), F.when(main != other, "chr1").otherwise("p1")
-    on = lambda c, x: F.when(c == "chr1", x).otherwise(x % 160)
+    on = lambda c, x: F.when(c == "chr1", x).otherwise(x % size["p1"])
     rows = rows.select(_grouped("l_returnflag", "l_suppkey", SUPPLIERS), c1.alias("chrom1"), on(c1, f).alias("frag1"), c2.alias("chrom2"), on(c2, g).alias("frag2"), F.lit(1).cast("long").alias("count"))
-    number = lambda k: F.col(f"frag{k}") + F.when(F.col(f"chrom{k}") == "p1", 640).otherwise(0)
+    number = lambda k: F.col(f"frag{k}") + F.when(F.col(f"chrom{k}") == "p1", size["chr1"]).otherwise(0)
     return rows.withColumns({"id1": number(1), "id2": number(2)})
 
 
@@ -53,14 +73,14 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = lambda k: F.floor(F.col(f"id{k}") / 10)
     rows = contacts(spark, sf_dir).select("sample", F.least(place(1), place(2)).alias("a"), F.greatest(place(1), place(2)).alias("b"))
     rows = rows.groupBy("sample", "a", "b").agg(F.count(F.lit(1)).alias("count"), F.max("a").alias("lo"), F.max("b").alias("hi"))
-    first = SIZES["chr1"]
+    first = genome(spark, sf_dir)["chr1"]
     at = lambda c, k: [F.when(F.col(c) < first, "chr1").otherwise("p1").alias(f"chrom{k}"), F.when(F.col(c) < first, F.col(c)).otherwise(F.col(c) - first).alias(f"bin{k}")]
     return rows.select("sample", *at("lo", 1), *at("hi", 2), "count")
 
 
 def upper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upper maps inside chromosomes, two bins of chr1 left empty."""
-    n = F.create_map(*[F.lit(x) for pair in SIZES.items() for x in pair])[F.col("chrom1")].cast("long")
+    n = F.create_map(*[F.lit(x) for pair in genome(spark, sf_dir).items() for x in pair])[F.col("chrom1")].cast("long")
     rows = pixels(spark, sf_dir).where("chrom1 = chrom2").withColumn("n", n)
     white = F.col("bin1").isin(*WHITE) | F.col("bin2").isin(*WHITE)
     rows = rows.where(~((F.col("chrom1") == "chr1") & white))
@@ -81,7 +101,7 @@ def chroms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample, chrom, pos, value) from events, positions on chr1."""
     rows = read(spark, sf_dir, "events")
-    return rows.groupBy(_grouped("event_type", "event_id", EVENTS), F.lit("chr1").alias("chrom"), (F.col("event_id") * 37 % 64000).alias("pos")).agg(F.max("value").alias("value"))
+    return rows.groupBy(_grouped("event_type", "event_id", EVENTS), F.lit("chr1").alias("chrom"), (F.col("event_id") * 37 % length(spark, sf_dir)).alias("pos")).agg(F.max("value").alias("value"))
 
 
 def gc_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +114,10 @@ def gc_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sites(spark: SparkSession, sf_dir: str, offset: int) -> DataFrame:
     """(id, chrom, start, end) from suppliers with even keys."""
-    start = (offset + F.col("s_suppkey") * 13) % 64000
+    end = length(spark, sf_dir)
+    start = (offset + F.col("s_suppkey") * 13) % end
     rows = read(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0")
-    return rows.select(F.col("s_suppkey").alias("id"), F.lit("chr1").alias("chrom"), start.alias("start"), (start + 16).alias("end")).where("end <= 64000")
+    return rows.select(F.col("s_suppkey").alias("id"), F.lit("chr1").alias("chrom"), start.alias("start"), (start + 16).alias("end")).where(F.col("end") <= end)
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +125,7 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "part")
     strand = F.when(F.col("p_size") % 2 == 0, "+").otherwise("-")
     sample = F.element_at(F.array(*[F.lit(x) for x in SAMPLES]), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return rows.select(sample.alias("sample"), F.lit("chr1").alias("chrom"), F.col("p_partkey").alias("gene_id"), (F.col("p_partkey") * 37 % 64000).alias("tss"), strand.alias("strand"), (F.col("p_retailprice") * F.col("p_size")).alias("rpkm"))
+    return rows.select(sample.alias("sample"), F.lit("chr1").alias("chrom"), F.col("p_partkey").alias("gene_id"), (F.col("p_partkey") * 37 % length(spark, sf_dir)).alias("tss"), strand.alias("strand"), (F.col("p_retailprice") * F.col("p_size")).alias("rpkm"))
 
 
 def intervals_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,15 +169,16 @@ def fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same views as common table expressions of DuckDB.  grid is dense, dense has nulls in masked bins.
-BASE = """
+BASE = f"""
+genome AS (SELECT 64 * k AS bins, 64000 * k AS length FROM (SELECT greatest(1, count(*) // {GROWTH}) AS k FROM supplier)),
 con AS (
-  SELECT l_returnflag || CASE WHEN l_suppkey >= 500 THEN CAST(l_suppkey // 500 AS VARCHAR) ELSE '' END AS sample, l_linenumber <= 5 AS main, l_orderkey % 10 = 0 AS other, (l_partkey * 7 + l_suppkey) % 640 AS f,
-         ((l_partkey * 7 + l_suppkey) % 640 + CAST(floor((l_quantity - 1) * (l_quantity - 1) / 4) AS BIGINT)) % 640 AS g
+  SELECT l_returnflag || CASE WHEN l_suppkey >= 500 THEN CAST(l_suppkey // 500 AS VARCHAR) ELSE '' END AS sample, l_linenumber <= 5 AS main, l_orderkey % 10 = 0 AS other, (l_partkey * 7 + l_suppkey) % (BINS_ * 10) AS f,
+         ((l_partkey * 7 + l_suppkey) % (BINS_ * 10) + CAST(floor((l_quantity - 1) * (l_quantity - 1) / 4) AS BIGINT)) % (BINS_ * 10) AS g
   FROM lineitem),
 con2 AS (SELECT *, CASE WHEN main THEN 'chr1' ELSE 'p1' END AS chrom1, CASE WHEN main <> other THEN 'chr1' ELSE 'p1' END AS chrom2 FROM con),
 contacts AS (
-  SELECT sample, chrom1, chrom2, CASE WHEN chrom1 = 'chr1' THEN f ELSE f % 160 END AS frag1,
-         CASE WHEN chrom2 = 'chr1' THEN g ELSE g % 160 END AS frag2 FROM con2),
+  SELECT sample, chrom1, chrom2, CASE WHEN chrom1 = 'chr1' THEN f ELSE f % (BINS_ * 10 // 4) END AS frag1,
+         CASE WHEN chrom2 = 'chr1' THEN g ELSE g % (BINS_ * 10 // 4) END AS frag2 FROM con2),
 frags AS (SELECT DISTINCT chrom, f * 100 AS start_pos, f * 100 + 100 AS end_pos
           FROM (SELECT chrom1 AS chrom, frag1 AS f FROM contacts UNION ALL SELECT chrom2, frag2 FROM contacts)),
 pix AS (
@@ -167,7 +189,7 @@ pix AS (
   FROM contacts),
 pixels AS (SELECT sample, chrom1, bin1, chrom2, bin2, count(*) AS count FROM pix GROUP BY ALL),
 up AS (
-  SELECT sample, chrom1 AS chrom, CAST(CASE WHEN chrom1 = 'chr1' THEN 64 ELSE 16 END AS BIGINT) AS n, bin1, bin2, CAST(count AS DOUBLE) AS value
+  SELECT sample, chrom1 AS chrom, CASE WHEN chrom1 = 'chr1' THEN BINS_ ELSE BINS_ // 4 END AS n, bin1, bin2, CAST(count AS DOUBLE) AS value
   FROM pixels WHERE chrom1 = chrom2 AND NOT (chrom1 = 'chr1' AND (bin1 IN (17, 40) OR bin2 IN (17, 40)))),
 sym AS (SELECT * FROM up UNION ALL SELECT sample, chrom, n, bin2, bin1, value FROM up WHERE bin1 <> bin2),
 maps AS (SELECT DISTINCT sample, chrom, n FROM up),
@@ -185,12 +207,13 @@ dense AS (
   SELECT g.sample, g.chrom, g.n, g.i, g.j, CASE WHEN a.masked OR b.masked THEN NULL ELSE v END AS m
   FROM grid g JOIN mask a ON a.sample = g.sample AND a.chrom = g.chrom AND a.bin = g.i
   JOIN mask b ON b.sample = g.sample AND b.chrom = g.chrom AND b.bin = g.j),
-tracks AS (SELECT event_type || CASE WHEN event_id >= 64000 THEN CAST(event_id // 64000 AS VARCHAR) ELSE '' END AS sample, 'chr1' AS chrom, event_id * 37 % 64000 AS pos, max(value) AS value FROM events GROUP BY ALL),
+tracks AS (SELECT event_type || CASE WHEN event_id >= 64000 THEN CAST(event_id // 64000 AS VARCHAR) ELSE '' END AS sample, 'chr1' AS chrom, pos, max(value) AS value
+  FROM (SELECT *, event_id * 37 % LENGTH_ AS pos FROM events) GROUP BY ALL),
 skew AS (
   SELECT i, i * 200 AS start, i * 200 + 399 AS "end", (p - 250000) / 250000 + CASE WHEN i BETWEEN 40 AND 189 THEN 0.5 ELSE -0.5 END AS val
   FROM (SELECT o_orderkey % 300 AS i, avg(o_totalprice) AS p FROM orders GROUP BY ALL)),
 genes AS (
-  SELECT ['A', 'N', 'R'][p_partkey % 3 + 1] AS sample, 'chr1' AS chrom, p_partkey AS gene_id, p_partkey * 37 % 64000 AS tss, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand,
+  SELECT ['A', 'N', 'R'][p_partkey % 3 + 1] AS sample, 'chr1' AS chrom, p_partkey AS gene_id, p_partkey * 37 % LENGTH_ AS tss, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand,
          p_retailprice * p_size AS rpkm FROM part),
 ia AS (SELECT o_orderkey AS id, o_custkey * 10 AS s, o_custkey * 10 + CAST(floor(o_totalprice / 10000) AS BIGINT) AS e, o_orderkey % 2 = 1 AS r FROM orders),
 ib AS (SELECT p_partkey AS id, p_partkey * 7 AS s, p_partkey * 7 + p_size AS e, p_partkey % 2 = 1 AS r FROM part),

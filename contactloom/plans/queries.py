@@ -41,7 +41,8 @@ def _query(name: str, columns: str = "", sql: str = ""):
             head, _, body = sql.partition("SELECT_")
             ctes = f"WITH RECURSIVE {BASE}{', ' + head.strip().rstrip(',') if head.strip() else ''}"
             picked = [f'"{c}"' for c in plain] + [f'round("{c}" + {NUDGE}, {DIGITS}) + 0.0 AS "{c}"' for c in doubles]
-            SQL[name] = f"{ctes} SELECT {', '.join(picked)} FROM (SELECT {body})"
+            text = f"{ctes} SELECT {', '.join(picked)} FROM (SELECT {body})"
+            SQL[name] = text.replace("BINS_", "(SELECT bins FROM genome)").replace("LENGTH_", "(SELECT length FROM genome)")
         return run
 
     return add
@@ -423,11 +424,11 @@ local{tag} AS (SELECT x.sample, x.chrom, x.bin, x.score - e0 - CASE WHEN b1 IS N
   FROM q{tag} x JOIN seg{tag} s ON s.sample = x.sample AND s.chrom = x.chrom AND x.bin >= b0 AND (x.bin < b1 OR b1 IS NULL))"""
 
 
-_TRACK_SCORES = "sc AS (SELECT sample, chrom, CAST(64 AS BIGINT) AS n, pos // 1000 AS bin, avg(value) AS score FROM tracks GROUP BY ALL)"
+_TRACK_SCORES = "sc AS (SELECT sample, chrom, BINS_ AS n, pos // 1000 AS bin, avg(value) AS score FROM tracks GROUP BY ALL)"
 
 
 def _track_scores(spark, d):
-    return cut(tracks.bin_track(fixtures.tracks(spark, d), 1000).select("sample", "chrom", F.lit(64).cast("long").alias("n"), "bin", F.col("value").alias("score")))
+    return cut(tracks.bin_track(fixtures.tracks(spark, d), 1000).select("sample", "chrom", F.lit(fixtures.genome(spark, d)["chr1"]).cast("long").alias("n"), "bin", F.col("value").alias("score")))
 
 
 @_query("a06_local_score", "sample chrom bin | score", _TRACK_SCORES + "," + _local_ctes("sc") + " SELECT_ * FROM local")
@@ -457,7 +458,7 @@ def _a07(spark, d):
 @_query("a07_candidate_borders", "sample chrom bin", _TRACK_SCORES + """,
 c AS (SELECT sample, chrom, median(score) + stddev_pop(score) AS cut FROM sc GROUP BY ALL)
 SELECT_ x.sample, x.chrom, x.bin FROM sc x JOIN c ON c.sample = x.sample AND c.chrom = x.chrom
-WHERE score >= cut AND x.bin NOT IN (0, 63) AND score > ALL (SELECT y.score FROM sc y WHERE y.sample = x.sample AND y.chrom = x.chrom AND (abs(y.bin - x.bin) = 1 OR (y.bin - x.bin + 64) % 64 IN (2, 62)))""")
+WHERE score >= cut AND x.bin NOT IN (0, x.n - 1) AND score > ALL (SELECT y.score FROM sc y WHERE y.sample = x.sample AND y.chrom = x.chrom AND (abs(y.bin - x.bin) = 1 OR (y.bin - x.bin + x.n) % x.n IN (2, x.n - 2)))""")
 def _a07_candidates(spark, d):
     return signals.final_borders(_track_scores(spark, d), 0)[0]
 
@@ -696,7 +697,7 @@ def _binned(spark, d):
     return tracks.bin_track(fixtures.tracks(spark, d), 1000)
 
 
-_TC = "tc AS (SELECT unnest(['chr1']) AS chrom, CAST(64000 AS BIGINT) AS length), bt AS (SELECT sample, chrom, pos // 1000 AS bin, avg(value) AS value FROM tracks GROUP BY ALL)"
+_TC = "tc AS (SELECT unnest(['chr1']) AS chrom, LENGTH_ AS length), bt AS (SELECT sample, chrom, pos // 1000 AS bin, avg(value) AS value FROM tracks GROUP BY ALL)"
 
 
 @_query("s01_find_peaks", "sample chrom bin | score", _TRACK_SCORES + """,
@@ -728,16 +729,16 @@ def _s02(spark, d):
 
 _SMOOTH = """
 w AS (SELECT unnest(range(-12, 13)) AS x), k AS (SELECT x, exp(-0.5 * x * x / 9.0) / (SELECT sum(exp(-0.5 * x * x / 9.0)) FROM w) AS weight FROM w),
-p AS (SELECT sample, unnest(range(64000)) AS pos FROM (SELECT DISTINCT sample FROM tracks))
+p AS (SELECT sample, unnest(range(LENGTH_)) AS pos FROM (SELECT DISTINCT sample FROM tracks))
 SELECT_ p.sample, 'chr1' AS chrom, p.pos, coalesce(s.value, 0) AS value FROM p LEFT JOIN (
   SELECT sample, {place} AS pos, sum(value * weight) AS value FROM tracks, k {where} GROUP BY ALL) s ON s.sample = p.sample AND s.pos = p.pos"""
 
 
 def _track_chroms(spark, d):
-    return fixtures.tracks(spark, d).select("chrom").distinct().withColumn("length", F.lit(64000).cast("long")).withColumn("ord", F.lit(0))
+    return fixtures.tracks(spark, d).select("chrom").distinct().withColumn("length", F.lit(fixtures.length(spark, d)).cast("long")).withColumn("ord", F.lit(0))
 
 
-@_query("s03_smooth", "sample chrom pos | value", _SMOOTH.format(place="(pos + x + 64000) % 64000", where=""))
+@_query("s03_smooth", "sample chrom pos | value", _SMOOTH.format(place="(pos + x + LENGTH_) % LENGTH_", where=""))
 def _s03(spark, d):
     return tracks.smooth(fixtures.tracks(spark, d), _track_chroms(spark, d), 3.0, chunk=10_000)
 
@@ -764,14 +765,14 @@ def _s05(spark, d):
 
 
 @_query("s06_extract_track", "sample chrom bin place | value", """
-x AS (SELECT sample, unnest(range(43)) AS bin FROM (SELECT DISTINCT sample FROM tracks)),
-y AS (SELECT x.sample, x.bin, coalesce(sum(value), 0) / min(least(1500, 64000 - x.bin * 1500)) AS value FROM x LEFT JOIN tracks t ON t.sample = x.sample AND t.pos // 1500 = x.bin GROUP BY ALL)
+x AS (SELECT sample, unnest(range((LENGTH_ + 1499) // 1500)) AS bin FROM (SELECT DISTINCT sample FROM tracks)),
+y AS (SELECT x.sample, x.bin, coalesce(sum(value), 0) / min(least(1500, LENGTH_ - x.bin * 1500)) AS value FROM x LEFT JOIN tracks t ON t.sample = x.sample AND t.pos // 1500 = x.bin GROUP BY ALL)
 SELECT_ sample, 'chr1' AS chrom, bin, bin AS place, (value - avg(value) OVER p) / stddev_pop(value) OVER p AS value FROM y WINDOW p AS (PARTITION BY sample)""")
 def _s06(spark, d):
     return tracks.extract_track(fixtures.tracks(spark, d), _track_chroms(spark, d), 1500, ztransform=True)
 
 
-@_query("s06_extract_smoothed", "sample chrom bin place | value", _SMOOTH.format(place="(pos + x + 64000) % 64000", where="").replace("SELECT_", ", sv AS (SELECT") + """),
+@_query("s06_extract_smoothed", "sample chrom bin place | value", _SMOOTH.format(place="(pos + x + LENGTH_) % LENGTH_", where="").replace("SELECT_", ", sv AS (SELECT") + """),
 y AS (SELECT sample, pos // 1500 AS bin, avg(value) AS value FROM sv GROUP BY ALL)
 SELECT_ sample, 'chr1' AS chrom, bin, bin AS place, (value - avg(value) OVER p) / stddev_pop(value) OVER p AS value FROM y WINDOW p AS (PARTITION BY sample)""")
 def _s06_smoothed(spark, d):
@@ -796,20 +797,20 @@ def _s08(spark, d):
     return tracks.interpolate_nmad(_binned(spark, d), 1.5, order="bin")
 
 
-_WINDOW_SITES = "ws AS (SELECT DISTINCT s_suppkey * 997 % 64000 AS coord FROM supplier)"
+_WINDOW_SITES = "ws AS (SELECT DISTINCT s_suppkey * 997 % LENGTH_ AS coord FROM supplier)"
 
 
 @_query("s09_track_window", "sample chrom coord offset | value", _WINDOW_SITES + """
-SELECT_ t.sample, t.chrom, coord, (t.pos - coord + 32000 + 64000) % 64000 - 32000 AS "offset", value FROM ws JOIN tracks t ON (t.pos - coord + 32000 + 64000) % 64000 - 32000 BETWEEN -200 AND 199""")
+SELECT_ t.sample, t.chrom, coord, (t.pos - coord + LENGTH_ // 2 + LENGTH_) % LENGTH_ - LENGTH_ // 2 AS "offset", value FROM ws JOIN tracks t ON (t.pos - coord + LENGTH_ // 2 + LENGTH_) % LENGTH_ - LENGTH_ // 2 BETWEEN -200 AND 199""")
 def _s09(spark, d):
-    sites = fixtures.read(spark, d, "supplier").select(F.lit("chr1").alias("chrom"), (F.col("s_suppkey") * 997 % 64000).alias("coord")).distinct()
+    sites = fixtures.read(spark, d, "supplier").select(F.lit("chr1").alias("chrom"), (F.col("s_suppkey") * 997 % fixtures.length(spark, d)).alias("coord")).distinct()
     return tracks.track_window(fixtures.tracks(spark, d), sites, _track_chroms(spark, d), 400)
 
 
 @_query("s10_oriter_ratio", "sample chrom | ori ter ratio", """
 md AS (SELECT sample, median(value) AS med FROM tracks GROUP BY ALL), ma AS (SELECT t.sample, med, median(abs(value - med)) AS mad FROM tracks t JOIN md ON md.sample = t.sample GROUP BY ALL),
 ok AS (SELECT t.sample, pos, CASE WHEN abs(value - med) <= 3 * mad THEN value END AS value FROM tracks t JOIN ma ON ma.sample = t.sample),
-x AS (SELECT sample, avg(value) FILTER ((pos - 1000 + 96000) % 64000 - 32000 BETWEEN -5000 AND 4999) AS ori, avg(value) FILTER ((pos - 33000 + 96000) % 64000 - 32000 BETWEEN -5000 AND 4999) AS ter FROM ok GROUP BY ALL)
+x AS (SELECT sample, avg(value) FILTER ((pos - 1000 + LENGTH_ + LENGTH_ // 2) % LENGTH_ - LENGTH_ // 2 BETWEEN -5000 AND 4999) AS ori, avg(value) FILTER ((pos - 33000 + LENGTH_ + LENGTH_ // 2) % LENGTH_ - LENGTH_ // 2 BETWEEN -5000 AND 4999) AS ter FROM ok GROUP BY ALL)
 SELECT_ sample, 'chr1' AS chrom, ori, ter, ori / ter AS ratio FROM x""")
 def _s10(spark, d):
     t = fixtures.tracks(spark, d)
@@ -818,11 +819,11 @@ def _s10(spark, d):
 
 
 _CENTER = """
-st AS (SELECT ({offset} + s_suppkey * 13) % 64000 AS s FROM supplier WHERE s_suppkey % 2 = 0),
-ab AS (SELECT s + 8 AS a, CASE WHEN s + 8 > 32000 THEN s + 8 ELSE s + 8 + 64000 END AS b FROM st WHERE s + 16 <= 64000),
+st AS (SELECT ({offset} + s_suppkey * 13) % LENGTH_ AS s FROM supplier WHERE s_suppkey % 2 = 0),
+ab AS (SELECT s + 8 AS a, CASE WHEN s + 8 > LENGTH_ // 2 THEN s + 8 ELSE s + 8 + LENGTH_ END AS b FROM st WHERE s + 16 <= LENGTH_),
 mm AS (SELECT avg(a) AS ma, avg(b) AS mb FROM ab),
 dd AS (SELECT ma, mb, sum(abs(a - ma)) AS da, sum(abs(b - mb)) AS db FROM ab, mm GROUP BY ALL)
-SELECT_ 'chr1' AS chrom, CAST(trunc(CASE WHEN da <= db THEN ma WHEN mb < 64000 THEN mb ELSE mb - 64000 END) AS BIGINT) AS center FROM dd"""
+SELECT_ 'chr1' AS chrom, CAST(trunc(CASE WHEN da <= db THEN ma WHEN mb < LENGTH_ THEN mb ELSE mb - LENGTH_ END) AS BIGINT) AS center FROM dd"""
 
 
 @_query("s11_interval_center", "chrom center", _CENTER.format(offset=63500))
@@ -859,8 +860,8 @@ def _nearest(offset: int, guess: str) -> str:
     """Of the shifts the nearest to the sites' center and to the place opposite; `guess` says which of them the sites mark."""
     other = {"ori": "ter", "ter": "ori"}[guess]
     return _MERGED + "," + _CENTER.format(offset=offset).replace("SELECT_", ", ce AS (SELECT").replace("FROM dd", "FROM dd)") + f""",
-gu AS (SELECT center AS {guess}, CASE WHEN center + 32000 > 64000 THEN center - 32000 ELSE center + 32000 END AS {other} FROM ce),
-ds AS (SELECT coord, least(abs(coord - ori), 64000 - abs(coord - ori)) AS d1, least(abs(coord - ter), 64000 - abs(coord - ter)) AS d2 FROM sh, gu)
+gu AS (SELECT center AS {guess}, CASE WHEN center + LENGTH_ // 2 > LENGTH_ THEN center - LENGTH_ // 2 ELSE center + LENGTH_ // 2 END AS {other} FROM ce),
+ds AS (SELECT coord, least(abs(coord - ori), LENGTH_ - abs(coord - ori)) AS d1, least(abs(coord - ter), LENGTH_ - abs(coord - ter)) AS d2 FROM sh, gu)
 SELECT_ 'chr1' AS chrom, CASE WHEN count(*) > 1 THEN arg_min(coord, d1 * 100000 + coord) END AS ori, CASE WHEN count(*) > 1 THEN arg_min(coord, d2 * 100000 + coord) END AS ter FROM ds"""
 
 
@@ -881,7 +882,7 @@ def _s13_pars(spark, d):
 
 
 @_query("s14_coverage_ori_ter", "sample chrom ori ter", """
-cb AS (SELECT sample, pos // 1000 AS bin, avg(value + 500 * (1 + cos((pos - 9000) * 2 * 3.141592653589793 / 64000))) AS value FROM tracks GROUP BY ALL),
+cb AS (SELECT sample, pos // 1000 AS bin, avg(value + 500 * (1 + cos((pos - 9000) * 2 * 3.141592653589793 / LENGTH_))) AS value FROM tracks GROUP BY ALL),
 c0 AS (SELECT sample, median(value) AS med FROM cb GROUP BY ALL),
 c1 AS (SELECT sample, med, median(abs(value - med)) AS mad FROM cb JOIN c0 USING (sample) GROUP BY ALL),
 cm AS (SELECT sample, bin, CASE WHEN abs(value - med) <= 3 * mad THEN value END AS value FROM cb JOIN c1 USING (sample)),
@@ -900,22 +901,22 @@ e5 AS (SELECT sample, width, run, (min(ix) + max(ix)) // 2 AS mid, any_value(v)
 e6 AS (SELECT *, lag(v) OVER p AS l, lead(v) OVER p AS r FROM e5 WINDOW p AS (PARTITION BY sample, width ORDER BY run)),
 e7 AS (SELECT sample, width, count(*) FILTER (v > l AND v > r) AS peaks, count(*) FILTER (v < l AND v < r) AS troughs, min(mid) FILTER (v > l AND v > r) AS top, min(mid) FILTER (v < l AND v < r) AS low FROM e6 GROUP BY ALL),
 e8 AS (SELECT sample, arg_min(top, width) AS top, arg_min(low, width) AS low FROM e7 WHERE peaks = 1 AND troughs = 1 GROUP BY ALL)
-SELECT_ sample, 'chr1' AS chrom, CAST(coalesce(top * 1000, 0) AS BIGINT) AS ori, CAST(coalesce(low * 1000, 32000) AS BIGINT) AS ter FROM (SELECT DISTINCT sample FROM cw) LEFT JOIN e8 USING (sample)""")
+SELECT_ sample, 'chr1' AS chrom, CAST(coalesce(top * 1000, 0) AS BIGINT) AS ori, CAST(coalesce(low * 1000, LENGTH_ // 2) AS BIGINT) AS ter FROM (SELECT DISTINCT sample FROM cw) LEFT JOIN e8 USING (sample)""")
 def _s14(spark, d):
-    wave = F.col("value") + 500 * (1 + F.cos((F.col("pos") - 9000) * 2 * 3.141592653589793 / 64000))
+    wave = F.col("value") + 500 * (1 + F.cos((F.col("pos") - 9000) * 2 * 3.141592653589793 / fixtures.length(spark, d)))
     return oriter.coverage_ori_ter(fixtures.tracks(spark, d).withColumn("value", wave), _track_chroms(spark, d), 1000)
 
 
 @_query("s15_recenter", "sample chrom bin x | score", _TRACK_SCORES + """
-SELECT_ sample, chrom, bin, CASE WHEN ((bin - 9 + 64) % 64) * 2 > 64 THEN (bin - 9 + 64) % 64 - 64 ELSE (bin - 9 + 64) % 64 END * 1000 AS x, score FROM sc""")
+SELECT_ sample, chrom, bin, CASE WHEN ((bin - 9 + n) % n) * 2 > n THEN (bin - 9 + n) % n - n ELSE (bin - 9 + n) % n END * 1000 AS x, score FROM sc""")
 def _s15(spark, d):
     origins = fixtures.tracks(spark, d).select("chrom").distinct().withColumn("ori", F.lit(9500))
     return oriter.recenter(_track_scores(spark, d), origins, 1000)
 
 
 @_query("s15_site_offsets", "chrom coord offset", """
-st AS (SELECT DISTINCT (8000 + s_suppkey * 13) % 64000 AS coord FROM supplier WHERE s_suppkey % 2 = 0)
-SELECT_ 'chr1' AS chrom, coord, CASE WHEN ((coord - 50000 + 64000) % 64000) * 2 > 64000 THEN (coord - 50000 + 64000) % 64000 - 64000 ELSE (coord - 50000 + 64000) % 64000 END AS "offset" FROM st""")
+st AS (SELECT DISTINCT (8000 + s_suppkey * 13) % LENGTH_ AS coord FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT_ 'chr1' AS chrom, coord, CASE WHEN ((coord - 50000 + LENGTH_) % LENGTH_) * 2 > LENGTH_ THEN (coord - 50000 + LENGTH_) % LENGTH_ - LENGTH_ ELSE (coord - 50000 + LENGTH_) % LENGTH_ END AS "offset" FROM st""")
 def _s15_sites(spark, d):
     s = fixtures.sites(spark, d, 8000).select("chrom", F.col("start").alias("coord")).distinct()
     origins = s.select("chrom").distinct().withColumn("ori", F.lit(50000))
@@ -935,7 +936,7 @@ def _s16(spark, d):
 
 _PLACES = """
 gp AS (SELECT sample, chrom, gene_id, CASE WHEN strand = '-' THEN -1 ELSE 1 END * d AS d, CAST(round_even((tss - 5000) / 1000.0 - 0.5, 0) AS BIGINT) + 5 + d AS b FROM {genes}, (SELECT unnest(range(-5, 6)) AS d)),
-gb AS (SELECT sample, chrom, gene_id, d, (b % 64 + 64) % 64 AS bin FROM gp),
+gb AS (SELECT sample, chrom, gene_id, d, (b % BINS_ + BINS_) % BINS_ AS bin FROM gp),
 gm AS (SELECT g.*, m.masked FROM gb g JOIN mask m ON m.sample = g.sample AND m.chrom = g.chrom AND m.bin = g.bin),
 gw AS (SELECT a.sample, a.chrom, a.gene_id, a.d AS di, b.d AS dj, x.m AS value FROM gb a JOIN gb b ON a.sample = b.sample AND a.gene_id = b.gene_id JOIN dense x ON x.sample = a.sample AND x.chrom = a.chrom AND x.i = a.bin AND x.j = b.bin)"""
 
@@ -959,7 +960,7 @@ def _t01_masked(spark, d):
 
 @_query("t02_extract_track_windows", "sample chrom gene_id d | value", """
 tt AS (SELECT pos // 1000 AS bin, avg(value) AS value FROM tracks WHERE sample = 'click' GROUP BY ALL)
-SELECT_ g.sample, g.chrom, gene_id, CASE WHEN strand = '-' THEN -d ELSE d END AS d, CASE WHEN tss // 1000 + d BETWEEN 0 AND 63 THEN coalesce(value, 0) END AS value
+SELECT_ g.sample, g.chrom, gene_id, CASE WHEN strand = '-' THEN -d ELSE d END AS d, CASE WHEN tss // 1000 + d BETWEEN 0 AND BINS_ - 1 THEN coalesce(value, 0) END AS value
 FROM genes g CROSS JOIN (SELECT unnest(range(-5, 6)) AS d) LEFT JOIN tt ON tt.bin = tss // 1000 + d""")
 def _t02(spark, d):
     track = _binned(spark, d).where("sample = 'click'").withColumn("sample", F.explode(F.array(*[F.lit(x) for x in fixtures.SAMPLES])))
@@ -1007,7 +1008,7 @@ def _t07(spark, d):
 
 
 @_query("t08_pileup_contrast", "sample di dj | value", _HEADS + "," + _PLACES.format(genes="heads") + """,
-cp AS (SELECT sample, chrom, gene_id, CASE WHEN strand = '-' THEN -1 ELSE 1 END * d AS d, ((CAST(round_even((tss - 5000) / 1000.0 - 0.5, 0) AS BIGINT) + 5 + d) % 64 + 64) % 64 AS bin FROM genes, (SELECT unnest(range(-5, 6)) AS d) WHERE gene_id NOT IN (SELECT gene_id FROM hi)),
+cp AS (SELECT sample, chrom, gene_id, CASE WHEN strand = '-' THEN -1 ELSE 1 END * d AS d, ((CAST(round_even((tss - 5000) / 1000.0 - 0.5, 0) AS BIGINT) + 5 + d) % BINS_ + BINS_) % BINS_ AS bin FROM genes, (SELECT unnest(range(-5, 6)) AS d) WHERE gene_id NOT IN (SELECT gene_id FROM hi)),
 cw AS (SELECT a.sample, a.d AS di, b.d AS dj, avg(x.m) AS value FROM cp a JOIN cp b ON a.gene_id = b.gene_id JOIN dense x ON x.sample = a.sample AND x.chrom = a.chrom AND x.i = a.bin AND x.j = b.bin GROUP BY ALL),
 hw AS (SELECT sample, di, dj, avg(value) AS value FROM gw GROUP BY ALL)
 SELECT_ sample, di, dj, CASE WHEN h.value > 0 AND c.value > 0 THEN log10(h.value) - log10(c.value) END AS value FROM hw h JOIN cw c USING (sample, di, dj) WHERE abs(di) <= 3 AND abs(dj) <= 3""")
@@ -1019,7 +1020,7 @@ def _t08(spark, d):
 
 #: Neighbours of heads, the mean of their windows for each gene, and means and medians over genes.
 _NEIGHBOURS = _HEADS + """,
-nb AS (SELECT *, CASE WHEN tss < 5000 THEN 0 WHEN tss + 5000 > 64000 THEN 64000 - 10000 ELSE tss - 5000 END AS lo, CASE WHEN tss < 5000 THEN tss + 10000 WHEN tss + 5000 > 64000 THEN 64000 ELSE tss + 5000 END AS hi
+nb AS (SELECT *, CASE WHEN tss < 5000 THEN 0 WHEN tss + 5000 > LENGTH_ THEN LENGTH_ - 10000 ELSE tss - 5000 END AS lo, CASE WHEN tss < 5000 THEN tss + 10000 WHEN tss + 5000 > LENGTH_ THEN LENGTH_ ELSE tss + 5000 END AS hi
   FROM heads, (SELECT unnest(range(1, 11)) AS draw)),
 nn AS (SELECT sample, chrom, gene_id AS gene, gene_id || '/' || draw AS gene_id, strand, lo + CAST('0x' || substr(md5(sample || '/' || chrom || '/' || gene_id || '/' || draw || '/0'), 1, 15) AS BIGINT) % (hi - lo + 1) AS tss FROM nb)"""
 _DRAWN = _NEIGHBOURS + "," + _PLACES.format(genes="nn") + """,
@@ -1049,7 +1050,7 @@ def _t07_random_median(spark, d):
 _EXPRESSED = """
 ex AS (SELECT sample, chrom, tss // 1000 AS bin, sum(rpkm) AS value FROM genes GROUP BY ALL)"""
 _TRACK_AT = """
-{tag} AS (SELECT f.sample, f.gene_id, CASE WHEN strand = '-' THEN -1 ELSE 1 END * d AS d, coalesce(ex.value, 0) AS value FROM {features} f, (SELECT unnest(range(-5, 6)) AS d) LEFT JOIN ex ON ex.sample = f.sample AND ex.bin = ((tss // 1000 + d) % 64 + 64) % 64)"""
+{tag} AS (SELECT f.sample, f.gene_id, CASE WHEN strand = '-' THEN -1 ELSE 1 END * d AS d, coalesce(ex.value, 0) AS value FROM {features} f, (SELECT unnest(range(-5, 6)) AS d) LEFT JOIN ex ON ex.sample = f.sample AND ex.bin = ((tss // 1000 + d) % BINS_ + BINS_) % BINS_)"""
 
 
 def _expression(spark, d):
@@ -1209,7 +1210,7 @@ def _w1(spark, d):
 _PLACED = _nearest(40000, "ter").replace("SELECT_", ", pl AS (SELECT") + """),
 md AS (SELECT sample, median(value) AS med FROM tracks GROUP BY ALL), ma AS (SELECT t.sample, med, median(abs(value - med)) AS mad FROM tracks t JOIN md ON md.sample = t.sample GROUP BY ALL),
 ok AS (SELECT t.sample, pos, CASE WHEN abs(value - med) <= 3 * mad THEN value END AS value FROM tracks t JOIN ma ON ma.sample = t.sample),
-x AS (SELECT sample, avg(value) FILTER ((pos - ori + 96000) % 64000 - 32000 BETWEEN -5000 AND 4999) AS ori, avg(value) FILTER ((pos - ter + 96000) % 64000 - 32000 BETWEEN -5000 AND 4999) AS ter FROM ok, pl GROUP BY ALL)"""
+x AS (SELECT sample, avg(value) FILTER ((pos - ori + LENGTH_ + LENGTH_ // 2) % LENGTH_ - LENGTH_ // 2 BETWEEN -5000 AND 4999) AS ori, avg(value) FILTER ((pos - ter + LENGTH_ + LENGTH_ // 2) % LENGTH_ - LENGTH_ // 2 BETWEEN -5000 AND 4999) AS ter FROM ok, pl GROUP BY ALL)"""
 
 
 @_query("w2_origins", "sample chrom | ori ter ratio", _PLACED + " SELECT_ sample, 'chr1' AS chrom, ori, ter, ori / ter AS ratio FROM x")
@@ -1240,7 +1241,7 @@ IO = "io"
 
 
 @_query("io1_read_pixels", "sample id1 id2 count", """
-SELECT_ 'A' AS sample, frag1 + CASE WHEN chrom1 = 'p1' THEN 640 ELSE 0 END AS id1, frag2 + CASE WHEN chrom2 = 'p1' THEN 640 ELSE 0 END AS id2, count(*) AS count FROM contacts WHERE sample = 'A' GROUP BY ALL""")
+SELECT_ 'A' AS sample, frag1 + CASE WHEN chrom1 = 'p1' THEN BINS_ * 10 ELSE 0 END AS id1, frag2 + CASE WHEN chrom2 = 'p1' THEN BINS_ * 10 ELSE 0 END AS id2, count(*) AS count FROM contacts WHERE sample = 'A' GROUP BY ALL""")
 def _io1(spark, d):
     path = new_folder(spark, IO)
     rows = fixtures.contacts(spark, d).where("sample = 'A'").groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("count"))
@@ -1249,7 +1250,7 @@ def _io1(spark, d):
 
 
 @_query("io2_read_fragments", "id chrom start_pos end_pos size | gc_content", """
-SELECT_ start_pos // 100 + CASE WHEN chrom = 'p1' THEN 640 ELSE 0 END AS id, chrom, start_pos, end_pos, CAST(100 AS BIGINT) AS size, 0.0 AS gc_content FROM frags""")
+SELECT_ start_pos // 100 + CASE WHEN chrom = 'p1' THEN BINS_ * 10 ELSE 0 END AS id, chrom, start_pos, end_pos, CAST(100 AS BIGINT) AS size, 0.0 AS gc_content FROM frags""")
 def _io2(spark, d):
     path = new_folder(spark, IO)
     tables.write_table(fixtures.fragments(spark, d), path)
@@ -1261,7 +1262,8 @@ SELECT_ 'A' AS sample, chrom AS chrom1, bin1, chrom AS chrom2, bin2, CASE WHEN b
 def _io3(spark, d):
     path = new_folder(spark, IO)
     up = fixtures.upper(spark, d).where("sample = 'A'")
-    number = lambda b: F.col(b) + F.when(F.col("chrom") == "p1", 64).otherwise(0)
+    first = fixtures.genome(spark, d)["chr1"]
+    number = lambda b: F.col(b) + F.when(F.col("chrom") == "p1", first).otherwise(0)
     bins = maps.all_bins(up).select(number("bin").alias("id"), "chrom", (F.col("bin") * 1000).alias("start"), (F.col("bin") * 1000 + 1000).alias("end"), F.when(F.col("bin") != 3, 1 / (F.col("bin") + 1)).alias("weight"))
     bins.write.parquet(f"{path}/1000/bins")
     up.select(number("bin1").alias("bin1_id"), number("bin2").alias("bin2_id"), F.col("value").cast("long").alias("count")).write.parquet(f"{path}/1000/pixels")
@@ -1280,7 +1282,7 @@ def _io4(spark, d):
 
 
 @_query("io5_read_sites", "chrom start end description", """
-SELECT_ 'chr1' AS chrom, (8000 + s_suppkey * 13) % 64000 AS start, (8000 + s_suppkey * 13) % 64000 + 16 AS "end", 'parS' AS description FROM supplier WHERE s_suppkey % 2 = 0 AND (8000 + s_suppkey * 13) % 64000 + 16 <= 64000""")
+SELECT_ 'chr1' AS chrom, (8000 + s_suppkey * 13) % LENGTH_ AS start, (8000 + s_suppkey * 13) % LENGTH_ + 16 AS "end", 'parS' AS description FROM supplier WHERE s_suppkey % 2 = 0 AND (8000 + s_suppkey * 13) % LENGTH_ + 16 <= LENGTH_""")
 def _io5(spark, d):
     path = new_folder(spark, IO)
     rows = fixtures.sites(spark, d, 8000)
@@ -1317,7 +1319,7 @@ def _io7_chunks(spark, d):
 
 
 @_query("io8_write_positions", "chrom coord description", """
-SELECT_ 'chr1' AS chrom, (8000 + s_suppkey * 13) % 64000 AS coord, 'Ori' AS description FROM supplier WHERE s_suppkey % 2 = 0 AND (8000 + s_suppkey * 13) % 64000 + 16 <= 64000""")
+SELECT_ 'chr1' AS chrom, (8000 + s_suppkey * 13) % LENGTH_ AS coord, 'Ori' AS description FROM supplier WHERE s_suppkey % 2 = 0 AND (8000 + s_suppkey * 13) % LENGTH_ + 16 <= LENGTH_""")
 def _io8(spark, d):
     path = new_folder(spark, IO)
     tables.write_positions(fixtures.sites(spark, d, 8000).select("chrom", F.col("start").alias("coord"), F.lit("Ori").alias("description")), path)

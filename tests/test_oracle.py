@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from contactloom.plans import fixtures
 
 SF = "/root/testdata/sf0.001"
 NAMES = [n for n in entry.queries() if not n.startswith("op") and n != "pipeline"]
@@ -56,3 +57,14 @@ def test_entry_runs(spark):
 
 def test_names_match():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["m15_mask_white_lines", "a04_relative_insulation", "a07_candidate_borders", "s06_extract_track", "s09_track_window", "s14_coverage_ori_ter", "s15_recenter", "t02_extract_track_windows", "t06_pileup_mean", "w2_origins", "io3_read_cool_tables"])
+def test_query_on_longer_genome(spark, duck, name, monkeypatch):
+    monkeypatch.setattr(fixtures, "GROWTH", 5)
+    assert fixtures.genome(spark, SF) == {"chr1": 128, "p1": 32}
+    df = entry.queries()[name](spark, SF)
+    got = rows_of(df.columns, df.collect())
+    result = duck.execute(entry.oracle_sql()[name].replace("// 100)) AS k", "// 5)) AS k"))
+    want = rows_of([c[0] for c in result.description], result.fetchall())
+    assert len(got) == len(want) and all(close(a, b) for a, b in zip(got, want))
