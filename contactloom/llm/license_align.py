@@ -135,6 +135,8 @@ class Scanner:
         common = _hashed(COMMON)
         self.telling = [own & ~np.isin(self.vocabulary, common) for own in self.own]
         self.need = [int(np.ceil(COVERED * len(t))) for t in self.templates]
+        # Before a bare name there may stand the words of a notice.
+        self.negated = [2 * NEGATED + 1 if name.endswith("-title") else NEGATED for name in self.names]
         # The words that a template has once, and their places in it.
         self.once = [(words[counts == 1], first[counts == 1]) for words, first, counts in (np.unique(t, return_index=True, return_counts=True) for t in self.templates)]
         self.need_telling = [n - int(np.isin(t, common).sum()) for n, t in zip(self.need, self.templates)]
@@ -217,7 +219,7 @@ class Scanner:
             if not must <= {c for _, c in pairs}:
                 return False
             begin = first + pairs[0][0]
-            if must and np.isin(words[max(lo, begin - NEGATED) : begin + NEGATED + 2], self.negations).any():
+            if must and np.isin(words[max(lo, begin - self.negated[which]) : begin + NEGATED + 2], self.negations).any():
                 return False
             return not any(y > x + 1 and c in must and number(first + y) and number(first + x + 1) for (x, _), (y, c) in zip(pairs, pairs[1:]))
 

@@ -72,6 +72,13 @@ _SPDX = {
     "GPL-2.0": "lgpl agpl", "GPL-3.0": "lgpl agpl", "LGPL-2.1": "", "LGPL-3.0": "", "AGPL-3.0": "", "CC0-1.0": "",
 }
 
+#: Bare names, all of whose words but "version" must stand there, and the words that would make them another one.
+_TITLES = {
+    "MIT": ("MIT License", "0 attribution"), "Apache-2.0": ("Apache License, Version 2.0", ""), "BSD-2-Clause": ("BSD 2-Clause License", ""), "BSD-3-Clause": ("BSD 3-Clause License", ""),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", ""), "BSL-1.0": ("Boost Software License, Version 1.0", ""), "GPL-2.0": ("GNU General Public License, Version 2", "lesser library affero"),
+    "GPL-3.0": ("GNU General Public License, Version 3", "lesser library affero"), "LGPL-3.0": ("GNU Lesser General Public License, Version 3", ""), "AGPL-3.0": ("GNU Affero General Public License, Version 3", ""),
+}
+
 
 def _templates() -> tuple[dict[str, str], dict[str, tuple[str, str]]]:
     texts = dict(PLAIN)
@@ -93,6 +100,12 @@ def _templates() -> tuple[dict[str, str], dict[str, tuple[str, str]]]:
     for name, others in _SPDX.items():
         texts[f"{name}-spdx"] = f"SPDX-License-Identifier: {name}"
         deciding[f"{name}-spdx"] = (f"spdx license identifier {name.replace('-', ' ').replace('.', ' ').lower()}", others)
+    for name, (title, others) in _TITLES.items():
+        texts[f"{name}-title"] = title
+        deciding[f"{name}-title"] = (title.lower().replace(",", "").replace("-", " ").replace(".", " ").replace("version ", ""), others)
+    for code in _CC:
+        texts[f"CC-{code}-4.0-title"] = f"CC {code} 4.0"
+        deciding[f"CC-{code}-4.0-title"] = deciding[f"CC-{code}-4.0"]
     return texts, deciding
 
 

@@ -52,6 +52,23 @@ def found(*texts):
     return [[x[:2] for x in each] for each in license_align.Scanner(license_align.TEMPLATES).scan(pa.array(texts, pa.large_string()))]
 
 
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("MIT License", "MIT-title"), ("The code has the MIT License, as all of it.", "MIT-title"), ("It is not under the MIT License.", None), ("MIT No Attribution License", None),
+        ("Apache License 2.0", "Apache-2.0-title"), ("Apache License, Version 1.1", None), ("the license of MIT students", None), ("BSD License", None), ("BSD 3-Clause License", "BSD-3-Clause-title"),
+        ("Boost Software License - Version 1.0", "BSL-1.0-title"), ("GNU General Public License, version 3", "GPL-3.0-title"), ("GNU Lesser General Public License, version 3", "LGPL-3.0-title"),
+        ("CC BY-SA 4.0", "CC-BY-SA-4.0-title"), ("CC BY 4.0", "CC-BY-4.0-title"), ("CC BY 3.0", None), ("GPL", None),
+    ],
+)
+def test_bare_names(text, name):
+    assert found(text) == ([[]] if name is None else [[(name, found(text)[0][0][1])]])
+
+
+def test_title_above_a_license():
+    assert found("MIT License\n\n" + license_align.TEMPLATES["MIT-text"]) == [[("MIT-title", 1.0), ("MIT-text", 1.0)]]
+
+
 @pytest.mark.parametrize("name", list(license_align.TEMPLATES))
 def test_spread_licenses_are_found_at_every_offset(name):
     words = re.findall(r"[A-Za-z0-9]+", license_align.TEMPLATES[name])
