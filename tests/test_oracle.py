@@ -65,6 +65,6 @@ def test_query_on_longer_genome(spark, duck, name, monkeypatch):
     assert fixtures.genome(spark, SF) == {"chr1": 128, "p1": 32}
     df = entry.queries()[name](spark, SF)
     got = rows_of(df.columns, df.collect())
-    result = duck.execute(entry.oracle_sql()[name].replace("// 100)) AS k", "// 5)) AS k"))
+    result = duck.execute(entry.oracle_sql()[name].replace("// 100) AS k", "// 5) AS k"))
     want = rows_of([c[0] for c in result.description], result.fetchall())
     assert len(got) == len(want) and all(close(a, b) for a, b in zip(got, want))
