@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contactloom.operators import maps, signals, tracks
+from contactloom.operators import edits, maps, oriter, signals, similarity, tracks
+from contactloom.plans.lineage import cut
 
 MAP = "sample string, chrom string, n long, bin1 long, bin2 long, value double"
 
@@ -27,3 +28,23 @@ def plan(df):
 def test_no_frame_is_summed_anew_for_each_row(spark, f):
     scores = spark.range(400).select(F.lit("s").alias("sample"), F.lit("c").alias("chrom"), F.lit(400).cast("long").alias("n"), F.col("id").alias("bin"), (F.xxhash64("id") % 50 / 7.0).alias("score"))
     assert "currentrow$(), unboundedfollowing$()" not in plan(f(scores))
+
+
+@pytest.mark.parametrize("block, side", [(7, 2), (4096, 512)])
+def test_strata_are_products_of_matrices(spark, block, side):
+    names = ("p", "q", "r", "s", "t")
+    cells = random_map(spark, 40, 5, names, 0.4).where("bin2 - bin1 between 0 and 4 and (sample <> 't' or bin1 = bin2)")
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names if (a < b) != (a == "r")], "sample_a string, sample_b string")
+    made = similarity.strata(cells, pairs, (), block, side)
+    assert "flatmapgroupsinarrow" in plan(made)
+    got = {(r.sample_a, r.sample_b, r.d): (r.cells, r.r1, r.r2) for r in made.collect()}
+    grid = {(r.sample, r.bin2 - r.bin1, r.bin1): r.value for r in cells.collect()}
+    want = {}
+    for a, b in pairs.collect():
+        for d in range(5):
+            at = sorted({k[2] for k in grid if k[0] in (a, b) and k[1] == d})
+            if at:
+                x, y = (np.array([grid.get((s, d, k), 0.0) for k in at]) for s in (a, b))
+                want[a, b, d] = (len(at), np.mean(x * y) - x.mean() * y.mean(), np.sqrt(x.var() * y.var()))
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k]) for k in want)
