@@ -48,3 +48,11 @@ def test_strata_are_products_of_matrices(spark, block, side):
                 want[a, b, d] = (len(at), np.mean(x * y) - x.mean() * y.mean(), np.sqrt(x.var() * y.var()))
     assert got.keys() == want.keys()
     assert all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_bins_of_maps_are_not_broadcast(spark):
+    cells = spark.createDataFrame([("s", "c", 50_000, 1, 2, 1.0)], MAP)
+    totals = spark.range(300_000).select(F.lit("s").alias("sample"), F.lit("c").alias("chrom"), F.col("id").alias("bin"), F.lit(1).alias("t"))
+    made = maps.all_bins(cells).join(totals, ["sample", "chrom", "bin"])
+    assert "sortmergejoin" in plan(made) and "broadcast" not in plan(made)
+    assert made.count() == 50_000
