@@ -56,3 +56,26 @@ def test_bins_of_maps_are_not_broadcast(spark):
     made = maps.all_bins(cells).join(totals, ["sample", "chrom", "bin"])
     assert "sortmergejoin" in plan(made) and "broadcast" not in plan(made)
     assert made.count() == 50_000
+
+
+def test_white_lines_are_filled_from_stored_cells(spark):
+    cells = cut(maps.from_upper(random_map(spark, 60, 2)))
+    bins = cut(maps.all_bins(cells).withColumn("masked", F.col("bin").isin(3, 9, 10, 30)))
+    made = maps.interpolate_white_lines(cells, bins)
+    # Lines are not joined with all bins, whose distinct pairs would be the cells that are looked at.
+    assert "functions=[])" not in plan(made)
+    m = np.zeros((60, 60))
+    for r in cells.collect():
+        m[r.bin1, r.bin2] = r.value
+    bad = np.isin(np.arange(60), [3, 9, 10, 30])
+    gone = bad[:, None] | bad[None, :]
+    want = np.where(gone, 0.0, m)
+    for i in range(2, 58):
+        for j in range(2, 58):
+            if {i, j} & {3, 30}:
+                near = [m[i + d, j + d] for d in (-2, -1, 1, 2) if not gone[i + d, j + d]]
+                want[i, j] = np.mean(near) if near else 0.0
+    got = np.zeros((60, 60))
+    for r in made.collect():
+        got[r.bin1, r.bin2] += r.value
+    assert np.allclose(got, want)
