@@ -79,3 +79,35 @@ def test_white_lines_are_filled_from_stored_cells(spark):
     for r in made.collect():
         got[r.bin1, r.bin2] += r.value
     assert np.allclose(got, want)
+
+
+@pytest.mark.parametrize("n, s", [(24, 3), (24, 6), (25, 6), (13, 2)])
+def test_masked_cells_of_antidiagonals_are_counted_not_written(spark, n, s):
+    cells = maps.from_upper(random_map(spark, n, n, share=0.5))
+    bins = maps.all_bins(cells).withColumn("masked", F.col("bin").isin(0, 3, 4, 9))
+    m = np.zeros((n, n))
+    for r in cells.collect():
+        m[r.bin1, r.bin2] = r.value
+    i, j = np.indices((n, n))
+    bad = np.isin(np.arange(n), [0, 3, 4, 9])
+    m[abs(i - j) < 2] = 0
+    ok = ~(bad[:, None] | bad[None, :]) | (abs(i - j) < 2)
+    whole = signals.antidiagonal(cells, bins, norm_percentile=None)
+    part = signals.partial_antidiagonals(cells, {"s": F.lit(s)}, bins)
+    assert "flatmapgroupsinarrow" in plan(whole) and "flatmapgroupsinarrow" in plan(part)
+    for r in whole.collect():
+        at = ((i + j) % n == r.pos % n) & ok
+        assert np.isclose(r.score, m[at].mean()) if at.any() else r.score is None
+    q, t = i + j, i - np.maximum(0, i + j - n + 1)
+    l = n - abs(q - (n - 1))
+    for r in part.collect():
+        p = r.pos
+        lp = n - abs(p - (n - 1))
+        if p == 2 * n - 1:
+            at = (q == n - 1) & ((t < s) | (t >= n - s))
+        else:
+            at = (q == p) & (((p != n - 1) & (lp < 2 * s)) | ((t >= l // 2 - s) & (t < l // 2 + s)))
+            if p != n - 1 and lp < 2 * s:
+                at |= (q == (p + n if p < n else p - n)) & ((t < s - lp // 2) | (t >= l - s + lp // 2))
+        at &= ok
+        assert np.isclose(r.score, m[at].mean()) if at.any() else r.score is None
