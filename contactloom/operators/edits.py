@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,27 +79,37 @@ def replay(genome: dict[str, list[Piece]], edits: list[dict]) -> dict[str, list[
 
 #: Letters of a chunk of a sequence.
 CHUNK = 1 << 20
+#: Pieces and edits of a group of samples, some.
+TOGETHER = 1 << 14
 _LAYOUT = "sample string, chrom string, ord int, src_chrom string, start long, end long, is_reverse boolean"
 
 
-def apply_edits(layout: DataFrame, edits: DataFrame) -> DataFrame:
+def apply_edits(layout: DataFrame, edits: DataFrame, together: int = TOGETHER) -> DataFrame:
     """Layouts after each sample's edits (sample, seq, op, chrom, pos, start, end, src_chrom, src_start, src_end, invert), in order of seq.
 
-    A sample's pieces and edits are few rows, and an edit may move pieces between its chromosomes, so that a sample is one group.
+    A sample's pieces and edits are few rows, and an edit may move pieces between its chromosomes, so that a sample is edited as a whole.  Samples
+    are dealt by hash into groups with some `together` pieces and edits, since a group costs far more than a sample.
     """
-
-    def run(pieces: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        genome: dict[str, list[Piece]] = {}
-        for r in pieces.sort_values(["chrom", "ord"]).itertuples():
-            genome.setdefault(r.chrom, []).append((r.src_chrom, int(r.start), int(r.end), bool(r.is_reverse)))
-        rows = wanted.sort_values("seq").astype(object).where(wanted.sort_values("seq").notna(), None).to_dict("records")
-        number = ("pos", "start", "end", "src_start", "src_end")
-        replay(genome, [r | {k: int(r[k]) for k in number if r[k] is not None} for r in rows])
-        sample = (pieces if len(pieces) else wanted)["sample"].iloc[0]
-        flat = [(sample, chrom, k, *p) for chrom, own in genome.items() for k, p in enumerate(own)]
-        return pd.DataFrame(flat, columns=["sample", "chrom", "ord", "src_chrom", "start", "end", "is_reverse"])
-
-    return layout.groupBy("sample").cogroup(edits.groupBy("sample")).applyInPandas(run, _LAYOUT)
+    held = layout.count() + edits.count()
+    groups = max(1, -(-held // together))
+    number = ("pos", "start", "end", "src_start", "src_end")
+
+    def run(pieces: pa.Table, wanted: pa.Table) -> pa.Table:
+        genomes: dict[str | None, dict[str, list[Piece]]] = {}
+        for r in pieces.sort_by([("chrom", "ascending"), ("ord", "ascending")]).to_pylist():
+            genomes.setdefault(r["sample"], {}).setdefault(r["chrom"], []).append((r["src_chrom"], r["start"], r["end"], bool(r["is_reverse"])))
+        asked: dict[str | None, list[dict]] = {}
+        for r in wanted.sort_by("seq").to_pylist():
+            asked.setdefault(r["sample"], []).append(r | {k: int(r[k]) for k in number if r[k] is not None})
+        for sample, rows in asked.items():
+            genomes[sample] = replay(genomes.get(sample, {}), rows)
+        flat = [(sample, chrom, k, *p) for sample, genome in genomes.items() for chrom, own in genome.items() for k, p in enumerate(own)]
+        names = ("sample", "chrom", "ord", "src_chrom", "start", "end", "is_reverse")
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.table([pa.array([row[k] for row in flat], kind) for k, kind in enumerate(kinds)], names=list(names))
+
+    dealt = lambda df: df.withColumn("_group", F.pmod(F.xxhash64("sample"), F.lit(groups))).groupBy("_group")
+    return dealt(layout).cogroup(dealt(edits)).applyInArrow(run, _LAYOUT)
 
 
 def sequences(layout: DataFrame, fasta: DataFrame) -> DataFrame:

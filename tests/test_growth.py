@@ -111,3 +111,17 @@ def test_masked_cells_of_antidiagonals_are_counted_not_written(spark, n, s):
                 at |= (q == (p + n if p < n else p - n)) & ((t < s - lp // 2) | (t >= l - s + lp // 2))
         at &= ok
         assert np.isclose(r.score, m[at].mean()) if at.any() else r.score is None
+
+
+def test_many_samples_are_edited_in_one_group(spark):
+    names = [f"s{k}" for k in range(300)]
+    layout = spark.createDataFrame([(s, "a", 0, "a", 0, 100, False) for s in names], "sample string, chrom string, ord int, src_chrom string, start long, end long, is_reverse boolean")
+    wanted = spark.createDataFrame([(s, 0, "invert", "a", 0, 10, 20, None, None, None, False) for s in names[1:]] + [("new", 0, "insert", "b", 0, None, None, "a", 5, 9, True)], "sample string, seq int, op string, chrom string, pos long, start long, end long, src_chrom string, src_start long, src_end long, invert boolean")
+    for together in (50, edits.TOGETHER):
+        made = edits.apply_edits(layout, wanted, together)
+        assert "pmod" in plan(made)
+        got = {}
+        for r in made.collect():
+            got.setdefault((r.sample, r.chrom), []).append((r.ord, r.src_chrom, r.start, r.end, r.is_reverse))
+        assert got.pop(("new", "b")) == [(0, "a", 5, 9, True)] and sorted(got.pop(("s0", "a"))) == [(0, "a", 0, 100, False)]
+        assert len(got) == 299 and all(sorted(v) == [(0, "a", 0, 10, False), (1, "a", 10, 20, True), (2, "a", 20, 100, False)] for v in got.values())
