@@ -142,7 +142,9 @@ def oriter_ratio(track: DataFrame, positions: DataFrame, chroms: DataFrame, wind
     values = track_window(remove_nmad(track), sites.select("chrom", "coord").distinct(), chroms, window, circular)
     joined = values.join(sites, ["chrom", "coord"])
     means = joined.groupBy(*KEY).agg(F.avg(F.when(F.col("kind") == "ori", F.col("value"))).alias("ori"), F.avg(F.when(F.col("kind") == "ter", F.col("value"))).alias("ter"))
-    return means.withColumn("ratio", ratio(F.col("ori"), F.col("ter")))
+    # A track without a value in either window has a row too.
+    every = track.select(*KEY).distinct().join(sites.select("chrom").distinct(), "chrom", "left_semi")
+    return every.join(means, list(KEY), "left").withColumn("ratio", ratio(F.col("ori"), F.col("ter")))
 
 
 def recenter(scores: DataFrame, origins: DataFrame, binning: int) -> DataFrame:

@@ -113,6 +113,14 @@ def test_masked_cells_of_antidiagonals_are_counted_not_written(spark, n, s):
         assert np.isclose(r.score, m[at].mean()) if at.any() else r.score is None
 
 
+def test_a_track_without_values_near_both_places_has_a_row(spark):
+    track = spark.createDataFrame([("a", "c", p, 1.0) for p in range(100)] + [("b", "c", 50, 1.0)], "sample string, chrom string, pos long, value double")
+    places = spark.createDataFrame([("c", 5, 80)], "chrom string, ori long, ter long")
+    chroms = spark.createDataFrame([("c", 100)], "chrom string, length long")
+    got = {tuple(r) for r in oriter.oriter_ratio(track, places, chroms, 10).collect()}
+    assert got == {("a", "c", 1.0, 1.0, 1.0), ("b", "c", None, None, None)}
+
+
 def test_many_samples_are_edited_in_one_group(spark):
     names = [f"s{k}" for k in range(300)]
     layout = spark.createDataFrame([(s, "a", 0, "a", 0, 100, False) for s in names], "sample string, chrom string, ord int, src_chrom string, start long, end long, is_reverse boolean")
