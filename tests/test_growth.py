@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contactloom.operators import edits, maps, oriter, signals, similarity, tracks
+from contactloom.operators import balance, edits, maps, oriter, signals, similarity, tracks
 from contactloom.plans.lineage import cut
 
 MAP = "sample string, chrom string, n long, bin1 long, bin2 long, value double"
@@ -133,3 +133,16 @@ def test_many_samples_are_edited_in_one_group(spark):
             got.setdefault((r.sample, r.chrom), []).append((r.ord, r.src_chrom, r.start, r.end, r.is_reverse))
         assert got.pop(("new", "b")) == [(0, "a", 5, 9, True)] and sorted(got.pop(("s0", "a"))) == [(0, "a", 0, 100, False)]
         assert len(got) == 299 and all(sorted(v) == [(0, "a", 0, 10, False), (1, "a", 10, 20, True), (2, "a", 20, 100, False)] for v in got.values())
+
+
+@pytest.mark.parametrize("f, column", [(balance.balance_ice, "bias"), (balance.normalize_scn, "value")])
+def test_maps_of_moderate_size_are_not_brought_to_the_driver(spark, monkeypatch, f, column):
+    cells = random_map(spark, 40, 4, ("s", "t"), 0.5)
+    cells = cut(cells if column == "bias" else maps.from_upper(cells))
+    rows = lambda df: {tuple(r[c] for c in df.columns if c != column): r[column] for r in df.collect()}
+    # The same by steps of all tasks.
+    want = rows(f(cells, own_cells=0))
+    monkeypatch.setattr(balance, "Held", None)
+    got = rows(f(cells))
+    assert got.keys() == want.keys() and sum(v is not None for v in got.values()) > 40
+    assert all(got[k] == want[k] if want[k] is None else np.isclose(got[k], want[k], rtol=1e-5) for k in want)
