@@ -146,3 +146,12 @@ def test_maps_of_moderate_size_are_not_brought_to_the_driver(spark, monkeypatch,
     got = rows(f(cells))
     assert got.keys() == want.keys() and sum(v is not None for v in got.values()) > 40
     assert all(got[k] == want[k] if want[k] is None else np.isclose(got[k], want[k], rtol=1e-5) for k in want)
+
+
+def test_a_mean_of_twenty_is_not_below_it_by_its_last_digit(spark, monkeypatch):
+    from contactloom.plans import queries
+
+    scores = [45.0, 19.999999999999996, 45.0, 5.0, 45.0]
+    frame = spark.createDataFrame([("s", "c", 5, k, x) for k, x in enumerate(scores)], "sample string, chrom string, n long, bin long, score double")
+    monkeypatch.setattr(queries, "_track_scores", lambda spark, d: frame)
+    assert {(r.bin, r.score) for r in queries.QUERIES["s01_find_minima_plateaus"](spark, "").collect()} == {(1, 1.0), (3, 0.0)}
