@@ -289,6 +289,19 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_ends_in_one_task(spark):
+    """However long a chain of a few edges is, there are few jobs; more edges than `few` are contracted first, with the same labels."""
+    edges = [(i, i + 7) for i in range(3000)] + [(10_000 + i * 37 % 501, 10_000 + i * 91 % 777) for i in range(400)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    spark.sparkContext.setJobGroup("components", "")
+    got = {r.node: r.label for r in components.components(table).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 12
+    assert got == {r.node: r.label for r in components.components(table, few=50).collect()}
+    assert all(got[i] == i % 7 for i in range(3007))
+
+
 def test_shared_counts():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 4000)).astype(np.uint64)) for _ in range(12)]
