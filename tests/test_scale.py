@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactloom.functions.blocks import carried, dealt
-from contactloom.operators import balance, boxes, edits, intervals, maps, pileup, products, selection, signals, similarity
+from contactloom.operators import balance, boxes, correlation, edits, intervals, maps, pileup, products, selection, signals, similarity
+from contactloom.plans.lineage import cut
 from contactloom.sources import tables
 
 MAP = "sample string, chrom string, n long, bin1 long, bin2 long, value double"
@@ -292,3 +293,26 @@ def test_sequences_in_chunks(spark, tmp_path, size):
         parts[r.sample, r.chrom] = parts.get((r.sample, r.chrom), "") + r.seq
         assert len(r.seq) <= size
     assert parts == whole
+
+
+def random_map(spark, n, count, seed, samples=("a", "b")):
+    rng = np.random.default_rng(seed)
+    rows = {}
+    for s in samples:
+        for i, j, v in zip(*rng.integers(0, n, (2, count)), rng.integers(1, 9, count)):
+            rows[s, min(i, j), max(i, j)] = float(v)
+    upper = spark.createDataFrame([(s, "c", n, int(i), int(j), v) for (s, i, j), v in rows.items()], "sample string, chrom string, n long, bin1 long, bin2 long, value double")
+    return maps.from_upper(upper)
+
+
+def test_compartments_of_small_maps_stay_in_tasks(spark, monkeypatch):
+    cells = cut(random_map(spark, 40, 400, 3))
+    want = {(r.sample, r.bin, r["rank"]): r.score for r in correlation.compartments(cells, own_cells=0).collect()}
+
+    def held(*_, **__):
+        raise AssertionError("vectors go to the driver")
+
+    monkeypatch.setattr(correlation, "Held", held)
+    got = {(r.sample, r.bin, r["rank"]): r.score for r in correlation.compartments(cells).collect()}
+    assert got.keys() == want.keys() and len(got) > 100
+    assert all(abs(got[k] - want[k]) < 1e-8 for k in got)
