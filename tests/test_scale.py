@@ -305,6 +305,21 @@ def random_map(spark, n, count, seed, samples=("a", "b")):
     return maps.from_upper(upper)
 
 
+@pytest.mark.parametrize("n, band", [(9, 5), (40, 3), (67, 4), (66, 8), (97, 8), (130, 2)])
+def test_banded_correlations_join_nothing(spark, monkeypatch, n, band):
+    """All pairs within the band, once, with the values of the whole correlations; maps are not joined with themselves."""
+    monkeypatch.setattr(correlation, "SPAN", 32, raising=False)
+    monkeypatch.setattr(correlation, "ROWS", 5, raising=False)
+    monkeypatch.setattr(correlation, "COLUMNS", 7, raising=False)
+    cells = random_map(spark, n, 3 * n, n)
+    near = correlation.correlation_map(cells, band=band)
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.sample, r.bin1, r.bin2): r.value for r in near.collect()}
+    want = {(r.sample, r.bin1, r.bin2): r.value for r in correlation.correlation_map(cells).collect() if min(abs(r.bin1 - r.bin2), n - abs(r.bin1 - r.bin2)) <= band}
+    assert near.count() == len(got) and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
 def test_compartments_of_small_maps_stay_in_tasks(spark, monkeypatch):
     cells = cut(random_map(spark, 40, 400, 3))
     want = {(r.sample, r.bin, r["rank"]): r.score for r in correlation.compartments(cells, own_cells=0).collect()}
