@@ -331,3 +331,21 @@ def test_compartments_of_small_maps_stay_in_tasks(spark, monkeypatch):
     got = {(r.sample, r.bin, r["rank"]): r.score for r in correlation.compartments(cells).collect()}
     assert got.keys() == want.keys() and len(got) > 100
     assert all(abs(got[k] - want[k]) < 1e-8 for k in got)
+
+
+@pytest.mark.parametrize("n", [17, 50, 61])
+def test_insulation_sorts_no_map(spark, monkeypatch, n):
+    """Scores are told by pieces of the diagonal, whose seams change nothing; no window goes over all bins of a map."""
+    cells = cut(random_map(spark, n, 4 * n, n))
+    bins = cut(maps.all_bins(cells).withColumn("masked", F.col("bin").isin(3, 4, 11)))
+    score = lambda: signals.relative_insulation(cells, bins, [3, 5])
+    assert "Window" not in plan(score())
+    want = {(r.sample, r.bin, r.w): r.score for r in score().collect()}
+    monkeypatch.setattr(signals, "PIECE", 10)
+    got = {(r.sample, r.bin, r.w): r.score for r in score().collect()}
+    assert got.keys() == want.keys() and len(got) == 4 * n
+    assert all(got[k] is want[k] is None or abs(got[k] - want[k]) < 1e-12 for k in got)
+    each = {(r.sample, r.bin): r.score for r in signals.ri_score(cells, bins, [3, 5]).collect()}
+    for s, b in each:
+        both = [got[s, b, 3], got[s, b, 5]]
+        assert each[s, b] is None if None in both else abs(each[s, b] - sum(both) / 2) < 1e-12
