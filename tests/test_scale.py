@@ -349,3 +349,17 @@ def test_insulation_sorts_no_map(spark, monkeypatch, n):
     for s, b in each:
         both = [got[s, b, 3], got[s, b, 5]]
         assert each[s, b] is None if None in both else abs(each[s, b] - sum(both) / 2) < 1e-12
+
+
+def test_candidates_of_tracks_with_gaps(spark, tmp_path):
+    """The query on a track that begins behind bin 0 has the highest score there; what is missing beside it is no obstacle."""
+    from contactloom.plans import queries
+
+    high = {5: 9.0, 6: 1.0, 7: 2.0, 8: 1.0, 30: 8.0, 31: 8.0, 40: 7.0, 63: 9.5}
+    events = [(bin * 1000, "x", high.get(bin, 1.0)) for bin in range(5, 64) if bin not in (39, 41)]
+    # Event k lies at k * 37 mod 64000, so that the event at p is p times the inverse of 37.
+    rows = [(p * pow(37, -1, 64_000) % 64_000, kind, v) for p, kind, v in events]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(5).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = queries.QUERIES["a07_candidate_borders"](spark, str(tmp_path)).collect()
+    assert sorted(r.bin for r in got) == [5, 40]
