@@ -33,3 +33,15 @@ def events(values):
 def test_contacts_that_a_profile_does_not_see_are_no_zeros(spark, tmp_path):
     got = same(spark, tmp_path, "a20_fourc_like", supplier=f"from '{SF}/supplier.parquet'", lineitem=f"from '{SF}/lineitem.parquet' limit 120")
     assert any(r["val"] is None for r in got) and any(r["val"] for r in got)
+
+
+def test_a_value_just_so_many_deviations_away_stays(spark):
+    from contactloom.operators import tracks
+
+    # Median 46.49, deviation 13.98; the last digits of 25.52 as a mean of seven values in another order.
+    values = [46.49, 46.49 - 13.98, 46.49 + 13.98, 25.519999999999996, 1000.0, 46.0, 47.0, 46.49 + 20, 1.0]
+    track = spark.createDataFrame([("s", "c", k, v) for k, v in enumerate(values)], "sample string, chrom string, bin long, value double")
+    found = tracks.mad(track, "value").first()
+    assert round(found["median"], 9) == 46.49 and round(found["mad"], 9) == 13.98
+    got = {r.bin for r in tracks.remove_nmad(track, 1.5).where("value is not null").collect()}
+    assert got == {0, 1, 2, 3, 5, 6, 7}
