@@ -45,3 +45,8 @@ def test_a_value_just_so_many_deviations_away_stays(spark):
     assert round(found["median"], 9) == 46.49 and round(found["mad"], 9) == 13.98
     got = {r.bin for r in tracks.remove_nmad(track, 1.5).where("value is not null").collect()}
     assert got == {0, 1, 2, 3, 5, 6, 7}
+
+
+def test_a_plateau_is_no_strict_peak(spark, tmp_path):
+    got = same(spark, tmp_path, "s01_find_peaks", supplier="select 1 as s_suppkey", events=events([1, 5, 1, 7, 7, 2, 3, 1]))
+    assert {r["bin"] for r in got} == {1, 6}
