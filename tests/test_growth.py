@@ -155,3 +155,23 @@ def test_a_mean_of_twenty_is_not_below_it_by_its_last_digit(spark, monkeypatch):
     frame = spark.createDataFrame([("s", "c", 5, k, x) for k, x in enumerate(scores)], "sample string, chrom string, n long, bin long, score double")
     monkeypatch.setattr(queries, "_track_scores", lambda spark, d: frame)
     assert {(r.bin, r.score) for r in queries.QUERIES["s01_find_minima_plateaus"](spark, "").collect()} == {(1, 1.0), (3, 0.0)}
+
+
+@pytest.mark.parametrize("block, side", [(30, 2), (4096, 128)])
+def test_training_writes_no_smoothed_cell(spark, block, side):
+    names = ("p", "q", "r", "s", "t")
+    upper = cut(random_map(spark, 75, 5, names, 0.1).where("bin2 - bin1 < 12 and (sample <> 't' or bin1 > 60)"))
+    pairs, halves, band = similarity.sample_pairs(upper), [0, 1, 4], 3
+    rows = lambda df: {(r.half, r.sample_a, r.sample_b, r.d): (r.cells, r.r1, r.r2) for r in df.collect()}
+    want = rows(similarity.strata(similarity.smooth(maps.from_upper(upper), halves, band), pairs, ("half",)))
+    got = rows(similarity.contact_strata(upper, pairs, halves, band, (), block, side))
+    assert got.keys() == want.keys() and len(want) == 3 * 10 * 4
+    assert all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_all_draws_are_one_job_and_the_same(spark):
+    upper = cut(random_map(spark, 40, 6, ("a", "b"), 0.3))
+    made = maps.subsamples(upper, 100, [3, 4])
+    for seed in (3, 4):
+        got = {tuple(r) for r in made.where(F.col("draw") == seed).drop("draw").collect()}
+        assert got == {tuple(r) for r in maps.subsample(upper, 100, seed).collect()} and sum(r[-1] for r in got) == 200
