@@ -175,3 +175,16 @@ def test_all_draws_are_one_job_and_the_same(spark):
     for seed in (3, 4):
         got = {tuple(r) for r in made.where(F.col("draw") == seed).drop("draw").collect()}
         assert got == {tuple(r) for r in maps.subsample(upper, 100, seed).collect()} and sum(r[-1] for r in got) == 200
+
+
+@pytest.mark.parametrize("circular", [True, False])
+def test_bins_of_a_smoothed_track_need_no_positions(spark, circular):
+    rng = np.random.default_rng(3)
+    rows = [(s, "c", int(p), float(rng.random())) for s in "ab" for p in [0, 1, 99, 102, *rng.choice(np.arange(2, 99), 30, False)]]
+    track = cut(spark.createDataFrame(rows, "sample string, chrom string, pos long, value double"))
+    chroms = spark.createDataFrame([(0, "c", 103)], "ord int, chrom string, length long")
+    made = tracks.extract_track(track, chroms, 10, circular, sigma=3.0)
+    assert "flatmapgroupsinpandas" not in plan(made)
+    want = {(r.sample, r.bin): r.value for r in tracks.bin_track(tracks.smooth(track, chroms, 3.0, circular), 10).collect()}
+    got = {(r.sample, r.bin): r.value for r in made.collect()}
+    assert got.keys() == want.keys() and len(got) == 22 and all(np.isclose(got[k], want[k]) for k in want)
