@@ -188,3 +188,17 @@ def test_bins_of_a_smoothed_track_need_no_positions(spark, circular):
     want = {(r.sample, r.bin): r.value for r in tracks.bin_track(tracks.smooth(track, chroms, 3.0, circular), 10).collect()}
     got = {(r.sample, r.bin): r.value for r in made.collect()}
     assert got.keys() == want.keys() and len(got) == 22 and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_pileups_make_no_maps_of_samples_without_genes(spark, monkeypatch):
+    from contactloom.operators import pileup
+    from contactloom.plans import workloads
+
+    upper = random_map(spark, 40, 4, ("s", "t"), 0.5)
+    genes = spark.createDataFrame([("s", "c", k, 900 * k, "+-"[k % 2], float(k)) for k in range(9)], "sample string, chrom string, gene_id long, tss long, strand string, rpkm double")
+    chroms = spark.createDataFrame([("c", 40_000)], "chrom string, length long")
+    seen, whole = [], maps.mask_white_lines
+    monkeypatch.setattr(maps, "mask_white_lines", lambda cells, *a, **k: seen.append({r.sample for r in cells.select("sample").distinct().collect()}) or whole(cells, *a, **k))
+    made = workloads.gene_contrast(upper, genes, chroms, 1000, 3000, 50, 300)
+    assert seen == [{"s"}] and {r.sample for r in made.collect()} == {"s"}
+    assert pileup.of_features(upper, genes).count() == upper.where("sample = 's'").count()
