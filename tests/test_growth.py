@@ -202,3 +202,39 @@ def test_pileups_make_no_maps_of_samples_without_genes(spark, monkeypatch):
     made = workloads.gene_contrast(upper, genes, chroms, 1000, 3000, 50, 300)
     assert seen == [{"s"}] and {r.sample for r in made.collect()} == {"s"}
     assert pileup.of_features(upper, genes).count() == upper.where("sample = 's'").count()
+
+
+@pytest.mark.parametrize("rows, share", [(64, 0.01), (1 << 18, 0.01), (64, 0.6)])
+def test_windows_of_sparse_maps_need_no_group_for_each_tile(spark, monkeypatch, rows, share):
+    from contactloom.operators import boxes
+
+    monkeypatch.setattr(boxes, "ROWS", rows)
+    cells = cut(maps.from_upper(random_map(spark, 150, 8, ("s", "t"), share)))
+    assert "mapinarrow" in plan(boxes.box_sums(cells, [2])) and "flatmapgroups" not in plan(boxes.box_sums(cells, [2]))
+    got = {}
+    for r in boxes.box_sums(cells, [2, 1], tile=16).collect():
+        assert (r.sample, r.half, r.bin1, r.bin2) not in got
+        got[r.sample, r.half, r.bin1, r.bin2] = (r.stored, r.total)
+    want = {}
+    for s in "st":
+        m = np.zeros((150, 150))
+        for r in cells.where(F.col("sample") == s).collect():
+            m[r.bin1, r.bin2] = r.value
+        for h in (1, 2):
+            for i in range(150):
+                for j in range(150):
+                    v = m[max(0, i - h) : i + h + 1, max(0, j - h) : j + h + 1]
+                    if v.any():
+                        want[s, h, i, j] = (np.count_nonzero(v), v.sum())
+    assert got == want
+
+
+@pytest.mark.parametrize("half", [0, 2, 30])
+def test_cells_of_windows_are_counted_without_their_rows(spark, half):
+    at = spark.range(20).select(F.col("id").alias("i")).join(spark.range(20).select(F.col("id").alias("j"))).withColumn("n", F.lit(20).cast("long"))
+    made = at.select("i", "j", *[maps.window_cells(F.col("i"), F.col("j"), F.col("n"), half, x).alias(f"c{int(x)}") for x in (False, True)])
+    assert "sequence" not in plan(made)
+    m = np.triu(np.ones((20, 20)))
+    for r in made.where("i <= j").collect():
+        at = np.s_[max(0, r.i - half) : r.i + half + 1, max(0, r.j - half) : r.j + half + 1]
+        assert (r.c0, r.c1) == (m[at].size, m[at].sum())
