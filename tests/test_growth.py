@@ -238,3 +238,15 @@ def test_cells_of_windows_are_counted_without_their_rows(spark, half):
     for r in made.where("i <= j").collect():
         at = np.s_[max(0, r.i - half) : r.i + half + 1, max(0, r.j - half) : r.j + half + 1]
         assert (r.c0, r.c1) == (m[at].size, m[at].sum())
+
+
+def test_ends_of_cells_are_not_summed_beside_the_cells(spark):
+    cells = cut(random_map(spark, 60, 2, ("s", "t")))
+    made = maps.bin_sums(cells)
+    before, _, after = plan(made).rpartition("exchange hashpartitioning(sample")
+    assert "repartition_by_col" in after and "hashaggregate" not in after and "exchange" not in before
+    want = {}
+    for r in cells.collect():
+        for b in {r.bin1, r.bin2}:
+            want[r.sample, b] = want.get((r.sample, b), 0.0) + r.value
+    assert {(r.sample, r.bin): r.total for r in made.collect()} == want
