@@ -250,3 +250,19 @@ def test_ends_of_cells_are_not_summed_beside_the_cells(spark):
         for b in {r.bin1, r.bin2}:
             want[r.sample, b] = want.get((r.sample, b), 0.0) + r.value
     assert {(r.sample, r.bin): r.total for r in made.collect()} == want
+
+
+def test_deviations_of_bin_sums_read_the_map_once(spark, monkeypatch):
+    cells = random_map(spark, 60, 2, ("s", "t"))
+    seen, whole = [], maps.bin_sums
+    monkeypatch.setattr(maps, "bin_sums", lambda c: seen.append(1) or whole(c))
+    monkeypatch.setattr(maps, "all_bins", None)
+    made = maps.bin_sums_mad(cells)
+    assert "scan existingrdd" in plan(made) and len(seen) == 1
+    got = {r.sample: (r["median"], r["mad"]) for r in made.collect()}
+    for s in "st":
+        m = np.zeros((60, 60))
+        for r in cells.where(F.col("sample") == s).collect():
+            m[r.bin1, r.bin2] = m[r.bin2, r.bin1] = r.value
+        mid = np.median(m.sum(0))
+        assert got[s] == (mid, np.median(abs(m.sum(0) - mid)))
