@@ -266,3 +266,17 @@ def test_deviations_of_bin_sums_read_the_map_once(spark, monkeypatch):
             m[r.bin1, r.bin2] = m[r.bin2, r.bin1] = r.value
         mid = np.median(m.sum(0))
         assert got[s] == (mid, np.median(abs(m.sum(0) - mid)))
+
+
+def test_scalograms_do_not_order_positions_without_cells(spark):
+    cells = cut(maps.from_upper(random_map(spark, 48, 3, ("s", "t"), 0.6)))
+    made = signals.antidiagonal_scalogram(cells, 1000, [4000, 9000])
+    # The percentile is an aggregate of stored positions, no window over all of them, and no join with a grid fills the others.
+    assert "percentile(" in plan(made) and not any("percentile" in x for x in plan(made).splitlines() if " window" in x or "+- window" in x)
+    sizes = {"4000": F.lit(2), "9000": F.lit(4), "half": F.floor(F.col("n") / 4)}
+    means = {(r.sample, r["size"], r.pos): r.score for r in signals.partial_antidiagonals(cells, sizes).collect()}
+    assert len(means) == 2 * 3 * 96
+    level = {s: np.percentile([v for k, v in means.items() if k[:2] == (s, "half")], 5) for s in "st"}
+    got = {(r.sample, r["size"], r.pos): r.score for r in made.collect()}
+    assert got.keys() == means.keys()
+    assert all(got[k] is None if level[k[0]] == 0 else np.isclose(got[k], means[k] / level[k[0]]) for k in means) and max(level.values()) > 0
