@@ -280,3 +280,26 @@ def test_scalograms_do_not_order_positions_without_cells(spark):
     got = {(r.sample, r["size"], r.pos): r.score for r in made.collect()}
     assert got.keys() == means.keys()
     assert all(got[k] is None if level[k[0]] == 0 else np.isclose(got[k], means[k] / level[k[0]]) for k in means) and max(level.values()) > 0
+
+
+@pytest.mark.parametrize("block", [4, 1 << 16])
+def test_kernels_add_cells_to_centres(spark, monkeypatch, block):
+    monkeypatch.setattr(signals, "BLOCK", block)
+    n, s = 31, 2
+    cells = maps.from_upper(random_map(spark, n, 5, share=0.5))
+    ext = cut(maps.circular_extend(cells, s))
+    bins = spark.range(-s, n + s).select(F.lit("s").alias("sample"), F.lit("c").alias("chrom"), F.lit(n).cast("long").alias("n"), F.col("id").alias("bin"), F.col("id").isin(-1, 4, 8, 9, 10, 11, 12, 30).alias("masked"))
+    made = signals.diagonal_convolution(ext, bins, s)
+    assert "flatmapcogroupsinarrow" in plan(made) and "sortmergejoin" not in plan(made)
+    m, seen = np.zeros((n + 2 * s, n + 2 * s)), ~np.isin(np.arange(-s, n + s), [-1, 4, 8, 9, 10, 11, 12, 30])
+    for r in ext.collect():
+        m[r.bin1 + s, r.bin2 + s] = r.value
+    a = np.arange(2 * s + 1)
+    kernel = np.exp(-0.5 * (0.5 * (abs(np.subtract.outer(a, a)) + abs(2 * s - np.add.outer(a, a))) / (2 * s)) ** 2) / np.sqrt(2.0)
+    m[~seen] = m[:, ~seen] = 0
+    got = {r.bin: r.score for r in made.collect()}
+    assert sorted(got) == list(range(n)) and got[10] is None
+    for k in range(n):
+        at = slice(k, k + 2 * s + 1)
+        if seen[at].any():
+            assert np.isclose(got[k], (m[at, at] * kernel).sum() / seen[at].sum() ** 2)
