@@ -190,6 +190,25 @@ def test_bins_of_a_smoothed_track_need_no_positions(spark, circular):
     assert got.keys() == want.keys() and len(got) == 22 and all(np.isclose(got[k], want[k]) for k in want)
 
 
+@pytest.mark.parametrize("circular", [True, False])
+def test_zeros_of_a_smoothed_track_are_ranges_till_the_end(spark, monkeypatch, circular):
+    monkeypatch.setattr(tracks, "TOGETHER", 64)
+    known = {"s": {40: 1.0, 41: -2.0, 299: 3.0}, "t": {0: 5.0}, "u": {150: 0.0}}
+    track = spark.createDataFrame([(s, "c", p, v) for s, at in known.items() for p, v in at.items()], "sample string, chrom string, pos long, value double")
+    chroms = spark.createDataFrame([("c", 300)], "chrom string, length long")
+    made = tracks.smooth(track, chroms, 2.0, circular, chunk=20)
+    # Positions are written out above the task that smooths.
+    told = plan(made)
+    assert "explode(sequence(at" in told.split("flatmapgroupsinarrow")[0]
+    weights = tracks._gaussian(2.0)
+    for s, at in known.items():
+        v = np.zeros(300)
+        v[list(at)] = list(at.values())
+        want = np.convolve(np.pad(v, len(weights) // 2, mode="wrap" if circular else "edge"), weights, "valid")
+        got = {r.pos: r.value for r in made.where(F.col("sample") == s).collect()}
+        assert sorted(got) == list(range(300)) and np.allclose([got[k] for k in range(300)], want)
+
+
 def test_pileups_make_no_maps_of_samples_without_genes(spark, monkeypatch):
     from contactloom.operators import pileup
     from contactloom.plans import workloads
