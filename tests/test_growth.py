@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contactloom.operators import balance, edits, maps, oriter, signals, similarity, tracks
+from contactloom.operators import balance, correlation, edits, maps, oriter, signals, similarity, tracks
 from contactloom.plans.lineage import cut
 
 MAP = "sample string, chrom string, n long, bin1 long, bin2 long, value double"
@@ -209,6 +209,24 @@ def test_zeros_of_a_smoothed_track_are_ranges_till_the_end(spark, monkeypatch, c
         assert sorted(got) == list(range(300)) and np.allclose([got[k] for k in range(300)], want)
 
 
+@pytest.mark.parametrize("high, own_cells, share", [(1 << 16, 1 << 22, 0.1), (7, 1 << 22, 0.1), (1 << 16, 40, 0.02), (7, 1 << 22, 0.9)])
+def test_no_product_of_two_cells_is_shuffled(spark, monkeypatch, high, own_cells, share):
+    monkeypatch.setattr(correlation, "GIVEN", 50)
+    cells = cut(maps.from_upper(random_map(spark, 30, 6, ("s", "t"), share)).where("sample = 's' or bin1 > 20 and bin2 > 20"))
+    made = correlation._by_parts(cells, cells, high, own_cells)
+    assert "join" not in plan(correlation.correlation_map(cells)) and "flatmapgroupsinarrow" in plan(made)
+    got = {}
+    for r in made.collect():
+        got.setdefault(r.sample, {})[r.bin1, r.bin2] = r.value
+    for s in "st":
+        m = np.zeros((30, 30))
+        for r in cells.where(F.col("sample") == s).collect():
+            m[r.bin1, r.bin2] = r.value
+        with np.errstate(invalid="ignore", divide="ignore"):
+            want = np.nan_to_num(np.corrcoef(m))
+        assert len(got[s]) == 900 and all(np.isclose(v, want[k], atol=1e-9) for k, v in got[s].items())
+
+
 def test_pileups_make_no_maps_of_samples_without_genes(spark, monkeypatch):
     from contactloom.operators import pileup
     from contactloom.plans import workloads
