@@ -169,6 +169,24 @@ def test_training_writes_no_smoothed_cell(spark, block, side):
     assert all(np.allclose(got[k], want[k]) for k in want)
 
 
+@pytest.mark.parametrize("side, own_cells, room", [(128, 1 << 22, 1 << 23), (2, 1 << 22, 1), (2, 0, 1 << 23)])
+def test_similarities_are_told_without_a_row_for_each_diagonal(spark, side, own_cells, room):
+    names = ("p", "q", "r", "s", "t")
+    upper = cut(random_map(spark, 75, 5, names, 0.1).where("bin2 - bin1 < 12 and (sample <> 't' or bin1 > 60)"))
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names if (a < b) != (a == "r")], "sample_a string, sample_b string")
+    halves, band = [0, 1, 4], 3
+    rows = lambda df: {(r.half, r.sample_a, r.sample_b): r.scc for r in df.collect()}
+    want = rows(similarity.adjusted(similarity.strata(similarity.smooth(maps.from_upper(upper), halves, band), pairs, ("half",)), by=("half",)))
+    made = similarity.contact_scores(upper, pairs, halves, band, (), side, own_cells, room)
+    got = rows(made)
+    assert got.keys() == want.keys() and len(want) > 20 and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_contacts_are_drawn_without_arrays_of_hashes(spark):
+    upper = cut(random_map(spark, 40, 6, ("a", "b"), 0.3))
+    assert "lambda" not in plan(maps.subsample(upper, 100, 3))
+
+
 def test_all_draws_are_one_job_and_the_same(spark):
     upper = cut(random_map(spark, 40, 6, ("a", "b"), 0.3))
     made = maps.subsamples(upper, 100, [3, 4])
