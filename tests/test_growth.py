@@ -245,6 +245,22 @@ def test_no_product_of_two_cells_is_shuffled(spark, monkeypatch, high, own_cells
         assert len(got[s]) == 900 and all(np.isclose(v, want[k], atol=1e-9) for k, v in got[s].items())
 
 
+@pytest.mark.parametrize("n, piece", [(60, 4096), (60, 16), (61, 16), (66, 21), (9, 4096)])
+def test_insulation_writes_no_correlation(spark, monkeypatch, n, piece):
+    monkeypatch.setattr(signals, "PIECE", piece)
+    monkeypatch.setattr(correlation, "ROWS", 8)
+    cells = cut(maps.from_upper(random_map(spark, 80, 7, ("s", "t"), 0.3).where(f"bin1 < {n} and bin2 < {n}").withColumn("n", F.lit(n).cast("long"))))
+    bins, windows = cut(maps.mask_white_lines(cells)), [3, 5]
+    want = {(r.sample, r.bin): r.score for r in signals.ri_score(cut(correlation.correlation_map(cells, band=2 * max(windows))), bins, windows).collect()}
+    seen = []
+    monkeypatch.setattr(signals, "local_score", lambda scores: seen.append(scores) or scores)
+    monkeypatch.setattr(correlation, "_banded", None)
+    signals.insulation(cells, windows)
+    got = {(r.sample, r.bin): r.score for r in seen[0].collect()}
+    assert got.keys() == want.keys() and len(want) == 2 * n
+    assert all(got[k] == want[k] if want[k] is None else np.isclose(got[k], want[k]) for k in want)
+
+
 def test_pileups_make_no_maps_of_samples_without_genes(spark, monkeypatch):
     from contactloom.operators import pileup
     from contactloom.plans import workloads
