@@ -261,6 +261,15 @@ def test_insulation_writes_no_correlation(spark, monkeypatch, n, piece):
     assert all(got[k] == want[k] if want[k] is None else np.isclose(got[k], want[k]) for k in want)
 
 
+@pytest.mark.parametrize("f", [lambda cells: signals.insulation(cells, [3, 5]), lambda cells: signals.blob_score(cells, 3)])
+def test_no_unmasked_bin_is_kept(spark, monkeypatch, f):
+    cells, kept = cut(maps.from_upper(random_map(spark, 60, 7, ("s", "t"), 0.5))), []
+    monkeypatch.setattr(signals, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    f(cells)
+    masks = [df.collect() for df in kept if "masked" in df.columns]
+    assert len(masks) == 1 and 2 <= len(masks[0]) < 20 and sum(not r.masked for r in masks[0]) <= 2
+
+
 def test_pileups_make_no_maps_of_samples_without_genes(spark, monkeypatch):
     from contactloom.operators import pileup
     from contactloom.plans import workloads
