@@ -270,6 +270,32 @@ def test_no_unmasked_bin_is_kept(spark, monkeypatch, f):
     assert len(masks) == 1 and 2 <= len(masks[0]) < 20 and sum(not r.masked for r in masks[0]) <= 2
 
 
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_cells_meet_white_lines_where_they_are(spark, monkeypatch, few):
+    monkeypatch.setattr(maps, "FEW_LINES", few, raising=False)
+    cells = cut(maps.from_upper(random_map(spark, 40, 8, ("s",), 0.6).where("bin1 <> 20 and bin2 <> 20")))
+    lines = [3, 9, 10, 20, 22]
+    bins = cut(spark.range(40).select(F.lit("s").alias("sample"), F.lit("c").alias("chrom"), F.lit(40).cast("long").alias("n"), F.col("id").alias("bin"), F.col("id").isin(lines).alias("masked")))
+    made = maps.interpolate_white_lines(cells, bins)
+    # Masked bins are what cells meet, not all others.
+    assert "leftanti" in plan(made) and "leftsemi" not in plan(made)
+    m = np.zeros((40, 40))
+    for r in cells.collect():
+        m[r.bin1, r.bin2] = r.value
+    m[lines], m[:, lines] = np.nan, np.nan
+    want = {}
+    for i in range(40):
+        for j in range(40):
+            v = m[i, j]
+            if {i, j} & {3, 20, 22} and 2 <= min(i, j) and max(i, j) <= 37:
+                around = [m[i + d, j + d] for d in (-2, -1, 1, 2)]
+                v = np.nanmean(around) if not np.isnan(around).all() else 0.0
+            if v and not np.isnan(v):
+                want[i, j] = v
+    got = {(r.bin1, r.bin2): r.value for r in made.collect()}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
 def test_pileups_make_no_maps_of_samples_without_genes(spark, monkeypatch):
     from contactloom.operators import pileup
     from contactloom.plans import workloads
